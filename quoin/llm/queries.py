@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup
+from . import decontaminate, line_dedup
 
 QUERIES = {
+    "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
     "op2_line_dedup": line_dedup.op2_line_dedup,
 }
 
 ORACLES = {
+    "op1_benchmark_decontamination": decontaminate.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
 }
