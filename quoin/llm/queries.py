@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, line_dedup
+from . import decontaminate, line_dedup, quality
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op10_quality_classifier": quality.op10_quality_classifier,
 }
 
 ORACLES = {
