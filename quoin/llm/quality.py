@@ -81,18 +81,23 @@ def abuse_words(texts: list[str], toxic: np.ndarray, least: int = 6, lift: float
     The next one is always that with the largest likelihood ratio among the
     documents that no earlier one has explained.
     """
+    def units(text: str) -> set[str]:
+        return {w[:k] for w in set(WORD.findall(text.lower())) for k in range(3, 9) if len(w) >= k}
+
     bad, good = Counter(), Counter()
-    units = [{w[:k] for w in set(WORD.findall(t.lower())) for k in range(3, 9) if len(w) >= k} for t in texts]
-    for u, t in zip(units, toxic):
-        (bad if t else good).update(u)
+    for text, t in zip(texts, toxic):
+        if t:
+            bad.update(units(text))
+    bad = Counter({w: n for w, n in bad.items() if n >= least})
+    for text, t in zip(texts, toxic):
+        if not t:
+            good.update(units(text) & bad.keys())
     n1, n0 = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    names = sorted(w for w, n in bad.items() if n >= least and n / n1 >= lift * good[w] / n0)
+    names = sorted(w for w, n in bad.items() if n / n1 >= lift * good[w] / n0)
     at = {w: k for k, w in enumerate(names)}
     held = np.zeros((len(names), len(texts)), bool)
-    for d, u in enumerate(units):
-        for w in u:
-            if w in at:
-                held[at[w], d] = True
+    for d, text in enumerate(texts):
+        held[[at[w] for w in units(text) & at.keys()], d] = True
     t, left, tiers = toxic.astype(bool), np.ones(len(texts), bool), [[], []]
 
     def entropy(p):
@@ -116,7 +121,10 @@ def abuse_words(texts: list[str], toxic: np.ndarray, least: int = 6, lift: float
     # further sure ones, though other words explain their documents: a text may hold any one of them
     for w in sorted(names, key=lambda w: (len(w), w)):
         if bad[w] >= least + 2 and good[w] <= 0.02 * bad[w] and not any(w[:k] in tiers[0] for k in range(3, len(w) + 1)):
-            tiers[0].append(w)
+            # as long as a longer beginning is held by as many, it is more specific and catches the same
+            longer = [x for x in names if x.startswith(w) and bad[x] == bad[w]]
+            if not any(x in tiers[0] for x in longer):
+                tiers[0].append(max(longer, key=len))
     return tiers
 
 

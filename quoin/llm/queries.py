@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, line_dedup, quality
+from . import decontaminate, jaccard_join, line_dedup, passages, quality
 
 QUERIES = {
     "op1_benchmark_decontamination": decontaminate.op1_benchmark_decontamination,
     "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op6_substring_dedup": passages.op6_substring_dedup,
     "op8_ngram_jaccard_join": jaccard_join.op8_ngram_jaccard_join,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }

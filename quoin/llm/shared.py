@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,3 +27,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    """doc_id and text of documents with both; of a doc_id's different texts, the one with the least hash.
+
+    The text itself is not shuffled: only the ids that have several texts are joined back.
+    """
+    clean = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null")
+    key = F.xxhash64("text")
+    several = clean.groupBy("doc_id").agg(F.min(key).alias("_least"), F.max(key).alias("_most")).filter("_least <> _most")
+    if several.isEmpty():
+        return clean
+    several = several.select(F.col("doc_id").alias("_id"), "_least")
+    joined = clean.join(several, F.col("doc_id") == F.col("_id"), "left")
+    return joined.filter(F.col("_least").isNull() | (key == F.col("_least"))).select("doc_id", "text")
