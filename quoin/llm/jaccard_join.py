@@ -360,6 +360,32 @@ def similar_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFram
     return verified.unionByName(copies).groupBy("doc_id", "other_id").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
 
 
+def groups(pairs: DataFrame) -> DataFrame:
+    """doc_id, group: the least doc_id of the connected component, for each document of a pair.
+
+    Star contraction: edges are pointed at the least known member until every
+    document points at its root directly; each round is written, which cuts its
+    lineage, and the rounds grow with the logarithm of a component's diameter.
+    """
+    edges = written(pairs.select(F.col("other_id").alias("a"), F.col("doc_id").alias("b")).filter("a > b").distinct(), "edges")
+    while True:
+        # large star: neighbours above a document, pointed at its least neighbour
+        both = edges.union(edges.select("b", "a"))
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # small star: neighbours below a document and itself, pointed at the least of them
+        large = large.filter("a <> b").distinct()
+        lower = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(lower.select("a", "m")).filter("a <> b").distinct()
+        new = written(small, "edges")
+        was, now = (e.selectExpr("bit_xor(xxhash64(a, b)) as h", "count(*) as n").first() for e in (edges, new))
+        edges = new
+        if was == now:
+            break
+    roots = edges.select(F.col("a").alias("doc_id"), F.col("b").alias("group"))
+    return roots.union(edges.select(F.col("b").alias("doc_id"), F.col("b").alias("group"))).distinct()
+
+
 def op8_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return similar_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
