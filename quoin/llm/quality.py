@@ -269,8 +269,10 @@ class Classifier:
     def scored(self, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         """The input's columns and low_quality, toxicity, keep, whose names must be free there."""
         real = F.trim(F.regexp_replace("text", r"\s+", " ")) != ""
-        # statistics under names that no column of the input is likely to have
-        with_stats = docs.withColumns({PREFIX + k: F.coalesce(c, F.lit(0.0)) for k, c in statistics(F.col("text"), self.abuse).items()})
+        # statistics under names that no column of the input is likely to have; a generator
+        # computes them once, where a projection would be repeated in every rule and filter
+        stats = F.struct(*[F.coalesce(c, F.lit(0.0)).alias(PREFIX + k) for k, c in statistics(F.col("text"), self.abuse).items()])
+        with_stats = docs.select("*", F.inline(F.array(stats)))
         out = with_stats.withColumns({n: F.when(real, F.round(e.column(), 6)) for n, e in (("low_quality", self.low), ("toxicity", self.toxic))})
         out = out.drop(*[c for c in out.columns if c.startswith(PREFIX)])
         return out.withColumn("keep", F.coalesce((F.col("low_quality") < threshold) & (F.col("toxicity") < threshold), F.lit(False)))
