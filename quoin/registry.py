@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import layout_queries
+
+QUERIES: dict = layout_queries.QUERIES
+ORACLES: dict = layout_queries.ORACLES
