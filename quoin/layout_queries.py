@@ -169,7 +169,8 @@ def found_furniture(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
 FU = FL + """,
 edge as (select * from (select *, row_number() over (partition by doc_id, page_no order by y desc) as a, row_number() over (partition by doc_id, page_no order by y) as b from fl) where (a <= 2 or b <= 2) and text <> ''),
 ex as (select doc_id, text, count(*) as n from edge group by all having count(*) >= 2),
-ma as (select doc_id, regexp_replace(text, '[0-9]+', '#', 'g') as text, count(*) as n from edge group by all having count(*) >= 3 and length(regexp_replace(regexp_replace(text, '[0-9]+', '#', 'g'), '[^\\p{L}]', '', 'g')) >= 4)"""
+ma0 as (select doc_id, regexp_replace(text, '[0-9]+', '#', 'g') as text from edge),
+ma as (select doc_id, text, count(*) as n from ma0 group by doc_id, text having count(*) >= 3 and length(regexp_replace(text, '[^\\p{L}]', '', 'g')) >= 4)"""
 
 
 @query(f"with {FU} select doc_id, text, n, 'exact' as kind from ex union all select doc_id, text, n, 'masked' from ma")

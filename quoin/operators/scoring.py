@@ -7,6 +7,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from ..functions.text import half_up, letters_only
 
@@ -45,7 +46,7 @@ def row_similarity(a: list[str], b: list[str]) -> float:
     return 2 * dp[-1][-1] / (len(a) + len(b))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def row_similarity_udf(a, b):
     import pandas as pd
 
