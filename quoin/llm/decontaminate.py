@@ -228,8 +228,8 @@ def _slice(clean: DataFrame, items: list, terms: dict[str, int], phrase: int, an
 
 def clean_documents(docs: DataFrame, bench: DataFrame, **params) -> DataFrame:
     """The documents without a match; those without an id stay."""
-    bad = matches(docs, bench, **params).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_bad"], "left_anti")
+    bad = matches(docs, bench, **params).select(F.col("doc_id").alias("_quoin_bad")).distinct()
+    return docs.join(bad, docs["doc_id"] == bad["_quoin_bad"], "left_anti")
 
 
 def op1_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -127,17 +127,17 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
     A document that had lines and keeps none that isn't blank is dropped.
     """
-    b = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("n_lines").alias("_n"), F.col("n_kept").alias("_kept"), F.col("keep").alias("_keep"))
+    b = bitmaps.select(F.col("doc_id").alias("_quoin_id"), F.col("text_key").alias("_quoin_key"), F.col("n_lines").alias("_quoin_n"), F.col("n_kept").alias("_quoin_kept"), F.col("keep").alias("_quoin_keep"))
     key = F.xxhash64(docs["text"], F.lit(1))
-    joined = docs.join(b, docs["doc_id"].eqNullSafe(b["_id"]) & (key == b["_key"]), "left")
+    joined = docs.join(b, docs["doc_id"].eqNullSafe(b["_quoin_id"]) & (key == b["_quoin_key"]), "left")
     lines = F.split("text", "\n")
-    flags = keep_flags(F.col("_keep"), F.col("_n"))
-    kept = F.array_join(F.filter(lines, lambda x, i: F.get(F.col("_flags"), i)), "\n")
+    flags = keep_flags(F.col("_quoin_keep"), F.col("_quoin_n"))
+    kept = F.array_join(F.filter(lines, lambda x, i: F.get(F.col("_quoin_flags"), i)), "\n")
     had = F.trim(F.regexp_replace("text", BLANK, " ")) != ""
-    text = F.when(F.col("_kept") == F.col("_n"), F.col("text")).otherwise(F.col("_new"))
+    text = F.when(F.col("_quoin_kept") == F.col("_quoin_n"), F.col("text")).otherwise(F.col("_quoin_new"))
     return (
-        joined.withColumn("_flags", F.when(F.col("_kept") < F.col("_n"), flags))
-        .withColumn("_new", kept)
+        joined.withColumn("_quoin_flags", F.when(F.col("_quoin_kept") < F.col("_quoin_n"), flags))
+        .withColumn("_quoin_new", kept)
         .filter(F.coalesce(~had | (F.trim(F.regexp_replace(text, BLANK, " ")) != ""), F.lit(True)))
         .select(*[text.alias("text") if c == "text" else (F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns])
     )

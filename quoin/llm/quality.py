@@ -266,14 +266,14 @@ class Classifier:
     low: Ensemble
     toxic: Ensemble
 
-    def scored(self, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-        """The input's columns and low_quality, toxicity, keep, whose names must be free there."""
+    def scored(self, docs: DataFrame, threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
+        """The input's columns and low_quality, toxicity, keep, whose names with the prefix must be free there."""
         real = F.trim(F.regexp_replace("text", r"\s+", " ")) != ""
         # statistics under names that no column of the input is likely to have
         with_stats = docs.withColumns({PREFIX + k: F.coalesce(c, F.lit(0.0)) for k, c in statistics(F.col("text"), self.abuse).items()})
-        out = with_stats.withColumns({n: F.when(real, F.round(e.column(), 6)) for n, e in (("low_quality", self.low), ("toxicity", self.toxic))})
-        out = out.drop(*[c for c in out.columns if c.startswith(PREFIX)])
-        return out.withColumn("keep", F.coalesce((F.col("low_quality") < threshold) & (F.col("toxicity") < threshold), F.lit(False)))
+        out = with_stats.withColumns({prefix + n: F.when(real, F.round(e.column(), 6)) for n, e in (("low_quality", self.low), ("toxicity", self.toxic))})
+        out = out.drop(*[c for c in out.columns if c.startswith(PREFIX) and c not in docs.columns])
+        return out.withColumn(prefix + "keep", F.coalesce((F.col(prefix + "low_quality") < threshold) & (F.col(prefix + "toxicity") < threshold), F.lit(False)))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample_rows: int) -> list:
@@ -287,7 +287,8 @@ def labelled(docs: DataFrame, labels: DataFrame, sample_rows: int) -> list:
         .withColumnRenamed("doc_id", "_id")
     )
     # at most sample_rows rows of three numbers: small enough to send to all executors
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).filter("text is not null")
+    texts = docs.select("doc_id", "text").filter("text is not null")
+    rows = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["_id"])
     return rows.select("doc_id", "text", "_q", "_t")
 
 
