@@ -13,7 +13,7 @@ def keep_good(spark, docs, sf_dir):
     """Documents that the quality classifier rejects go; so do null and blank texts."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     # a filter that isn't deterministic stays above the projection; pushed below, it would compute all statistics twice
-    return model.scored(docs).filter(F.col("keep") & (F.rand(0) >= 0)).select(*docs.columns)
+    return model.scored(docs, prefix="_quoin_").filter(F.col("_quoin_keep") & (F.rand(0) >= 0)).select(*docs.columns)
 
 
 def dedup_lines(spark, docs, sf_dir):
@@ -27,8 +27,8 @@ def dedup_near(spark, docs, sf_dir):
     Documents without an id or without tokens stay.
     """
     groups = jaccard_join.groups(jaccard_join.similar_pairs(docs))
-    gone = groups.filter("doc_id <> group").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*docs.columns)
+    gone = groups.filter("doc_id <> group").select(F.col("doc_id").alias("_quoin_gone"))
+    return docs.join(gone, docs["doc_id"] == gone["_quoin_gone"], "left_anti").select(*docs.columns)
 
 
 def decontaminated(spark, docs, sf_dir):
