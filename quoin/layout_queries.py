@@ -371,7 +371,7 @@ def bench_stats(spark, sf_dir):
 
 LB = RS + """,
 g as materialized (select converter, count(*) as docs, count(*) filter (not ok) as failures, avg(median_ms) filter (ok) as mean_ms, avg(pages_per_sec) filter (ok) as mean_pages_per_sec, max(p95_ms) filter (ok) as max_p95_ms,
-  avg(floor((0.35 * (doc % 11) + 0.25 * (doc % 7)) * 100 + 0.5) / 100) as quality from st group by converter),
+  round(avg(floor((0.35 * (doc % 11) + 0.25 * (doc % 7)) * 100 + 0.5) / 100), 6) as quality from st group by converter),
 lb as (select *, row_number() over (order by coalesce(round(quality, 6), -1) desc, mean_ms, converter) as rank from g)"""
 
 

@@ -107,7 +107,7 @@ def leaderboard(stats: DataFrame) -> DataFrame:
     ok = lambda c: F.when(F.col("ok"), F.col(c))
     g = stats.groupBy("converter").agg(
         F.count("*").alias("docs"), F.count_if(~F.col("ok")).alias("failures"), F.avg(ok("median_ms")).alias("mean_ms"),
-        F.avg(ok("pages_per_sec")).alias("mean_pages_per_sec"), F.max(ok("p95_ms")).alias("max_p95_ms"), F.avg("composite").alias("quality"),
+        F.avg(ok("pages_per_sec")).alias("mean_pages_per_sec"), F.max(ok("p95_ms")).alias("max_p95_ms"), F.round(F.avg("composite"), 6).alias("quality"),
     )
     # one row for each converter: few, whatever the number of documents
     w = Window.partitionBy(F.lit(0)).orderBy(F.coalesce("quality", F.lit(-1.0)).desc(), F.col("mean_ms").asc_nulls_last(), "converter")
