@@ -235,3 +235,36 @@ def test_jaccard_by_brute_force(spark):
     pairs = {(min(a, b), max(a, b)) for r in got for a in linked[r.doc_id] for b in linked[r.other_id] if a != b} | {(min(a, b), max(a, b)) for s in linked.values() for a in s for b in s if a < b}
     want = {(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
     assert pairs == want
+
+
+def filler(rng, n):
+    return [f"f{x}" for x in rng.integers(0, 10**9, n)]
+
+
+def test_passages_of_many_documents_give_all_their_pairs(spark):
+    rng = np.random.default_rng(7)
+    texts, want, at = [], set(), 0
+    for holders in (10, 40):  # the latter is more than passages.HOT
+        passage = filler(rng, 67)
+        ids = range(at, at + holders)
+        at += holders
+        texts += [(i, " ".join(filler(rng, 30 + i) + passage + filler(rng, 20))) for i in ids]
+        want |= {(b, a) for a, b in combinations(ids, 2)}
+    # fragments in the documents between and before hide the passage of C and D
+    passage = filler(rng, 67)
+    a, b, c, e, f, d = range(at, at + 6)
+    part = {a: passage[:45], b: passage[22:], c: passage, e: passage[:45], f: passage[22:], d: passage}
+    texts += [(i, " ".join(filler(rng, 25) + p + filler(rng, 25))) for i, p in part.items()]
+    want |= {(d, c)}
+    got = passages.repeated_passages(docs(spark, texts)).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == want
+    assert all(r.identity == 1 and r.matched >= 67 for r in got)
+
+
+def test_periodic_passages_keep_their_length(spark):
+    rng = np.random.default_rng(8)
+    for period in (1, 15):
+        word = filler(rng, period)
+        texts = [(i, " ".join(filler(rng, 30) + (word * 300)[:n] + filler(rng, 30))) for i, n in ((1, 120), (2, 250))]
+        row = max(passages.repeated_passages(docs(spark, texts)).collect(), key=lambda r: r.matched)
+        assert (row.doc_id, row.other_id) == (2, 1) and row.matched >= 120
