@@ -268,3 +268,28 @@ def test_periodic_passages_keep_their_length(spark):
         texts = [(i, " ".join(filler(rng, 30) + (word * 300)[:n] + filler(rng, 30))) for i, n in ((1, 120), (2, 250))]
         row = max(passages.repeated_passages(docs(spark, texts)).collect(), key=lambda r: r.matched)
         assert (row.doc_id, row.other_id) == (2, 1) and row.matched >= 120
+
+
+def test_recall_of_edited_passages(spark):
+    """Passages of 50 to 80 tokens with up to a quarter of the tokens replaced, the first and last kept: all meet the definition."""
+    rng = np.random.default_rng(11)
+    texts, kinds = [], {}
+    for size in (50, 60, 80):
+        for changed in (0.1, 0.15, 0.2, 0.24):
+            for _ in range(60):
+                passage = filler(rng, size)
+                other = list(passage)
+                for x in rng.choice(np.arange(1, size - 1), int(changed * size), False):
+                    other[x] = filler(rng, 1)[0]
+                k = len(texts)
+                kinds[k + 1, k] = size, changed
+                texts += [(k + n, " ".join(filler(rng, 40) + p + filler(rng, 40))) for n, p in enumerate((passage, other))]
+    # a change at every sixth token
+    passage = filler(rng, 60)
+    kinds[len(texts) + 1, len(texts)] = 60, "regular"
+    texts += [(len(texts) + n, " ".join(filler(rng, 40) + p + filler(rng, 40))) for n, p in enumerate((passage, [x if i % 6 != 5 else "changed" for i, x in enumerate(passage)]))]
+    got = {(r.doc_id, r.other_id) for r in passages.repeated_passages(docs(spark, texts)).collect()}
+    assert got <= set(kinds)
+    recall = {kind: np.mean([p in got for p, x in kinds.items() if x == kind]) for kind in set(kinds.values())}
+    print(recall)
+    assert min(recall.values()) >= 0.9, recall
