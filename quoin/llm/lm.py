@@ -1,6 +1,7 @@
 """Document likelihoods by a gated recurrent language model, trained here in numpy.
 
-The vocabulary is counted over all documents: the ``words`` most frequent tokens,
+The vocabulary is counted over all documents: the ``words`` most frequent tokens
+and all others that occur at least ``least`` times, so that it grows with the corpus,
 in classes of about equal total frequency; the output softmax factors into the
 class and the word within it. A hashed share of all documents (``share``, so that
 training grows with the corpus) is shuffled to shards of token streams. Each round
@@ -11,8 +12,11 @@ start. Scoring reads every document whole: documents of a batch advance together
 window by window, and each carries its state from its first token to its last.
 
 Semantics
-  * A token is a run of letters and digits, lower-cased; tokens out of the
-    vocabulary are one word, "unknown". log_likelihood is the sum of the natural
+  * A token is a run of letters and digits, lower-cased. Tokens out of the
+    vocabulary are one word, "unknown", for the network; their probability is that
+    of "unknown" times that of their spelling, by the pairs of characters (or start
+    and end) of all unknown tokens of the corpus, smoothed by single characters and
+    these by all code points. log_likelihood is the sum of the natural
     logs of the probabilities of all tokens of the document, each given all before
     it; per_token divides it by n_tokens.
   * One row per row of the input, repeated ones included (they score alike). A
@@ -23,6 +27,8 @@ Semantics
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +37,7 @@ from pyspark.sql import functions as F
 from . import tokens
 from .shared import written
 
+LEAST = 50
 WORDS, HIDDEN, SHARE, WINDOW, LANES, ROUNDS = 4000, 16, 16, 20, 64, 3
 #: Tokens of a training shard, about; shards grow in number.
 SHARD_TOKENS = 400_000
@@ -48,6 +55,40 @@ def counter():
     return run
 
 
+def spelling_counter(shared):
+    """Words and their counts to the pairs of characters of the unknown ones; -1 is the start or the end of a word."""
+
+    def run(batches):
+        for batch in batches:
+            pairs: dict[tuple[int, int], int] = {}
+            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
+                if word not in shared.value:
+                    at = [-1, *map(ord, word), -1]
+                    for x in zip(at, at[1:]):
+                        pairs[x] = pairs.get(x, 0) + n
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in pairs], pa.int32()), "b": pa.array([b for _, b in pairs], pa.int32()), "n": pa.array(list(pairs.values()), pa.int64())})
+
+    return run
+
+
+class Spelling:
+    """Probabilities of words by their pairs of characters."""
+
+    def __init__(self, pairs: dict[tuple[int, int], int]):
+        self.pairs, self.before, self.after = pairs, {}, {}
+        for (a, b), n in pairs.items():
+            self.before[a] = self.before.get(a, 0) + n
+            self.after[b] = self.after.get(b, 0) + n
+        self.total = sum(pairs.values())
+
+    def log(self, word: str) -> float:
+        at, out = [-1, *map(ord, word), -1], 0.0
+        for a, b in zip(at, at[1:]):
+            single = (self.after.get(b, 0) + 1 / 0x110001) / (self.total + 1)
+            out += math.log((self.pairs.get((a, b), 0) + single) / (self.before.get(a, 0) + 1))
+        return out
+
+
 def classes_of(counts: np.ndarray) -> np.ndarray:
     """First word of each class, and the end: words are in order of frequency, classes of equal mass."""
     k = max(1, round(len(counts) ** 0.5))
@@ -211,7 +252,7 @@ def streamer(shared):
         known = dict(shared.value["known"])
         for batch in batches:
             ids, offsets = numbered(known, batch.column("text"))
-            short = ids.astype(np.uint16)
+            short = ids.astype(np.int32)
             yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "ids": pa.array([short[a:b].tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary())})
 
     return run
@@ -223,7 +264,7 @@ def trainer(shared):
     def run(table: pa.Table) -> pa.Table:
         model = shared.value
         rows = sorted(zip(table.column("key").to_pylist(), table.column("ids").to_pylist()))
-        parts = [np.frombuffer(b, np.uint16).astype(np.int64) for _, b in rows if b]
+        parts = [np.frombuffer(b, np.int32).astype(np.int64) for _, b in rows if b]
         if not parts:
             return pa.table({"name": pa.array([], pa.string()), "weight": pa.array([], pa.int64()), "w": pa.array([], pa.binary())})
         stream = np.concatenate(parts)
@@ -242,17 +283,19 @@ def average(table: pa.Table) -> pa.Table:
     return pa.table({"name": [table.column("name")[0].as_py()], "weight": pa.array([int(weight.sum())], pa.int64()), "w": [(total / weight.sum()).astype(np.float32).tobytes()]})
 
 
-def fit(docs: DataFrame, words: int = WORDS, hidden: int = HIDDEN, share: int = SHARE, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS) -> dict:
-    """The model: vocabulary, classes and weights; its size doesn't depend on the corpus."""
+def fit(docs: DataFrame, words: int = WORDS, hidden: int = HIDDEN, share: int = SHARE, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS, least: int = LEAST) -> dict:
+    """The model: vocabulary, classes, weights and spelling; it grows with the words that occur ``least`` times."""
     spark = docs.sparkSession
     counts = written(docs.select("text").mapInArrow(counter(), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     all_tokens = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.orderBy(F.desc("n"), "word").limit(words).collect()
+    top = counts.orderBy(F.desc("n"), "word").limit(max(words, counts.filter(F.col("n") >= least).count())).collect()
     known = {r.word: i for i, r in enumerate(top)}
+    pairs = counts.mapInArrow(spelling_counter(spark.sparkContext.broadcast(known)), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    spelling = Spelling({(r.a, r.b): r.n for r in pairs.collect()})
     n = np.array([*(r.n for r in top), max(1, all_tokens - sum(r.n for r in top))], np.float64)
     cuts = classes_of(n)
     of = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-    model = {"known": known, "cuts": cuts, "of": of, "p": start(len(n), len(cuts) - 1, hidden)}
+    model = {"known": known, "cuts": cuts, "of": of, "spelling": spelling, "p": start(len(n), len(cuts) - 1, hidden)}
     if not all_tokens:
         return model
     # words start at their frequencies
@@ -281,8 +324,11 @@ def scorer(shared):
         known = dict(model["known"])
         for batch in batches:
             column = batch.column("text")
-            ids, offsets = numbered(known, column)
+            raw, offsets, words = tokens.encode(column)
+            ids = np.array([known.get(w, len(known)) for w in words], np.int64)[raw]
+            spelt = np.array([0.0 if w in known else model["spelling"].log(w) for w in words])[raw]
             total = score(model["p"], model["cuts"], model["of"], ids, offsets)
+            total += np.bincount(np.repeat(np.arange(len(total)), np.diff(offsets)), spelt, len(total))
             size, null = np.diff(offsets), np.asarray(column.is_null())
             yield pa.RecordBatch.from_pydict(
                 {

@@ -293,3 +293,20 @@ def test_recall_of_edited_passages(spark):
     recall = {kind: np.mean([p in got for p, x in kinds.items() if x == kind]) for kind in set(kinds.values())}
     print(recall)
     assert min(recall.values()) >= 0.9, recall
+
+
+def test_vocabulary_grows_and_unknown_words_are_spelt(spark):
+    texts = [(k, " ".join(["alpha", "beta", "gamma", "delta"] * 5 + [f"ra{'re' * (k % 7)}th{'an' * (k % 5)}"])) for k in range(20)]
+    d = docs(spark, texts)
+    model = lm.fit(d, words=2, hidden=4, rounds=1)
+    assert set(model["known"]) == {"alpha", "beta", "gamma", "delta"}  # 100 times each
+    new = docs(spark, [(1, "alpha rarethan"), (2, "alpha qzxjkvwp"), (3, "alpha")])
+    got = {r.doc_id: r.log_likelihood for r in lm.scored(new, model).collect()}
+    log = model["spelling"].log
+    assert got[1] > got[2] + 5 and abs(got[1] - got[2] - log("rarethan") + log("qzxjkvwp")) < 0.01
+    # after a letter, the probabilities of all that may follow are 1
+    follow = lm.Spelling({(-1, 97): 3, (97, 98): 2, (98, -1): 2, (97, -1): 1})
+    seen = [(follow.pairs.get((97, b), 0) + (follow.after.get(b, 0) + 1 / 0x110001) / (follow.total + 1)) / (follow.before[97] + 1) for b in (97, 98, -1)]
+    rest = (0x110001 - 3) * (1 / 0x110001) / (follow.total + 1) / (follow.before[97] + 1)
+    assert abs(sum(seen) + rest - 1) < 1e-9
+    assert abs(follow.log("a") - np.log((3 + (3 + 1 / 0x110001) / 9) / 4) - np.log(seen[2])) < 1e-9
