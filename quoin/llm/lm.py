@@ -3,8 +3,8 @@
 The vocabulary is counted over all documents: the ``words`` most frequent tokens
 and all others that occur at least ``least`` times, so that it grows with the corpus,
 in classes of about equal total frequency; the output softmax factors into the
-class and the word within it. A hashed share of all documents (``share``, so that
-training grows with the corpus) is shuffled to shards of token streams. Each round
+class and the word within it. All documents (a hashed share of them if ``share`` is above
+1) are shuffled to shards of token streams. Each round
 every shard trains from the common weights by truncated backpropagation over
 windows of ``window`` steps, the state carried from window to window, and the
 shards' weights are averaged by key in Spark; a window's gradient stops at its
@@ -38,7 +38,7 @@ from . import tokens
 from .shared import written
 
 LEAST = 50
-WORDS, HIDDEN, SHARE, WINDOW, LANES, ROUNDS = 4000, 16, 16, 20, 64, 3
+WORDS, HIDDEN, SHARE, WINDOW, LANES, ROUNDS = 4000, 16, 1, 20, 64, 3
 #: Tokens of a training shard, about; shards grow in number.
 SHARD_TOKENS = 400_000
 NAMES = ("emb", "wx", "wh", "b", "wc", "bc", "ww", "bw")
@@ -142,27 +142,31 @@ def backward(p, cuts, of, steps, g):
     """Adds the gradients of a window; ``steps`` has (cell's memory, new state, target, previous word, live) of each step."""
     dh = np.zeros_like(steps[0][1])
     d = dh.shape[1]
-    for (x, h0, z, r, rh, c), h, word, prev, live in reversed(steps):
-        dout = np.zeros_like(h)
-        rows_all = np.flatnonzero(live)
-        if len(rows_all):
-            hw, w = h[rows_all], word[rows_all]
-            k = of[w]
-            e = np.exp(softmax_log(hw @ p["wc"] + p["bc"]))
-            e[np.arange(len(w)), k] -= 1
-            g["wc"] += hw.T @ e
-            g["bc"] += e.sum(0)
-            do = e @ p["wc"].T
-            for q in np.unique(k):
-                rows = np.flatnonzero(k == q)
-                s, t = cuts[q], cuts[q + 1]
-                if t - s > 1:
-                    y = np.exp(softmax_log(hw[rows] @ p["ww"][s:t].T + p["bw"][s:t]))
-                    y[np.arange(len(rows)), w[rows] - s] -= 1
-                    g["ww"][s:t] += y.T @ hw[rows]
-                    g["bw"][s:t] += y.sum(0)
-                    do[rows] += y @ p["ww"][s:t]
-            dout[rows_all] = do
+    # the outputs of all steps at once, class by class
+    states = np.concatenate([h for _, h, _, _, _ in steps])
+    douts = np.zeros_like(states)
+    rows_all = np.flatnonzero(np.concatenate([live for _, _, _, _, live in steps]))
+    if len(rows_all):
+        hw, w = states[rows_all], np.concatenate([word for _, _, word, _, _ in steps])[rows_all]
+        k = of[w]
+        e = np.exp(softmax_log(hw @ p["wc"] + p["bc"]))
+        e[np.arange(len(w)), k] -= 1
+        g["wc"] += hw.T @ e
+        g["bc"] += e.sum(0)
+        do = e @ p["wc"].T
+        order = np.argsort(k, kind="stable")
+        ends = np.append(np.flatnonzero(np.diff(k[order], prepend=-1)), len(k))
+        for i, j in zip(ends[:-1], ends[1:]):
+            rows = order[i:j]
+            s, t = cuts[k[rows[0]]], cuts[k[rows[0]] + 1]
+            if t - s > 1:
+                y = np.exp(softmax_log(hw[rows] @ p["ww"][s:t].T + p["bw"][s:t]))
+                y[np.arange(len(rows)), w[rows] - s] -= 1
+                g["ww"][s:t] += y.T @ hw[rows]
+                g["bw"][s:t] += y.sum(0)
+                do[rows] += y @ p["ww"][s:t]
+        douts[rows_all] = do
+    for ((x, h0, z, r, rh, c), _, _, prev, _), dout in zip(reversed(steps), reversed(np.split(douts, len(steps)))):
         dh = dh + dout
         dc = dh * z * (1 - c * c)
         dz = dh * (c - h0) * z * (1 - z)
@@ -188,8 +192,9 @@ def fit_stream(p, cuts, of, stream, fresh, window=WINDOW, lanes=LANES, rate=0.2)
     h = np.zeros((lanes, p["wh"].shape[0]), np.float32)
     seen = {k: np.full_like(v, 1e-3) for k, v in p.items()}
     before = np.full(lanes, words)
+    g = {k: np.zeros_like(v) for k, v in p.items()}
     for a in range(0, n, window):
-        steps, g = [], {k: np.zeros_like(v) for k, v in p.items()}
+        steps = []
         for t in range(a, min(a + window, n)):
             h = np.where(f[:, t, None], 0, h).astype(np.float32)
             prev = np.where(f[:, t], words, before)
@@ -197,10 +202,16 @@ def fit_stream(p, cuts, of, stream, fresh, window=WINDOW, lanes=LANES, rate=0.2)
             steps.append((memory, new, x[:, t], prev, np.ones(lanes, bool)))
             h, before = new, x[:, t]
         backward(p, cuts, of, steps, g)
+        # rows of words that the window doesn't touch have no gradient
+        targets = np.unique(of[np.concatenate([w for _, _, w, _, _ in steps])])
+        inside = np.concatenate([np.arange(cuts[c], cuts[c + 1]) for c in targets])
+        touched = {"emb": np.unique(np.concatenate([x for _, _, _, x, _ in steps])), "ww": inside, "bw": inside}
         for k in p:
-            d = np.clip(g[k] / lanes, -1, 1)
-            seen[k] += d * d
-            p[k] -= (rate * d / np.sqrt(seen[k])).astype(np.float32)
+            at = touched.get(k, slice(None))
+            d = np.clip(g[k][at] / lanes, -1, 1)
+            seen[k][at] += d * d
+            p[k][at] -= (rate * d / np.sqrt(seen[k][at])).astype(np.float32)
+            g[k][at] = 0
     return p
 
 
@@ -303,7 +314,9 @@ def fit(docs: DataFrame, words: int = WORDS, hidden: int = HIDDEN, share: int =
     model["p"]["bc"] = np.log(np.add.reduceat(n, cuts[:-1]) + 1).astype(np.float32)
     shared = spark.sparkContext.broadcast(model)
     key = F.xxhash64("text")
-    chosen = docs.filter("text is not null").select(key.alias("key"), "text").filter(F.pmod("key", F.lit(share)) == 0)
+    chosen = docs.filter("text is not null").select(key.alias("key"), "text")
+    if share > 1:
+        chosen = chosen.filter(F.pmod("key", F.lit(share)) == 0)
     shards = max(1, int(all_tokens / share / shard_tokens))
     streams = written(chosen.mapInArrow(streamer(shared), "key long, ids binary").repartition(shards, "key"), "streams")
     shard = F.pmod(F.hash("key"), F.lit(shards))

@@ -310,3 +310,15 @@ def test_vocabulary_grows_and_unknown_words_are_spelt(spark):
     rest = (0x110001 - 3) * (1 / 0x110001) / (follow.total + 1) / (follow.before[97] + 1)
     assert abs(sum(seen) + rest - 1) < 1e-9
     assert abs(follow.log("a") - np.log((3 + (3 + 1 / 0x110001) / 9) / 4) - np.log(seen[2])) < 1e-9
+
+
+def test_language_model_learns_from_every_document(spark):
+    from pyspark.sql import functions as F
+
+    d = docs(spark, [(k, " ".join("abcdefgh"[(k + j) % 8] for j in range(200 + k))) for k in range(40)])
+    d = d.filter(F.pmod(F.xxhash64("text"), F.lit(16)) != 0)  # none of them is in a sixteenth by the hash
+    model = lm.fit(d, rounds=1)
+    begun = lm.start(len(model["of"]), len(model["cuts"]) - 1, lm.HIDDEN)
+    assert np.abs(model["p"]["wx"] - begun["wx"]).max() > 0.01
+    per = [r.per_token for r in lm.scored(d, model).collect()]
+    assert np.mean(per) > -1.5  # ln(1/8) = -2.08 by frequencies alone
