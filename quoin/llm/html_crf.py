@@ -109,7 +109,7 @@ def features(blocks: list, bits: int = HASH_BITS) -> list[np.ndarray]:
     for k, (text, path, link, _) in enumerate(blocks):
         words = text.count(" ") + 1
         size = len(text)
-        names = {"bias", f"words{words.bit_length()}", f"link{int(link * 4)}", f"end{text[-1] in '.!?'}", f"digits{int(10 * sum(c.isdigit() for c in text[:2000]) / min(size, 2000))}", f"upper{text[:1].isupper()}", f"mean{min(12, size // words)}", f"first{k < 3}", f"last{n - k}" if n - k < 3 else "inner", f"copy{'©' in text}"}
+        names = {"bias", f"words{words.bit_length()}", f"link{int(link * 4)}", f"end{text[-1] in '.!?'}", f"digits{int(10 * sum(c.isdigit() for c in text) / size)}", f"upper{text[:1].isupper()}", f"mean{min(12, size // words)}", f"first{k < 3}", f"last{n - k}" if n - k < 3 else "inner", f"copy{'©' in text}"}
         names.update("in:" + t for t in path)
         names.update(f"near:{'>'.join(path[-j:])}" for j in (1, 2))
         names.add(f"leaf:{path[-1] if path else ''}|{min(6, words.bit_length())}")

@@ -322,3 +322,11 @@ def test_language_model_learns_from_every_document(spark):
     assert np.abs(model["p"]["wx"] - begun["wx"]).max() > 0.01
     per = [r.per_token for r in lm.scored(d, model).collect()]
     assert np.mean(per) > -1.5  # ln(1/8) = -2.08 by frequencies alone
+
+
+def test_html_digits_of_the_whole_block():
+    lead = "word " * 500
+    plain, log = (html_crf.features([(x, ("div",), 0.0, False)]) for x in (lead + "word " * 2000, lead + "12345 " * 2000))
+    digits = {html_crf.zlib.crc32(f"digits{k}".encode()) & ((1 << html_crf.HASH_BITS) - 1): k for k in range(11)}
+    assert [digits[x] for x in plain[0].tolist() if x in digits] == [0]
+    assert [digits[x] for x in log[0].tolist() if x in digits] == [6]
