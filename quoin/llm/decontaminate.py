@@ -17,7 +17,9 @@ Semantics
     document, each at most ``slack`` tokens from the place that the item's
     layout gives it relative to the rarest. ``proximity_hits`` counts the
     positions of the rarest for which that holds. Items of fewer distinct terms
-    than ``anchors`` have no proximity match.
+    than ``anchors`` have no proximity match. Terms that no document has come first
+    in that order, and with one of them an item can't have a proximity match; with
+    ``present`` (as in ``clean_documents``) only terms that occur are anchors.
   * One row per (doc_id, item_id) with a match of either kind; of several rows of
     a document the largest figures count. Documents and items without an id,
     text or tokens have no rows; extra columns aren't looked at; repeated items
@@ -133,11 +135,12 @@ def phrase_runs(item: np.ndarray, rank: np.ndarray, lists: dict[int, np.ndarray]
     return (d[cut] + w[cut]).astype(np.int64), length
 
 
-def proximity(item: np.ndarray, rank: np.ndarray, lists: dict[int, np.ndarray], anchors: int, slack: int):
+def proximity(item: np.ndarray, rank: np.ndarray, lists: dict[int, np.ndarray], anchors: int, slack: int, usable: np.ndarray):
     """Positions of the item's rarest term with all other anchors near their places."""
     first: dict[int, int] = {}
     for o, t in enumerate(item.tolist()):
-        first.setdefault(t, o)
+        if usable[t]:
+            first.setdefault(t, o)
     if len(first) < anchors:
         return np.zeros(0, np.int64)
     lead, *rest = sorted(first, key=lambda t: rank[t])[:anchors]
@@ -153,7 +156,7 @@ def proximity(item: np.ndarray, rank: np.ndarray, lists: dict[int, np.ndarray],
     return left + first[lead]
 
 
-def answerer(items: list[tuple[int, np.ndarray]], rank: np.ndarray, phrase: int, anchors: int, slack: int):
+def answerer(items: list[tuple[int, np.ndarray]], rank: np.ndarray, phrase: int, anchors: int, slack: int, usable: np.ndarray):
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
@@ -167,7 +170,7 @@ def answerer(items: list[tuple[int, np.ndarray]], rank: np.ndarray, phrase: int,
                         x = best.setdefault((int(d), item_id), [0, 0])
                         x[0] = max(x[0], int(n))
                     hits: dict[int, int] = {}
-                    for d in np.searchsorted(starts, proximity(item, rank, lists, anchors, slack), "right") - 1:
+                    for d in np.searchsorted(starts, proximity(item, rank, lists, anchors, slack, usable), "right") - 1:
                         hits[int(d)] = hits.get(int(d), 0) + 1
                     for d, n in hits.items():
                         x = best.setdefault((d, item_id), [0, 0])
@@ -186,7 +189,7 @@ def answerer(items: list[tuple[int, np.ndarray]], rank: np.ndarray, phrase: int,
     return run
 
 
-def matches(docs: DataFrame, bench: DataFrame, phrase: int = PHRASE, anchors: int = ANCHORS, slack: int = SLACK, block_tokens: int = BLOCK_TOKENS, term_limit: int = TERM_LIMIT) -> DataFrame:
+def matches(docs: DataFrame, bench: DataFrame, phrase: int = PHRASE, anchors: int = ANCHORS, slack: int = SLACK, block_tokens: int = BLOCK_TOKENS, term_limit: int = TERM_LIMIT, present: bool = False) -> DataFrame:
     """doc_id, item_id, phrase_tokens, proximity_hits: see the module's docstring."""
     spark = docs.sparkSession
     clean = docs.select(F.col("doc_id").cast("long"), F.col("text")).filter("doc_id is not null and text is not null")
@@ -197,12 +200,12 @@ def matches(docs: DataFrame, bench: DataFrame, phrase: int = PHRASE, anchors: in
         ids, _, words = tokens.encode(pa.array([row.text]))
         if len(ids):
             if terms and len(terms) + len(words) > term_limit:
-                result = _joined(result, _slice(clean, part, terms, phrase, anchors, slack, block_tokens))
+                result = _joined(result, _slice(clean, part, terms, phrase, anchors, slack, block_tokens, present))
                 part, terms = [], {}
             local = np.array([terms.setdefault(w, len(terms)) for w in words], np.int32)
             part.append((row.item_id, local[ids]))
     if part or result is None:
-        result = _joined(result, _slice(clean, part, terms, phrase, anchors, slack, block_tokens))
+        result = _joined(result, _slice(clean, part, terms, phrase, anchors, slack, block_tokens, present))
     return result.groupBy("doc_id", "item_id").agg(F.max("phrase_tokens").alias("phrase_tokens"), F.max("proximity_hits").alias("proximity_hits"))
 
 
@@ -210,7 +213,7 @@ def _joined(a, b):
     return b if a is None else a.unionByName(b)
 
 
-def _slice(clean: DataFrame, items: list, terms: dict[str, int], phrase: int, anchors: int, slack: int, block_tokens: int) -> DataFrame:
+def _slice(clean: DataFrame, items: list, terms: dict[str, int], phrase: int, anchors: int, slack: int, block_tokens: int, present: bool) -> DataFrame:
     spark = clean.sparkSession
     if not items:
         return spark.createDataFrame([], FOUND)
@@ -223,12 +226,12 @@ def _slice(clean: DataFrame, items: list, terms: dict[str, int], phrase: int, an
     words = np.array(list(terms))
     rank = np.empty(len(terms), np.int64)
     rank[np.lexsort((words, freq))] = np.arange(len(terms))
-    return index.mapInArrow(answerer(items, rank, phrase, anchors, slack), FOUND)
+    return index.mapInArrow(answerer(items, rank, phrase, anchors, slack, freq > 0 if present else np.ones(len(freq), bool)), FOUND)
 
 
 def clean_documents(docs: DataFrame, bench: DataFrame, **params) -> DataFrame:
     """The documents without a match; those without an id stay."""
-    bad = matches(docs, bench, **params).select(F.col("doc_id").alias("_quoin_bad")).distinct()
+    bad = matches(docs, bench, **{"present": True} | params).select(F.col("doc_id").alias("_quoin_bad")).distinct()
     return docs.join(bad, docs["doc_id"] == bad["_quoin_bad"], "left_anti")
 
 

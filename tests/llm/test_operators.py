@@ -330,3 +330,11 @@ def test_html_digits_of_the_whole_block():
     digits = {html_crf.zlib.crc32(f"digits{k}".encode()) & ((1 << html_crf.HASH_BITS) - 1): k for k in range(11)}
     assert [digits[x] for x in plain[0].tolist() if x in digits] == [0]
     assert [digits[x] for x in log[0].tolist() if x in digits] == [6]
+
+
+def test_edited_copies_of_items_with_absent_words_go(spark):
+    words = [f"w{k}" for k in range(24)]
+    edited = [w if k % 6 != 5 else "changed" for k, w in enumerate(words)]
+    d = docs(spark, [(1, " ".join(["lead"] * 9 + edited)), (2, "another text"), (3, "w0 w1 w2")])
+    bench = spark.createDataFrame([(1, " ".join(words[:23] + ["nowhere"]))], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.clean_documents(d, bench).collect()} == {2, 3}
