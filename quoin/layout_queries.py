@@ -40,9 +40,15 @@ def marked_lines(spark, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "line_no", s.alias("s"))
 
 
+def whole_lines(spark, sf_dir: str) -> DataFrame:
+    """The lines of all documents as they are."""
+    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "s"))
+
+
 L = """l0 as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents),
 l as (select doc_id, cast(line_no as int) as line_no, case line_no % 7 when 1 then '• ' || line when 2 then (line_no + 10) || '. ' || line when 3 then 'Page ' || line_no
   when 4 then 'F o r m ' || line || ' ..... 3' when 5 then line || '  3 . 14. 15' when 6 then substr(line, 1, 40) else line end as s from l0)"""
+WHOLE = """l as (select doc_id, cast(generate_subscripts(string_split(text, chr(10)), 1) - 1 as int) as line_no, unnest(string_split(text, chr(10))) as s from documents)"""
 W = """w0 as (select doc_id, any_value(source) as source, unnest(list_filter(regexp_split_to_array(any_value(text), '[ \\n]+'), lambda x: x <> '')) as s,
     generate_subscripts(list_filter(regexp_split_to_array(any_value(text), '[ \\n]+'), lambda x: x <> ''), 1) - 1 as tok_no from documents where doc_id is not null and text is not null group by doc_id),
 w1 as (select *, coalesce(sum(length(s) + 1) over (partition by doc_id order by tok_no rows between unbounded preceding and 1 preceding), 0) as cum from w0),
@@ -59,10 +65,10 @@ fl as (select doc_id, page_no, line, y, size, text from own
 @query(f"""with {L} select doc_id, line_no, regexp_matches(s, '^[•·▪◦‣–-]\\s') as bullet, regexp_replace(s, '^[•·▪◦‣–-]*\\s*', '') as stripped,
   nullif(regexp_extract(s, '^([0-9]+)[.)][ \\t\\n\\f\\r]+', 1), '') as number, regexp_matches(s, '^\\s*(?:[Pp]age )?\\s*[0-9]+\\s*$') as page_number,
   regexp_replace(s, '[0-9]+', '#', 'g') as masked, cast(len(list_filter(regexp_split_to_array(s, '\\s+'), lambda x: x <> '')) as int) as words from l""")
-def line_marks(spark, sf_dir):
+def line_marks(spark, sf_dir, lines=marked_lines):
     """Bullets, list numbers, page numbers, masked digits and words of every line."""
     s = F.col("s")
-    return marked_lines(spark, sf_dir).select("doc_id", "line_no", T.is_bullet(s).alias("bullet"), T.strip_bullet(s).alias("stripped"), T.ordered_number(s).alias("number"), T.is_page_number(s).alias("page_number"), T.digits_masked(s).alias("masked"), T.word_count(s).alias("words"))
+    return lines(spark, sf_dir).select("doc_id", "line_no", T.is_bullet(s).alias("bullet"), T.strip_bullet(s).alias("stripped"), T.ordered_number(s).alias("number"), T.is_page_number(s).alias("page_number"), T.digits_masked(s).alias("masked"), T.word_count(s).alias("words"))
 
 
 @query(f"""with {L}, p as (select doc_id, line_no, unnest(string_split(replace(s, chr(9), ' '), ' ')) as part, generate_subscripts(string_split(replace(s, chr(9), ' '), ' '), 1) as k from l),
@@ -73,27 +79,51 @@ j as (select doc_id, line_no, string_agg(run, ' ' order by k) as s from r group
 d as (select doc_id, line_no, regexp_replace(s, ' ?(?:\\. *){{4,}}', ' ', 'g') as s from j),
 e as (select doc_id, line_no, regexp_replace(regexp_replace(s, '([0-9]) ?\\. ([0-9])', '\\1.\\2', 'g'), '([0-9]) ?\\. ([0-9])', '\\1.\\2', 'g') as s from d)
 select doc_id, line_no, trim(regexp_replace(s, '\\s+', ' ', 'g')) as cleaned from e""")
-def clean_text(spark, sf_dir):
+def clean_text(spark, sf_dir, lines=marked_lines):
     """Letter spacing, dot leaders and split decimals mended, blanks collapsed."""
-    return marked_lines(spark, sf_dir).select("doc_id", "line_no", T.clean(F.col("s")).alias("cleaned"))
+    return lines(spark, sf_dir).select("doc_id", "line_no", T.clean(F.col("s")).alias("cleaned"))
 
 
 @query(f"""with {L} select doc_id, line_no, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(s), '[’‘]', '''', 'g'), '\\.{{2,}}|(?:\\. ){{2,}}', ' ', 'g'), '[^a-z0-9.()%†+-]+', ' ', 'g'), ' +', ' ', 'g')) as table_norm,
   trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) as cell_norm, regexp_replace(lower(s), '[^a-z0-9]+', '', 'g') as letters,
   cast((length(s) - length(replace(s, 'en', ''))) // 2 as bigint) as occurrences, substr(sha256(s), 1, 24) as short_key,
   case when length(s) > 200 then substr(s, 1, 200) || chr(10) || '[clipped]' else s end as clipped from l""")
-def text_norms(spark, sf_dir):
+def text_norms(spark, sf_dir, lines=marked_lines, most=200):
     """The normal forms that tables, cells and passages are compared by."""
     s = F.col("s")
-    return marked_lines(spark, sf_dir).select("doc_id", "line_no", T.table_norm(s).alias("table_norm"), T.cell_norm(s).alias("cell_norm"), T.letters_only(s).alias("letters"), T.occurrences(s, F.lit("en")).alias("occurrences"), T.short_key(s).alias("short_key"), T.clip(s, 200).alias("clipped"))
+    return lines(spark, sf_dir).select("doc_id", "line_no", T.table_norm(s).alias("table_norm"), T.cell_norm(s).alias("cell_norm"), T.letters_only(s).alias("letters"), T.occurrences(s, F.lit("en")).alias("occurrences"), T.short_key(s).alias("short_key"), T.clip(s, most).alias("clipped"))
 
 
 @query(f"""with {L}, t as (select *, regexp_extract(s, '([0-9 -]*)$', 1) as tail from l)
 select doc_id, line_no, not regexp_matches(s, '[∑∫≤≥≈∞±×÷√{{}}^_$]|www\\.|\\.com') and length(regexp_replace(tail, '[^0-9]', '', 'g')) < 6 and regexp_matches(s, '\\S')
   and length(regexp_replace(s, '[^\\p{{L}}\\p{{N}}.,:;()''&\\s-]', '', 'g')) >= length(s) * 0.85::double as heading from t""")
-def heading_text(spark, sf_dir):
+def heading_text(spark, sf_dir, lines=marked_lines):
     """Whether a line could be a heading by its characters."""
-    return marked_lines(spark, sf_dir).select("doc_id", "line_no", T.heading_like(F.col("s")).alias("heading"))
+    return lines(spark, sf_dir).select("doc_id", "line_no", T.heading_like(F.col("s")).alias("heading"))
+
+
+@query(ORACLES["line_marks"].replace(L, WHOLE))
+def whole_line_marks(spark, sf_dir):
+    """``line_marks`` of every line as it is."""
+    return line_marks(spark, sf_dir, whole_lines)
+
+
+@query(ORACLES["clean_text"].replace(L, WHOLE))
+def whole_clean_text(spark, sf_dir):
+    """``clean_text`` of every line as it is."""
+    return clean_text(spark, sf_dir, whole_lines)
+
+
+@query(ORACLES["text_norms"].replace(L, WHOLE).replace("> 200 ", "> 14000 ").replace("1, 200)", "1, 14000)"))
+def whole_text_norms(spark, sf_dir):
+    """``text_norms`` of every line as it is, clipped as by default."""
+    return text_norms(spark, sf_dir, whole_lines, 14_000)
+
+
+@query(ORACLES["heading_text"].replace(L, WHOLE))
+def whole_heading_text(spark, sf_dir):
+    """``heading_text`` of every line as it is."""
+    return heading_text(spark, sf_dir, whole_lines)
 
 
 @query(f"with {W} select doc_id, page_no, cast(tok_no as int) as tok_no, s, x, y, w, size from w")
