@@ -16,17 +16,19 @@ Semantics
     document frequency, then the term; each at its first offset) all lie in one
     document, each at most ``slack`` tokens from the place that the item's
     layout gives it relative to the rarest. ``proximity_hits`` counts the
-    positions of the rarest for which that holds. Items of fewer distinct terms
-    than ``anchors`` have no proximity match. Terms that no document has come first
-    in that order, and with one of them an item can't have a proximity match; with
-    ``present`` (as in ``clean_documents``) only terms that occur are anchors.
+    positions of the rarest for which that holds. Only terms that some document
+    has can be anchors; items of fewer such terms than ``anchors`` have no
+    proximity match.
   * One row per (doc_id, item_id) with a match of either kind; of several rows of
     a document the largest figures count. Documents and items without an id,
     text or tokens have no rows; extra columns aren't looked at; repeated items
     of an id count as one if they are equal, else as several items.
 
-The terms of the test set are broadcast. ``term_limit`` bounds that: a larger
-test set is answered in slices of that many terms, each over all documents.
+The terms and items of the test set are broadcast. ``term_limit`` bounds that: a
+larger test set is answered in slices of that many terms and ``ITEM_TOKENS`` times
+as many tokens (or of one longer item), each over all documents. A block tries
+only the items of which it has all terms of a window or all anchors. Positions
+have 64 bits, so that items and blocks may be of any length.
 """
 
 from __future__ import annotations
@@ -41,27 +43,43 @@ from . import tokens
 from .shared import written
 
 PHRASE, ANCHORS, SLACK = 8, 4, 16
-BLOCK_TOKENS, TERM_LIMIT = 1_000_000, 500_000
-INDEX = "gap int, block_docs binary, starts binary, terms array<int>, doc_freq array<int>, postings array<binary>"
+BLOCK_TOKENS, TERM_LIMIT, ITEM_TOKENS = 1_000_000, 500_000, 4
+INDEX = "gap long, block_docs binary, starts binary, terms array<int>, doc_freq array<int>, postings array<binary>"
 FOUND = "doc_id long, item_id long, phrase_tokens int, proximity_hits int"
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Ascending int32 as deltas, their bytes transposed, compressed."""
-    delta = np.diff(x, prepend=np.int32(0)).astype("<i4")
-    return zstandard.ZstdCompressor(level=1).compress(delta.view(np.uint8).reshape(-1, 4).T.tobytes())
+    """Ascending int64 as deltas, their bytes transposed, compressed."""
+    delta = np.diff(x, prepend=np.int64(0)).astype("<i8")
+    return zstandard.ZstdCompressor(level=1).compress(delta.view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def unpack(b: bytes) -> np.ndarray:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8)
-    return np.cumsum(np.ascontiguousarray(planes.reshape(4, -1).T).view("<i4").ravel(), dtype=np.int32)
+    return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view("<i8").ravel(), dtype=np.int64)
 
 
-def indexer(known: dict[str, int], gap: int, block_tokens: int):
+class Postings(dict):
+    """The position lists of a block, unpacked when asked for."""
+
+    def __init__(self, terms: list[int], packed: list[bytes]):
+        super().__init__()
+        self.packed = dict(zip(terms, packed))
+
+    def get(self, term: int, default=None):
+        if term not in self:
+            if term not in self.packed:
+                return default
+            self[term] = unpack(self.packed[term])
+        return self[term]
+
+
+def indexer(shared, gap: int, block_tokens: int):
     """Documents to index rows. Positions are those in a block, whose documents lie ``gap`` apart."""
 
     def run(batches):
-        for batch in batches:
+        known = shared.value["known"]
+        for batch in tokens.bounded(batches):
             ids, offsets, _ = tokens.encode(batch.column("text"), known)
             docs = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             for a, b in tokens.slices(offsets, block_tokens):
@@ -70,7 +88,7 @@ def indexer(known: dict[str, int], gap: int, block_tokens: int):
                 owner = np.repeat(np.arange(b - a, dtype=np.int64), per)
                 at = np.flatnonzero(part >= 0)
                 term = part[at]
-                place = (at + owner[at] * gap).astype(np.int32)
+                place = at + owner[at] * gap
                 order = np.argsort(term.astype(np.uint16) if len(known) < 65536 else term, kind="stable")
                 term, place, who = term[order], place[order], owner[at][order]
                 cuts = np.flatnonzero(np.diff(term, prepend=-1))
@@ -80,9 +98,9 @@ def indexer(known: dict[str, int], gap: int, block_tokens: int):
                 freq = np.add.reduceat(fresh, cuts, dtype=np.int32) if len(cuts) else []
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "gap": pa.array([gap], pa.int32()),
+                        "gap": pa.array([gap], pa.int64()),
                         "block_docs": [docs[a:b].tobytes()],
-                        "starts": [(off[:-1] + np.arange(b - a) * gap).astype(np.int32).tobytes()],
+                        "starts": [(off[:-1] + np.arange(b - a) * gap).astype(np.int64).tobytes()],
                         "terms": pa.array([term[cuts].tolist()], pa.list_(pa.int32())),
                         "doc_freq": pa.array([list(map(int, freq))], pa.list_(pa.int32())),
                         "postings": pa.array([[pack(place[i:j]) for i, j in zip(cuts, ends)]], pa.list_(pa.binary())),
@@ -104,20 +122,20 @@ def among(wanted: np.ndarray, sorted_list: np.ndarray) -> np.ndarray:
 def phrase_runs(item: np.ndarray, rank: np.ndarray, lists: dict[int, np.ndarray], phrase: int):
     """(start in the block, length) of each common run of at least ``phrase`` tokens."""
     n = min(phrase, len(item))
-    none = np.zeros(0, np.int32)
+    none = np.zeros(0, np.int64)
     held: dict[int, list[np.ndarray]] = {}
     seeds: dict[int, list[int]] = {}
     for w in range(len(item) - n + 1):
         seeds.setdefault(w + int(np.argmin(rank[item[w : w + n]])), []).append(w)
     for o, windows in seeds.items():
-        diagonal = lists.get(int(item[o]), none) - np.int32(o)
+        diagonal = lists.get(int(item[o]), none) - o
         if not len(diagonal):
             continue
         for w in windows:
             left = diagonal
             for p in sorted(range(w, w + n), key=lambda p: rank[item[p]]):
                 if p != o:
-                    left = left[among(left + np.int32(p), lists.get(int(item[p]), none))]
+                    left = left[among(left + p, lists.get(int(item[p]), none))]
                     if not len(left):
                         break
             if len(left):
@@ -135,46 +153,70 @@ def phrase_runs(item: np.ndarray, rank: np.ndarray, lists: dict[int, np.ndarray]
     return (d[cut] + w[cut]).astype(np.int64), length
 
 
-def proximity(item: np.ndarray, rank: np.ndarray, lists: dict[int, np.ndarray], anchors: int, slack: int, usable: np.ndarray):
-    """Positions of the item's rarest term with all other anchors near their places."""
+def anchors_of(item: np.ndarray, rank: np.ndarray, anchors: int, usable: np.ndarray) -> list[tuple[int, int]]:
+    """(term, first offset) of the rarest usable terms of an item; none if it has too few."""
     first: dict[int, int] = {}
     for o, t in enumerate(item.tolist()):
         if usable[t]:
             first.setdefault(t, o)
-    if len(first) < anchors:
+    return [(t, first[t]) for t in sorted(first, key=lambda t: rank[t])[:anchors]] if len(first) >= anchors else []
+
+
+def proximity(item: np.ndarray, rank: np.ndarray, lists: dict[int, np.ndarray], anchors: int, slack: int, usable: np.ndarray):
+    """Positions of the item's rarest term with all other anchors near their places."""
+    chosen = anchors_of(item, rank, anchors, usable)
+    if not chosen:
         return np.zeros(0, np.int64)
-    lead, *rest = sorted(first, key=lambda t: rank[t])[:anchors]
-    left = lists.get(lead, np.zeros(0, np.int32)).astype(np.int64) - first[lead]
-    for t in rest:
+    (lead, begin), *rest = chosen
+    left = lists.get(lead, np.zeros(0, np.int64)) - begin
+    for t, o in rest:
         if not len(left):
             break
-        other = lists.get(t, np.zeros(0, np.int32)).astype(np.int64) - first[t]
+        other = lists.get(t, np.zeros(0, np.int64)) - o
         at = np.searchsorted(other, left - slack)
         near = at < len(other)
         near[near] = other[at[near]] <= left[near] + slack
         left = left[near]
-    return left + first[lead]
+    return left + begin
 
 
-def answerer(items: list[tuple[int, np.ndarray]], rank: np.ndarray, phrase: int, anchors: int, slack: int, usable: np.ndarray):
+def answerer(shared, phrase: int, anchors: int, slack: int):
+    """Index rows to the matches of their documents."""
+    ready: list = []
+
     def run(batches):
+        if not ready:
+            items, rank, usable = (shared.value[k] for k in ("items", "rank", "usable"))
+            flat = np.concatenate([x for _, x in items])
+            size = np.array([len(x) for _, x in items])
+            ends = np.cumsum(size)
+            n = np.repeat(np.minimum(phrase, size), size)
+            start = np.flatnonzero(np.arange(len(flat)) + n <= np.repeat(ends, size))
+            lead = [[t for t, _ in anchors_of(x, rank, anchors, usable)] for _, x in items]
+            near = np.array([i for i, x in enumerate(lead) if x], np.int64)
+            ready.append((items, rank, usable, flat, start, n[start], np.repeat(np.arange(len(items)), size)[start], near, np.array([lead[i] for i in near], np.int64).reshape(len(near), anchors)))
+        items, rank, usable, flat, start, n, owner, near, lead = ready[0]
         for batch in batches:
             for row in batch.to_pylist():
                 docs = np.frombuffer(row["block_docs"], np.int64)
-                starts = np.frombuffer(row["starts"], np.int32)
-                lists = {t: unpack(p) for t, p in zip(row["terms"], row["postings"])}
+                starts = np.frombuffer(row["starts"], np.int64)
+                lists = Postings(row["terms"], row["postings"])
+                present = np.zeros(len(rank), bool)
+                present[row["terms"]] = True
+                held = np.concatenate(([0], np.cumsum(present[flat])))
+                some = np.union1d(owner[held[start + n] - held[start] == n], near[present[lead].all(1)])
                 best: dict[tuple[int, int], list[int]] = {}
-                for item_id, item in items:
+                for item_id, item in (items[i] for i in some):
                     at, length = phrase_runs(item, rank, lists, phrase)
-                    for d, n in zip(np.searchsorted(starts, at, "right") - 1, length):
+                    for d, k in zip(np.searchsorted(starts, at, "right") - 1, length):
                         x = best.setdefault((int(d), item_id), [0, 0])
-                        x[0] = max(x[0], int(n))
+                        x[0] = max(x[0], int(k))
                     hits: dict[int, int] = {}
                     for d in np.searchsorted(starts, proximity(item, rank, lists, anchors, slack, usable), "right") - 1:
                         hits[int(d)] = hits.get(int(d), 0) + 1
-                    for d, n in hits.items():
+                    for d, k in hits.items():
                         x = best.setdefault((d, item_id), [0, 0])
-                        x[1] = max(x[1], n)
+                        x[1] = max(x[1], k)
                 if best:
                     keys = list(best)
                     yield pa.RecordBatch.from_pydict(
@@ -189,23 +231,24 @@ def answerer(items: list[tuple[int, np.ndarray]], rank: np.ndarray, phrase: int,
     return run
 
 
-def matches(docs: DataFrame, bench: DataFrame, phrase: int = PHRASE, anchors: int = ANCHORS, slack: int = SLACK, block_tokens: int = BLOCK_TOKENS, term_limit: int = TERM_LIMIT, present: bool = False) -> DataFrame:
+def matches(docs: DataFrame, bench: DataFrame, phrase: int = PHRASE, anchors: int = ANCHORS, slack: int = SLACK, block_tokens: int = BLOCK_TOKENS, term_limit: int = TERM_LIMIT) -> DataFrame:
     """doc_id, item_id, phrase_tokens, proximity_hits: see the module's docstring."""
     spark = docs.sparkSession
     clean = docs.select(F.col("doc_id").cast("long"), F.col("text")).filter("doc_id is not null and text is not null")
     rows = bench.select(F.col("item_id").cast("long"), F.col("text")).filter("item_id is not null and text is not null").distinct()
-    result, part, terms = None, [], {}
+    result, part, terms, held = None, [], {}, 0
     # the items stream through the driver; no more than a slice of them is held
     for row in rows.toLocalIterator():
         ids, _, words = tokens.encode(pa.array([row.text]))
         if len(ids):
-            if terms and len(terms) + len(words) > term_limit:
-                result = _joined(result, _slice(clean, part, terms, phrase, anchors, slack, block_tokens, present))
-                part, terms = [], {}
-            local = np.array([terms.setdefault(w, len(terms)) for w in words], np.int32)
+            if terms and (len(terms) + len(words) > term_limit or held + len(ids) > ITEM_TOKENS * term_limit):
+                result = _joined(result, _slice(clean, part, terms, phrase, anchors, slack, block_tokens))
+                part, terms, held = [], {}, 0
+            local = np.array([terms.setdefault(w, len(terms)) for w in words.to_pylist()], np.int32)
             part.append((row.item_id, local[ids]))
+            held += len(ids)
     if part or result is None:
-        result = _joined(result, _slice(clean, part, terms, phrase, anchors, slack, block_tokens, present))
+        result = _joined(result, _slice(clean, part, terms, phrase, anchors, slack, block_tokens))
     return result.groupBy("doc_id", "item_id").agg(F.max("phrase_tokens").alias("phrase_tokens"), F.max("proximity_hits").alias("proximity_hits"))
 
 
@@ -213,25 +256,27 @@ def _joined(a, b):
     return b if a is None else a.unionByName(b)
 
 
-def _slice(clean: DataFrame, items: list, terms: dict[str, int], phrase: int, anchors: int, slack: int, block_tokens: int, present: bool) -> DataFrame:
+def _slice(clean: DataFrame, items: list, terms: dict[str, int], phrase: int, anchors: int, slack: int, block_tokens: int) -> DataFrame:
     spark = clean.sparkSession
     if not items:
         return spark.createDataFrame([], FOUND)
     gap = slack + max(len(x) for _, x in items) + 1
-    index = written(clean.mapInArrow(indexer(terms, gap, block_tokens), INDEX), "postings")
+    words = np.array(list(terms))
+    known = spark.sparkContext.broadcast({"known": pa.array(list(terms), pa.large_string())})
+    index = written(clean.mapInArrow(indexer(known, gap, block_tokens), INDEX), "postings")
     pairs = index.select(F.explode(F.arrays_zip("terms", "doc_freq")).alias("x")).groupBy("x.terms").agg(F.sum("x.doc_freq").alias("n"))
     freq = np.zeros(len(terms), np.int64)
     for row in pairs.toLocalIterator():
         freq[row.terms] = row.n
-    words = np.array(list(terms))
     rank = np.empty(len(terms), np.int64)
     rank[np.lexsort((words, freq))] = np.arange(len(terms))
-    return index.mapInArrow(answerer(items, rank, phrase, anchors, slack, freq > 0 if present else np.ones(len(freq), bool)), FOUND)
+    test = spark.sparkContext.broadcast({"items": items, "rank": rank, "usable": freq > 0})
+    return index.mapInArrow(answerer(test, phrase, anchors, slack), FOUND)
 
 
 def clean_documents(docs: DataFrame, bench: DataFrame, **params) -> DataFrame:
     """The documents without a match; those without an id stay."""
-    bad = matches(docs, bench, **{"present": True} | params).select(F.col("doc_id").alias("_quoin_bad")).distinct()
+    bad = matches(docs, bench, **params).select(F.col("doc_id").alias("_quoin_bad")).distinct()
     return docs.join(bad, docs["doc_id"] == bad["_quoin_bad"], "left_anti")
 
 
@@ -260,8 +305,8 @@ runs as (
 phrase as (select doc_id, item_id, max(len) as phrase_tokens from runs group by all),
 firsts as (select q, item_id, w, min(o) as o from bt group by all),
 ranked as (
-  select *, row_number() over (partition by q order by coalesce(f, 0), w) as k, count(*) over (partition by q) as terms
-  from firsts left join df using (w)),
+  select *, row_number() over (partition by q order by f, w) as k, count(*) over (partition by q) as terms
+  from firsts join df using (w)),
 lead as (select * from ranked where k = 1 and terms >= {ANCHORS}),
 hits as (
   select l.q, l.item_id, x.r, x.doc_id, x.p, a.k

@@ -1,14 +1,15 @@
 """Vectorised word tokenising of Arrow text columns.
 
 A token is a maximal run of letters and digits, lower-cased. A column is split
-on white space and dictionary-encoded by Arrow; only the distinct raw words of a
-batch pass through Python, so the cost per occurrence stays in native code.
-Null text has no tokens.
+on white space and dictionary-encoded; only the distinct raw words of a batch
+that aren't plain are split further. All of it is native code: no word becomes
+a Python object. Null text has no tokens.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,21 @@ import xxhash
 
 WORD = re.compile(r"[^\W_]+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: ASCII in lower case, with a space for what is neither letter nor digit; other bytes as they are.
+ASCII = np.array([*(ord(chr(i).lower()) if chr(i).isalnum() else 32 for i in range(128)), *range(128, 256)], np.uint8)
+#: Bytes of text that are worked on at once; a longer text is a batch of its own.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(batches, column: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut where a column's values reach a number of bytes; rows stay whole."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+        for a, b in slices(ends, limit):
+            yield batch.slice(a, b - a)
 
 
 def plain(column) -> pa.Array:
@@ -26,42 +42,84 @@ def plain(column) -> pa.Array:
     return pc.fill_null(column.cast(pa.large_string()), "")
 
 
-def encode(column, known: dict[str, int] | None = None):
+def _split(raw: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(tokens, number of tokens of each) of distinct lower-case raw words."""
+    odd = pc.invert(pc.fill_null(pc.utf8_is_alnum(raw), False))
+    at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+    counts = np.ones(len(raw), np.int64)
+    if not len(at):
+        return raw, counts
+    parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.replace_substring_regex(raw.take(pa.array(at)), r"[^\p{L}\p{N}]+", " ")))
+    flat = parts.flatten()
+    some = pc.not_equal(flat, "")
+    offsets = np.concatenate(([0], np.cumsum(some.to_numpy(zero_copy_only=False))))[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+    flat = flat.filter(some)
+    counts[at] = np.diff(offsets)
+    # plain words first, then the parts of the others; ``take`` puts them in order
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    place = np.empty(int(ends[-1]), np.int64)
+    even = np.flatnonzero(~odd.to_numpy(zero_copy_only=False))
+    place[ends[even]] = np.arange(len(even))
+    place[np.repeat(ends[at] - offsets[:-1], np.diff(offsets)) + np.arange(len(flat))] = len(even) + np.arange(len(flat))
+    return pa.concat_arrays([raw.take(pa.array(even)), flat]).take(pa.array(place)), counts
+
+
+def encode(column, known: pa.Array | None = None):
     """(ids int32, offsets int64, words) of all tokens of a column, in order.
 
-    Without ``known``, ids index ``words``. With it, ids are those of ``known``
+    Without ``known``, ids index ``words``. With it, ids are the places in ``known``
     and -1 elsewhere, and ``words`` is empty.
     """
     column = plain(column)
-    pieces = pc.utf8_split_whitespace(column)
-    at = pieces.offsets.to_numpy()
-    flat = pieces.flatten().dictionary_encode()
+    n = len(column)
+    offs = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1] if n else np.zeros(1, np.int64)
+    data = ASCII[np.frombuffer(column.buffers()[2] or b"", np.uint8)[offs[0] : offs[-1]]]
+    text = pa.LargeStringArray.from_buffers(n, pa.py_buffer(offs - offs[0]), pa.py_buffer(data))
+    lists = pc.ascii_split_whitespace(text)
+    at = lists.offsets.to_numpy().astype(np.int64)
+    flat = lists.flatten().dictionary_encode()
+    at = at - at[0]
     raw = flat.indices.to_numpy(zero_copy_only=False)
-    index: dict[str, int] = {} if known is None else known
-    ids, counts = [], np.zeros(len(flat.dictionary), np.int64)
-    for k, word in enumerate(flat.dictionary.to_pylist()):
-        low = word.lower()
-        if low.isalnum():
-            found = (low,)
-        else:
-            found = WORD.findall(low)
-        counts[k] = len(found)
-        if known is None:
-            ids += [index.setdefault(x, len(index)) for x in found]
-        else:
-            ids += [index.get(x, -1) for x in found]
+    words, counts = _split(pc.utf8_lower(flat.dictionary))
+    if known is None:
+        coded = words.dictionary_encode()
+        ids, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+    else:
+        ids, words = pc.fill_null(pc.index_in(words, value_set=known), -1).to_numpy(zero_copy_only=False), words[:0]
+    ids = ids.astype(np.int32, copy=False)
+    if len(counts) and counts.min() == counts.max() == 1:
+        return ids[raw], at, words
     starts = np.concatenate(([0], np.cumsum(counts)))
     per = counts[raw]
     ends = np.concatenate(([0], np.cumsum(per)))
-    total = int(ends[-1])
-    take = np.repeat(starts[raw] - ends[:-1], per) + np.arange(total)
-    return np.asarray(ids, np.int32)[take], ends[at], list(index) if known is None else []
+    take = np.repeat(starts[raw] - ends[:-1], per)
+    take += np.arange(int(ends[-1]))
+    return ids[take], ends[at], words
 
 
-def hashes(words: list[str]) -> np.ndarray:
-    """64-bit hashes of words."""
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(w) for w in words), np.uint64, len(words))
+def hashes(words) -> np.ndarray:
+    """64-bit hashes of words: 8 bytes at a time, all words at once; by xxhash those of more than 64 bytes."""
+    words = pa.array(words, pa.large_string()) if isinstance(words, list) else words.cast(pa.large_string())
+    n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    offs = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + n + 1]
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[offs[0] : offs[-1]]
+    size, first = np.diff(offs), (offs[:-1] - offs[0])
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    wide = np.ndarray((len(padded) - 7,), "<u8", padded.data, strides=(1,))
+    out = mixed(size.astype(np.uint64) + MIX)
+    rows, k = np.flatnonzero(size <= 64), 0
+    rows = rows[size[rows] > 0]
+    while len(rows):
+        left = np.minimum(size[rows] - 8 * k, 8).astype(np.uint64)
+        chunk = wide[first[rows] + 8 * k] & (np.uint64(2**64 - 1) >> (np.uint64(64) - np.uint64(8) * left))
+        out[rows] = mixed(out[rows] * MIX + chunk)
+        k += 1
+        rows = rows[size[rows] > 8 * k]
+    for i in np.flatnonzero(size > 64):
+        out[i] = xxhash.xxh3_64_intdigest(data[first[i] : first[i] + size[i]].tobytes())
+    return out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
