@@ -2,25 +2,41 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one is set only where it is unset."""
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one in local mode, and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         if current.isDefined():
             return current.get()
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="quoin-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def free(name: str, columns: list[str]) -> str:
+    """The name, with as many leading underscores as it takes to differ from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def let(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, however often it is spoken of."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The frame, written as Parquet in the shared folder and read again."""
     spark = df.sparkSession

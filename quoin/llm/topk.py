@@ -1,16 +1,20 @@
 """Exact top-k search over vectors by the three-phase uniform threshold.
 
 The score of two vectors is their inner product, a sum of m local scores, one
-for each block of dimensions. Each block has its own lists, in tasks of a tile of
-queries and a slab of items. (1) Each list gives its k best local scores; their
-partial sums give a k-th best sum, and an item of a greater sum must have a local
-score of at least a m-th of it somewhere. (2) With that cutoff the lists give all
-entries that reach it; upper bounds leave the candidates. (3) Their scores are
-computed exactly and the k best kept. Local scores are counted from the least
-one of their list, so that an unseen one adds nothing.
-
-Every vector is a query and is compared with all others; tiles and slabs are of
-bounded size, so tasks grow in number and not in size.
+for each block of dimensions. Each block has its own lists, one for a tile of
+queries and a slab of items. (1) Each list gives the items of its k best local
+scores; the k-th best sum of those items is a safe bound, and an item of a greater
+sum must have a local score of at least an m-th of it somewhere. (2) With that
+cutoff, sent to the tiles of queries, the lists give all entries that reach it; an
+item's entries, and the cutoff for each one it lacks, bound its score from above,
+and the k-th best sum of items with all entries bounds the answer from below: what
+lies between are the candidates. (3) Their scores are computed exactly and the k
+best kept. Local scores are counted from the query's least one of the block, so
+that none is negative.
+
+Queries are the vectors whose id is divisible by ``every``; each is compared with
+all vectors. Tiles and slabs are of bounded bytes, so tasks grow in number and not
+in size; what the lists give is merged in Spark, by query, and can spill.
 
 Semantics
   * Per query the k best other vectors by (score rounded to 6 digits descending,
@@ -24,284 +28,184 @@ Semantics
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
 
-K, BLOCKS, DIGITS = 10, 2, 6
-QUERY_TILE, ITEM_SLAB, STEP = 4096, 32_768, 1024
-TILES = "tile int, block int, ids binary, vectors binary"
-LISTS = "tile int, block int, slab int, queries binary, items binary, scores binary, least binary"
-CUTS = "tile int, queries binary, cuts binary, least binary"
-FOUND = "query_id long, item_id long, score double, rank int"
-
-
-def _bytes(*arrays):
-    return [a.tobytes() for a in arrays]
+K, BLOCKS, DIGITS, EVERY = 10, 2, 6, 50
+#: Bytes of the vectors of a tile of queries and of a slab of items, and of the scores that are held at once.
+TILE_BYTES, SLAB_BYTES, STEP_BYTES = 2 << 20, 8 << 20, 16 << 20
+PACKED = "ids binary, vectors binary, kth binary, floors binary"
+CANDIDATES = "q long, x long, low double, high double"
 
 
 def tiler(width: int, blocks: int):
-    """The vectors of a tile, one row for each block of dimensions."""
+    """Rows (id, v, kth, floors) of a tile or slab to one packed row."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(key, table):
         ids = table.column("id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        column = table.column("v").combine_chunks()
-        size = np.diff(column.offsets.to_numpy())
-        flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        flat[~np.isfinite(flat)] = 0
-        dense = np.zeros((len(ids), width))
-        row = np.repeat(np.arange(len(ids)), size)
-        dense[row, np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
-        cuts = np.linspace(0, width, blocks + 1).astype(int)
-        tile = table.column("tile")[0].as_py()
-        return pa.table(
-            {
-                "tile": pa.array([tile] * blocks, pa.int32()),
-                "block": pa.array(range(blocks), pa.int32()),
-                "ids": [ids[order].tobytes()] * blocks,
-                "vectors": [np.ascontiguousarray(dense[order, a:b]).tobytes() for a, b in zip(cuts, cuts[1:])],
-            }
+        dense = _dense(table.column("v").combine_chunks(), width)
+        kth = table.column("kth").to_numpy().astype(np.float64)
+        floors = table.column("floors").combine_chunks()
+        floors = floors.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if len(floors.flatten()) else np.zeros((len(ids), blocks))
+        return pa.table({"tile": [key[0].as_py()], "ids": [ids[order].tobytes()], "vectors": [dense[order].tobytes()], "kth": [kth[order].tobytes()], "floors": [floors[order].tobytes()]}).cast(
+            pa.schema([("tile", pa.int32()), *((n, pa.binary()) for n in ("ids", "vectors", "kth", "floors"))])
         )
 
     return run
 
 
-def _tiles(table: pa.Table):
-    """(tile, ids, matrix) of the rows of a table; rows of a width of 0 have no vectors."""
-    for tile, ids, v in zip(*(table.column(c).to_pylist() for c in ("tile", "ids", "vectors"))):
-        ids = np.frombuffer(ids, np.int64)
-        yield tile, ids, np.frombuffer(v, np.float64).reshape(len(ids), -1)
+def _tiles(table: pa.Table, blocks: int):
+    """(ids, matrix, k-th sums, floors) of the packed rows."""
+    for row in table.select(["ids", "vectors", "kth", "floors"]).to_pylist():
+        ids = np.frombuffer(row["ids"], np.int64)
+        yield ids, np.frombuffer(row["vectors"], np.float64).reshape(len(ids), -1), np.frombuffer(row["kth"], np.float64), np.frombuffer(row["floors"], np.float64).reshape(len(ids), blocks)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k greatest of each row, in no order."""
-    if scores.shape[1] <= k:
-        return np.tile(np.arange(scores.shape[1]), (len(scores), 1))
-    return np.argpartition(scores, scores.shape[1] - k, axis=1)[:, -k:]
+def _steps(queries: pa.Table, items: pa.Table, blocks: int) -> Iterator[tuple]:
+    """(query ids, item ids, local scores by block, whether an item is the query itself, k-th sums, floors) by bounded pieces."""
+    for x_ids, x, _, _ in _tiles(items, blocks):
+        step = max(1, STEP_BYTES // (8 * max(1, len(x_ids))))
+        cuts = np.linspace(0, x.shape[1], blocks + 1).astype(int)
+        for q_ids, q, kth, floors in _tiles(queries, blocks):
+            for a in range(0, len(q_ids), step):
+                b = slice(a, a + step)
+                local = [q[b, i:j] @ x[:, i:j].T for i, j in zip(cuts, cuts[1:])]
+                yield q_ids[b], x_ids, local, x_ids[None, :] == q_ids[b, None], kth[b], floors[b]
 
 
-def _scores(queries: pa.Table, items: pa.Table):
-    """(query ids, item ids, local scores) by bounded pieces; a vector's score with itself is NaN."""
-    for _, q_ids, q in _tiles(queries):
-        for _, x_ids, x in _tiles(items):
-            for a in range(0, len(q_ids), STEP):
-                s = q[a : a + STEP] @ x.T
-                at = np.searchsorted(x_ids, q_ids[a : a + STEP])
-                at[at == len(x_ids)] = 0
-                own = np.flatnonzero(x_ids[at] == q_ids[a : a + STEP])
-                s[own, at[own]] = np.nan
-                yield a, q_ids[a : a + STEP], x_ids, s
+def _table(ddl: str, *columns: np.ndarray) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+    return pa.table({n: pa.array(c, kinds[t]) for c, (n, t) in zip(columns, (x.split() for x in ddl.split(", ")))})
 
 
-def gatherer(k: int):
-    """Phase 1: the k best local scores of each query of a tile over a slab, and the least one."""
+def lists_ddl(blocks: int) -> str:
+    return "q long, x long, total double, " + ", ".join(f"low{b} double" for b in range(blocks))
 
-    def run(key, queries: pa.Table, items: pa.Table) -> pa.Table:
-        out = {n: [] for n in ("queries", "items", "scores", "least")}
-        best: dict[int, list] = {}
-        if queries.num_rows and items.num_rows:
-            for a, q_ids, x_ids, s in _scores(queries, items):
-                low = np.where(np.isnan(s), np.inf, s).min(1)
-                s = np.where(np.isnan(s), -np.inf, s)
-                cols = _best(s, x_ids, k)
-                new_s, new_x = np.take_along_axis(s, cols, 1), x_ids[cols]
-                if a in best:
-                    _, old_s, old_x, old_low = best[a]
-                    new_s, new_x = np.concatenate((old_s, new_s), 1), np.concatenate((old_x, new_x), 1)
-                    cols = _best(new_s, new_x, k)
-                    new_s, new_x, low = np.take_along_axis(new_s, cols, 1), np.take_along_axis(new_x, cols, 1), np.minimum(low, old_low)
-                best[a] = [q_ids, new_s, new_x, low]
-        for q_ids, s, x, low in best.values():
-            real = np.isfinite(s)
-            out["queries"].append(np.repeat(q_ids, real.sum(1)))
-            out["items"].append(x[real])
-            out["scores"].append(s[real])
-            out["least"].append(np.stack([q_ids.astype(np.float64), low]))
-        if not best:
-            return pa.Table.from_pylist([], _schema(LISTS))
-        q, x, s = (np.concatenate(out[n]) for n in ("queries", "items", "scores"))
-        ids = np.concatenate([v[0] for v in best.values()])
-        return _list_row(key, q, x, s, ids, np.concatenate([v[3] for v in best.values()]))
 
-    return run
-
-
-def _schema(ddl: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
-    return pa.schema([(n, kinds[t]) for n, t in (x.split() for x in ddl.split(", "))])
-
-
-def _list_row(key, q, x, s, ids, low) -> pa.Table:
-    tile, block, slab = (int(k.as_py()) for k in key)
-    least = ids.astype(np.int64).tobytes() + low.astype(np.float64).tobytes()
-    return pa.table({"tile": [tile], "block": [block], "slab": [slab], "queries": [q.astype(np.int64).tobytes()], "items": [x.astype(np.int64).tobytes()], "scores": [s.astype(np.float64).tobytes()], "least": [least]}, _schema(LISTS))
-
-
-def _lists(table: pa.Table):
-    """Entries (query, item, block, score) of the lists and the least local score of (block, query)."""
-    rows = table.select(["block", "queries", "items", "scores", "least"]).to_pylist()
-    q = np.concatenate([np.frombuffer(r["queries"], np.int64) for r in rows])
-    x = np.concatenate([np.frombuffer(r["items"], np.int64) for r in rows])
-    s = np.concatenate([np.frombuffer(r["scores"], np.float64) for r in rows])
-    b = np.concatenate([np.full(len(r["queries"]) // 8, r["block"], np.int64) for r in rows])
-    ids, low, of = [], [], []
-    for r in rows:
-        half = len(r["least"]) // 2
-        ids.append(np.frombuffer(r["least"][:half], np.int64))
-        low.append(np.frombuffer(r["least"][half:], np.float64))
-        of.append(np.full(half // 8, r["block"], np.int64))
-    return (q, x, b, s), (np.concatenate(ids), np.concatenate(of), np.concatenate(low))
-
-
-def _floors(ids, of, low, blocks: int):
-    """Queries, sorted, and the least local score of each by block."""
-    names, at = np.unique(ids, return_inverse=True)
-    floor = np.full((len(names), blocks), np.inf)
-    np.minimum.at(floor, (at, of), low)
-    return names, np.where(np.isfinite(floor), floor, 0.0)
-
-
-def _sums(q_at, x, value, *more):
-    """Sums of values by (query, item): query numbers, items, sums, in order of query."""
-    order = np.lexsort((x, q_at))
-    q_at, x = q_at[order], x[order]
-    new = np.append(True, (q_at[1:] != q_at[:-1]) | (x[1:] != x[:-1]))[: len(x)]
-    cuts = np.flatnonzero(new)
-    return (q_at[cuts], x[cuts], *(np.add.reduceat(v[order], cuts) if len(cuts) else v[:0] for v in (value, *more)))
-
-
-def _kth(q_at, sums, n: int, k: int) -> np.ndarray:
-    """The k-th greatest sum of each query; -inf where there are fewer."""
-    order = np.lexsort((-sums, q_at))
-    q, s = q_at[order], sums[order]
-    start = np.searchsorted(q, np.arange(n))
-    count = np.searchsorted(q, np.arange(n), "right") - start
-    out = np.full(n, -np.inf)
-    ok = count >= k
-    out[ok] = s[start[ok] + k - 1]
-    return out
+def gatherer(k: int, blocks: int):
+    """Phase 1: the items of the k best local scores of each list with their sums, and the least local scores."""
 
+    def run(key, queries: pa.Table, items: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        for q_ids, x_ids, local, own, _, _ in _steps(queries, items, blocks):
+            low = [np.where(own, np.inf, s).min(1) for s in local]
+            chosen = np.zeros(own.shape, bool)
+            for s in local:
+                s = np.where(own, -np.inf, s)
+                cols = np.argpartition(s, s.shape[1] - k, axis=1)[:, -k:] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (len(s), 1))
+                np.put_along_axis(chosen, cols, True, 1)
+            i, j = np.nonzero(chosen & ~own)
+            out.append((q_ids[i], x_ids[j], sum(s[i, j] for s in local), *(x[i] for x in low)))
+        return _table(lists_ddl(blocks), *(np.concatenate(c) for c in zip(*out))) if out else _table(lists_ddl(blocks), *[[]] * (3 + blocks))
 
-def cutter(k: int, blocks: int, digits: int):
-    """The safe cutoff of each query, from partial sums of the lists of phase 1."""
+    return run
 
-    def run(table: pa.Table) -> pa.Table:
-        (q, x, b, s), (ids, of, low) = _lists(table)
-        names, floor = _floors(ids, of, low, blocks)
-        at = np.searchsorted(names, q)
-        q_at, _, total = _sums(at, x, s - floor[at, b])
-        kth = _kth(q_at, total, len(names), k)
-        # rounding may tie scores that differ by less than a last digit
-        cut = (kth - 10.0**-digits * 1.01) / blocks
-        return pa.table({"tile": [table.column("tile")[0].as_py()], "queries": [names.tobytes()], "cuts": [cut.tobytes()], "least": [floor.tobytes()]}, _schema(CUTS))
 
-    return run
+def cutoffs(lists: DataFrame, k: int, blocks: int) -> DataFrame:
+    """id, kth (the k-th best sum of the gathered items above the floors, null if there are fewer) and floors (least local score by block) of each query."""
+    floors = lists.groupBy("q").agg(*[F.min(f"low{b}").alias(f"low{b}") for b in range(blocks)])
+    kth = lists.select("q", "x", "total").withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("total"), "x"))).filter(F.col("r") == k)
+    floor = F.array(*[f"low{b}" for b in range(blocks)])
+    return floors.join(kth.select("q", "total"), "q", "left").select(F.col("q").alias("id"), (F.col("total") - sum(F.col(f"low{b}") for b in range(blocks))).alias("kth"), floor.alias("floors"))
 
 
-def collector(blocks: int):
-    """Phase 2: all entries of a list that reach the cutoff."""
+def collector(k: int, blocks: int, digits: int):
+    """Phase 2: of the entries that reach the cutoff, the items whose upper bound reaches the k-th best sum known."""
 
     def run(key, queries: pa.Table, items: pa.Table) -> pa.Table:
-        qs, xs, ss = [], [], []
-        block = int(key[1].as_py())
-        if queries.num_rows and items.num_rows:
-            names = np.frombuffer(queries.column("queries")[0].as_py(), np.int64)
-            cut = np.frombuffer(queries.column("cuts")[0].as_py(), np.float64)
-            floor = np.frombuffer(queries.column("least")[0].as_py(), np.float64).reshape(len(names), blocks)[:, block]
-            for _, q_ids, x_ids, s in _scores(queries, items):
-                at = np.minimum(np.searchsorted(names, q_ids), max(0, len(names) - 1))
-                if not len(names):
-                    continue
-                bar = np.where(names[at] == q_ids, cut[at] + floor[at], np.inf)
-                i, j = np.nonzero(s >= bar[:, None])
-                qs.append(q_ids[i])
-                xs.append(x_ids[j])
-                ss.append(s[i, j])
-        if not qs:
-            return pa.Table.from_pylist([], _schema(LISTS))
-        none = np.zeros(0)
-        return _list_row(key, np.concatenate(qs), np.concatenate(xs), np.concatenate(ss), none, none)
+        out: list[tuple] = []
+        # rounding may tie scores that differ by less than a last digit
+        spare = 10.0**-digits * 1.01
+        for q_ids, x_ids, local, own, kth, floors in _steps(queries, items, blocks):
+            least = kth - spare
+            cut = (least / blocks)[:, None]
+            bound, entries = np.zeros(own.shape), np.zeros(own.shape, np.int8)
+            spared = np.maximum(cut, 0)
+            for b, s in enumerate(local):
+                s -= floors[:, b, None]
+                enters = s >= cut
+                entries += enters
+                bound += np.where(enters, s, spared)
+            entries[own] = 0
+            if len(x_ids) > k:
+                known = np.where(entries == blocks, bound, -np.inf)
+                least = np.maximum(least, np.partition(known, len(x_ids) - k, axis=1)[:, -k] - spare)
+            i, j = np.nonzero((entries > 0) & (bound >= least[:, None]))
+            high = bound[i, j]
+            out.append((q_ids[i], x_ids[j], high - (blocks - entries[i, j]) * spared[i, 0], high))
+        return _table(CANDIDATES, *(np.concatenate(c) for c in zip(*out))) if out else _table(CANDIDATES, *[[]] * 4)
 
     return run
 
 
-def bounder(k: int, blocks: int, digits: int):
-    """The candidates of each query: items whose upper bound reaches the k-th best partial sum."""
-
-    def run(key, lists: pa.Table, cuts: pa.Table) -> pa.Table:
-        if not lists.num_rows or not cuts.num_rows:
-            return pa.table({"q": pa.array([], pa.int64()), "x": pa.array([], pa.int64())})
-        (q, x, b, s), _ = _lists(lists)
-        names = np.frombuffer(cuts.column("queries")[0].as_py(), np.int64)
-        cut = np.frombuffer(cuts.column("cuts")[0].as_py(), np.float64)
-        floor = np.frombuffer(cuts.column("least")[0].as_py(), np.float64).reshape(len(names), blocks)
-        at = np.searchsorted(names, q)
-        q_at, items, total, seen = _sums(at, x, s - floor[at, b], np.ones(len(s)))
-        kth = _kth(q_at, total, len(names), k)[q_at]
-        missing = blocks - seen
-        upper = total + np.where(missing > 0, missing * np.maximum(cut[q_at], 0), 0)
-        ok = upper >= kth - 10.0**-digits * 1.01
-        return pa.table({"q": names[q_at[ok]], "x": items[ok]})
-
-    return run
+def _dense(column, width: int) -> np.ndarray:
+    """A list column as a matrix, short lists filled up with 0."""
+    offsets = column.offsets.to_numpy()
+    flat, size = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]], np.diff(offsets)
+    out = np.zeros((len(column), width))
+    out[np.repeat(np.arange(len(size)), size), np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0], size)] = flat
+    return out
 
 
-def resolver(k: int, digits: int):
-    """Phase 3: exact scores of the candidates (query, item, both vectors), as sums in the order of the elements."""
+def resolver(width: int):
+    """Phase 3: exact scores of the candidates (query, item, both vectors)."""
 
     def run(batches):
         for batch in batches:
-            out = []
-            for c in ("qv", "xv"):
-                column = batch.column(c)
-                out.append([np.nan_to_num(np.asarray(v, np.float64), nan=0.0, posinf=0.0, neginf=0.0) for v in column.to_pylist()])
-            score = [float(a[: min(len(a), len(b))] @ b[: min(len(a), len(b))]) for a, b in zip(*out)]
+            score = np.einsum("ij,ij->i", _dense(batch.column("qv"), width), _dense(batch.column("xv"), width))
             yield pa.RecordBatch.from_pydict({"query_id": batch.column("q"), "item_id": batch.column("x"), "score": pa.array(score, pa.float64())})
 
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = K, blocks: int = BLOCKS, digits: int = DIGITS, query_tile: int = QUERY_TILE, item_slab: int = ITEM_SLAB) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = K, blocks: int = BLOCKS, digits: int = DIGITS, every: int = 1, tile_bytes: int = TILE_BYTES, slab_bytes: int = SLAB_BYTES) -> DataFrame:
     """query_id, item_id, score, rank: see the module's docstring."""
-    from pyspark.sql import Window
-
     zero = F.transform(F.col("embedding").cast("array<double>"), lambda e: F.when(F.isnan(e) | (F.abs(e) == float("inf")), F.lit(0.0)).otherwise(F.coalesce(e, F.lit(0.0))))
     clean = vectors.select(F.col("vec_id").cast("long").alias("id"), zero.alias("v")).filter("id is not null and v is not null")
     clean = written(clean.groupBy("id").agg(F.min("v").alias("v")), "vectors")
     n, width = clean.agg(F.count("*"), F.max(F.size("v"))).first()
     width = max(width or 0, blocks)
-    tiles = max(1, -(-n // query_tile))
-    slabs = max(1, -(-n // item_slab))
-    tile = F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int")
-    packed = written(clean.withColumn("tile", tile).groupBy("tile").applyInArrow(tiler(width, blocks), TILES), "tiles")
-    slab = F.pmod(F.col("tile"), F.lit(slabs)).cast("int").alias("slab")
-    # every tile of queries meets every slab of items, block by block
-    renamed = packed.select(*[F.col(c).alias(c) for c in packed.columns])
-    items = renamed.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("qt"), "block", slab, "tile", "ids", "vectors")
-    queries = packed.select(F.col("tile").alias("qt"), "block", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("slab"), "tile", "ids", "vectors")
-    key = ["qt", "block", "slab"]
-    local = written(queries.groupBy(*key).cogroup(items.groupBy(*key)).applyInArrow(gatherer(k), LISTS), "local")
-    cuts = written(local.groupBy("tile").applyInArrow(cutter(k, blocks, digits), CUTS), "cutoffs")
-    with_cut = queries.join(cuts.select(F.col("tile").alias("qt"), "queries", "cuts", "least"), "qt")
-    entries = with_cut.groupBy(*key).cogroup(items.groupBy(*key)).applyInArrow(collector(blocks), LISTS)
-    candidates = entries.groupBy("tile").cogroup(cuts.groupBy("tile")).applyInArrow(bounder(k, blocks, digits), "q long, x long")
+    asked = clean.filter(F.pmod("id", F.lit(every)) == 0)
+    tiles, slabs = (max(1, -(-rows * 8 * width // size)) for rows, size in ((asked.count(), tile_bytes), (n, slab_bytes)))
+
+    def packed(rows: DataFrame, parts: int, name: str) -> DataFrame:
+        part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("tile")
+        return written(rows.select(part, "id", "v", "kth", "floors").groupBy("tile").applyInArrow(tiler(width, blocks), f"tile int, {PACKED}"), name)
+
+    nothing = [F.lit(0.0).alias("kth"), F.array().cast("array<double>").alias("floors")]
+    items = packed(clean.select("id", "v", *nothing), slabs, "slabs")
+    # every tile of queries meets every slab of items
+    spread = items.select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("qt"), F.col("tile").alias("slab"), "ids", "vectors", "kth", "floors").groupBy("qt", "slab")
+
+    def queries(rows: DataFrame, name: str):
+        return packed(rows, tiles, name).select(F.col("tile").alias("qt"), F.explode(F.sequence(F.lit(0), F.lit(slabs - 1))).alias("slab"), "ids", "vectors", "kth", "floors").groupBy("qt", "slab")
+
+    lists = written(queries(asked.select("id", "v", *nothing), "tiles").cogroup(spread).applyInArrow(gatherer(k, blocks), lists_ddl(blocks)), "lists")
+    cut = asked.join(cutoffs(lists, k, blocks), "id").select("id", "v", F.coalesce("kth", F.lit(float("-inf"))).alias("kth"), "floors")
+    entries = written(queries(cut, "cutoffs").cogroup(spread).applyInArrow(collector(k, blocks, digits), CANDIDATES), "entries")
+    least = entries.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("low"), "x"))).filter(F.col("r") == k).select("q", F.col("low").alias("kth"))
+    candidates = entries.join(least, "q", "left").filter(F.col("kth").isNull() | (F.col("high") >= F.col("kth") - F.lit(10.0**-digits * 1.01))).select("q", "x")
     pairs = candidates.join(clean.select(F.col("id").alias("q"), F.col("v").alias("qv")), "q").join(clean.select(F.col("id").alias("x"), F.col("v").alias("xv")), "x")
-    exact = pairs.mapInArrow(resolver(k, digits), "query_id long, item_id long, score double").withColumn("score", F.round("score", digits) + F.lit(0.0))
+    exact = pairs.mapInArrow(resolver(width), "query_id long, item_id long, score double").withColumn("score", F.round("score", digits) + F.lit(0.0))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "item_id")
     return exact.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("query_id", "item_id", "score", "rank")
 
 
 def op3_exact_topk(spark, sf_dir: str) -> DataFrame:
-    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    """The nearest vectors of every vector whose id is divisible by 50, among all."""
+    return neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), every=EVERY)
 
 
 ORACLE = f"""
 with v as (select vec_id, min(embedding::double[]) as e from embeddings where vec_id is not null and embedding is not null group by vec_id),
-s as (select a.vec_id as query_id, b.vec_id as item_id, round(list_inner_product(a.e, b.e), {DIGITS}) as score from v a join v b on a.vec_id <> b.vec_id),
+s as (select a.vec_id as query_id, b.vec_id as item_id, round(list_inner_product(a.e, b.e), {DIGITS}) as score from v a join v b on a.vec_id <> b.vec_id where a.vec_id % {EVERY} = 0),
 r as (select *, cast(row_number() over (partition by query_id order by score desc, item_id) as int) as rank from s)
 select query_id, item_id, score, rank from r where rank <= {K}
 """
