@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import let, written
 
 BLANK = r"[ \t\r\n\f]+"
 
@@ -53,18 +53,13 @@ def varint(n: Column) -> Column:
 
 def bitmap_of(flags: Column) -> Column:
     """The bitmap of an array of booleans, one for each line in order."""
-    start = F.struct(F.array().cast("array<bigint>").alias("runs"), F.lit(True).alias("keep"), F.lit(0).cast("bigint").alias("run"))
 
-    def step(s: Column, keep: Column) -> Column:
-        same = keep == s["keep"]
-        return F.struct(
-            F.when(same, s["runs"]).otherwise(F.concat(s["runs"], F.array(s["run"]))).alias("runs"),
-            keep.alias("keep"),
-            F.when(same, s["run"] + 1).otherwise(F.lit(1).cast("bigint")).alias("run"),
-        )
+    def runs(f: Column) -> Column:
+        turns = F.filter(F.sequence(F.lit(0), F.size(f) - 1), lambda i: (i == 0) | (F.get(f, i) != F.get(f, i - 1)))
+        sizes = let(turns, lambda t: F.transform(t, lambda x, i: (F.coalesce(F.get(t, i + 1), F.size(f)) - x).cast("bigint")))
+        return F.concat(F.when(F.get(f, 0), F.array().cast("array<bigint>")).otherwise(F.array(F.lit(0).cast("bigint"))), sizes)
 
-    runs = F.aggregate(flags, start, step, lambda s: F.concat(s["runs"], F.array(s["run"])))
-    return F.when(F.size(flags) == 0, F.lit("")).otherwise(F.array_join(F.transform(runs, varint), ""))
+    return F.when(F.size(flags) == 0, F.lit("")).otherwise(F.array_join(F.transform(let(flags, runs), varint), ""))
 
 
 def keep_bitmaps(docs: DataFrame) -> DataFrame:
@@ -104,22 +99,22 @@ def keep_bitmaps(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_flags(bitmap: Column, n: Column) -> Column:
-    """The array of runs of a bitmap as array of booleans, a flag for each line."""
-    digits = F.filter(F.transform(F.sequence(F.lit(0), F.greatest((F.length(bitmap) / 2).cast("int") - 1, F.lit(0))), lambda i: F.conv(F.substring(bitmap, i * 2 + 1, F.lit(2)), 16, 10).cast("long")), lambda x: x.isNotNull())
-    start = F.struct(F.array().cast("array<boolean>").alias("flags"), F.lit(0).cast("long").alias("run"), F.lit(0).alias("shift"), F.lit(True).alias("keep"))
+def keep_flags(bitmap: Column) -> Column:
+    """The array of runs of a bitmap as array of booleans, a flag for each line; null for an empty bitmap."""
 
-    def step(s: Column, b: Column) -> Column:
-        run = s["run"] + F.call_function("shiftleft", b.bitwiseAND(F.lit(127)), s["shift"])
-        done = b < 128
-        return F.struct(
-            F.when(done, F.concat(s["flags"], F.array_repeat(s["keep"], run.cast("int")))).otherwise(s["flags"]).alias("flags"),
-            F.when(done, F.lit(0).cast("long")).otherwise(run).alias("run"),
-            F.when(done, F.lit(0)).otherwise(s["shift"] + 7).alias("shift"),
-            F.when(done, ~s["keep"]).otherwise(s["keep"]).alias("keep"),
-        )
+    def flags(data: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.length(data) - 1), lambda i: F.conv(F.hex(F.substring(data, i + 1, F.lit(1))), 16, 10).cast("long"))
+        return let(each, of_bytes)
 
-    return F.aggregate(digits, start, step, lambda s: s["flags"])
+    def of_bytes(x: Column) -> Column:
+        last = F.filter(F.sequence(F.lit(0), F.size(x) - 1), lambda i: F.get(x, i) < 128)
+        return let(last, lambda e: F.flatten(F.transform(e, lambda to, k: F.array_repeat(k % 2 == 0, run(x, F.when(k == 0, 0).otherwise(F.get(e, k - 1) + 1), to)))))
+
+    def run(x: Column, a: Column, b: Column) -> Column:
+        parts = [F.when(a + j <= b, F.shiftleft(F.get(x, a + j).bitwiseAND(F.lit(127)), 7 * j)).otherwise(F.lit(0)) for j in range(5)]
+        return sum(parts[1:], parts[0]).cast("int")
+
+    return F.when(F.length(bitmap) > 0, let(F.unhex(bitmap), flags))
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -131,13 +126,11 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     key = F.xxhash64(docs["text"], F.lit(1))
     joined = docs.join(b, docs["doc_id"].eqNullSafe(b["_quoin_id"]) & (key == b["_quoin_key"]), "left")
     lines = F.split("text", "\n")
-    flags = keep_flags(F.col("_quoin_keep"), F.col("_quoin_n"))
-    kept = F.array_join(F.filter(lines, lambda x, i: F.get(F.col("_quoin_flags"), i)), "\n")
+    kept = let(keep_flags(F.col("_quoin_keep")), lambda f: F.array_join(F.filter(lines, lambda x, i: F.get(f, i)), "\n"))
     had = F.trim(F.regexp_replace("text", BLANK, " ")) != ""
     text = F.when(F.col("_quoin_kept") == F.col("_quoin_n"), F.col("text")).otherwise(F.col("_quoin_new"))
     return (
-        joined.withColumn("_quoin_flags", F.when(F.col("_quoin_kept") < F.col("_quoin_n"), flags))
-        .withColumn("_quoin_new", kept)
+        joined.withColumn("_quoin_new", F.when(F.col("_quoin_kept") < F.col("_quoin_n"), kept))
         .filter(F.coalesce(~had | (F.trim(F.regexp_replace(text, BLANK, " ")) != ""), F.lit(True)))
         .select(*[text.alias("text") if c == "text" else (F.length(text).cast("long").alias(c) if c == "n_chars" else F.col(c)) for c in docs.columns])
     )
