@@ -2,16 +2,22 @@
 
 A record is a JSON text in one of several layouts: a prompt with its completion,
 an instruction with optional input, or a list of messages under several names.
-The nested field paths that a record fills are hashed to a fingerprint; the
-fingerprint selects a declarative mapping, and the mapping gives the canonical
-turns. All of it is one projection without Python or shuffle.
+The schema of each record, its nested field paths as they are, is hashed to a
+fingerprint. The fingerprints of the layouts select their declarative mapping; of a
+record of any other one, with further fields or of several layouts at once, the
+first layout in the order of ``LAYOUTS`` whose paths are filled is taken. The
+mapping gives the canonical turns. All of it is one projection without Python or
+shuffle.
 
 Semantics
   * A path counts as filled if its value isn't JSON null; a path into a list, if
-    any element fills it. Fields that no layout names are not looked at, so that
-    further or clashing ones don't matter.
-  * A record that is null, no JSON object or of a fingerprint without mapping has
+    any element fills it. Fields that no layout names don't matter.
+  * A record that is null, no JSON object or fills no layout's paths has
     null layout and null turns; it is kept.
+  * Content that is a list of parts becomes the texts of its parts (strings, or
+    objects with a ``text``), joined by newlines; without any it is null.
+  * The results are named layout and turns; where the input has such a column,
+    with a leading underscore (more if taken).
   * Roles are lower-cased and renamed by ``ROLES``; a null one is "unknown".
     Turns with null content are left out; empty content stays. Turns keep the
     order of the record and its repeated ones.
@@ -29,9 +35,11 @@ from itertools import chain, combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free
+
 ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant", "chatbot": "assistant", "developer": "system", "function": "tool"}
 SCHEMA = (
-    "messages array<struct<role string, content string>>, conversations array<struct<`from` string, value string>>, "
+    "messages array<struct<role string, content variant>>, conversations array<struct<`from` string, value variant>>, "
     "dialog array<array<string>>, system string, prompt string, completion string, response string, "
     "instruction string, input string, output string, question string, answer string"
 )
@@ -67,24 +75,50 @@ def _filled(parsed: Column, path: str) -> Column:
         return F.exists(parsed["dialog"], lambda x: F.exists(x, lambda y: y.isNotNull()))
     if "[]." in path:
         name, field = path.split("[].")
-        return F.exists(parsed[name], lambda x: x.getField(field).isNotNull())
+        value = lambda x: x.getField(field).isNotNull() & (F.schema_of_variant(x.getField(field)) != "VOID") if field in ("content", "value") else x.getField(field).isNotNull()
+        return F.exists(parsed[name], lambda x: F.coalesce(value(x), F.lit(False)))
     return parsed[path].isNotNull()
 
 
-def paths_of(parsed: Column) -> Column:
-    """The filled paths, in the order of ``PATHS``, as one text."""
-    return F.array_join(F.array_compact(F.array(*[F.when(_filled(parsed, p), F.lit(p)) for p in PATHS])), ",")
+def shape_of(record: Column) -> Column:
+    """The schema of a JSON text: its nested field paths, with the kinds of plain values left out; null if it can't be parsed."""
+    return F.regexp_replace(F.schema_of_variant(F.try_parse_json(record)), r"(: |ARRAY<)(?!OBJECT<|ARRAY<|VOID)[A-Z_]+(\([0-9,]+\))?(?=[,>])", "$1*")
+
+
+def shape(paths: list[str]) -> str:
+    """The shape that ``shape_of`` gives of a record of these paths."""
+    tree: dict = {}
+    for p in paths:
+        name, _, field = p.partition("[]")
+        tree.setdefault(name, []).append(field)
+
+    def kind(fields: list[str]) -> str:
+        if fields == [""]:
+            return "*"
+        if fields == ["[]"]:
+            return "ARRAY<ARRAY<*>>"
+        return f"ARRAY<OBJECT<{', '.join(f'{x[1:]}: *' for x in sorted(fields))}>>"
+
+    return f"OBJECT<{', '.join(f'{n}: {kind(tree[n])}' for n in sorted(tree))}>"
 
 
 def fingerprints() -> dict[str, str]:
-    """Path lists of all layouts, with and without what they may fill."""
+    """The shapes of all layouts, with and without what they may fill."""
     found: dict[str, str] = {}
     for x in LAYOUTS:
         for some in chain.from_iterable(combinations(x.may, k) for k in range(len(x.may) + 1)):
-            found[",".join(p for p in PATHS if p in x.needs or p in some)] = x.name
+            found[shape([*x.needs, *some])] = x.name
     return found
 
 
+def content_of(value: Column) -> Column:
+    """The text of a content that may be a list of parts."""
+    whole = F.try_variant_get(value, "$", "string")
+    part = lambda e: F.coalesce(F.try_variant_get(e, "$.text", "string"), F.when(F.schema_of_variant(e) == "STRING", F.try_variant_get(e, "$", "string")))
+    texts = F.filter(F.transform(F.try_variant_get(value, "$", "array<variant>"), part), lambda t: t.isNotNull())
+    return F.when(F.schema_of_variant(value).startswith("ARRAY"), F.when(F.size(texts) > 0, F.array_join(texts, "\n"))).otherwise(whole)
+
+
 def role_of(role: Column) -> Column:
     low = F.lower(F.trim(role))
     known = F.lit(None).cast("string")
@@ -112,27 +146,35 @@ def _turns(parsed: Column, layout: Layout) -> Column:
             parts.append(F.transform(flat, lambda x, i: _turn(F.when(i % 2 == 0, F.lit("user")).otherwise(F.lit("assistant")), x)))
         else:
             a, b = LISTS[path]
-            parts.append(F.transform(parsed[path], lambda x: _turn(role_of(x.getField(a)), x.getField(b))))
+            parts.append(F.transform(parsed[path], lambda x: _turn(role_of(x.getField(a)), content_of(x.getField(b)))))
     whole = F.concat(*[F.coalesce(p.cast(f"array<{TURN}>"), F.array().cast(f"array<{TURN}>")) for p in parts])
     return F.filter(whole, lambda t: t["content"].isNotNull())
 
 
 def canonical(records: DataFrame, column: str = "record") -> DataFrame:
-    """The input's columns with layout and turns (array of role and content), whose names must be free there."""
-    parsed = F.from_json(F.col(column), SCHEMA)
-    out = records.withColumn("_quoin_parsed", parsed).withColumn("_quoin_print", F.xxhash64(paths_of(F.col("_quoin_parsed"))))
-    layout = F.lit(None).cast("string")
+    """The input's columns with layout and turns (array of role and content)."""
+    parsed, key, chosen = (free(n, records.columns) for n in ("parsed", "fingerprint", "chosen"))
+    out = records.withColumn(parsed, F.from_json(F.col(column), SCHEMA)).withColumn(key, F.xxhash64(shape_of(F.col(column))))
+    # other fingerprints: the first layout whose paths are filled
+    layout = F.coalesce(*[F.when(_all([F.coalesce(_filled(F.col(parsed), p), F.lit(False)) for p in x.needs]), F.lit(x.name)) for x in LAYOUTS])
     by: dict[str, list[str]] = {}
-    for paths, name in fingerprints().items():
-        by.setdefault(name, []).append(paths)
+    for shape_, name in fingerprints().items():
+        by.setdefault(name, []).append(shape_)
     for name, some in by.items():
         # literals hashed by the same function; the optimizer folds them
-        layout = F.when(F.col("_quoin_print").isin([F.xxhash64(F.lit(p)) for p in some]), F.lit(name)).otherwise(layout)
-    out = out.withColumn("layout", layout)
+        layout = F.when(F.col(key).isin([F.xxhash64(F.lit(p)) for p in some]), F.lit(name)).otherwise(layout)
+    out = out.withColumn(chosen, layout)
     turns = F.lit(None).cast(f"array<{TURN}>")
     for x in LAYOUTS:
-        turns = F.when(F.col("layout") == x.name, _turns(F.col("_quoin_parsed"), x)).otherwise(turns)
-    return out.withColumn("turns", turns).drop("_quoin_parsed", "_quoin_print")
+        turns = F.when(F.col(chosen) == x.name, _turns(F.col(parsed), x)).otherwise(turns)
+    return out.select(*[F.col(f"`{c}`") for c in records.columns], F.col(chosen).alias(free("layout", records.columns)), turns.alias(free("turns", records.columns)))
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
 
 
 def rendered(turns: Column) -> Column:
