@@ -17,7 +17,8 @@ Semantics
     Without labels, or with one class only, a target's score is the smoothed
     share of that class, so that nothing but blank texts is rejected.
   * One row per row of the input, repeated ones included; a null doc_id is kept
-    as it is. Extra columns don't matter.
+    as it is. Extra columns don't matter; where the input has a column of a
+    result's name, the result is named with a leading underscore (more if taken).
 """
 
 from __future__ import annotations
@@ -30,16 +31,19 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import free, let
 from .tokens import WORD
 
 SAMPLE_ROWS, TREES, DEPTH, BINS, THRESHOLD = 10_000, 40, 3, 48, 0.5
-PREFIX = "_quoin_stat_"
 MARKS = r"[#%$&*|!^~<>{}=@_\[\]]"
 
 
-def statistics(text: Column, abuse: list[list[str]]) -> dict[str, Column]:
+def words_of(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
+
+
+def statistics(text: Column, words: Column, abuse: list[list[str]]) -> dict[str, Column]:
     """The statistics that rules speak of, by name."""
-    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ")
     n = F.size(words).cast("double")
     chars = F.greatest(F.length(text), F.lit(1)).cast("double")
 
@@ -140,10 +144,11 @@ class Rule:
             out &= (x[name] > at) if above else (x[name] <= at)
         return out
 
-    def column(self) -> Column:
+    def column(self, x: Column) -> Column:
+        """The rule on a struct of statistics."""
         out = None
         for name, above, at in self.terms:
-            c = (F.col(PREFIX + name) > F.lit(at)) if above else (F.col(PREFIX + name) <= F.lit(at))
+            c = (x[name] > F.lit(at)) if above else (x[name] <= F.lit(at))
             out = c if out is None else out & c
         return out
 
@@ -157,10 +162,10 @@ class Ensemble:
         z = self.intercept + sum((w * r.holds(x) for w, r in self.rules), np.zeros(len(next(iter(x.values())))))
         return 1 / (1 + np.exp(-z))
 
-    def column(self) -> Column:
+    def column(self, x: Column) -> Column:
         z = F.lit(self.intercept)
         for w, r in self.rules:
-            z = z + F.when(r.column(), F.lit(w)).otherwise(F.lit(0.0))
+            z = z + F.when(r.column(x), F.lit(w)).otherwise(F.lit(0.0))
         return 1 / (1 + F.exp(-z))
 
 
@@ -266,14 +271,23 @@ class Classifier:
     low: Ensemble
     toxic: Ensemble
 
-    def scored(self, docs: DataFrame, threshold: float = THRESHOLD, prefix: str = "") -> DataFrame:
-        """The input's columns and low_quality, toxicity, keep, whose names with the prefix must be free there."""
-        real = F.trim(F.regexp_replace("text", r"\s+", " ")) != ""
-        # statistics under names that no column of the input is likely to have
-        with_stats = docs.withColumns({PREFIX + k: F.coalesce(c, F.lit(0.0)) for k, c in statistics(F.col("text"), self.abuse).items()})
-        out = with_stats.withColumns({prefix + n: F.when(real, F.round(e.column(), 6)) for n, e in (("low_quality", self.low), ("toxicity", self.toxic))})
-        out = out.drop(*[c for c in out.columns if c.startswith(PREFIX) and c not in docs.columns])
-        return out.withColumn(prefix + "keep", F.coalesce((F.col(prefix + "low_quality") < threshold) & (F.col(prefix + "toxicity") < threshold), F.lit(False)))
+    def verdict(self, text: Column, threshold: float = THRESHOLD) -> Column:
+        """A struct of low_quality, toxicity and keep: one expression, in which each statistic is computed once."""
+
+        def judged(words: Column) -> Column:
+            stats = F.struct(*[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in statistics(text, words, self.abuse).items()])
+            real = F.array_join(words, "") != ""
+            scores = let(stats, lambda x: F.struct(*[F.when(real, F.round(e.column(x), 6)).alias(n) for n, e in (("low_quality", self.low), ("toxicity", self.toxic))]))
+            keep = lambda x: F.coalesce((x["low_quality"] < threshold) & (x["toxicity"] < threshold), F.lit(False))
+            return let(scores, lambda x: F.struct(x["low_quality"].alias("low_quality"), x["toxicity"].alias("toxicity"), keep(x).alias("keep")))
+
+        return let(words_of(text), judged)
+
+    def scored(self, docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+        """The input's columns and low_quality, toxicity, keep."""
+        held = free("verdict", docs.columns)
+        out = docs.withColumn(held, self.verdict(F.col("text"), threshold))
+        return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(held)[n].alias(free(n, docs.columns)) for n in ("low_quality", "toxicity", "keep")])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample_rows: int) -> list:
@@ -303,7 +317,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> C
         none = fit_ensemble({"words": np.zeros(0)}, np.zeros(0))
         return Classifier([[], []], none, none)
     frame = spark.createDataFrame(rows[["text"]].reset_index(names="at")[["at", "text"]].assign(at=range(len(rows))))
-    stats = frame.select("at", *[c.alias(k) for k, c in statistics(F.col("text"), abuse).items()]).toPandas().sort_values("at")
+    stats = frame.select("at", *[c.alias(k) for k, c in statistics(F.col("text"), words_of(F.col("text")), abuse).items()]).toPandas().sort_values("at")
     x = {k: stats[k].fillna(0).to_numpy(float) for k in stats.columns if k != "at"}
     return Classifier(abuse, fit_ensemble(x, low), fit_ensemble(x, toxic))
 
