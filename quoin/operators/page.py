@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
-from math import floor
+from math import ceil, floor
 
 from ..functions.text import py_cell_norm, py_clean, py_heading_like, py_is_bullet, py_is_page_number, py_ordered, py_strip_bullet
 
@@ -205,8 +205,8 @@ def is_label_layout(rows: list[Line]) -> bool:
     two = [r for r in rows if len(r.cells) == 2]
     if not two or len(two) < 0.8 * len(rows):
         return False
-    label = lambda s: bool(re.fullmatch(r"[0-9]+[.)]?", s)) or (s.startswith("(") and s.endswith(")") and len(s.encode()) <= 5) or s.endswith(":")
-    return sum(label(r.cells[0]) for r in two) >= 0.8 * len(two)
+    label = lambda s: py_ordered(s + " x") is not None or (s.startswith("(") and s.endswith(")") and len(s.encode()) <= 5) or s.endswith(":")
+    return sum(label(r.cells[0].strip()) for r in two) >= 0.8 * len(two)
 
 
 def segments(rows: list[Line]) -> list[list[Line]]:
@@ -228,7 +228,7 @@ def segments(rows: list[Line]) -> list[list[Line]]:
     held: list[Line] = []
     for p in pieces:
         held += p
-        if len(held) >= 5:
+        if len(p) >= 5:
             out.append(held)
             held = []
     if held:
@@ -249,7 +249,7 @@ def columns_of(rows: list[Line]) -> list[tuple[float, float]]:
     if width <= 0:
         return [(low, 0.0)]
     step = max(width / 240, 1.5)
-    n = int(width / step) + 1
+    n = ceil(width / step) + 1
     cover = [0] * n
     for r in rows:
         seen = set()
@@ -257,7 +257,7 @@ def columns_of(rows: list[Line]) -> list[tuple[float, float]]:
             seen.update(range(max(0, int((t.x - low) / step)), min(n - 1, int((t.right - low) / step)) + 1))
         for k in seen:
             cover[k] += 1
-    limit, least = int(0.3 * len(rows)), max(2, round(3 / step))
+    limit, least = int(0.3 * len(rows)), max(2, floor(3 / step + 0.5))
     out, run, started = [], 0, False
     for k, c in enumerate(cover):
         if c <= limit:
@@ -270,16 +270,16 @@ def columns_of(rows: list[Line]) -> list[tuple[float, float]]:
 
 
 def block_cuts(rows: list[Line], cols: list[tuple[float, float]]) -> list[float]:
-    gaps = [g for _, g in cols if g > 0]
+    gaps = [g for _, g in cols[1:] if g > 0]
     if len(gaps) < 3:
         return []
     least = max(2.5 * upper_median(gaps), 18)
-    filled = [r for r in rows if r.words]
+    filled = [r for r in rows if r.cell_x]
     out = []
-    for x, g in cols:
+    for x, g in cols[1:]:
         if g >= least:
-            both = sum(sum(c < x - 1 for c in r.cell_x) >= 2 and sum(c >= x - 1 for c in r.cell_x) >= 2 for r in filled)
-            if both >= 0.5 * len(filled):
+            both = sum(sum(c < x for c in r.cell_x) >= 2 and sum(c >= x for c in r.cell_x) >= 2 for r in filled)
+            if filled and both >= 0.5 * len(filled):
                 out.append(x)
     return out
 
@@ -309,31 +309,33 @@ def pipe_rows(matrix: list[list[str]]) -> str:
     return "\n".join(out)
 
 
-def table_blocks(rows: list[Line], depth: int = 0) -> list[str]:
+def table_text(rows: list[Line], depth: int = 0) -> str:
+    """The Markdown of a table region; tables side by side come one after the other."""
     cols = columns_of(rows)
     if depth < 2:
         cuts = block_cuts(rows, cols)
         if cuts:
-            edges = [float("-inf"), *[c - 1 for c in cuts], float("inf")]
+            edges = [float("-inf"), *cuts, float("inf")]
             out: list[str] = []
             for a, b in zip(edges, edges[1:]):
                 part = [[t for t in r.words if a <= t.x < b] for r in rows]
                 part = [make_line(p) for p in part if p]
                 if len(part) >= 2 and any(len(p.cells) >= 2 for p in part):
-                    out += table_blocks(part, depth + 1)
-                else:
-                    out += [t for t in (py_clean(p.text) for p in part) if t]
+                    out.append(table_text(part, depth + 1))
+                elif part:
+                    out.append("\n\n".join(py_clean(p.text) for p in part))
             if len(out) > 1:
-                return out
+                return "\n\n".join(out)
     starts = [x for x, _ in cols]
     if len(starts) < 2:
         found = clusters([(i, x) for i, r in enumerate(rows) for x in r.cell_x], 12)
         strong = [c for c in found if len(c[1]) >= max(0.25 * len(rows), 2)]
-        xs = sorted(c[0] for c in (strong if len(strong) >= 2 else found))
-        starts = []
-        for x in xs:
-            if not starts or x - starts[-1] > 12:
-                starts.append(x)
+        starts = [c[0] for c in (strong if len(strong) >= 2 else found)]
+    kept: list[float] = []
+    for x in sorted(starts):
+        if not kept or x - kept[-1] > 12:
+            kept.append(x)
+    starts = kept
     n = max(1, len(starts))
 
     def column(x: float) -> int:
@@ -373,8 +375,8 @@ def table_blocks(rows: list[Line], depth: int = 0) -> list[str]:
             part = [r[a : a + period] for r in matrix if any(r[a : a + period])]
             if part:
                 out.append(pipe_rows(part))
-        return out
-    return [pipe_rows(matrix)]
+        return "\n\n".join(out)
+    return pipe_rows(matrix)
 
 
 # --- blocks ------------------------------------------------------------------------------------
@@ -418,29 +420,25 @@ def classify(groups: list[list[Line]], body: float, levels: dict[int, int]) -> l
         while k < len(group):
             line = group[k]
             if len(line.cells) >= 2 and tried != k:
-                end, last = k + 1, line.y
+                end, last = k, line.y + 1
                 while end < len(group):
                     nxt = group[end]
                     gap = last - nxt.y
-                    if len(nxt.cells) >= 2 or (0 <= gap < 2.2 * nxt.size and nxt.x > line.x + 8):
+                    if len(nxt.cells) >= 2 or (end > k and 0 <= gap < 2.2 * nxt.size and nxt.x > line.x + 8):
                         last = nxt.y
                         end += 1
                     else:
                         break
                 region = group[k:end]
                 kinds = []
-                for seg in segments(region):
-                    if len(seg) >= 2 and is_label_layout(seg):
-                        kinds.append((1, seg))
-                    elif len(seg) >= 2 and is_aligned(seg) and has_substance(seg):
-                        kinds.append((2, seg))
-                    else:
-                        kinds.append((0, seg))
+                for seg in segments(region) if len(region) >= 2 else []:
+                    worthy = len(seg) >= 2 and is_aligned(seg) and has_substance(seg)
+                    kinds.append((0 if not worthy else 1 if is_label_layout(seg) else 2, seg))
                 if any(kind for kind, _ in kinds):
                     flush()
                     for kind, seg in kinds:
-                        found = table_blocks(seg) if kind == 2 else [py_clean(r.text) for r in seg]
-                        out += [(top, b) for b in found if b]
+                        found = [table_text(seg)] if kind == 2 else [py_clean(r.text) for r in seg]
+                        out += [(top, b) for b in found]
                     k = end
                     continue
                 tried = k  # no table here: the line is read again as text
@@ -507,5 +505,4 @@ def convert(pages: list[list[Word]], lattices: list[list[tuple[float, str]]] | N
                 blocks.append(ruled.pop(0)[1])
             blocks += [b for _, b in classify([group], body, levels)]
         blocks += [md for _, md in ruled]
-    text = "\n\n".join(cut_references(blocks)).strip()
-    return text + "\n" if text else ""
+    return "\n\n".join(cut_references(blocks)).strip() + "\n"

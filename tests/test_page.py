@@ -1,6 +1,6 @@
 from quoin.functions.text import py_clean, py_heading_like, py_is_page_number
 from quoin.operators.glyphs import fold
-from quoin.operators.page import Line, Word, convert, cut_references, join_lines, repeat_period
+from quoin.operators.page import Line, Word, block_cuts, classify, convert, cut_references, join_lines, make_line, repeat_period, segments, table_text
 from quoin.operators.rulings import components, lattices, merge_segments
 from quoin.operators.scoring import py_dice, row_similarity
 from quoin.sources.tables import ragged_rows
@@ -59,7 +59,7 @@ def test_small_parts():
     assert py_dice("night", "nacht") == 0.25 and py_dice("", "") == 1.0 and py_dice("a", "b") == 0.0
     assert row_similarity(["a", "bc"], ["bc"]) == 2 / 3
     assert ragged_rows('a,"b, ""c"""\r\n,\n1\n') == [["a", 'b, "c"'], ["1"]]
-    assert convert([[]]) == "" and Line
+    assert convert([[]]) == "\n" and Line
 
 
 def glyph(k, ch, x, size=11.0, **more):
@@ -70,3 +70,29 @@ def test_glyphs():
     words = fold([glyph(0, "a", 0.0), glyph(1, "b", 5.0), glyph(2, " ", 10.0, 1.0), glyph(3, "c", 10.0), glyph(4, "d", 40.0), glyph(5, "S", 50.0, 84.0, t=220.0, mb=-1.0), glyph(6, None, 45.0), glyph(7, "e", 45.0)])
     assert [w[0] for w in words] == ["ab", "c", "d", "e"]
     assert fold([glyph(0, "a", 0.0, rot=90)])[0][1:3] == (100.0, -0.0)
+
+
+def row(y, *cells, size=11.0):
+    """A line of cells (x, text)."""
+    return make_line([w for x, c in cells for w in text(x, y, c, size)])
+
+
+def test_short_pieces_join_the_next_one():
+    rows = [row(700 - 10 * k, (56, "aaa"), (200, "bbb")) for k in range(3)] + [row(660 - 10 * k, (90, "ccc"), (300, "ddd")) for k in range(3)] + [row(620 - 10 * k, (130, "eee"), (400, "fff")) for k in range(6)]
+    assert [len(s) for s in segments(rows)] == [12]
+    assert [len(s) for s in segments(rows[6:] + rows[:3])] == [9]
+
+
+def test_rows_of_labels_that_do_not_line_up_are_prose():
+    aligned = [row(700 - 16 * k, (56, f"{k}."), (130, "some words of text")) for k in range(4)]
+    assert [b for _, b in classify([aligned], 11.0, {})] == [f"{k}. some words of text" for k in range(4)]
+    ragged = [row(700 - 16 * k, (56 + 40 * k, f"x{k}:"), (230 + 40 * k, "some words of text")) for k in range(4)]
+    assert len(classify([ragged], 11.0, {})) == 1
+
+
+def test_tables_side_by_side():
+    cells = lambda k: [(60, f"aa{k}"), (100, f"bb{k}"), (140, f"cc{k}"), (300, f"dd{k}"), (340, f"ee{k}"), (380, f"ff{k}")]
+    rows = [row(700 - 16 * k, *cells(k)) for k in range(6)]
+    found = table_text(rows)
+    assert found.count("| --- | --- | --- |") == 2 and found.index("| aa5") < found.index("| dd0")
+    assert len(block_cuts(rows, [(60.0, 0.0), (100.0, 20.0), (140.0, 20.0), (300.0, 140.0), (340.0, 20.0), (380.0, 20.0)])) == 1
