@@ -187,13 +187,10 @@ def median_gap(spark, sf_dir):
     return gaps.groupBy("doc_id", "page_no").agg(held.alias("g")).select("doc_id", "page_no", F.coalesce(F.get("g", (F.size("g") / 2).cast("int")), F.lit(0.0)).alias("median_gap"))
 
 
-def found_furniture(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, text) of repeated boundary lines, and the same with masked digits."""
-    up, down = (Window.partitionBy("doc_id", "page_no").orderBy(o) for o in (F.desc("y"), F.asc("y")))
-    edge = lines.withColumn("_a", F.row_number().over(up)).withColumn("_b", F.row_number().over(down)).filter("(_a <= 2 or _b <= 2) and text <> ''")
-    exact = edge.groupBy("doc_id", "text").agg(F.count("*").alias("n")).filter("n >= 2")
-    masked = edge.groupBy("doc_id", T.digits_masked(F.col("text")).alias("text")).agg(F.count("*").alias("n")).filter((F.col("n") >= 3) & (F.length(F.regexp_replace("text", r"[^\p{IsAlphabetic}]", "")) >= 4))
-    return exact, masked
+def is_repeated(kind, n, text):
+    """Whether an edge line that comes n times is furniture, as it is or with its digits masked."""
+    letters = F.length(F.regexp_replace(text, r"[^\p{IsAlphabetic}]", ""))
+    return F.when(kind == "exact", n >= 2).otherwise((n >= 3) & (letters >= 4))
 
 
 FU = FL + """,
@@ -206,15 +203,17 @@ ma as (select doc_id, text, count(*) as n from ma0 group by doc_id, text having
 @query(f"with {FU} select doc_id, text, n, 'exact' as kind from ex union all select doc_id, text, n, 'masked' from ma")
 def furniture(spark, sf_dir):
     """Head and foot lines that pages of a document share."""
-    exact, masked = found_furniture(typeset.framed_lines(read(spark, sf_dir, "documents")))
-    return exact.withColumn("kind", F.lit("exact")).unionByName(masked.withColumn("kind", F.lit("masked")))
+    edge = typeset.framed_lines(read(spark, sf_dir, "documents")).filter("edge and text <> ''")
+    forms = F.array(F.struct(F.col("text"), F.lit("exact").alias("kind")), F.struct(T.digits_masked(F.col("text")).alias("text"), F.lit("masked").alias("kind")))
+    return edge.select("doc_id", F.inline(forms)).groupBy("doc_id", "text", "kind").agg(F.count("*").alias("n")).filter(is_repeated(F.col("kind"), F.col("n"), F.col("text"))).select("doc_id", "text", "n", "kind")
 
 
 def clean_lines(lines: DataFrame) -> DataFrame:
-    exact, masked = found_furniture(lines)
-    kept = lines.filter(~T.is_page_number(F.col("text"))).withColumn("_m", T.digits_masked(F.col("text")))
-    kept = kept.join(exact.select("doc_id", "text"), ["doc_id", "text"], "left_anti")
-    return kept.join(masked.select("doc_id", F.col("text").alias("_m")), ["doc_id", "_m"], "left_anti").drop("_m")
+    """Lines that are neither page numbers nor furniture; the counts are windows over the document's partition."""
+    counted = lines.withColumn("_edge", (F.col("edge") & (F.col("text") != "")).cast("int")).withColumn("_m", T.digits_masked(F.col("text")))
+    counted = counted.withColumn("_n", F.sum("_edge").over(Window.partitionBy("doc_id", "text"))).withColumn("_k", F.sum("_edge").over(Window.partitionBy("doc_id", "_m")))
+    noise = is_repeated(F.lit("exact"), F.col("_n"), F.col("text")) | is_repeated(F.lit("masked"), F.col("_k"), F.col("_m")) | T.is_page_number(F.col("text"))
+    return counted.filter(~noise).drop("_edge", "_m", "_n", "_k")
 
 
 CL = FU + """,
@@ -229,10 +228,11 @@ def noise_antijoin(spark, sf_dir):
 
 
 def body_sizes(lines: DataFrame) -> DataFrame:
+    """doc_id, q (a size in half points), body and body_q (the commonest size; of equally common ones the first) for each size of a document."""
     order = F.struct("page_no", (-F.col("y")).alias("up"), "line")
-    by = lines.groupBy("doc_id", F.round(F.col("size") * 2).cast("int").alias("q")).agg(F.count("*").alias("n"), F.min_by("size", order).alias("body"), F.min(order).alias("first"))
+    by = lines.groupBy("doc_id", F.round(F.col("size") * 2).cast("int").alias("q")).agg(F.count("*").alias("n"), F.min_by("size", order).alias("size"), F.min(order).alias("first"))
     w = Window.partitionBy("doc_id").orderBy(F.desc("n"), "first")
-    return by.withColumn("k", F.row_number().over(w)).filter("k = 1").select("doc_id", "body", F.col("q").alias("body_q"))
+    return by.select("doc_id", "q", F.first("size").over(w).alias("body"), F.first("q").over(w).alias("body_q"))
 
 
 BS = CL + """,
@@ -243,15 +243,13 @@ bs as (select doc_id, body, q as body_q from (select *, row_number() over (parti
 @query(f"with {BS} select doc_id, body from bs")
 def body_size(spark, sf_dir):
     """The commonest size of a document's lines; of equally common ones the first."""
-    return body_sizes(clean_lines(typeset.framed_lines(read(spark, sf_dir, "documents")))).select("doc_id", "body")
+    return body_sizes(clean_lines(typeset.framed_lines(read(spark, sf_dir, "documents")))).filter("q = body_q").select("doc_id", "body")
 
 
 @query(f"with {BS}, h as (select distinct cl.doc_id, cast(round(size * 2) as int) as q from cl join bs using (doc_id) where cast(round(size * 2) as int) >= body_q + 2) select doc_id, q, cast(least(dense_rank() over (partition by doc_id order by q desc), 3) as int) as level from h")
 def heading_levels(spark, sf_dir):
     """Levels of the sizes above the body's."""
-    lines = clean_lines(typeset.framed_lines(read(spark, sf_dir, "documents")))
-    q = F.round(F.col("size") * 2).cast("int")
-    sizes = lines.select("doc_id", q.alias("q")).distinct().join(body_sizes(lines), "doc_id").filter("q >= body_q + 2")
+    sizes = body_sizes(clean_lines(typeset.framed_lines(read(spark, sf_dir, "documents")))).filter("q >= body_q + 2")
     return sizes.select("doc_id", "q", F.least(F.dense_rank().over(Window.partitionBy("doc_id").orderBy(F.desc("q"))), F.lit(3)).cast("int").alias("level"))
 
 
@@ -309,8 +307,10 @@ def rulings(spark, sf_dir):
     return R.rulings(order_paths(spark, sf_dir)).drop("page_no")
 
 
-@query(f"""with {RU} select h.doc_id, h.pos as h_pos, v.pos as v_pos from rr h join rr v on h.doc_id = v.doc_id and h.axis = 'h' and v.axis = 'v'
-  and v.pos between h.a1 - 4 and h.a2 + 4 and h.pos between v.a1 - 4 and v.a2 + 4""")
+@query(f"""with {RU}, hs as materialized (select doc_id, list({{'pos': pos, 'a1': a1, 'a2': a2}}) as hs from rr where axis = 'h' group by doc_id),
+vs as materialized (select doc_id, pos, a1, a2 from rr where axis = 'v'),
+hv as materialized (select doc_id, unnest(hs) as h, vs.pos as v_pos, vs.a1, vs.a2 from hs join vs using (doc_id))
+select doc_id, h.pos as h_pos, v_pos from hv where v_pos >= h.a1 - 4 and v_pos <= h.a2 + 4 and h.pos >= a1 - 4 and h.pos <= a2 + 4""")
 def ruling_intersections(spark, sf_dir):
     """Horizontal and vertical rulings that meet."""
     return R.intersections(R.rulings(order_paths(spark, sf_dir))).select("doc_id", "h_pos", "v_pos")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -76,11 +77,54 @@ def clamped(x: Column) -> Column:
     return F.when(bad, 0.0).otherwise(F.least(F.greatest(half_up(x), F.lit(0.0)), F.lit(10.0)))
 
 
-def survival(docs: DataFrame, passages: DataFrame) -> DataFrame:
-    """item_id, doc_id of passages whose letters a document's letters hold in order without a break."""
-    a = docs.select("doc_id", letters_only(F.col("text")).alias("_letters")).filter("_letters is not null")
-    b = passages.select("item_id", letters_only(F.col("text")).alias("_passage")).filter("_passage <> ''")
-    return a.join(b, F.contains("_letters", "_passage")).select("item_id", "doc_id")
+def matcher(letters: list[tuple[int, str]]):
+    """Texts of letters to the passages that they hold: one pass over each, whatever the number of passages."""
+
+    def run(batches):
+        import ahocorasick
+
+        by: dict[str, list[int]] = {}
+        for item, passage in letters:
+            by.setdefault(passage, []).append(item)
+        tree = ahocorasick.Automaton()
+        for passage, items in by.items():
+            tree.add_word(passage, items)
+        tree.make_automaton()
+        for batch in batches:
+            docs, found = [], []
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("_letters").to_pylist()):
+                items = {i for _, xs in tree.iter(text) for i in xs}
+                docs += [doc] * len(items)
+                found += sorted(items)
+            yield pa.RecordBatch.from_pydict({"item_id": pa.array(found, pa.int64()), "doc_id": pa.array(docs, pa.int64())})
+
+    return run
+
+
+def survival(docs: DataFrame, passages: DataFrame, most: int = 16 << 20) -> DataFrame:
+    """item_id, doc_id of passages whose letters a document's letters hold in order without a break.
+
+    The passages go to all executors in slices of at most ``most`` letters (or of one longer passage), each slice over all documents.
+    """
+    a = docs.select(F.col("doc_id").cast("long"), letters_only(F.col("text")).alias("_letters")).filter("_letters <> ''")
+    b = passages.select(F.col("item_id").cast("long"), letters_only(F.col("text")).alias("_passage")).filter("_passage <> ''")
+    schema = "item_id long, doc_id long"
+    out, part, held = None, [], 0
+
+    def add() -> None:
+        nonlocal out
+        found = a.mapInArrow(matcher(part), schema)
+        out = found if out is None else out.unionByName(found)
+
+    for row in b.toLocalIterator():
+        if part and held + len(row["_passage"]) > most:
+            add()
+            part, held = [], 0
+        part.append((row["item_id"], row["_passage"]))
+        held += len(row["_passage"])
+    if part:
+        add()
+    return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
 def broken_words(docs: DataFrame, known: DataFrame) -> DataFrame:

@@ -17,14 +17,14 @@ TOKENS = "doc_id long, page_no int, tok_no int, s string, x double, y double, w
 def words(docs: DataFrame) -> DataFrame:
     """doc_id, tok_no, s, line: the words of the texts and the lines they fall on; null ids and texts have none."""
     clean = docs.filter("doc_id is not null and text is not null")
-    parts = clean.select("doc_id", F.posexplode(F.filter(F.split("text", "[ \n]+"), lambda x: x != "")).alias("tok_no", "s"))
+    parts = clean.select("doc_id", "source", F.posexplode(F.filter(F.split("text", "[ \n]+"), lambda x: x != "")).alias("tok_no", "s"))
     before = Window.partitionBy("doc_id").orderBy("tok_no").rowsBetween(Window.unboundedPreceding, -1)
     cum = F.coalesce(F.sum(F.length("s") + 1).over(before), F.lit(0))
-    return parts.withColumn("cum", cum).select("doc_id", "tok_no", "s", (F.col("cum") / COLUMNS).cast("int").alias("line"), (F.col("cum") % COLUMNS).cast("int").alias("at"))
+    return parts.withColumn("cum", cum).select("doc_id", "source", "tok_no", "s", (F.col("cum") / COLUMNS).cast("int").alias("line"), (F.col("cum") % COLUMNS).cast("int").alias("at"))
 
 
-def tokens(docs: DataFrame) -> DataFrame:
-    """The table of positioned words, without head and foot lines."""
+def tokens(docs: DataFrame, *more: str) -> DataFrame:
+    """The table of positioned words, without head and foot lines; ``more`` may name the source."""
     return words(docs).select(
         "doc_id",
         (F.col("line") / LINES).cast("int").alias("page_no"),
@@ -35,30 +35,33 @@ def tokens(docs: DataFrame) -> DataFrame:
         (6.0 * F.length("s")).alias("w"),
         F.when(F.col("line") == 0, 22.0).otherwise(11.0).alias("size"),
         "line",
+        *more,
     )
 
 
 def lines(docs: DataFrame) -> DataFrame:
-    """doc_id, page_no, line, text, x, y, size: one row for each typeset line."""
+    """doc_id, source, page_no, line, text, x, y, size: one row for each typeset line."""
     held = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_no", "s"))), lambda t: t["s"]), " ")
-    return tokens(docs).groupBy("doc_id", "page_no", "line", "y", "size").agg(held.alias("text"), F.min("x").alias("x"))
+    return tokens(docs, "source").groupBy("doc_id", "source", "page_no", "line", "y", "size").agg(held.alias("text"), F.min("x").alias("x"))
 
 
 def framed_lines(docs: DataFrame) -> DataFrame:
-    """The lines with each page's head and foot line, and their order on the page."""
-    own = lines(docs).select("doc_id", "page_no", "line", "y", "size", "text")
-    pages = own.select("doc_id", "page_no").distinct().join(docs.select("doc_id", "source").filter("doc_id is not null").distinct(), "doc_id")
-    head = pages.select("doc_id", "page_no", F.lit(-1).alias("line"), F.lit(810.0).alias("y"), F.lit(8.0).alias("size"), F.coalesce("source", F.lit("")).alias("text"))
-    foot = pages.select("doc_id", "page_no", F.lit(2**31 - 1).alias("line"), F.lit(30.0).alias("y"), F.lit(8.0).alias("size"), F.concat(F.lit("Page "), (F.col("page_no") + 1).cast("string")).alias("text"))
-    return own.unionByName(head).unionByName(foot)
+    """The lines with each page's head and foot line, their order on the page, and whether a line is one of the two at either edge.
+
+    The texts are shuffled once, by document; all that follows keeps this partitioning.
+    """
+    own = lines(docs).groupBy("doc_id", "page_no").agg(F.first(F.coalesce("source", F.lit(""))).alias("source"), F.collect_list(F.struct((-F.col("y")).alias("up"), "line", "y", "size", "text")).alias("ls"))
+    edge_line = lambda line, y, text: F.struct(F.lit(-y).alias("up"), F.lit(line).alias("line"), F.lit(y).alias("y"), F.lit(8.0).alias("size"), text.alias("text"))
+    head = edge_line(-1, 810.0, F.col("source"))
+    foot = edge_line(2**31 - 1, 30.0, F.concat(F.lit("Page "), (F.col("page_no") + 1).cast("string")))
+    every = own.select("doc_id", "page_no", F.array_sort(F.concat("ls", F.array(head, foot))).alias("ls"))
+    return every.select("doc_id", "page_no", F.size("ls").alias("n"), F.posexplode("ls").alias("k", "t")).select("doc_id", "page_no", "t.line", "t.y", "t.size", "t.text", ((F.col("k") < 2) | (F.col("k") >= F.col("n") - 2)).alias("edge"))
 
 
 def framed_tokens(docs: DataFrame) -> DataFrame:
     """All words of the pages, those of head and foot lines too."""
-    own = tokens(docs).drop("line")
-    pages = own.select("doc_id", "page_no").distinct().join(docs.select("doc_id", "source").filter("doc_id is not null").distinct(), "doc_id")
-    foot = F.array(F.struct(F.lit("Page").alias("s"), F.lit(280.0).alias("x"), F.lit(30.0).alias("y")), F.struct((F.col("page_no") + 1).cast("string").alias("s"), F.lit(306.0).alias("x"), F.lit(30.0).alias("y")))
-    head = F.array(F.struct(F.col("source").alias("s"), F.lit(56.0).alias("x"), F.lit(810.0).alias("y")))
-    marks = pages.select("doc_id", "page_no", F.posexplode(F.concat(head, foot)).alias("k", "t")).filter("t.s <> ''")
-    marks = marks.select("doc_id", "page_no", (F.lit(1_000_000_000) + F.col("k")).cast("int").alias("tok_no"), "t.s", "t.x", "t.y", (6.0 * F.length("t.s")).alias("w"), F.lit(8.0).alias("size"))
-    return own.unionByName(marks)
+    own = tokens(docs, "source").drop("line")
+    page = own.groupBy("doc_id", "page_no").agg(F.first("source").alias("source"), F.collect_list(F.struct("tok_no", "s", "x", "y", "w", "size")).alias("ws"))
+    mark = lambda k, s, x, y: F.struct(F.lit(1_000_000_000 + k).alias("tok_no"), s.alias("s"), F.lit(x).alias("x"), F.lit(y).alias("y"), (6.0 * F.length(s)).alias("w"), F.lit(8.0).alias("size"))
+    marks = F.array(mark(0, F.coalesce("source", F.lit("")), 56.0, 810.0), mark(1, F.lit("Page"), 280.0, 30.0), mark(2, (F.col("page_no") + 1).cast("string"), 306.0, 30.0))
+    return page.select("doc_id", "page_no", F.inline(F.concat("ws", F.filter(marks, lambda t: t["s"] != ""))))
