@@ -71,7 +71,7 @@ def heading_like(s: Column) -> Column:
 
 def table_norm(s: Column) -> Column:
     t = F.regexp_replace(F.lower(s), "[’‘]", "'")
-    t = F.regexp_replace(t, r"\.{2,}|(?:\. ){2,}", " ")
+    t = F.regexp_replace(t, r"(?:\s*\.){4,}\s*", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"[^a-z0-9.()%†+-]+", " "), " +", " "))
 
 

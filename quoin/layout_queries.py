@@ -84,7 +84,7 @@ def clean_text(spark, sf_dir, lines=marked_lines):
     return lines(spark, sf_dir).select("doc_id", "line_no", T.clean(F.col("s")).alias("cleaned"))
 
 
-@query(f"""with {L} select doc_id, line_no, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(s), '[’‘]', '''', 'g'), '\\.{{2,}}|(?:\\. ){{2,}}', ' ', 'g'), '[^a-z0-9.()%†+-]+', ' ', 'g'), ' +', ' ', 'g')) as table_norm,
+@query(f"""with {L} select doc_id, line_no, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(s), '[’‘]', '''', 'g'), '(?:\\s*\\.){{4,}}\\s*', ' ', 'g'), '[^a-z0-9.()%†+-]+', ' ', 'g'), ' +', ' ', 'g')) as table_norm,
   trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) as cell_norm, regexp_replace(lower(s), '[^a-z0-9]+', '', 'g') as letters,
   cast((length(s) - length(replace(s, 'en', ''))) // 2 as bigint) as occurrences, substr(sha256(s), 1, 24) as short_key,
   case when length(s) > 200 then substr(s, 1, 200) || chr(10) || '[clipped]' else s end as clipped from l""")
@@ -381,6 +381,59 @@ def bigram_dice(spark, sf_dir):
     return a.join(b, "a").select("a", "b", F.round(S.dice(F.col("x"), F.col("y")), 6).alias("dice"))
 
 
+def order_grids(spark, sf_dir) -> DataFrame:
+    """id and grid: for each order a table of two columns."""
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.struct("l_linenumber", F.col("l_partkey").cast("string").alias("a"), F.concat(F.lit("$ "), F.col("l_quantity").cast("int").cast("string"), F.lit(" Qty. "), F.col("l_returnflag"), F.col("l_linestatus")).alias("b")).alias("r"))
+    return rows.groupBy("id").agg(F.transform(F.array_sort(F.collect_set("r")), lambda r: F.array(r["a"], r["b"])).alias("grid"))
+
+
+def order_markdown(spark, sf_dir) -> DataFrame:
+    """converter, id, md: what three converters make of the orders' tables: one under a heading and after another table, one with the columns swapped and changed, one none."""
+    pipe = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+    whole = F.array_join(F.transform("grid", pipe), "\n")
+    swapped = F.array_join(F.transform("grid", lambda r: pipe(F.array(F.upper(F.get(r, 1)), F.substring(F.get(r, 0), 2, 99)))), "\n")
+    made = F.array(
+        F.struct(F.lit("good").alias("converter"), F.concat(F.lit("Text.\n\n| x | y |\n| --- | --- |\n| 1 | Qty |\n\n| Part | Figures |\n| --- | --- |\n"), whole, F.lit("\n\nMore.")).alias("md")),
+        F.struct(F.lit("fair").alias("converter"), F.concat(swapped, F.lit("\nend")).alias("md")),
+        F.struct(F.lit("none").alias("converter"), F.concat(F.lit("no table of "), F.col("id").cast("string")).alias("md")),
+    )
+    return order_grids(spark, sf_dir).select("id", F.inline(made))
+
+
+TS = r"""r0 as (select distinct l_orderkey as id, l_linenumber as n, l_partkey::varchar as a, '$ ' || l_quantity::int || ' Qty. ' || l_returnflag || l_linestatus as b from lineitem),
+r1 as (select id, a, b, row_number() over (partition by id order by n, a, b) as i, count(*) over (partition by id) as rows from r0),
+found as (
+  select 'good' as converter, id, 0 as tbl, unnest([0, 1]) as j, unnest(['x', '1']) as c, unnest(['y', 'Qty']) as d from (select distinct id from r1)
+  union all select distinct 'good', id, 1, 0, 'Part', 'Figures' from r1
+  union all select 'good', id, 1, i, a, b from r1
+  union all select 'fair', id, 0, i - 1, upper(b), substr(a, 2) from r1),
+norm as (select s, trim(regexp_replace(regexp_replace(regexp_replace(lower(s), '(?:\s*\.){4,}\s*', ' ', 'g'), '[^a-z0-9.()%†+-]+', ' ', 'g'), ' +', ' ', 'g')) as z from (select a as s from r1 union select b from r1 union select c from found union select d from found)),
+t as (select r1.id, i, rows, x.z as a, y.z as b from r1 join norm x on x.s = r1.a join norm y on y.s = r1.b),
+f as (select converter, id, tbl, j, x.z as c, y.z as d from found join norm x on x.s = found.c join norm y on y.s = found.d),
+p as (select converter, t.id, rows, tbl, j - (i - 1) as start, a, b, c, d from t join f on f.id = t.id and j >= i - 1),
+need as (select distinct u, v from (select a as u, c as v from p union all select a, d from p union all select b, c from p union all select b, d from p)),
+g as (select distinct s, g, count(*) as k from (select s, s[i : i + 1] as g from (select s, unnest(range(1, length(s))) as i from (select u as s from need union select v from need))) group by s, g),
+cm as (select u, v, sum(least(x.k, y.k)) as common from need join g x on x.s = u join g y on y.s = v and y.g = x.g group by u, v),
+sim as (select need.u, need.v, case when need.u = need.v then 1.0 when need.u = '' or need.v = '' or length(need.u) + length(need.v) <= 2 then 0.0 else 2.0 * coalesce(common, 0) / (length(need.u) + length(need.v) - 2) end::double as s from need left join cm on cm.u = need.u and cm.v = need.v),
+-- of two cells against two, the best alignment is one of three
+w as (select converter, id, rows, tbl, start, 2 * greatest(ac.s + bd.s, ad.s, bc.s) / 4 as s from p
+  join sim ac on ac.u = a and ac.v = c join sim bd on bd.u = b and bd.v = d join sim ad on ad.u = a and ad.v = d join sim bc on bc.u = b and bc.v = c),
+ts0 as (select converter, id, max(x) as score from (select converter, id, sum(s) / any_value(rows) as x from w group by converter, id, tbl, start) group by converter, id),
+ts as (select k.converter, r.id, round(coalesce(score, 0), 6) as score from (select distinct id from r1) r cross join (select unnest(['good', 'fair', 'none']) as converter) k left join ts0 on ts0.converter = k.converter and ts0.id = r.id)"""
+
+
+@query(f"with {TS} select converter, id, score from ts")
+def table_scores(spark, sf_dir):
+    """How much of each labelled grid the best table of a conversion holds, over all conversions."""
+    return S.table_scores(order_grids(spark, sf_dir), order_markdown(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query(f"with {TS}, m as (select converter, count(*) as tables, round(avg(score), 4) as mean_score from ts group by converter) select converter, tables, mean_score, cast(row_number() over (order by mean_score desc, converter) as int) as rank from m")
+def table_leaderboard(spark, sf_dir):
+    """The converters by the mean score of their tables."""
+    return S.table_leaderboard(table_scores(spark, sf_dir)).withColumn("mean_score", F.round("mean_score", 4))
+
+
 def event_runs(spark, sf_dir) -> DataFrame:
     """The events taken as runs: their type the converter, the user the document, the value the time."""
     e = read(spark, sf_dir, "events").filter("value is not null")

@@ -7,10 +7,9 @@ from collections import Counter
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
-from ..functions.text import half_up, letters_only
+from ..functions.text import half_up, letters_only, table_norm
+from ..sources.tables import pipe_tables
 
 WEIGHTS = {"text": 0.35, "structure": 0.25, "order": 0.20, "tables": 0.15, "noise": 0.05}
 
@@ -47,21 +46,45 @@ def row_similarity(a: list[str], b: list[str]) -> float:
     return 2 * dp[-1][-1] / (len(a) + len(b))
 
 
-@pandas_udf(DoubleType())
-def row_similarity_udf(a, b):
-    import pandas as pd
+def row_sim(a: Column, b: Column) -> Column:
+    """``row_similarity`` of two arrays of normalised cells, as a column."""
+    zero = lambda n: F.array_repeat(F.lit(0.0), n + 1)
 
-    return pd.Series([row_similarity(list(x), list(y)) for x, y in zip(a, b)])
+    def row(above: Column, x: Column) -> Column:
+        def cell(done: Column, j: Column) -> Column:
+            best = F.greatest(F.get(above, j), F.get(done, j - 1), F.get(above, j - 1) + dice(x, F.get(b, j - 1)))
+            return F.concat(done, F.array(best))
 
+        return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0.0)), cell)
 
-def grid_score(pairs: DataFrame) -> DataFrame:
-    """grid_id, score of rows (grid_id, truth_row, cells) against (grid_id, found_row, cells), at the best start.
+    last = F.aggregate(a, zero(F.size(b)), row, lambda d: F.element_at(d, -1))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0)).otherwise(2 * last / (F.size(a) + F.size(b)))
 
-    ``pairs`` has grid_id, n_rows, truth_row, truth, found_row, found for all row pairs of a grid.
+
+def table_scores(labels: DataFrame, results: DataFrame) -> DataFrame:
+    """converter, id, score of grids (id, grid) against all tables of conversions (converter, id, md).
+
+    A table's score is that of its best start: the mean over the grid's rows of their
+    similarity with the table's row at that distance. Conversions without tables score 0.
     """
-    sims = pairs.withColumn("start", F.col("found_row") - F.col("truth_row")).filter("start >= 0").withColumn("sim", row_similarity_udf("truth", "found"))
-    by_start = sims.groupBy("grid_id", "n_rows", "start").agg((F.sum("sim") / F.first("n_rows")).alias("score"))
-    return by_start.groupBy("grid_id").agg(F.max("score").alias("score"))
+    key = F.struct("converter", "id").alias("key")
+    found = pipe_tables(results.select(key, F.col("md").alias("text")), "key").select("key", "table_no", "row_no", F.transform("cells", table_norm).alias("found"))
+    rows = labels.select("id", F.size("grid").alias("n_rows"), F.posexplode(F.transform("grid", lambda r: F.transform(r, table_norm))).alias("i", "truth"))
+    pairs = found.join(rows, F.col("key.id") == F.col("id")).filter("row_no >= i")
+    sims = pairs.select("key", "table_no", (F.col("row_no") - F.col("i")).alias("start"), "n_rows", row_sim(F.col("truth"), F.col("found")).alias("sim"))
+    by_start = sims.groupBy("key", "table_no", "start").agg((F.sum("sim") / F.first("n_rows")).alias("score"))
+    best = by_start.groupBy("key").agg(F.max("score").alias("score"))
+    asked = results.join(labels.select("id"), "id").select(key)
+    return asked.join(best, "key", "left").select("key.converter", "key.id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def table_leaderboard(scores: DataFrame) -> DataFrame:
+    """converter, tables, mean_score, rank; equal means by name."""
+    from pyspark.sql import Window
+
+    g = scores.groupBy("converter").agg(F.count("*").alias("tables"), F.avg("score").alias("mean_score"))
+    # one row for each converter: few, whatever the number of tables
+    return g.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.round("mean_score", 4).desc(), "converter")))
 
 
 def composite(dims: dict[str, Column]) -> Column:
