@@ -12,7 +12,10 @@ neighbourhoods of the few segments of a band set aside for threshold 1. The
 larger set of a pair probes: it picks, by estimated list length, the cheapest
 segments whose thresholds add up, so empty and common segments are skipped.
 It probes its own band and the next lower one; no partner is further away.
-Candidates are verified exactly on their n-gram sets.
+Candidates are cut down without loss by parity sketches: the elements of a set are
+hashed into about as many buckets as it has elements, and a bit tells whether a
+bucket's count is odd; sets differ in at least as many elements as their sketches
+in bits. The rest is verified exactly on the n-gram sets.
 
 Keys travel packed, as one row for a batch and a part of the key space; they are
 sorted and matched in numpy.
@@ -21,10 +24,14 @@ Semantics
   * A token is a run of letters and digits, lower-cased. A text of fewer than n
     tokens has one n-gram, all of it; one without tokens takes no part, as do
     null texts and null ids.
-  * Texts with equal sets are copies. The least doc_id of them stands for all:
-    result rows are (representative, copy, 1.0) for each copy, and
+  * Texts with equal sets are copies. The least doc_id of them stands for all.
+    ``similar_pairs`` has rows (representative, copy, 1.0) for each copy, and
     (representative, representative, jaccard) for each pair of different sets
     with a similarity of t or more; doc_id < other_id.
+  * ``links`` has one row for each document that is similar to another: class_id,
+    the least doc_id of its connected documents, and n_links, the number of
+    documents similar to it, copies included. Of several texts of an id the links
+    add up, and the least class counts.
   * Repeated rows are one document; a doc_id is never paired with itself. Extra
     columns are not looked at; an empty table gives no rows.
   * Hashes have 64 bits; sets that collide on them are taken as equal.
@@ -44,12 +51,17 @@ from .shared import written
 
 N, THRESHOLD = 2, 0.8
 #: Rows of keys that one part of the key space is to have, about.
-PART_KEYS = 3_000_000
-#: Needed (document, block pair) rows up to which they are broadcast; beyond, a shuffled join does the same.
+PART_KEYS = 2_000_000
+#: Bytes of text whose keys are made at once: each element needs some dozen numbers.
+SIGN_BYTES = 3 << 20
+#: Needed (block pair, set, document) rows of 24 bytes up to which they are broadcast; beyond, a shuffled join does the same.
 BROADCAST_ROWS = 1_000_000
-BLOCK_SETS = 4000
-PACKED = "part int, keys binary, ids binary, metas binary"
-FOUND = "kind int, a long, b long"
+#: Elements of the sets of a block of the verification, about.
+BLOCK_GRAMS = 400_000
+#: The share of the need that a set may leave out, and of the segments with one-deletion neighbourhoods.
+SPARE, DELETIONS = 0.15, 0.05
+PACKED = "part int, keys binary, ids binary, metas binary, sketches binary"
+FOUND = "kind int, a long, b long, n int, sketch binary"
 
 
 def band_edges(t: float, top: int = 1 << 28) -> np.ndarray:
@@ -69,19 +81,21 @@ def layout(edges: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
     """(segments, how many of them have one-deletion neighbourhoods) by band.
 
     The cost of a segment more is a key for each set; that of a one-deletion
-    segment, which counts twice, a key for each of its elements. Both lower the
-    share of empty segments that must be probed. A tenth of the need is spare.
+    segment, which counts twice, a key for each of its elements. The fewer the
+    segments, the more elements each has, and the rarer are its keys. ``SPARE`` of
+    the need may be skipped, so that empty and common segments needn't be probed.
     """
     top = np.append(edges[1:], edges[-1] * 2) - 1
     need = difference_bound(top, top / t, t) + 1
-    deletions = np.where(need <= 2, 1, need // 16)
-    segments = np.maximum(need + need // 8 - deletions, 1)
-    return segments, deletions
+    gain = need + np.ceil(need * SPARE).astype(np.int64)
+    segments = np.maximum(np.ceil(gain / (1 + DELETIONS)).astype(np.int64), 1)
+    return segments, gain - segments
 
 
 def sets_of(text, n: int):
     """(grams, offsets) of a text column: the distinct n-gram hashes of each text, sorted."""
     ids, offsets, words = tokens.encode(text)
+    ids, offsets, words = tokens.encode(text)
     hashed = tokens.hashes(words)[ids] if len(words) else np.zeros(0, np.uint64)
     wide = tokens.grams(hashed, n)
     out, ends = [], [0]
@@ -95,6 +109,45 @@ def sets_of(text, n: int):
     return (np.concatenate(out) if out else wide[:0]), np.array(ends, np.int64)
 
 
+def sketch_bits(size):
+    """Bits of the parity sketch of sets of so many elements: a power of 2, 64 at least."""
+    return np.maximum(64, 1 << np.ceil(np.log2(np.maximum(1, 0.75 * np.asarray(size, np.float64)))).astype(np.int64))
+
+
+def sketches(g: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """The parity sketch of each set."""
+    size = np.diff(offsets)
+    bits = sketch_bits(size)
+    ends = np.concatenate(([0], np.cumsum(bits)))
+    owner = np.repeat(np.arange(len(size)), size)
+    slot = (tokens.mixed(g + np.uint64(0x5851F42D4C957F2D)) & (bits[owner] - 1).astype(np.uint64)).astype(np.int64) + ends[owner]
+    parity = np.packbits((np.bincount(slot, minlength=int(ends[-1])) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [parity[a // 8 : b // 8] for a, b in zip(ends[:-1], ends[1:])]
+
+
+def odd_buckets(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """In how many bits the sketches of pairs differ; the larger one is folded."""
+    la, lb = (np.array([len(x) for x in y], np.int64) for y in (a, b))
+    out = np.zeros(len(a), np.int64)
+    for m, n in set(zip(la.tolist(), lb.tolist())):
+        at = np.flatnonzero((la == m) & (lb == n))
+        x, y = (np.frombuffer(b"".join([z[i] for i in at]), np.uint8).reshape(len(at), -1, min(m, n)) for z in (a, b))
+        out[at] = np.bitwise_count(np.bitwise_xor.reduce(x, 1) ^ np.bitwise_xor.reduce(y, 1)).sum(1)
+    return out
+
+
+def sifter(t: float):
+    """Candidates (with sizes and sketches) to those that may be similar."""
+
+    def run(batches):
+        for batch in batches:
+            size = [batch.column(c).to_numpy().astype(np.int64) for c in ("na", "nb")]
+            ok = odd_buckets(batch.column("ka").to_pylist(), batch.column("kb").to_pylist()) <= difference_bound(*size, t)
+            yield batch.select(["sa", "sb", "da", "db", "na", "nb"]).filter(pa.array(ok))
+
+    return run
+
+
 def set_ids(g: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """A hash of each set."""
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(tokens.mixed(g + tokens.MIX), dtype=np.uint64)))
@@ -153,17 +206,24 @@ def keys_of(g: np.ndarray, offsets: np.ndarray, t: float):
         cost = np.full(int(base[-1]), 1e9)
         if len(cuts):
             cost[slot[cuts]] = np.minimum.reduceat(freq[order], cuts)
-        # allocation: threshold 0 adds 1 and costs the list; threshold 1 adds 2 and costs a list for each element too
-        double = place < spare[of]
-        price = np.where(double, cost * (1 + held) / 2 + held, cost)
-        gain = np.where(double, 2, 1)
-        rank = np.lexsort((price, of))
-        before = np.cumsum(gain[rank]) - gain[rank]
-        before -= np.repeat(before[base[:-1]], count)
-        chosen = np.zeros(int(base[-1]), bool)
-        chosen[rank] = before < need[of[rank]]
+        # allocation: threshold 0 adds 1 and costs the list of the segment; threshold 1 adds 1 more and costs those of its neighbourhood
+        double = np.flatnonzero(place < spare[of])
+        more = np.full(int(base[-1]), 1e18)
+        if len(cuts):
+            # without its rarest element a segment is as rare as its second rarest
+            two_rarest = np.lexsort((freq[order], slot))
+            second = np.minimum(cuts + 1, len(slot) - 1)
+            more[slot[cuts]] = np.where(held[slot[cuts]] > 1, freq[order][two_rarest][second] + held[slot[cuts]], 1e12)
+        price, whose = np.concatenate((cost, np.maximum(more, cost)[double])), np.concatenate((of, of[double]))
+        rank = np.lexsort((price, whose))
+        before = np.arange(len(rank)) - np.searchsorted(whose[rank], whose[rank])
+        taken = np.zeros(len(rank), bool)
+        taken[rank] = before < need[whose[rank]]
+        chosen = taken[: len(of)]
         real = docs[of]
-        two = double & chosen
+        two = np.zeros(len(of), bool)
+        two[double] = taken[len(of) :]
+        double = place < spare[of]
         dele = double[slot]
         removed = tokens.mixed(sums[slot] - inner + tokens.mixed(salt[of[slot]] + place[slot].astype(np.uint64)))
         deletion = np.uint64(0xD1B54A32D192ED03)
@@ -183,7 +243,7 @@ def keys_of(g: np.ndarray, offsets: np.ndarray, t: float):
 def signer(n: int, t: float, parts: int, member_parts: int):
     """Documents to packed keys, and to (set, document) under negative parts."""
 
-    def pack(part, keys, ids, metas):
+    def pack(part, keys, ids, metas, own=None):
         order = np.argsort(part, kind="stable")
         part, keys, ids, metas = part[order], keys[order], ids[order], metas[order]
         cuts = np.flatnonzero(np.diff(part, prepend=part[:1] - 1))
@@ -194,11 +254,12 @@ def signer(n: int, t: float, parts: int, member_parts: int):
                 "keys": pa.array([keys[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary()),
                 "ids": pa.array([ids[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary()),
                 "metas": pa.array([metas[i:j].tobytes() for i, j in zip(cuts, ends)], pa.binary()),
+                "sketches": pa.array([b"".join(own[k] for k in order[i:j]) if own else b"" for i, j in zip(cuts, ends)], pa.binary()),
             }
         )
 
     def run(batches):
-        for batch in batches:
+        for batch in tokens.bounded(batches, limit=SIGN_BYTES):
             g, offsets = sets_of(batch.column("text"), n)
             docs = batch.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
             sids = set_ids(g, offsets)
@@ -207,7 +268,7 @@ def signer(n: int, t: float, parts: int, member_parts: int):
             some = np.flatnonzero(size > 0)
             if not len(some):
                 continue
-            yield pack(-1 - (sids[some] % np.uint64(member_parts)).astype(np.int32), sids[some], docs[some], np.zeros(len(some), np.int32))
+            yield pack(-1 - (sids[some] % np.uint64(member_parts)).astype(np.int32), sids[some], docs[some], size[some].astype(np.int32), sketches(g, np.append(offsets[some], offsets[-1])))
             first = some[np.unique(sids[some], return_index=True)[1]]
             first.sort()
             keep = np.zeros(len(size), bool)
@@ -263,22 +324,26 @@ def matcher(t: float):
         join = lambda c, k: np.frombuffer(b"".join(table.column(c).to_pylist()), k)
         keys, ids, metas = join("keys", np.uint64), join("ids", np.int64), join("metas", np.int32)
         if part < 0:
-            a, b, kind = [keys.view(np.int64)], [ids], 1
+            a, b, sizes, kind = [keys.view(np.int64)], [ids], metas, 1
+            own, ends = b"".join(table.column("sketches").to_pylist()), np.concatenate(([0], np.cumsum(sketch_bits(metas) // 8)))
+            first = set(np.unique(keys, return_index=True)[1].tolist())
+            sketch = [own[ends[i] : ends[i + 1]] if i in first else None for i in range(len(keys))]
         else:
-            kind, a, b = 0, [], []
+            kind, a, b, sizes, sketch = 0, [], [], None, None
             for x, y in candidate_pairs(keys, ids, metas, t):
                 a.append(x)
                 b.append(y)
         a = np.concatenate(a) if a else np.zeros(0, np.int64)
         b = np.concatenate(b) if b else np.zeros(0, np.int64)
-        return pa.table({"kind": pa.array(np.full(len(a), kind, np.int32)), "a": a, "b": b})
+        sizes = np.zeros(len(a), np.int32) if sizes is None else sizes
+        return pa.table({"kind": pa.array(np.full(len(a), kind, np.int32)), "a": a, "b": b, "n": sizes, "sketch": pa.array(sketch or [None] * len(a), pa.binary())})
 
     return run
 
 
 def gram_maker(n: int):
     def run(batches):
-        for batch in batches:
+        for batch in tokens.bounded(batches):
             g, offsets = sets_of(batch.column("text"), n)
             sids = set_ids(g, offsets).view(np.int64)
             ok = np.flatnonzero(sids == batch.column("sid").to_numpy())
@@ -329,9 +394,8 @@ def verifier(t: float):
     return run
 
 
-def similar_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
-    """doc_id, other_id, jaccard: see the module's docstring."""
-    spark = docs.sparkSession
+def _joined(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame]:
+    """(pairs of representatives with their similarity, members of each representative's set)."""
     clean = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null")
     chars = clean.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     # about one key for each dozen characters; the parts grow in number, not in size
@@ -339,16 +403,22 @@ def similar_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFram
     packed = clean.mapInArrow(signer(n, t, parts, max(4, parts // 8)), PACKED)
     found = written(packed.groupBy("part").applyInArrow(matcher(t), FOUND), "candidates")
     members = found.filter("kind = 1").select(F.col("a").alias("sid"), F.col("b").alias("doc_id")).distinct()
-    reps = members.groupBy("sid").agg(F.min("doc_id").alias("rep"))
+    reps = found.filter("kind = 1").groupBy(F.col("a").alias("sid")).agg(F.min("b").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     candidates = found.filter("kind = 0").select(F.col("a").alias("sa"), F.col("b").alias("sb")).distinct()
-    pairs = written(
-        candidates.join(reps.select(F.col("sid").alias("sa"), F.col("rep").alias("da")), "sa").join(reps.select(F.col("sid").alias("sb"), F.col("rep").alias("db")), "sb").filter("da <> db"),
-        "pairs",
-    )
-    ends = pairs.select(F.col("sa").alias("sid"), F.col("da").alias("d")).union(pairs.select("sb", "db"))
-    blocks = max(1, (ends.distinct().count() + BLOCK_SETS - 1) // BLOCK_SETS)
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    keyed = pairs.withColumn("k", F.least(block("sa"), block("sb")) * blocks + F.greatest(block("sa"), block("sb")))
+    side = lambda x: reps.select(F.col("sid").alias(f"s{x}"), F.col("rep").alias(f"d{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
+    sifted = candidates.join(side("a"), "sa").join(side("b"), "sb").filter("da <> db").mapInArrow(sifter(t), "sa long, sb long, da long, db long, na int, nb int")
+    pairs = written(sifted, "pairs")
+    # sets go to blocks by their least partner, so that most pairs lie within a block and a set is sent once
+    both = pairs.select(F.col("sa").alias("sid"), F.col("sb").alias("other"), "na").union(pairs.select("sb", "sa", "nb"))
+    roots = written(both.groupBy("sid").agg(F.min("other").alias("other"), F.max("na").alias("n")).select("sid", F.least("sid", "other").alias("root"), "n"), "roots")
+    weights = roots.groupBy("root").agg(F.sum("n").alias("weight"))
+    blocks = int((roots.agg(F.sum("n")).first()[0] or 0) // BLOCK_GRAMS) + 1
+    # a root of many sets is spread over as many blocks as they need
+    part = F.pmod(F.xxhash64("sid"), F.floor(F.col("weight") / BLOCK_GRAMS) + 1)
+    placed = roots.join(weights, "root").select("sid", F.pmod(F.xxhash64("root", part), F.lit(blocks)).alias("block"))
+    at = lambda x: placed.select(F.col("sid").alias(f"s{x}"), F.col("block").alias(f"b{x}"))
+    keyed = pairs.join(at("a"), "sa").join(at("b"), "sb").withColumn("k", F.least("ba", "bb") * blocks + F.greatest("ba", "bb"))
+    keyed = written(keyed.select("k", "sa", "sb", "da", "db"), "keyed")
     needed = keyed.select("k", F.col("sa").alias("sid"), F.col("da").alias("d")).union(keyed.select("k", "sb", "db")).distinct()
     needed = written(needed, "needed")
     if needed.count() <= BROADCAST_ROWS:
@@ -356,10 +426,29 @@ def similar_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFram
     texts = clean.join(needed, clean["doc_id"] == needed["d"]).select("k", "sid", "text")
     sets = texts.mapInArrow(gram_maker(n), "k long, sid long, grams binary")
     verified = keyed.groupBy("k").cogroup(sets.groupBy("k")).applyInArrow(verifier(t), "doc_id long, other_id long, jaccard double")
-    copies = members.join(reps, "sid").filter("doc_id <> rep").select(F.col("rep").alias("doc_id"), F.col("doc_id").alias("other_id"), F.lit(1.0).alias("jaccard"))
+    return verified.groupBy("doc_id", "other_id").agg(F.max("jaccard").alias("jaccard")), members.join(reps.select("sid", "rep"), "sid").select("rep", "doc_id")
+
+
+def similar_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
+    """doc_id, other_id, jaccard: see the module's docstring."""
+    verified, members = _joined(docs, n, t)
+    copies = members.filter("doc_id <> rep").select(F.col("rep").alias("doc_id"), F.col("doc_id").alias("other_id"), F.lit(1.0).alias("jaccard"))
     return verified.unionByName(copies).groupBy("doc_id", "other_id").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
 
 
+def links(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id, n_links: see the module's docstring."""
+    verified, members = _joined(docs, n, t)
+    verified, members = written(verified, "verified"), written(members, "members")
+    sizes = members.groupBy("rep").agg(F.count("*").alias("size"))
+    both = verified.select(F.col("doc_id").alias("a"), F.col("other_id").alias("b")).union(verified.select("other_id", "doc_id"))
+    far = both.join(sizes, F.col("b") == F.col("rep")).groupBy(F.col("a").alias("rep")).agg(F.sum("size").alias("far"))
+    linked = sizes.join(far, "rep", "left").select("rep", (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("n_links")).filter("n_links > 0")
+    roots = groups(verified).select(F.col("doc_id").alias("rep"), "group")
+    classes = linked.join(roots, "rep", "left").select("rep", "n_links", F.coalesce("group", "rep").alias("class_id"))
+    return members.join(classes, "rep").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
+
+
 def groups(pairs: DataFrame) -> DataFrame:
     """doc_id, group: the least doc_id of the connected component, for each document of a pair.
 
@@ -387,11 +476,12 @@ def groups(pairs: DataFrame) -> DataFrame:
 
 
 def op8_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return similar_pairs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The class and the number of links of each document that has near copies."""
+    return links(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 ORACLE = rf"""
-with d as (select distinct doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as t from documents where doc_id is not null and text is not null),
+with recursive d as (select distinct doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') as t from documents where doc_id is not null and text is not null),
 g as (
   select distinct doc_id, t, array_to_string(t[p : p + {N - 1}], ' ') as gram
   from (select doc_id, t, unnest(case when len(t) < {N} then [1] else range(1, len(t) - {N} + 2) end) as p from d where len(t) > 0)),
@@ -402,9 +492,13 @@ p as (
   select a.rep as doc_id, b.rep as other_id, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) as jaccard
   from e a join e b on a.gram = b.gram and a.rep < b.rep and least(a.n, b.n) >= {THRESHOLD} * greatest(a.n, b.n) - 1e-9
   group by a.rep, b.rep, a.n, b.n),
-u as (
-  select doc_id, other_id, jaccard from p where jaccard >= {THRESHOLD} - 1e-12
-  union all
-  select r.rep, s.doc_id, 1.0::double from s join r using (grams) where s.doc_id <> r.rep)
-select doc_id, other_id, round(max(jaccard), 6) as jaccard from u group by all
+v as (select doc_id, other_id from p where jaccard >= {THRESHOLD} - 1e-12),
+w as (select doc_id as a, other_id as b from v union all select other_id, doc_id from v),
+reach(rep, root) as (select rep, rep from r union select w.b, reach.root from reach join w on w.a = reach.rep),
+roots as (select rep, min(root) as root from reach group by rep),
+m as (select r.rep, s.doc_id from s join r using (grams)),
+c as (select rep, count(*) as size from m group by rep),
+n as (select c.rep, c.size - 1 + coalesce((select sum(o.size) from w join c o on o.rep = w.b where w.a = c.rep), 0) as n_links from c)
+select m.doc_id, min(roots.root) as class_id, cast(sum(n.n_links) as bigint) as n_links
+from m join n using (rep) join roots using (rep) where n.n_links > 0 group by m.doc_id
 """
