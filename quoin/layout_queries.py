@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
+from .operators import glyphs as G
 from .operators import rulings as R
 from .operators import scoring as S
 from .plans.markdown import markdown, token_savings
@@ -535,6 +536,94 @@ def requests(spark, sf_dir):
     return Q.replies(lines, docs)
 
 
+def line_words(x, y, text, size=11.0):
+    """The words of a line, as an array of structs: 6 points for a character, 6 between words."""
+    words = F.split(text, " ")
+    place = lambda i: F.coalesce(F.aggregate(F.slice(words, 1, i), F.lit(0), lambda n, w: n + F.length(w) + 1), F.lit(0))
+    return F.transform(words, lambda w, i: F.struct(w.alias("s"), (F.lit(float(x)) + 6.0 * place(i)).alias("x"), F.lit(float(y)).alias("y") if isinstance(y, (int, float)) else y.alias("y"), (6.0 * F.length(w)).alias("w"), F.lit(float(size)).alias("size")))
+
+
+def placed(rows: DataFrame, *words) -> DataFrame:
+    """The token table of documents of one page."""
+    whole = rows.select("doc_id", F.posexplode(F.concat(*words)).alias("tok_no", "t"))
+    return whole.select("doc_id", F.lit(0).alias("page_no"), "tok_no", "t.s", "t.x", "t.y", "t.w", "t.size")
+
+
+def order_rows(spark, sf_dir) -> DataFrame:
+    """doc_id and the distinct rows of each order, in order."""
+    row = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"), F.concat("l_returnflag", "l_linestatus").alias("f"))
+    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.array_sort(F.collect_set(row)).alias("rows"))
+
+
+OR = """o0 as (select distinct l_orderkey as doc_id, l_linenumber as n, l_partkey as p, l_suppkey as k, l_quantity::int as q, l_returnflag || l_linestatus as f from lineitem),
+o as (select *, row_number() over (partition by doc_id order by n, p, k, q, f) as i from o0)"""
+
+
+@query(f"""with {OR} select doc_id, '# Order number ' || doc_id || chr(10) || chr(10) || 'The goods below were sent by one of our houses, and are paid.' || chr(10) || chr(10)
+  || '| Part-no | Supplier | Quantity | Status |' || chr(10) || '| --- | --- | --- | --- |' || chr(10) || string_agg('| ' || p || ' | ' || k || ' | ' || q || ' | ' || f || '-ok |', chr(10) order by i)
+  || chr(10) || chr(10) || '- Goods were counted' || chr(10) || '  - by hand' || chr(10) || '- Goods were weighed' || chr(10) || chr(10) || '## Terms' || chr(10) || chr(10) || '1. Pay at once' || chr(10) || '2. Keep this sheet' || chr(10) as md from o group by doc_id""")
+def order_documents(spark, sf_dir):
+    """Headings, a paragraph over two lines, a table by white space, nested bullets and a numbered list of every order, to Markdown."""
+    rows = order_rows(spark, sf_dir).withColumn("n", F.size("rows"))
+    at = lambda i: 670.0 - 22.0 * i
+    body = F.flatten(F.transform("rows", lambda r, i: F.concat(*[line_words(x, at(i + 1), c.cast("string")) for x, c in ((62, r["l_partkey"]), (182, r["l_suppkey"]), (272, r["q"]), (382, F.concat(r["f"], F.lit("-ok"))))])))
+    below = lambda k: 640.0 - 22.0 * F.col("n") - k
+    top = [line_words(56, 780, F.concat(F.lit("Order number "), F.col("doc_id").cast("string")), 22), line_words(56, 730, F.lit("The goods below were sent by")), line_words(56, 717, F.lit("one of our houses, and are paid."))]
+    head = [line_words(x, at(0), F.lit(t)) for x, t in ((62, "Part-no"), (182, "Supplier"), (272, "Quantity"), (382, "Status"))]
+    end = [line_words(56, below(0), F.lit("• Goods were counted")), line_words(72, below(16), F.lit("• by hand")), line_words(56, below(32), F.lit("• Goods were weighed"))]
+    end += [line_words(56, below(70), F.lit("Terms"), 15), line_words(56, below(100), F.lit("1. Pay at once")), line_words(56, below(116), F.lit("2. Keep this sheet"))]
+    return markdown(placed(rows, *top, *head, body, *end)).select("doc_id", "md")
+
+
+@query(f"""with {OR}, c as (select doc_id, i, count(*) over (partition by doc_id) as n, [f, lpad(q::varchar, 2, '0'), 'p' || n, 'k' || k] as cells from o)
+select doc_id, '# Order number ' || doc_id || chr(10) || chr(10) || 'Placed with us and paid.' || chr(10) || chr(10)
+  || case when any_value(n) >= 2 then string_agg('| ' || array_to_string(cells, ' | ') || ' |' || case when i = 1 then chr(10) || '| --- | --- | --- | --- |' else '' end, chr(10) order by i) else any_value(array_to_string(cells, ' ')) end || chr(10) as md from c group by doc_id""")
+def ruled_documents(spark, sf_dir):
+    """Every order's rows in a ruled grid whose columns white space doesn't tell apart, to Markdown; a grid of one row is text."""
+    rows = order_rows(spark, sf_dir).withColumn("n", F.size("rows"))
+    edges = (50.0, 70.0, 90.0, 110.0, 170.0)
+    y = lambda i: 700.0 - 22.0 * i
+    cells = lambda r: (r["f"], F.lpad(r["q"].cast("string"), 2, "0"), F.concat(F.lit("p"), r["l_linenumber"].cast("string")), F.concat(F.lit("k"), r["l_suppkey"].cast("string")))
+    body = F.flatten(F.transform("rows", lambda r, i: F.concat(*[line_words(e + 4, y(i) - 15, c) for e, c in zip(edges, cells(r))])))
+    top = [line_words(56, 780, F.concat(F.lit("Order number "), F.col("doc_id").cast("string")), 22), line_words(56, 743, F.lit("Placed with us")), line_words(56, 730, F.lit("and paid."))]
+    bar = lambda left, right, bottom, top_: F.struct(left.alias("l"), right.alias("r"), bottom.alias("b"), top_.alias("t"), F.lit(False).alias("stroked"))
+    across = F.transform(F.sequence(F.lit(0), F.col("n")), lambda i: bar(F.lit(edges[0]), F.lit(edges[-1]), y(i), y(i) + 1))
+    down = F.array(*[bar(F.lit(e), F.lit(e + 1), y(F.col("n")), F.lit(701.0)) for e in edges])
+    return markdown(placed(rows, *top, body), rows.select("doc_id", F.lit(0).alias("page_no"), F.inline(F.concat(across, down)))).select("doc_id", "md")
+
+
+@query("""with p as (select p_partkey as doc_id, p_name as a, p_brand as b from part), k as (select unnest(range(1, 9)) as k)
+select doc_id, '# Two columns' || chr(10) || chr(10) || string_agg('left ' || k || ' has ' || a, ' ' order by k) || chr(10) || chr(10) || string_agg('right ' || k || ' has ' || a, ' ' order by k) || chr(10) as md from p cross join k group by doc_id""")
+def reading_order(spark, sf_dir):
+    """Two columns of lines at equal heights, from the name of every part: the left one is read before the right one."""
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("a"))
+    lines = []
+    for k in range(1, 9):
+        lines += [line_words(x, 700 - 13 * k, F.concat(F.lit(f"{side} {k} has "), F.col("a"))) for x, side in ((56, "left"), (320, "right"))]
+    return markdown(placed(parts, line_words(56, 760, F.lit("Two columns"), 22), *lines)).select("doc_id", "md")
+
+
+@query("""with p as (select p_partkey::varchar as doc_id, p_name as t from part), c as (select doc_id, t, unnest(range(1, length(t) + 1)) as i from p),
+g as (select doc_id, i, t[i:i] as ch, coalesce(t[i:i] = ' ', false) as blank from c), n as (select *, sum(blank::int) over (partition by doc_id order by i) as k from g)
+select doc_id, 0 as page_no, cast(row_number() over (partition by doc_id order by k) - 1 as int) as tok_no, string_agg(ch, '' order by i) as s, (50 + 6.0 * min(i))::double as x, 100.0::double as y, (6.0 * count(*) - 1)::double as w, 11.0::double as size
+from n where not blank group by doc_id, k""")
+def glyph_words(spark, sf_dir):
+    """The glyphs of the names of all parts, on pages turned by 0, 90, 180 and 270 degrees, under a slanted stamp and with tiny spaces, to words."""
+    i = lambda c: F.col(c).cast("double")
+    name = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), (F.pmod("p_partkey", F.lit(4)) * 90).cast("int").alias("rot"), F.posexplode(F.split("p_name", "")).alias("k", "ch")).filter("ch <> ''")
+    left, right, low, high = 56.0 + 6.0 * i("k"), 61.0 + 6.0 * i("k"), F.lit(100.0), F.lit(111.0)
+    turned = {0: (left, right, low, high), 90: (-low - 11.0, -low, left, right), 180: (-right, -left, -high, -low), 270: (low, high, -right, -left)}
+    # a box of a page turned by 90 degrees has its own left edge below: places are those that turning gives back
+    turned[90] = (-low, -low + 11.0, left, right)
+    turned[180] = (-right, -left, -low - 11.0, -low)
+    turned[270] = (low, low + 11.0, -right, -left)
+    box = lambda j: F.coalesce(*[F.when(F.col("rot") == r, b[j]) for r, b in turned.items()])
+    size = F.when((F.col("ch") == " ") & (F.col("rot") == 0), 1.0).otherwise(11.0)
+    glyphs = name.select("doc_id", F.lit(0).alias("page_no"), (F.col("k") * 2).alias("glyph_no"), "ch", size.alias("raw_size"), *[box(j).alias(c) for j, c in enumerate("lrbt")], F.lit(1.0).alias("ma"), F.lit(0.0).alias("mb"), "rot")
+    stamp = name.filter("rot = 0").select("doc_id", F.lit(0).alias("page_no"), (F.col("k") * 2 + 1).alias("glyph_no"), F.lit("X").alias("ch"), F.lit(84.0).alias("raw_size"), F.lit(0.0).alias("l"), F.lit(90.0).alias("r"), F.lit(0.0).alias("b"), F.lit(120.0).alias("t"), F.lit(0.7).alias("ma"), F.lit(-0.7).alias("mb"), "rot")
+    return G.words_of(glyphs.unionByName(stamp))
+
+
 @query()
 def markdown_documents(spark, sf_dir):
     """The flagship: words of all documents laid out to Markdown."""
