@@ -32,13 +32,13 @@ def read(spark, sf_dir: str, table: str) -> DataFrame:
 
 
 def marked_lines(spark, sf_dir: str) -> DataFrame:
-    """The lines of all documents, every one made into a list item, a page number and so on in turn."""
+    """The lines of all documents, whole, many of them made into list items and so on in turn; every seventh has a page number's line besides."""
     lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     k = F.col("line_no") % 7
     s = F.when(k == 1, F.concat(F.lit("• "), F.col("line"))).when(k == 2, F.concat((F.col("line_no") + 10).cast("string"), F.lit(". "), F.col("line")))
-    s = s.when(k == 3, F.concat(F.lit("Page "), F.col("line_no").cast("string"))).when(k == 4, F.concat(F.lit("F o r m "), F.col("line"), F.lit(" ..... 3")))
-    s = s.when(k == 5, F.concat(F.col("line"), F.lit("  3 . 14. 15"))).when(k == 6, F.substring("line", 1, 40)).otherwise(F.col("line"))
-    return lines.select("doc_id", "line_no", s.alias("s"))
+    s = s.when(k == 4, F.concat(F.lit("F o r m "), F.col("line"), F.lit(" ..... 3"))).when(k == 5, F.concat(F.col("line"), F.lit("  3 . 14. 15"))).otherwise(F.col("line"))
+    more = F.when(k == 3, F.struct((-F.col("line_no") - 1).alias("line_no"), F.concat(F.lit("Page "), F.col("line_no").cast("string")).alias("s")))
+    return lines.select("doc_id", F.inline(F.array_compact(F.array(F.struct("line_no", s.alias("s")), more))))
 
 
 def whole_lines(spark, sf_dir: str) -> DataFrame:
@@ -47,8 +47,8 @@ def whole_lines(spark, sf_dir: str) -> DataFrame:
 
 
 L = """l0 as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as line_no from documents),
-l as (select doc_id, cast(line_no as int) as line_no, case line_no % 7 when 1 then '• ' || line when 2 then (line_no + 10) || '. ' || line when 3 then 'Page ' || line_no
-  when 4 then 'F o r m ' || line || ' ..... 3' when 5 then line || '  3 . 14. 15' when 6 then substr(line, 1, 40) else line end as s from l0)"""
+l as (select doc_id, cast(line_no as int) as line_no, case line_no % 7 when 1 then '• ' || line when 2 then (line_no + 10) || '. ' || line when 4 then 'F o r m ' || line || ' ..... 3' when 5 then line || '  3 . 14. 15' else line end as s from l0
+  union all select doc_id, cast(-line_no - 1 as int), 'Page ' || line_no from l0 where line_no % 7 = 3)"""
 WHOLE = """l as (select doc_id, cast(generate_subscripts(string_split(text, chr(10)), 1) - 1 as int) as line_no, unnest(string_split(text, chr(10))) as s from documents)"""
 W = """w0 as (select doc_id, any_value(source) as source, unnest(list_filter(regexp_split_to_array(any_value(text), '[ \\n]+'), lambda x: x <> '')) as s,
     generate_subscripts(list_filter(regexp_split_to_array(any_value(text), '[ \\n]+'), lambda x: x <> ''), 1) - 1 as tok_no from documents where doc_id is not null and text is not null group by doc_id),
@@ -88,11 +88,11 @@ def clean_text(spark, sf_dir, lines=marked_lines):
 @query(f"""with {L} select doc_id, line_no, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(s), '[’‘]', '''', 'g'), '(?:\\s*\\.){{4,}}\\s*', ' ', 'g'), '[^a-z0-9.()%†+-]+', ' ', 'g'), ' +', ' ', 'g')) as table_norm,
   trim(regexp_replace(lower(s), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) as cell_norm, regexp_replace(lower(s), '[^a-z0-9]+', '', 'g') as letters,
   cast((length(s) - length(replace(s, 'en', ''))) // 2 as bigint) as occurrences, substr(sha256(s), 1, 24) as short_key,
-  case when length(s) > 200 then substr(s, 1, 200) || chr(10) || '[clipped]' else s end as clipped from l""")
-def text_norms(spark, sf_dir, lines=marked_lines, most=200):
+  case when length(s) > 14000 then substr(s, 1, 14000) || chr(10) || '[clipped]' else s end as clipped from l""")
+def text_norms(spark, sf_dir, lines=marked_lines):
     """The normal forms that tables, cells and passages are compared by."""
     s = F.col("s")
-    return lines(spark, sf_dir).select("doc_id", "line_no", T.table_norm(s).alias("table_norm"), T.cell_norm(s).alias("cell_norm"), T.letters_only(s).alias("letters"), T.occurrences(s, F.lit("en")).alias("occurrences"), T.short_key(s).alias("short_key"), T.clip(s, most).alias("clipped"))
+    return lines(spark, sf_dir).select("doc_id", "line_no", T.table_norm(s).alias("table_norm"), T.cell_norm(s).alias("cell_norm"), T.letters_only(s).alias("letters"), T.occurrences(s, F.lit("en")).alias("occurrences"), T.short_key(s).alias("short_key"), T.clip(s).alias("clipped"))
 
 
 @query(f"""with {L}, t as (select *, regexp_extract(s, '([0-9 -]*)$', 1) as tail from l)
@@ -115,10 +115,10 @@ def whole_clean_text(spark, sf_dir):
     return clean_text(spark, sf_dir, whole_lines)
 
 
-@query(ORACLES["text_norms"].replace(L, WHOLE).replace("> 200 ", "> 14000 ").replace("1, 200)", "1, 14000)"))
+@query(ORACLES["text_norms"].replace(L, WHOLE))
 def whole_text_norms(spark, sf_dir):
     """``text_norms`` of every line as it is, clipped as by default."""
-    return text_norms(spark, sf_dir, whole_lines, 14_000)
+    return text_norms(spark, sf_dir, whole_lines)
 
 
 @query(ORACLES["heading_text"].replace(L, WHOLE))
