@@ -33,6 +33,7 @@ def bounded(batches, column: str = "text", limit: int = BATCH_BYTES) -> Iterator
         ends = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
         for a, b in slices(ends, limit):
             yield batch.slice(a, b - a)
+            pa.default_memory_pool().release_unused()
 
 
 def plain(column) -> pa.Array:
