@@ -3,9 +3,11 @@
 The vocabulary is counted over all documents: the ``words`` most frequent tokens
 and all others that occur at least ``least`` times, so that it grows with the corpus,
 in classes of about equal total frequency; the output softmax factors into the
-class and the word within it. All documents (a hashed share of them if ``share`` is above
-1) are shuffled to shards of token streams. Each round
-every shard trains from the common weights by truncated backpropagation over
+class and the word within it. All documents are shuffled to shards of token streams;
+training passes over them once, in ``rounds`` parts by a hash of the text. A shard has
+at least ``WORD_TOKENS`` tokens for each word, so that the weights that shards send stay
+less than the tokens; it is read in bounded pieces. In each round
+every shard trains on its part from the common weights by truncated backpropagation over
 windows of ``window`` steps, the state carried from window to window, and the
 shards' weights are averaged by key in Spark; a window's gradient stops at its
 start. Scoring reads every document whole: documents of a batch advance together,
@@ -31,6 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +41,9 @@ from . import tokens
 from .shared import written
 
 LEAST = 50
-WORDS, HIDDEN, SHARE, WINDOW, LANES, ROUNDS = 4000, 16, 1, 20, 64, 3
-#: Tokens of a training shard, about; shards grow in number.
-SHARD_TOKENS = 400_000
+WORDS, HIDDEN, WINDOW, LANES, ROUNDS = 4000, 16, 20, 256, 3
+#: Tokens that a shard trains on at once; shards grow in number.
+SHARD_TOKENS, LANE_TOKENS, WORD_TOKENS = 1_600_000, 1000, 100
 NAMES = ("emb", "wx", "wh", "b", "wc", "bc", "ww", "bw")
 
 
@@ -48,25 +51,37 @@ def counter():
     """Documents to the distinct tokens of a batch with their counts."""
 
     def run(batches):
-        for batch in batches:
+        for batch in tokens.bounded(batches):
             ids, _, words = tokens.encode(batch.column("text"))
-            yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "n": pa.array(np.bincount(ids, minlength=len(words)).astype(np.int64))})
+            yield pa.RecordBatch.from_pydict({"word": words.cast(pa.string()), "n": pa.array(np.bincount(ids, minlength=len(words)).astype(np.int64))})
 
     return run
 
 
+def pairs_of(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(first << 32 | second, number of the word) of all pairs of characters of words; the start and end of a word are 0, characters count from 1."""
+    marked = pc.binary_join_element_wise(words.cast(pa.large_string()), pa.scalar("", pa.large_string()), pa.scalar("", pa.large_string()))
+    size = pc.utf8_length(marked).to_numpy(zero_copy_only=False).astype(np.int64)
+    offs = np.frombuffer(marked.buffers()[1], np.int64)
+    text = bytes(memoryview(marked.buffers()[2] or b"")[offs[marked.offset] : offs[marked.offset + len(marked)]]).decode("utf-8", "surrogatepass")
+    ends = np.concatenate(([0], np.cumsum(size)))
+    code = np.zeros(int(ends[-1]) + len(size) + 1, np.int64)
+    # a mark before each word, and one at the end
+    owner = np.repeat(np.arange(len(size)), size)
+    code[np.arange(int(ends[-1])) + owner + 1] = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64) + 1
+    return code[:-1] << 32 | code[1:], np.repeat(np.arange(len(size)), size + 1)
+
+
 def spelling_counter(shared):
-    """Words and their counts to the pairs of characters of the unknown ones; -1 is the start or the end of a word."""
+    """Words and their counts to the pairs of characters of the unknown ones."""
 
     def run(batches):
-        for batch in batches:
-            pairs: dict[tuple[int, int], int] = {}
-            for word, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-                if word not in shared.value:
-                    at = [-1, *map(ord, word), -1]
-                    for x in zip(at, at[1:]):
-                        pairs[x] = pairs.get(x, 0) + n
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in pairs], pa.int32()), "b": pa.array([b for _, b in pairs], pa.int32()), "n": pa.array(list(pairs.values()), pa.int64())})
+        for batch in tokens.bounded(batches, "word"):
+            rare = pc.is_null(pc.index_in(batch.column("word").cast(pa.large_string()), value_set=shared.value))
+            words, n = batch.column("word").filter(rare), batch.column("n").filter(rare).to_numpy()
+            codes, of = pairs_of(words)
+            found, at = np.unique(codes, return_inverse=True)
+            yield pa.RecordBatch.from_pydict({"pair": pa.array(found, pa.int64()), "n": pa.array(np.bincount(at, n[of], len(found)).astype(np.int64))})
 
     return run
 
@@ -74,27 +89,42 @@ def spelling_counter(shared):
 class Spelling:
     """Probabilities of words by their pairs of characters."""
 
-    def __init__(self, pairs: dict[tuple[int, int], int]):
-        self.pairs, self.before, self.after = pairs, {}, {}
-        for (a, b), n in pairs.items():
-            self.before[a] = self.before.get(a, 0) + n
-            self.after[b] = self.after.get(b, 0) + n
-        self.total = sum(pairs.values())
+    def __init__(self, pairs: dict[int, int]):
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.counts = np.array([pairs[k] for k in self.keys.tolist()], np.float64)
+        self.before, self.n_before = self._sums(self.keys >> 32)
+        self.after, self.n_after = self._sums(self.keys & 0xFFFFFFFF)
+        self.total = float(self.counts.sum())
+
+    def _sums(self, key: np.ndarray):
+        found, at = np.unique(key, return_inverse=True)
+        return found, np.bincount(at, self.counts, len(found))
+
+    @staticmethod
+    def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(len(wanted))
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, values[at], 0.0)
+
+    def logs(self, words: pa.Array) -> np.ndarray:
+        """Natural logs of the probabilities of words."""
+        codes, of = pairs_of(words)
+        single = (self._found(self.after, self.n_after, codes & 0xFFFFFFFF) + 1 / 0x110001) / (self.total + 1)
+        p = (self._found(self.keys, self.counts, codes) + single) / (self._found(self.before, self.n_before, codes >> 32) + 1)
+        return np.bincount(of, np.log(p), len(words))
 
     def log(self, word: str) -> float:
-        at, out = [-1, *map(ord, word), -1], 0.0
-        for a, b in zip(at, at[1:]):
-            single = (self.after.get(b, 0) + 1 / 0x110001) / (self.total + 1)
-            out += math.log((self.pairs.get((a, b), 0) + single) / (self.before.get(a, 0) + 1))
-        return out
+        return float(self.logs(pa.array([word], pa.large_string()))[0])
 
 
 def classes_of(counts: np.ndarray) -> np.ndarray:
-    """First word of each class, and the end: words are in order of frequency, classes of equal mass."""
-    k = max(1, round(len(counts) ** 0.5))
-    mass = np.cumsum(np.sqrt(counts + 1.0))
-    at = np.searchsorted(mass, mass[-1] * np.arange(1, k) / k)
-    return np.unique(np.concatenate(([0], at, [len(counts)])))
+    """First word of each class, and the end: words are in order of frequency, classes of equal mass; the last, "unknown", is alone."""
+    known = counts[:-1]
+    k = max(1, round(len(known) ** 0.5))
+    mass = np.cumsum(np.sqrt(known + 1.0))
+    at = np.searchsorted(mass, mass[-1] * np.arange(1, k) / k) if len(known) else []
+    return np.unique(np.concatenate(([0], at, [len(known), len(counts)]))).astype(np.int64)
 
 
 def start(words: int, classes: int, hidden: int, seed: int = 1) -> dict[str, np.ndarray]:
@@ -124,6 +154,13 @@ def softmax_log(x):
     return x - np.log(np.exp(x).sum(-1, keepdims=True))
 
 
+def softmax(x):
+    x -= x.max(-1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(-1, keepdims=True)
+    return x
+
+
 def log_probability(p, cuts, of, h, word):
     """ln P(word | state), by the class and by the word within its class."""
     k = of[word]
@@ -149,7 +186,7 @@ def backward(p, cuts, of, steps, g):
     if len(rows_all):
         hw, w = states[rows_all], np.concatenate([word for _, _, word, _, _ in steps])[rows_all]
         k = of[w]
-        e = np.exp(softmax_log(hw @ p["wc"] + p["bc"]))
+        e = softmax(hw @ p["wc"] + p["bc"])
         e[np.arange(len(w)), k] -= 1
         g["wc"] += hw.T @ e
         g["bc"] += e.sum(0)
@@ -160,13 +197,15 @@ def backward(p, cuts, of, steps, g):
             rows = order[i:j]
             s, t = cuts[k[rows[0]]], cuts[k[rows[0]] + 1]
             if t - s > 1:
-                y = np.exp(softmax_log(hw[rows] @ p["ww"][s:t].T + p["bw"][s:t]))
+                own = hw[rows]
+                y = softmax(own @ p["ww"][s:t].T + p["bw"][s:t])
                 y[np.arange(len(rows)), w[rows] - s] -= 1
-                g["ww"][s:t] += y.T @ hw[rows]
+                g["ww"][s:t] += y.T @ own
                 g["bw"][s:t] += y.sum(0)
                 do[rows] += y @ p["ww"][s:t]
         douts[rows_all] = do
-    for ((x, h0, z, r, rh, c), _, _, prev, _), dout in zip(reversed(steps), reversed(np.split(douts, len(steps)))):
+    inputs = []
+    for ((x, h0, z, r, rh, c), _, _, _, _), dout in zip(reversed(steps), reversed(np.split(douts, len(steps)))):
         dh = dh + dout
         dc = dh * z * (1 - c * c)
         dz = dh * (c - h0) * z * (1 - z)
@@ -178,28 +217,34 @@ def backward(p, cuts, of, steps, g):
         whole = np.concatenate((gates, dc), 1)
         g["wx"] += x.T @ whole
         g["b"] += whole.sum(0)
-        np.add.at(g["emb"], prev, whole @ p["wx"].T)
+        inputs.append(whole @ p["wx"].T)
         dh = dh * (1 - z) + drh * r + gates @ p["wh"][:, : 2 * d].T
+    prev = np.concatenate([x for _, _, _, x, _ in reversed(steps)])
+    order = np.argsort(prev, kind="stable")
+    cut = np.flatnonzero(np.diff(prev[order], prepend=-1))
+    g["emb"][prev[order][cut]] += np.add.reduceat(np.concatenate(inputs)[order], cut)
 
 
-def fit_stream(p, cuts, of, stream, fresh, window=WINDOW, lanes=LANES, rate=0.2):
+def fit_stream(p, cuts, of, stream, fresh, window=WINDOW, lanes=LANES, rate=0.2, seen=None):
     """Trains on a token stream, cut into parallel lanes; ``fresh`` marks first tokens, before which the state is 0."""
-    words = len(of)
-    n = len(stream) // lanes
-    if n < 1:
-        lanes, n = 1, len(stream)
-    x, f = stream[: lanes * n].reshape(lanes, n), fresh[: lanes * n].reshape(lanes, n)
+    # a lane has LANE_TOKENS at least, so that short streams make enough steps
+    words, lanes = len(of), max(1, min(lanes, len(stream) // LANE_TOKENS))
+    n = -(-len(stream) // lanes)
+    # what the last lane lacks is no target
+    x, f, real = np.zeros(lanes * n, np.int64), np.ones(lanes * n, bool), np.arange(lanes * n) < len(stream)
+    x[: len(stream)], f[: len(stream)] = stream, fresh
+    x, f, real = x.reshape(lanes, n), f.reshape(lanes, n), real.reshape(lanes, n)
     h = np.zeros((lanes, p["wh"].shape[0]), np.float32)
-    seen = {k: np.full_like(v, 1e-3) for k, v in p.items()}
+    seen = {k: np.full_like(v, 1e-3) for k, v in p.items()} if seen is None else seen
     before = np.full(lanes, words)
     g = {k: np.zeros_like(v) for k, v in p.items()}
     for a in range(0, n, window):
         steps = []
         for t in range(a, min(a + window, n)):
-            h = np.where(f[:, t, None], 0, h).astype(np.float32)
+            h = np.where(f[:, t, None], np.float32(0), h)
             prev = np.where(f[:, t], words, before)
             new, memory = cell(p, p["emb"][prev], h)
-            steps.append((memory, new, x[:, t], prev, np.ones(lanes, bool)))
+            steps.append((memory, new, x[:, t], prev, real[:, t]))
             h, before = new, x[:, t]
         backward(p, cuts, of, steps, g)
         # rows of words that the window doesn't touch have no gradient
@@ -245,44 +290,57 @@ def score(p, cuts, of, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         live = int(np.searchsorted(negative, -t, "left"))
         # states of a window of steps are scored at once
         if held > 100_000 or not live:
-            np.add.at(total, np.concatenate(held_who), log_probability(p, cuts, of, np.concatenate(held_h), np.concatenate(held_w)))
+            total += np.bincount(np.concatenate(held_who), log_probability(p, cuts, of, np.concatenate(held_h), np.concatenate(held_w)), len(total))
             held_h, held_w, held_who, held = [], [], [], 0
     return total
 
 
-def numbered(known: dict[str, int], column):
-    """Token ids of a text column, the last number for unknown ones, and offsets."""
-    ids, offsets, _ = tokens.encode(column, known)
-    return np.where(ids < 0, len(known), ids).astype(np.int64), offsets
-
-
 def streamer(shared):
-    """Documents to their token ids, packed."""
+    """Documents to their token ids, packed, the last number for unknown tokens."""
 
     def run(batches):
-        known = dict(shared.value["known"])
-        for batch in batches:
-            ids, offsets = numbered(known, batch.column("text"))
-            short = ids.astype(np.int32)
+        known = shared.value["known"]
+        for batch in tokens.bounded(batches):
+            ids, offsets, _ = tokens.encode(batch.column("text"), known)
+            short = np.where(ids < 0, len(known), ids).astype(np.int32 if len(known) > 65_535 else np.uint16)
             yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "ids": pa.array([short[a:b].tobytes() for a, b in zip(offsets, offsets[1:])], pa.binary())})
 
     return run
 
 
-def trainer(shared):
-    """A shard's streams to its weights, a row for each matrix."""
+def trainer(shared, piece: int = SHARD_TOKENS):
+    """A shard's streams, read in pieces of so many tokens, to its weights, a row for each matrix."""
 
-    def run(table: pa.Table) -> pa.Table:
-        model = shared.value
-        rows = sorted(zip(table.column("key").to_pylist(), table.column("ids").to_pylist()))
-        parts = [np.frombuffer(b, np.int32).astype(np.int64) for _, b in rows if b]
-        if not parts:
-            return pa.table({"name": pa.array([], pa.string()), "weight": pa.array([], pa.int64()), "w": pa.array([], pa.binary())})
-        stream = np.concatenate(parts)
-        fresh = np.zeros(len(stream), bool)
-        fresh[np.cumsum([0, *map(len, parts[:-1])])] = True
-        p = fit_stream({k: v.copy() for k, v in model["p"].items()}, model["cuts"], model["of"], stream, fresh)
-        return pa.table({"name": list(NAMES), "weight": pa.array([len(stream)] * len(NAMES), pa.int64()), "w": pa.array([p[k].tobytes() for k in NAMES], pa.binary())})
+    def run(batches):
+        model, parts, held, total, p, seen = shared.value, [], 0, 0, None, None
+
+        def learn():
+            stream = np.concatenate(parts)
+            fresh = np.zeros(len(stream), bool)
+            fresh[np.cumsum([0, *map(len, parts[:-1])])] = True
+            fit_stream(p, model["cuts"], model["of"], stream, fresh, seen=seen)
+
+        for batch in batches:
+            for b in batch.column("ids").to_pylist():
+                if not b:
+                    continue
+                parts.append(np.frombuffer(b, np.int32 if len(model["known"]) > 65_535 else np.uint16).astype(np.int64))
+                held += len(parts[-1])
+                if held >= piece:
+                    if p is None:
+                        p = {k: v.copy() for k, v in model["p"].items()}
+                        seen = {k: np.full_like(v, 1e-3) for k, v in p.items()}
+                    learn()
+                    parts, total, held = [], total + held, 0
+        if held:
+            if p is None:
+                p = {k: v.copy() for k, v in model["p"].items()}
+                seen = {k: np.full_like(v, 1e-3) for k, v in p.items()}
+            learn()
+            total += held
+        if total:
+            for k in NAMES:
+                yield pa.RecordBatch.from_pydict({"name": [k], "weight": pa.array([total], pa.int64()), "w": pa.array([p[k].tobytes()], pa.binary())})
 
     return run
 
@@ -294,15 +352,15 @@ def average(table: pa.Table) -> pa.Table:
     return pa.table({"name": [table.column("name")[0].as_py()], "weight": pa.array([int(weight.sum())], pa.int64()), "w": [(total / weight.sum()).astype(np.float32).tobytes()]})
 
 
-def fit(docs: DataFrame, words: int = WORDS, hidden: int = HIDDEN, share: int = SHARE, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS, least: int = LEAST) -> dict:
+def fit(docs: DataFrame, words: int = WORDS, hidden: int = HIDDEN, rounds: int = ROUNDS, shard_tokens: int = SHARD_TOKENS, least: int = LEAST) -> dict:
     """The model: vocabulary, classes, weights and spelling; it grows with the words that occur ``least`` times."""
     spark = docs.sparkSession
     counts = written(docs.select("text").mapInArrow(counter(), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     all_tokens = counts.agg(F.sum("n")).first()[0] or 0
     top = counts.orderBy(F.desc("n"), "word").limit(max(words, counts.filter(F.col("n") >= least).count())).collect()
-    known = {r.word: i for i, r in enumerate(top)}
-    pairs = counts.mapInArrow(spelling_counter(spark.sparkContext.broadcast(known)), "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
-    spelling = Spelling({(r.a, r.b): r.n for r in pairs.collect()})
+    known = pa.array([r.word for r in top], pa.large_string())
+    pairs = counts.mapInArrow(spelling_counter(spark.sparkContext.broadcast(known)), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+    spelling = Spelling({r.pair: r.n for r in pairs.collect()})
     n = np.array([*(r.n for r in top), max(1, all_tokens - sum(r.n for r in top))], np.float64)
     cuts = classes_of(n)
     of = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
@@ -313,17 +371,14 @@ def fit(docs: DataFrame, words: int = WORDS, hidden: int = HIDDEN, share: int =
     model["p"]["bw"] = np.log(n + 1).astype(np.float32)
     model["p"]["bc"] = np.log(np.add.reduceat(n, cuts[:-1]) + 1).astype(np.float32)
     shared = spark.sparkContext.broadcast(model)
-    key = F.xxhash64("text")
-    chosen = docs.filter("text is not null").select(key.alias("key"), "text")
-    if share > 1:
-        chosen = chosen.filter(F.pmod("key", F.lit(share)) == 0)
-    shards = max(1, int(all_tokens / share / shard_tokens))
-    streams = written(chosen.mapInArrow(streamer(shared), "key long, ids binary").repartition(shards, "key"), "streams")
-    shard = F.pmod(F.hash("key"), F.lit(shards))
+    chosen = docs.filter("text is not null").select(F.xxhash64("text").alias("key"), "text")
+    shards = max(1, int(all_tokens / max(shard_tokens, WORD_TOKENS * len(n))))
+    part = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(rounds))
+    streams = written(chosen.mapInArrow(streamer(shared), "key long, ids binary").withColumn("part", part), "streams")
     schema = "name string, weight long, w binary"
-    for _ in range(rounds):
+    for k in range(rounds):
         shared = spark.sparkContext.broadcast(model)
-        trained = streams.groupBy(shard.alias("shard")).applyInArrow(trainer(shared), schema)
+        trained = streams.filter(F.col("part") == k).repartition(shards, "key").sortWithinPartitions("key").mapInArrow(trainer(shared, shard_tokens), schema)
         # averaged in two steps, so that no task holds the weights of all shards
         salted = trained.withColumn("salt", (F.rand(1) * max(1, shards // 16)).cast("int"))
         rows = salted.groupBy("name", "salt").applyInArrow(average, schema).groupBy("name").applyInArrow(average, schema).collect()
@@ -334,14 +389,15 @@ def fit(docs: DataFrame, words: int = WORDS, hidden: int = HIDDEN, share: int =
 def scorer(shared):
     def run(batches):
         model = shared.value
-        known = dict(model["known"])
-        for batch in batches:
+        known = model["known"]
+        for batch in tokens.bounded(batches):
             column = batch.column("text")
             raw, offsets, words = tokens.encode(column)
-            ids = np.array([known.get(w, len(known)) for w in words], np.int64)[raw]
-            spelt = np.array([0.0 if w in known else model["spelling"].log(w) for w in words])[raw]
-            total = score(model["p"], model["cuts"], model["of"], ids, offsets)
-            total += np.bincount(np.repeat(np.arange(len(total)), np.diff(offsets)), spelt, len(total))
+            at = pc.fill_null(pc.index_in(words, value_set=known), len(known)).to_numpy(zero_copy_only=False).astype(np.int64)
+            spelt, rare = np.zeros(len(words)), np.flatnonzero(at == len(known))
+            spelt[rare] = model["spelling"].logs(words.take(pa.array(rare)))
+            total = score(model["p"], model["cuts"], model["of"], at[raw], offsets)
+            total += np.bincount(np.repeat(np.arange(len(total)), np.diff(offsets)), spelt[raw], len(total))
             size, null = np.diff(offsets), np.asarray(column.is_null())
             yield pa.RecordBatch.from_pydict(
                 {
