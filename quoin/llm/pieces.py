@@ -9,10 +9,10 @@ model by the merges in order of their scores, because the best path by score is
 not what such a model means. Units keep their partitioning from the distinct
 step on, so the lattice itself is never shuffled.
 
-Texts are then read a second time and each unit replaced by its pieces. The most
+Texts are then read again and each unit replaced by its pieces. The most
 frequent units, at most ``hot`` of them, are broadcast for that; the places of
-all others are shuffled to their units and back, so that what is sent to every
-executor doesn't grow with the corpus.
+all others are listed in one more reading and shuffled to their units and back, so
+that what is sent to every executor doesn't grow with the corpus.
 
 Semantics
   * The ids are those of the sentencepiece library: identity normalisation, a
@@ -30,7 +30,6 @@ Semantics
 from __future__ import annotations
 
 import heapq
-import re
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -41,12 +40,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import let, written
-from .tokens import plain
+from .tokens import BATCH_BYTES, bounded, plain
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, HOT, LONG = "▁", 1_000_000, 60
-#: Characters that might separate units in a batch: the first that its texts don't hold is used.
-SEPARATORS = ["\x1f", "\x1e", *map(chr, range(0xE000, 0xE100))]
+#: Characters of text for each task of the lattice; so many units of a task have their edges held in memory, some 2 kB each.
+TASK_CHARS, UNITS_HELD = 6_000_000, 80_000
+#: Bytes that end a letter of ASCII.
+LETTER = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
 
 
 @dataclass
@@ -76,12 +77,22 @@ class Vocabulary:
         return Vocabulary([x.piece for x in p], [x.score for x in p], [x.type for x in p], proto.trainer_spec.model_type == 2).prepared()
 
     def prepared(self) -> Vocabulary:
+        if MARK not in self.pieces:
+            raise ValueError("only models with a piece for the space marker are supported")
         normal = [p for p, k in zip(self.pieces, self.kinds) if k in (1, 4)]
         self.longest = max(map(len, normal), default=1)
         # characters before which no piece goes on from a letter
         after = {p[i] for p in normal for i in range(1, len(p)) if p[i - 1].isalpha()}
         marks = [c for c in ".,;:!?%&*#$()\"'" if c not in after]
-        self.cuts = "".join(map(re.escape, marks))
+        self.cuts = "".join(marks)
+        # pieces that a merge of a worse score may make possible
+        score = {p: s for p, s, k in zip(self.pieces, self.scores, self.kinds) if k in (1, 4)}
+
+        def late(p: str) -> bool:
+            splits = ((p[:i], p[i:]) for i in range(1, len(p)))
+            return any(all(len(x) == 1 or x in score for x in ab) and any(len(x) > 1 and score[x] <= score[p] for x in ab) for ab in splits)
+
+        self.late = {p for p in score if late(p)}
         inside = {p[i] for p in normal for i in range(len(p)) if len(p) > 1}
         self.alone_newline = "\n" not in inside
         self.marked = any(MARK in p.lstrip(MARK) for p in normal)
@@ -99,33 +110,45 @@ class Vocabulary:
         return min((s for s, k in zip(self.scores, self.kinds) if k == 1), default=0.0) - 10.0
 
     def table(self, spark: SparkSession) -> DataFrame:
-        """piece, id, score of the pieces that texts can hold."""
-        rows = {p: (p, i, s) for i, (p, s, k) in enumerate(zip(self.pieces, self.scores, self.kinds)) if k in (1, 4)}
-        return spark.createDataFrame(list(rows.values()), "piece string, id int, score double")
+        """piece, id, score, its rank and late of the pieces that texts can hold, with spaces for the marker."""
+        ranks = {s: r for r, s in enumerate(sorted(set(self.scores), reverse=True))}
+        rows = {p: (p.replace(MARK, " "), i, s, ranks[s], p in self.late) for i, (p, s, k) in enumerate(zip(self.pieces, self.scores, self.kinds)) if k in (1, 4)}
+        return spark.createDataFrame(list(rows.values()), "piece string, id int, score double, rank long, late boolean")
 
 
 def units_of(column, cuts: str, newline: bool, marked: bool):
-    """(index of each unit, offsets by text, distinct units) of a text column."""
+    """(index of each unit, offsets by text, distinct units) of a text column; the space marker is a space."""
     column = plain(column)
-    text = pc.if_else(pc.equal(column, ""), "", pc.binary_join_element_wise(pa.scalar(MARK, pa.large_string()), pc.replace_substring(column, " ", MARK), pa.scalar("", pa.large_string())))
-    sep = next(s for s in SEPARATORS if not pc.any(pc.match_substring(text, s)).as_py())
-    if newline:
-        text = pc.replace_substring(text, "\n", f"{sep}\n{sep}")
+    text = pc.if_else(pc.equal(column, ""), "", pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), column, pa.scalar("", pa.large_string())))
+    if pc.any(pc.match_substring(text, MARK)).as_py():
+        text = pc.replace_substring(text, MARK, " ")
+    offs = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1] if len(text) else np.zeros(1, np.int64)
+    data = np.frombuffer(text.buffers()[2] or b"", np.uint8)[offs[0] : offs[-1]]
+    offs = offs - offs[0]
+    start = np.zeros(len(data) + 1, bool)
+    start[offs] = True
     if not marked:
-        text = pc.replace_substring_regex(text, f"([^{MARK}{sep}]){MARK}", f"\\1{sep}{MARK}")
+        space = data == 32
+        start[1:-1] |= space[1:] & ~space[:-1]
+    if newline:
+        at = np.flatnonzero(data == 10)
+        start[at] = start[at + 1] = True
     if cuts:
-        text = pc.replace_substring_regex(text, f"(\\pL)([{cuts}])", f"\\1{sep}\\2")
-    lists = pc.split_pattern(text, sep)
-    offsets = lists.offsets.to_numpy()
-    flat = lists.flatten().dictionary_encode()
-    return flat.indices.to_numpy(zero_copy_only=False), offsets, flat.dictionary
+        # after letters of ASCII and of the Latin-1 supplement; fewer cuts only make longer units
+        at = np.flatnonzero(np.isin(data, np.frombuffer(cuts.encode(), np.uint8)))
+        at = at[at > 1]
+        before = data[at - 1]
+        start[at[LETTER[before] | ((data[at - 2] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7))]] = True
+    marks = np.flatnonzero(start[:-1])
+    units = pa.LargeStringArray.from_buffers(len(marks), pa.py_buffer(np.append(marks, len(data))), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+    return units.indices.to_numpy(zero_copy_only=False), np.searchsorted(marks, offs), units.dictionary
 
 
 def lister(cuts: str, newline: bool, marked: bool):
     """Documents to the distinct units of each batch with their counts."""
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches):
             at, _, units = units_of(batch.column("text"), cuts, newline, marked)
             n = np.bincount(at, minlength=len(units)).astype(np.int64)
             out = pa.table({"unit": units.cast(pa.string()), "n": pa.array(n)})
@@ -137,20 +160,77 @@ def lister(cuts: str, newline: bool, marked: bool):
 # --- the folds, as Spark columns -------------------------------------------------------------
 
 
-def merged(edges: Column, n: Column) -> Column:
+class Packed:
+    """An edge in one number: rank, place, end, late and id, in this order, which is that of the merges."""
+
+    @staticmethod
+    def of(rank: Column, s: Column, e: Column, late: Column, id: Column) -> Column:
+        shift = lambda x, by: F.call_function("shiftleft", x.cast("long"), F.lit(by))
+        return shift(rank, 33) + shift(s, 27) + shift(e, 21) + F.when(late, F.lit(1 << 20)).otherwise(F.lit(0)) + id
+
+    @staticmethod
+    def s(x: Column) -> Column:
+        return F.shiftright(x, 27).bitwiseAND(F.lit(63)).cast("int")
+
+    @staticmethod
+    def e(x: Column) -> Column:
+        return F.shiftright(x, 21).bitwiseAND(F.lit(63)).cast("int")
+
+    @staticmethod
+    def late(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(1 << 20)) != 0
+
+    @staticmethod
+    def id(x: Column) -> Column:
+        return x.bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
+
+    @staticmethod
+    def span(x: Column) -> Column:
+        """Place and end as one number."""
+        return F.shiftright(x, 21).bitwiseAND(F.lit(4095))
+
+
+def bit(mask: Column, at: Column) -> Column:
+    return F.call_function("shiftright", mask, at).bitwiseAND(F.lit(1)) == 1
+
+
+def inner(s: Column, e: Column) -> Column:
+    """The bits between two places."""
+    return F.call_function("shiftleft", F.lit(1).cast("long"), e) - F.call_function("shiftleft", F.lit(2).cast("long"), s)
+
+
+def fits(mask: Column, x: Column) -> Column:
+    """Whether an edge joins two neighbouring symbols: a boundary at either end and one between."""
+    return bit(mask, Packed.s(x)) & bit(mask, Packed.e(x)) & (F.bit_count(mask.bitwiseAND(inner(Packed.s(x), Packed.e(x)))) == 1)
+
+
+def merged_at_once(edges: Column, n: Column) -> Column:
     """Boundaries of the symbols after all BPE merges, as bits; for units of up to ``LONG`` characters.
 
-    Each step takes of the edges that join two neighbouring symbols the one of the best score.
+    One pass over the edges, in order of score and place, merges what fits at its turn. That is the order of
+    the merges unless one makes an edge before it fit, which only ``late`` edges can; then the slow way is taken.
     """
-    start = F.call_function("shiftleft", F.lit(2).cast("long"), n) - 1
+    start = F.struct((F.call_function("shiftleft", F.lit(2).cast("long"), n) - 1).alias("mask"), F.lit(False).alias("again"))
 
-    def fits(mask: Column, x: Column) -> Column:
-        # a boundary at either end and one between
-        return (mask.bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(mask.bitwiseAND(x["span"])) == 3)
+    def run(late: Column) -> Column:
+        def step(s: Column, x: Column) -> Column:
+            def earlier(mask: Column) -> Column:
+                return F.struct(mask.alias("mask"), (s["again"] | F.exists(late, lambda y: (y < x) & fits(mask, y))).alias("again"))
+
+            return F.when(fits(s["mask"], x), let(s["mask"].bitwiseAND(F.bitwise_not(inner(Packed.s(x), Packed.e(x)))), earlier)).otherwise(s)
+
+        return F.aggregate(edges, start, step)
+
+    return let(let(F.filter(edges, Packed.late), run), lambda s: F.when(s["again"], merged(edges, n)).otherwise(s["mask"]))
+
+
+def merged(edges: Column, n: Column) -> Column:
+    """The same, step by step: each takes of the edges that join two neighbouring symbols the one of the best score."""
+    start = F.call_function("shiftleft", F.lit(2).cast("long"), n) - 1
 
     def step(mask: Column, _: Column) -> Column:
         # edges are in order of score and place: the first that fits is the one
-        left = F.transform(F.slice(F.filter(edges, lambda x: fits(mask, x)), 1, 1), lambda x: mask.bitwiseAND(F.bitwise_not(x["span"].bitwiseXOR(x["ends"]))))
+        left = F.transform(F.slice(F.filter(edges, lambda x: fits(mask, x)), 1, 1), lambda x: mask.bitwiseAND(F.bitwise_not(inner(Packed.s(x), Packed.e(x)))))
         return F.coalesce(F.get(left, 0), mask)
 
     return F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), start, step)
@@ -178,7 +258,7 @@ def viterbi(edges: Column, n: Column, floor: float) -> Column:
 
 def long_folder(vocab: Vocabulary):
     """Pieces of long units: the same rules in Python."""
-    table = {p: (i, s) for i, (p, s, k) in enumerate(zip(vocab.pieces, vocab.scores, vocab.kinds)) if k in (1, 4)}
+    table = {p.replace(MARK, " "): (i, s) for i, (p, s, k) in enumerate(zip(vocab.pieces, vocab.scores, vocab.kinds)) if k in (1, 4)}
     bytes_, unknown, bpe, longest, floor = vocab.byte_ids(), vocab.unknown, vocab.bpe, vocab.longest, vocab.floor()
 
     def symbols_bpe(unit: str) -> list[str]:
@@ -252,12 +332,15 @@ def encoded_units(units: DataFrame, vocab: Vocabulary) -> DataFrame:
     joined = substrings.join(F.broadcast(pieces) if len(vocab.pieces) <= 1_000_000 else pieces, "piece", "left")
     # the first character's row stays without a piece too, so that no unit is lost
     joined = joined.filter("id is not null or (s = 0 and e = 1)")
-    one = F.lit(1).cast("long")
-    s_bit, e_bit = F.call_function("shiftleft", one, F.col("s")), F.call_function("shiftleft", one, F.col("e"))
-    bits = [(s_bit + e_bit).alias("ends"), (e_bit * 2 - s_bit).alias("span")]
-    # by score and place, for the fold of merges
-    edge = F.when(F.col("id").isNotNull(), F.struct((-F.col("score")).alias("loss"), "s", "e", "id", *bits))
-    grouped = joined.groupBy("unit", "n").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
+    if len(vocab.pieces) >= 1 << 20:
+        raise ValueError("ids of more than 20 bits are not supported")
+    some = F.col("id").isNotNull()
+    if vocab.bpe:
+        edge = Packed.of(F.col("rank"), F.col("s"), F.col("e"), F.col("late"), F.col("id"))
+        edges = [F.array_sort(F.collect_list(F.when(some & (F.col("e") - F.col("s") > 1), edge))).alias("edges"), F.collect_list(F.when(some & (F.col("e") - F.col("s") == 1), edge)).alias("singles")]
+    else:
+        edges = [F.array_sort(F.collect_list(F.when(some, F.struct((-F.col("score")).alias("loss"), "s", "e", "id")))).alias("edges")]
+    grouped = joined.groupBy("unit", "n").agg(*edges)
     bytes_ = vocab.byte_ids()
     if bytes_:
         first = bytes_[0]
@@ -272,25 +355,32 @@ def encoded_units(units: DataFrame, vocab: Vocabulary) -> DataFrame:
         def fallback(text: Column) -> Column:
             return F.array(F.lit(vocab.unknown))
 
-    def ids_along(edges: Column, bits: Column) -> Column:
+    def ids_along(found, bits: Column) -> Column:
+        """The ids of the symbols between boundaries; ``found`` gives the ids of the edges from a place to another."""
+
         def ids(s: Column, i: Column) -> Column:
             e = F.get(bits, i + 1)
-            found = F.transform(F.filter(edges, lambda x: (x["s"] == s) & (x["e"] == e)), lambda x: x["id"])
-            return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(fallback(F.col("unit").substr(s + 1, e - s))))
+            return let(found(s, e), lambda f: F.when(F.size(f) > 0, f).otherwise(fallback(F.col("unit").substr(s + 1, e - s))))
 
         return F.flatten(F.transform(F.slice(bits, 1, F.size(bits) - 1), ids))
 
     def bits_of(mask: Column) -> Column:
         return F.filter(F.sequence(F.lit(0), n), lambda i: F.call_function("shiftrightunsigned", mask, i).bitwiseAND(F.lit(1).cast("long")) == 1)
 
-    def folded_ids(edges: Column) -> Column:
-        if vocab.bpe:
-            mask = let(F.filter(edges, lambda x: x["e"] - x["s"] > 1), lambda long: merged(long, n))
-        else:
-            mask = viterbi(edges, n, vocab.floor())
-        return let(mask, lambda m: let(bits_of(m), lambda bits: ids_along(edges, bits)))
+    if vocab.bpe:
+
+        def found(s: Column, e: Column) -> Column:
+            among = lambda edges: F.transform(F.filter(edges, lambda x: Packed.span(x) == s * 64 + e), Packed.id)
+            return F.when(e - s == 1, among(F.col("singles"))).otherwise(among(F.col("edges")))
+
+        mask = merged_at_once(F.col("edges"), n)
+    else:
+
+        def found(s: Column, e: Column) -> Column:
+            return F.transform(F.filter("edges", lambda x: (x["s"] == s) & (x["e"] == e)), lambda x: x["id"])
 
-    whole = let(F.col("edges"), folded_ids)
+        mask = viterbi(F.col("edges"), n, vocab.floor())
+    whole = let(mask, lambda m: let(bits_of(m), lambda bits: ids_along(found, bits)))
     if not bytes_:
         # the library joins neighbouring unknown characters
         whole = let(whole, lambda w: F.filter(F.transform(w, lambda x, i: F.when((x == vocab.unknown) & (i > 0) & (F.get(w, i - 1) == vocab.unknown), -1).otherwise(x)), lambda x: x >= 0))
@@ -310,8 +400,8 @@ def _joined_lists(at: np.ndarray, starts: np.ndarray, flat: np.ndarray):
     return flat[take], ends
 
 
-def replacer(shared, cuts: str, newline: bool, marked: bool):
-    """Documents to packed ids with a hole (-1) for each unit that isn't among the hot ones, and those units."""
+def replacer(shared, cuts: str, newline: bool, marked: bool, kind: type, only_rare: bool = False):
+    """Documents to packed ids with a hole (the greatest number) for each unit that isn't among the hot ones; or to their keys and those units alone."""
     ready: list = []
 
     def run(batches):
@@ -321,30 +411,27 @@ def replacer(shared, cuts: str, newline: bool, marked: bool):
             lists = hot.column("ids").combine_chunks()
             ready.append((hot.column("unit").combine_chunks().cast(pa.large_string()), lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy()))
         names, starts, flat = ready[0]
-        for batch in batches:
+        for batch in bounded(batches, limit=BATCH_BYTES // 2):
             text = batch.column("text")
             at, offsets, units = units_of(text, cuts, newline, marked)
             units = units.cast(pa.large_string())
             where = pc.index_in(units, value_set=names).fill_null(-1).to_numpy().astype(np.int64)
             blank = pc.equal(units, "").to_numpy(zero_copy_only=False)
+            texts = text.cast(pa.large_binary()).to_pylist()
+            key = pa.array([None if t is None else xxhash.xxh3_128_digest(t) for t in texts], pa.binary())
             # two more lists: that of a hole and the empty one
-            all_starts = np.concatenate((starts, [len(flat) + 1, len(flat) + 1]))
             where[where < 0] = len(starts) - 1
             where[blank] = len(starts)
-            ids, ends = _joined_lists(where[at], all_starts, np.append(flat, np.int32(-1)))
-            rare = (where == len(starts) - 1)[at]
-            holes = pc.take(units, pa.array(at[rare])).cast(pa.string())
-            hole_ends = np.concatenate(([0], np.cumsum(rare)))[offsets]
+            if only_rare:
+                rare = (where == len(starts) - 1)[at]
+                holes = pc.take(units, pa.array(at[rare])).cast(pa.string())
+                hole_ends = np.concatenate(([0], np.cumsum(rare)))[offsets]
+                yield pa.RecordBatch.from_pydict({"key": key, "rare": pa.ListArray.from_arrays(pa.array(hole_ends.astype(np.int32)), holes)})
+                continue
+            all_starts = np.concatenate((starts, [len(flat) + 1, len(flat) + 1]))
+            ids, ends = _joined_lists(where[at], all_starts, np.append(flat.astype(kind), kind(np.iinfo(kind).max)))
             bounds = ends[offsets]
-            texts = text.cast(pa.large_binary()).to_pylist()
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column("doc_id"),
-                    "key": pa.array([None if t is None else xxhash.xxh3_128_digest(t) for t in texts], pa.binary()),
-                    "packed": pa.array([None if t is None else ids[a:b].astype(np.int32).tobytes() for t, a, b in zip(texts, bounds, bounds[1:])], pa.binary()),
-                    "rare": pa.ListArray.from_arrays(pa.array(hole_ends.astype(np.int32)), holes),
-                }
-            )
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": key, "packed": pa.array([None if t is None else ids[a:b].tobytes() for t, a, b in zip(texts, bounds, bounds[1:])], pa.binary())})
 
     return run
 
@@ -372,17 +459,18 @@ def surface(vocab: Vocabulary) -> list[bytes]:
     return out
 
 
-def finisher(pieces: list[bytes]):
+def finisher(pieces: list[bytes], kind: type):
     """Fills the holes and decodes the result again."""
     decode = decoder(pieces)
 
     def run(batches):
-        for batch in batches:
+        for batch in bounded(batches, "packed"):
             parts, sizes = [], []
-            for packed, fill in zip(batch.column("packed").to_pylist(), batch.column("fill").to_pylist()):
-                ids = np.frombuffer(packed or b"", np.int32)
+            fills = batch.column("fill").to_pylist() if "fill" in batch.schema.names else [None] * batch.num_rows
+            for packed, fill in zip(batch.column("packed").to_pylist(), fills):
+                ids = np.frombuffer(packed or b"", kind)
                 if fill:
-                    at, rest, last = np.flatnonzero(ids < 0), [], 0
+                    at, rest, last = np.flatnonzero(ids == np.iinfo(kind).max), [], 0
                     for hole, x in zip(at, sorted(fill, key=lambda f: f["pos"])):
                         rest += [ids[last:hole], np.asarray(x["ids"], np.int32)]
                         last = hole + 1
@@ -413,8 +501,16 @@ def encode(docs: DataFrame, model: str = MODEL, hot: int = HOT) -> DataFrame:
     vocab = Vocabulary.load(model)
     how = (vocab.cuts, vocab.alone_newline, vocab.marked)
     clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    units = clean.select("text").mapInArrow(lister(*how), "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    lattice = written(encoded_units(units, vocab), "units")
+    chars = clean.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
+    units = clean.select("text").mapInArrow(lister(*how), "unit string, n long").repartition(max(8, chars // TASK_CHARS + 1), "unit").groupBy("unit").agg(F.sum("n").alias("n"))
+    # lists of edges are kept by unit in memory up to a number of units; beyond, Spark sorts
+    threshold, before = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", None
+    try:
+        before = spark.conf.get(threshold, None)
+        spark.conf.set(threshold, str(UNITS_HELD))
+        lattice = written(encoded_units(units, vocab), "units")
+    finally:
+        spark.conf.unset(threshold) if before is None else spark.conf.set(threshold, before)
     total = lattice.count()
     common = lattice.orderBy(F.desc("n"), "unit").limit(hot) if total > hot else lattice
     # at most ``hot`` units, packed, go to the driver and from there to all executors
@@ -424,16 +520,17 @@ def encode(docs: DataFrame, model: str = MODEL, hot: int = HOT) -> DataFrame:
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
     shared = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-    replaced = clean.mapInArrow(replacer(shared, *how), "doc_id long, key binary, packed binary, rare array<string>")
-    empty = F.array().cast("array<struct<pos:int,ids:array<int>>>")
-    if total > hot:
-        replaced = written(replaced, "replaced")
-        places = replaced.filter("size(rare) > 0").dropDuplicates(["key"]).select("key", F.posexplode("rare").alias("pos", "unit"))
-        fills = places.join(lattice.select("unit", "ids"), "unit").groupBy("key").agg(F.collect_list(F.struct("pos", "ids")).alias("fill"))
-        replaced = replaced.join(fills, "key", "left").withColumn("fill", F.coalesce("fill", empty))
-    else:
-        replaced = replaced.withColumn("fill", empty)
-    return replaced.select("doc_id", "key", "packed", "fill").mapInArrow(finisher(surface(vocab)), "doc_id long, n_pieces int, pieces array<int>, exact boolean")
+    kind = np.uint16 if len(vocab.pieces) < 65_535 else np.int32
+    replace, finish = replacer(shared, *how, kind), finisher(surface(vocab), kind)
+    done = "doc_id long, n_pieces int, pieces array<int>, exact boolean"
+    if total <= hot:
+        # no holes: both steps in one worker
+        return clean.mapInArrow(lambda batches: finish(replace(batches)), done)
+    rare = clean.select("text").mapInArrow(replacer(shared, *how, kind, True), "key binary, rare array<string>").filter("size(rare) > 0")
+    places = rare.dropDuplicates(["key"]).select("key", F.posexplode("rare").alias("pos", "unit"))
+    fills = places.join(lattice.select("unit", "ids"), "unit").groupBy("key").agg(F.collect_list(F.struct("pos", "ids")).alias("fill"))
+    filled = clean.mapInArrow(replace, "doc_id long, key binary, packed binary").join(fills, "key", "left")
+    return filled.select("doc_id", "key", "packed", F.coalesce("fill", F.array().cast("array<struct<pos:int,ids:array<int>>>")).alias("fill")).mapInArrow(finish, done)
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
