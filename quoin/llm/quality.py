@@ -252,6 +252,8 @@ def fit_ensemble(x: dict[str, np.ndarray], y: np.ndarray, penalties=(0.01, 0.004
         return Ensemble(float(math.log(share / (1 - share))), [])
     held = np.arange(len(y)) % 4 == 3
     rules = tree_rules({k: v[~held] for k, v in x.items()}, y[~held])
+    if not rules:  # too few rows for a tree
+        return Ensemble(float(math.log(share / (1 - share))), [])
     r = np.stack([q.holds(x) for q in rules], 1).astype(np.float64)
     best, w, b = (math.inf, 0.0, None), None, 0.0
     for penalty in penalties:

@@ -5,6 +5,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from oracle import same
 from quoin.llm import chat, decontaminate, html_crf, jaccard_join, line_dedup, lm, passages, pieces, quality, topk
@@ -36,7 +37,7 @@ def test_odd_documents_do_not_fail(spark):
         assert passages.repeated_passages(d).count() == 0
         assert jaccard_join.similar_pairs(d).count() == 0
         labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-        assert quality.fit(d, labels).scored(d.drop("keep")).filter("keep").count() == (4 if texts else 0)
+        assert quality.fit(d, labels).scored(d).filter("_keep").count() == (4 if texts else 0)
 
 
 def test_jaccard_groups_are_components(spark):
@@ -53,11 +54,13 @@ def test_topk_by_brute_force(spark):
     rows = [(i, x.tolist(), "clash") for i, x in enumerate(v)]
     rows += [rows[3], (100, None, ""), (None, [1.0], ""), (101, [], ""), (102, [float("nan"), None, 1.0], "")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string")
-    got = {(r.query_id, r["rank"]): (r.item_id, r.score) for r in topk.neighbours(df, k=5, query_tile=16, item_slab=24).collect()}
+    got = {(r.query_id, r["rank"]): (r.item_id, r.score) for r in topk.neighbours(df, k=5, tile_bytes=500, slab_bytes=900).collect()}
     m = {i: x for i, x in enumerate(v)} | {101: np.zeros(6), 102: np.array([0, 0, 1.0, 0, 0, 0])}
     for q, x in m.items():
         best = sorted(((round(float(x @ y), 6) + 0.0, i) for i, y in m.items() if i != q), key=lambda t: (-t[0], t[1]))[:5]
         assert [(got[q, k + 1][1], got[q, k + 1][0]) for k in range(5)] == best
+    some = [tuple(r) for r in topk.neighbours(df, k=5, every=50).collect()]
+    assert {r[0] for r in some} == {0, 50} and all(got[r[0], r[3]] == (r[1], r[2]) for r in some)
     assert topk.neighbours(df.limit(0)).count() == 0
 
 
@@ -118,6 +121,32 @@ def test_chat_layouts(spark):
     assert chat.records_of(odd.limit(0)).count() == 0
 
 
+def test_chat_unions_parts_and_clashes(spark):
+    parts = [{"type": "text", "text": "see"}, "this", {"type": "image", "url": "u"}]
+    rows = [
+        {"messages": [{"role": "user", "content": parts}, {"role": "assistant", "content": "[1]"}], "prompt": "x", "completion": "y"},
+        {"question": "q", "answer": "a", "input": "stray"},
+        {"prompt": "p", "completion": "c", "response": "r", "meta": {"k": [1, None]}},
+        {"messages": [{"role": "user", "content": None}], "prompt": "p", "response": "r"},
+        {"messages": [{"role": "user", "content": "x" * 300_000}]},
+        {"messages": [{"role": "user", "content": [{"url": "u"}]}, {"role": "user", "content": 5}]},
+    ]
+    df = spark.createDataFrame([(k, json.dumps(r), "kept", "kept") for k, r in enumerate(rows)], "k int, record string, layout string, turns string")
+    out = chat.canonical(df)
+    assert out.columns == ["k", "record", "layout", "turns", "_layout", "_turns"]
+    got = {r.k: (r._layout, [tuple(t) for t in r._turns]) for r in out.collect()}
+    assert all(r.layout == r.turns == "kept" for r in out.collect())
+    assert got[0] == ("messages", [("user", "see\nthis"), ("assistant", "[1]")])
+    assert got[1] == ("question", [("user", "q"), ("assistant", "a")])
+    assert got[2] == ("completion", [("user", "p"), ("assistant", "c")])
+    assert got[3] == ("response", [("user", "p"), ("assistant", "r")])
+    assert len(got[4][1][0][1]) == 300_000 and got[5][1] == [("user", "5")]
+    known = chat.fingerprints()
+    texts = ['{"messages":[{"role":"u","content":"a"},{"role":"b","content":"c"}],"system":"s"}', '{"dialog":[["a","b"]]}', '{"output":"o","instruction":"i","input":"x"}']
+    shapes = [r.s for r in spark.createDataFrame([(t,) for t in texts], "t string").select(chat.shape_of(F.col("t")).alias("s")).collect()]
+    assert [known.get(x) for x in shapes] == ["messages", "dialog", "instruction"], shapes
+
+
 def test_crf_viterbi_and_marginals_by_brute_force():
     rng = np.random.default_rng(1)
     f = html_crf.Field(4)
@@ -149,13 +178,14 @@ def test_html_held_out_accuracy_and_odd_pages(spark):
 def test_language_model_by_brute_force(spark):
     texts = [(100 + k, " ".join("abcde"[(k + j) % 5] for j in range(40 + k))) for k in range(30)] + ODD
     d = docs(spark, texts)
-    model = lm.fit(d, words=6, hidden=4, share=1, rounds=1)
+    model = lm.fit(d, words=6, hidden=4, rounds=1)
     p, cuts, of = model["p"], model["cuts"], model["of"]
+    known = {w: i for i, w in enumerate(model["known"].to_pylist())}
     got = {r.doc_id: r for r in lm.scored(d, model).collect() if r.doc_id is not None}
     for i, t in texts[:5]:
         h, prev, total = np.zeros((1, 4), np.float32), len(of), 0.0
         for w in t.split():
-            w = model["known"].get(w, len(model["known"]))
+            w = known.get(w, len(known))
             h, _ = lm.cell(p, p["emb"][[prev]], h)
             c = np.exp(lm.softmax_log(h @ p["wc"] + p["bc"]))[0, of[w]]
             a, b = cuts[of[w]], cuts[of[w] + 1]
@@ -207,6 +237,48 @@ def test_pipeline_by_brute_force(spark):
     assert {r.doc_id for r in decontaminate.clean_documents(d, bench).collect()} == {1, 2, 3, 4}
 
 
+def test_pipeline_on_odd_documents(spark):
+    """Nulls, blank, long and repeated rows and an empty table go through all stages; all but the last keep the columns."""
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, verdict string"
+    clean = "Vaqim lomir tesduk orvane, bilsto remqua ditenfor galumek prostiva."
+    rows = [(i, t, "en", None, len(t) if t else None, "kept") for i, t in [*ODD, (7, clean), (7, clean), (8, None)]]
+    for some in (rows, []):
+        d = spark.createDataFrame(some, schema)
+        for name, stage in cp.STAGES:
+            columns = d.columns
+            d = stage(spark, d, SF)
+            if name != cp.STAGES[-1][0]:
+                assert d.columns == columns
+                d = cp.written(d, "odd")
+        got = d.collect()
+        assert [r.doc_id for r in got].count(7) == (1 if some else 0)
+        assert all(r.exact for r in got if r.pieces is not None)
+
+
+def test_crf_odd_tables(spark):
+    """Equal rows give equal results, ties of Viterbi go to content, an empty table gives no rows and no training."""
+    field = html_crf.Field()
+    assert field.viterbi(np.zeros((5, 2))).tolist() == [1] * 5
+    page = "<html><body><nav>Home About</nav><p>" + "word " * 300_000 + "</p></body></html>"
+    df = spark.createDataFrame([(1, page), (1, page), (2, "<p>x</p>")], "page_id long, html string")
+    got = html_crf.extract(df, html_crf.train(df)).collect()
+    assert len(got) == 3 and len({tuple(r) for r in got}) == 2 and all(r.n_content == r.n_blocks for r in got)
+    assert html_crf.extract(df.limit(0), html_crf.train(df.limit(0))).count() == 0
+
+
+def test_extraction_of_labelled_pages_by_hand(spark):
+    """A field trained on marked pages finds the hand-labelled blocks of another page."""
+    def page(k, tag):
+        body = "".join(f"<p>Sentence number {j} of story {k} tells about the old town and its river.</p>" for j in range(6))
+        return f"<html><body><div class='nav'><a href='#'>Home</a> <a href='#'>News</a></div><{tag}>{body}</{tag}><div class='foot'>© {k} Imprint</div></body></html>"
+
+    train = spark.createDataFrame([(k, page(k, "article")) for k in range(30)], "page_id long, html string")
+    got = html_crf.extract(spark.createDataFrame([(99, page(99, "section"))], "page_id long, html string"), html_crf.train(train)).first()
+    assert got.n_blocks == 8 and got.text == "\n".join(f"Sentence number {j} of story 99 tells about the old town and its river." for j in range(6))
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
@@ -217,6 +289,54 @@ def test_quality_on_held_out_labels(spark):
     assert np.mean(good) > 0.9 and np.mean(bad) < 0.3
 
 
+def test_quality_columns_are_the_ensembles(spark):
+    """The compiled column gives what the rules give in numpy; input columns of the results' names stay."""
+    d = spark.read.parquet(f"{SF}/documents.parquet").filter("text is not null").withColumn("toxicity", F.lit("mine"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    labels = labels.union(labels).union(labels.selectExpr("doc_id", "null", "toxic"))
+    model = quality.fit(d, labels)
+    stats = quality.statistics(F.col("text"), quality.words_of(F.col("text")), model.abuse)
+    rows = model.scored(d).select("toxicity", "_toxicity", "low_quality", "keep", "text", *[F.coalesce(c, F.lit(0.0)).alias("s_" + k) for k, c in stats.items()]).collect()
+    x = {k: np.array([r["s_" + k] for r in rows]) for k in stats}
+    low, toxic = model.low.probability(x), model.toxic.probability(x)
+    for r, a, b in zip(rows, low, toxic):
+        assert r.toxicity == "mine"
+        if not r.text.strip():
+            assert r.low_quality is None and not r.keep
+        else:
+            assert abs(r.low_quality - a) < 1e-6 and abs(r._toxicity - b) < 1e-6 and r.keep == (round(a, 6) < 0.5 and round(b, 6) < 0.5)
+
+
+def test_bitmaps_of_many_runs(spark):
+    rng = np.random.default_rng(2)
+    flags = [[True], [False], [False, True], rng.random(300).tolist() and (rng.random(300) < 0.4).tolist(), [True] * 200 + [False] * 20_000, [k % 2 == 0 for k in range(40_000)]]
+    df = spark.createDataFrame([(k, f) for k, f in enumerate(flags)], "k int, f array<boolean>").withColumn("b", line_dedup.bitmap_of(F.col("f")))
+    for r in df.withColumn("back", line_dedup.keep_flags(F.col("b"))).collect():
+        assert r.back == r.f
+        runs = [0] if not r.f[0] else []
+        last = None
+        for x in r.f:
+            if x == last:
+                runs[-1] += 1
+            else:
+                runs.append(1)
+            last = x
+        want = b""
+        for n in runs:
+            while n >= 128:
+                want, n = want + bytes([n % 128 + 128]), n >> 7
+            want += bytes([n])
+        assert r.b == want.hex().upper()
+
+
+def test_decontamination_with_a_very_long_item(spark):
+    """Places in a block exceed 32 bits; all planted documents are found."""
+    words = [f"w{k}" for k in range(12)]
+    d = spark.range(10_000).selectExpr("id as doc_id", f"case when id % 96 = 0 then 'x {' '.join(words)} y' else 'some other text' end as text")
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(f"long{k}" for k in range(300_000)))], "item_id long, text string")
+    assert decontaminate.matches(d.coalesce(1), bench).count() == 105
+
+
 def test_jaccard_by_brute_force(spark):
     rng = np.random.default_rng(5)
     base = [[f"w{x}" for x in rng.integers(0, 400, rng.integers(3, 60))] for _ in range(40)]
@@ -235,6 +355,15 @@ def test_jaccard_by_brute_force(spark):
     pairs = {(min(a, b), max(a, b)) for r in got for a in linked[r.doc_id] for b in linked[r.other_id] if a != b} | {(min(a, b), max(a, b)) for s in linked.values() for a in s for b in s if a < b}
     want = {(a, b) for a, b in combinations(sets, 2) if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8}
     assert pairs == want
+    links = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.links(docs(spark, texts)).collect()}
+    near = {k: {b for p in want for b in p if k in p and b != k} for k in sets}
+    assert {k: n for k, (_, n) in links.items()} == {k: len(x) for k, x in near.items() if x}
+    for k, (c, _) in links.items():
+        seen, todo = {k}, [k]
+        while todo:
+            todo += [x for x in near[todo.pop()] if x not in seen and not seen.add(x)]
+        assert c == min(seen)
+    assert jaccard_join.links(docs(spark, [])).count() == 0 and jaccard_join.links(docs(spark, ODD)).count() == 0
 
 
 def filler(rng, n):
@@ -249,7 +378,8 @@ def test_passages_of_many_documents_give_all_their_pairs(spark):
         ids = range(at, at + holders)
         at += holders
         texts += [(i, " ".join(filler(rng, 30 + i) + passage + filler(rng, 20))) for i in ids]
-        want |= {(b, a) for a, b in combinations(ids, 2)}
+        # more holders than passages.HOT are a class, each linked with the first
+        want |= {(b, a) for a, b in combinations(ids, 2) if holders <= passages.HOT or a == ids[0]}
     # fragments in the documents between and before hide the passage of C and D
     passage = filler(rng, 67)
     a, b, c, e, f, d = range(at, at + 6)
@@ -261,6 +391,35 @@ def test_passages_of_many_documents_give_all_their_pairs(spark):
     assert all(r.identity == 1 and r.matched >= 67 for r in got)
 
 
+def test_passages_of_copies_and_long_ends(spark):
+    rng = np.random.default_rng(9)
+    passage, tail = filler(rng, 60), filler(rng, 2000)
+    first = " ".join(filler(rng, 20) + passage + filler(rng, 20))
+    # more than passages.HOT documents hold the tail in pieces, so that only its start has common seeds of few documents
+    texts = [(1, first), (2, first.upper() + " ."), (2, first.upper() + " ."), (3, " ".join(filler(rng, 9) + passage)), (4, None), (None, first), (5, ""), (6, "a b"), (7, "a b")]
+    texts += [(100 + k, " ".join(filler(rng, 5) + tail[:n] + filler(rng, 5))) for k, n in enumerate([700, 700, 2000])]
+    got = {(r.doc_id, r.other_id): r for r in passages.repeated_passages(docs(spark, texts)).collect()}
+    assert set(got) == {(2, 1), (3, 1), (101, 100), (102, 100), (102, 101)}
+    assert (got[2, 1].start, got[2, 1].end, got[2, 1].matched, got[2, 1].identity) == (0, 100, 100, 1.0)
+    assert (got[3, 1].start, got[3, 1].other_start, got[3, 1].matched) == (9, 20, 60)
+    assert all(got[p].matched == 700 for p in ((101, 100), (102, 100), (102, 101)))
+
+
+def test_ends_of_passages_are_followed_to_where_they_differ():
+    """A copy goes on 500 tokens past the last seed; the aligner asks for more tokens until it has seen its end."""
+    rng = np.random.default_rng(10)
+    a = rng.integers(0, 10**9, 900)
+    b = np.concatenate((rng.integers(0, 10**9, 30), a[:600], rng.integers(0, 10**9, 300)))
+    chain, reach = np.array([[50, 100, 80]]), passages.REACH
+    while True:
+        sides = [[x[p:q].tolist() for p, q in passages.ranges_of(chain, k, reach)] for k, x in ((0, a), (1, b))]
+        found = list(passages.aligned(chain, *sides, 50, 0.75, passages.DROP, reach))
+        if None not in found:
+            break
+        reach *= 8
+    assert reach > 500 and found == [(0, 600, 30, 630, 600)]
+
+
 def test_periodic_passages_keep_their_length(spark):
     rng = np.random.default_rng(8)
     for period in (1, 15):
@@ -299,22 +458,24 @@ def test_vocabulary_grows_and_unknown_words_are_spelt(spark):
     texts = [(k, " ".join(["alpha", "beta", "gamma", "delta"] * 5 + [f"ra{'re' * (k % 7)}th{'an' * (k % 5)}"])) for k in range(20)]
     d = docs(spark, texts)
     model = lm.fit(d, words=2, hidden=4, rounds=1)
-    assert set(model["known"]) == {"alpha", "beta", "gamma", "delta"}  # 100 times each
+    assert set(model["known"].to_pylist()) == {"alpha", "beta", "gamma", "delta"}  # 100 times each
     new = docs(spark, [(1, "alpha rarethan"), (2, "alpha qzxjkvwp"), (3, "alpha")])
     got = {r.doc_id: r.log_likelihood for r in lm.scored(new, model).collect()}
     log = model["spelling"].log
     assert got[1] > got[2] + 5 and abs(got[1] - got[2] - log("rarethan") + log("qzxjkvwp")) < 0.01
     # after a letter, the probabilities of all that may follow are 1
-    follow = lm.Spelling({(-1, 97): 3, (97, 98): 2, (98, -1): 2, (97, -1): 1})
-    seen = [(follow.pairs.get((97, b), 0) + (follow.after.get(b, 0) + 1 / 0x110001) / (follow.total + 1)) / (follow.before[97] + 1) for b in (97, 98, -1)]
-    rest = (0x110001 - 3) * (1 / 0x110001) / (follow.total + 1) / (follow.before[97] + 1)
+    pair = lambda a, b: (a + 1) << 32 | b + 1
+    follow = lm.Spelling({pair(-1, 97): 3, pair(97, 98): 2, pair(98, -1): 2, pair(97, -1): 1})
+    single = {97: 3, 98: 2, -1: 3}
+    seen = [(n + (single[b] + 1 / 0x110001) / 9) / 4 for b, n in ((97, 0), (98, 2), (-1, 1))]
+    rest = (0x110001 - 3) * (1 / 0x110001) / 9 / 4
     assert abs(sum(seen) + rest - 1) < 1e-9
     assert abs(follow.log("a") - np.log((3 + (3 + 1 / 0x110001) / 9) / 4) - np.log(seen[2])) < 1e-9
+    both = follow.logs(lm.pa.array(["a", "ab\U0001f44d", ""], lm.pa.large_string()))
+    assert abs(both[0] - follow.log("a")) < 1e-12 and abs(both[1] - follow.log("ab\U0001f44d")) < 1e-12
 
 
 def test_language_model_learns_from_every_document(spark):
-    from pyspark.sql import functions as F
-
     d = docs(spark, [(k, " ".join("abcdefgh"[(k + j) % 8] for j in range(200 + k))) for k in range(40)])
     d = d.filter(F.pmod(F.xxhash64("text"), F.lit(16)) != 0)  # none of them is in a sixteenth by the hash
     model = lm.fit(d, rounds=1)
