@@ -12,8 +12,7 @@ from quoin.llm.shared import written
 def keep_good(spark, docs, sf_dir):
     """Documents that the quality classifier rejects go; so do null and blank texts."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    # a filter that isn't deterministic stays above the projection; pushed below, it would compute all statistics twice
-    return model.scored(docs, prefix="_quoin_").filter(F.col("_quoin_keep") & (F.rand(0) >= 0)).select(*docs.columns)
+    return docs.filter(model.verdict(F.col("text"))["keep"])
 
 
 def dedup_lines(spark, docs, sf_dir):
@@ -24,8 +23,10 @@ def dedup_lines(spark, docs, sf_dir):
 def dedup_near(spark, docs, sf_dir):
     """Of each group of near duplicates (connected pairs) the document of the least doc_id stays.
 
-    Documents without an id or without tokens stay.
+    Documents without an id or without tokens stay. Repeated rows, equal in id and text, become one.
     """
+    if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id", "text"])
     groups = jaccard_join.groups(jaccard_join.similar_pairs(docs))
     gone = groups.filter("doc_id <> group").select(F.col("doc_id").alias("_quoin_gone"))
     return docs.join(gone, docs["doc_id"] == gone["_quoin_gone"], "left_anti").select(*docs.columns)
