@@ -240,6 +240,39 @@ def keys_of(g: np.ndarray, offsets: np.ndarray, t: float):
     return tuple(np.concatenate([x[i] for x in out]) for i in range(4))
 
 
+def pack_keys(part: np.ndarray, keys: np.ndarray, who: np.ndarray, flags: np.ndarray, sids: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    """A row for each part: 40 bits of each key and its flags, and each set once with its size and the number of its keys."""
+    order = np.lexsort((who, part))
+    part, who = part[order], who[order]
+    short = np.ascontiguousarray(keys[order]).view(np.uint8).reshape(-1, 8)[:, :5]
+    flags = flags[order].astype(np.uint8)
+    cuts = np.flatnonzero(np.diff(part, prepend=part[:1] - 1))
+    ends = np.append(cuts[1:], len(part))
+    run = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (who[1:] != who[:-1]))[: len(part)])
+    count = np.diff(np.append(run, len(part))).astype(np.int32)
+    a, b = np.searchsorted(run, cuts), np.searchsorted(run, ends)
+    sets, sizes = sids[who[run]], np.minimum(size[who[run]], (1 << 29) - 1).astype(np.int32)
+    columns = {
+        "keys": [short[i:j].tobytes() for i, j in zip(cuts, ends)],
+        "ids": [sets[i:j].tobytes() for i, j in zip(a, b)],
+        "metas": [flags[i:j].tobytes() for i, j in zip(cuts, ends)],
+        "sketches": [sizes[i:j].tobytes() + count[i:j].tobytes() for i, j in zip(a, b)],
+    }
+    return pa.RecordBatch.from_pydict({"part": pa.array(part[cuts].astype(np.int32)), **{n: pa.array(x, pa.binary()) for n, x in columns.items()}})
+
+
+def unpack_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, set ids, size << 2 | flags) of the rows of a part."""
+    short = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint8).reshape(-1, 5)
+    keys = np.zeros((len(short), 8), np.uint8)
+    keys[:, :5] = short
+    flags = np.frombuffer(b"".join(table.column("metas").to_pylist()), np.uint8).astype(np.int32)
+    sets = np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64)
+    halves = [np.frombuffer(b, np.int32).reshape(2, -1) for b in table.column("sketches").to_pylist()]
+    sizes, count = np.concatenate(halves, 1) if halves else np.zeros((2, 0), np.int32)
+    return keys.view(np.uint64).ravel(), np.repeat(sets, count), np.repeat(sizes << 2, count) | flags
+
+
 def signer(n: int, t: float, parts: int, member_parts: int):
     """Documents to packed keys, and to (set, document) under negative parts."""
 
@@ -276,8 +309,8 @@ def signer(n: int, t: float, parts: int, member_parts: int):
             lean = g[np.repeat(keep, size)]
             off = np.concatenate(([0], np.cumsum(size[first])))
             keys, who, probe, index = keys_of(lean, off, t)
-            meta = (np.minimum(size[first][who], (1 << 29) - 1) << 2 | probe << 1 | index).astype(np.int32)
-            yield pack((keys % np.uint64(parts)).astype(np.int32), keys // np.uint64(parts), sids[first][who].view(np.int64), meta)
+            if len(keys):
+                yield pack_keys((keys % np.uint64(parts)).astype(np.int32), keys // np.uint64(parts), who, probe << 1 | index, sids[first].view(np.int64), size[first])
 
     return run
 
@@ -322,15 +355,15 @@ def matcher(t: float):
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         join = lambda c, k: np.frombuffer(b"".join(table.column(c).to_pylist()), k)
-        keys, ids, metas = join("keys", np.uint64), join("ids", np.int64), join("metas", np.int32)
         if part < 0:
+            keys, ids, metas = join("keys", np.uint64), join("ids", np.int64), join("metas", np.int32)
             a, b, sizes, kind = [keys.view(np.int64)], [ids], metas, 1
             own, ends = b"".join(table.column("sketches").to_pylist()), np.concatenate(([0], np.cumsum(sketch_bits(metas) // 8)))
             first = set(np.unique(keys, return_index=True)[1].tolist())
             sketch = [own[ends[i] : ends[i + 1]] if i in first else None for i in range(len(keys))]
         else:
             kind, a, b, sizes, sketch = 0, [], [], None, None
-            for x, y in candidate_pairs(keys, ids, metas, t):
+            for x, y in candidate_pairs(*unpack_keys(table), t):
                 a.append(x)
                 b.append(y)
         a = np.concatenate(a) if a else np.zeros(0, np.int64)
