@@ -498,6 +498,55 @@ def rendered_leaderboard(spark, sf_dir):
     return S.rendered_board(board(spark, sf_dir), {"text": "dim_text", "struct": "dim_structure"})
 
 
+@query(f"with {LB} select string_agg(converter || ' ' || coalesce(regexp_replace(cast(quality as decimal(20, 2))::varchar, '\\.?0+$', ''), ''), ' > ' order by rank) as line from lb where quality is not null")
+def ranking_line(spark, sf_dir):
+    """The converters and their quality in one line."""
+    return S.ranking_line(board(spark, sf_dir))
+
+
+@query("""with d as (select doc_id, doc_id % 23 - 4 as a, doc_id % 3 as m from documents where doc_id is not null and text is not null),
+j as (select doc_id, m, a, case m when 0 then '{"text": ' || a || '.5, "notes": "in {braces}"}' when 1 then '{"text": "' || a || '", "order": "none"}' end as json from d)
+select doc_id, json, case when m < 2 then least(greatest(floor(a + case when m = 0 then 0.5 else 0 end + 0.5), 0), 10)::double end as text, case when m < 2 then 0.0::double end as "order" from j""")
+def judged_dimensions(spark, sf_dir):
+    """Judges' replies about all documents, fenced or bare or without an object, to their JSON and clamped figures."""
+    docs = read(spark, sf_dir, "documents").filter("doc_id is not null and text is not null")
+    a, said = F.col("doc_id") % 23 - 4, F.translate("text", "{}`", "()'")
+    fenced = F.concat(said, F.lit('\n```json\n{"text": '), a.cast("string"), F.lit('.5, "notes": "in {braces}"}\n```\n'), said)
+    bare = F.concat(said, F.lit(' {"text": "'), a.cast("string"), F.lit('", "order": "none"} '), said)
+    reply = F.when(F.col("doc_id") % 3 == 0, fenced).when(F.col("doc_id") % 3 == 1, bare).otherwise(said)
+    return S.judged(docs.select("doc_id", reply.alias("reply")), ["text", "order"]).drop("reply")
+
+
+@query("""select doc_id, length(text) as source_chars, length(regexp_replace(text, '\\s+', '', 'g')) as candidate_chars,
+  case when length(text) = 0 then 0 else cast(floor(length(regexp_replace(text, '\\s+', '', 'g')) / length(text) * 100 + 0.5) as bigint) end as ratio from documents where text is not null""".replace("\\\\", "\\"))
+def completeness(spark, sf_dir):
+    """The share of its characters that each document keeps without its white space."""
+    docs = read(spark, sf_dir, "documents").filter("text is not null")
+    sizes = docs.select("doc_id", F.length("text").cast("long").alias("source_chars"), F.length(F.regexp_replace("text", r"\s+", "")).cast("long").alias("candidate_chars"))
+    return sizes.withColumn("ratio", S.completeness(F.col("source_chars"), F.col("candidate_chars")))
+
+
+@query("""with k as (select doc_id, sha256('v1 judge ' || coalesce(lang, '') || ' ' || text) as key from documents where doc_id is not null and text is not null),
+c as (select key, min('kept ' || doc_id) as result from k where doc_id in (select doc_id from labels where doc_id is not null) group by key)
+select k.doc_id, k.key, c.result from k left join c on c.key = k.key""")
+def judge_cache(spark, sf_dir):
+    """Which documents need no new judgement: those whose key the cache, here of the labelled documents, holds."""
+    docs = read(spark, sf_dir, "documents").filter("doc_id is not null and text is not null")
+    asked = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("reference"), F.col("text").alias("candidate"))
+    kept = asked.join(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("l")).distinct(), F.col("doc_id") == F.col("l"))
+    cache = kept.select(F.sha2(F.concat_ws(" ", F.lit("v1"), F.lit("judge"), "reference", "candidate"), 256).alias("key"), F.concat(F.lit("kept "), F.col("doc_id").cast("string")).alias("result"))
+    return S.cached(asked, cache.groupBy("key").agg(F.min("result").alias("result")), "v1", "judge").select("doc_id", "key", "result")
+
+
+@query("""with p as (select p_partkey as id, p_name as a, p_brand as b, p_retailprice::varchar as c from part)
+select id, 0 as row_no, array_to_string([a, 'says "' || a || '", twice', b], ';') as cells from p union all select id, 1, array_to_string([b || chr(10) || a, 'end'], ';') from p""")
+def csv_rows(spark, sf_dir):
+    """CSV texts with quotes, line breaks in cells, blank and uneven rows, to rows of cells."""
+    part = read(spark, sf_dir, "part")
+    text = F.concat(F.col("p_name"), F.lit(' ,"says ""'), F.col("p_name"), F.lit('"", twice", '), F.col("p_brand"), F.lit('\r\n,\n\n"'), F.col("p_brand"), F.lit("\n"), F.col("p_name"), F.lit('",end\n'))
+    return tables.csv_rows(part.select(F.col("p_partkey").alias("id"), text.alias("text"))).withColumn("cells", F.array_join("cells", ";"))
+
+
 @query("""with j as (select doc_id, n_chars % 23 - 5 + 0.5 as d from documents where doc_id is not null and n_chars is not null)
 select doc_id, least(greatest(floor(d + 0.5), 0), 10)::double as dim, floor((0.35 * least(greatest(floor(d + 0.5), 0), 10)) * 100 + 0.5) / 100 ::double as composite from j""")
 def composite_scores(spark, sf_dir):

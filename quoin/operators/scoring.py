@@ -221,3 +221,36 @@ def rendered_board(board: DataFrame, dims: dict[str, str]) -> DataFrame:
     rows = board.select((F.col("rank") + 1).alias("line_no"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
     tops = [(0, "| " + " | ".join(head) + " |"), (1, "| " + " | ".join(["---"] * len(head)) + " |")]
     return board.sparkSession.createDataFrame(tops, "line_no int, line string").unionByName(rows)
+
+
+def ranking_line(board: DataFrame) -> DataFrame:
+    """line: the judged converters with their quality, best first."""
+    shown = F.regexp_replace(F.col("quality").cast("decimal(20,2)").cast("string"), r"\.?0+$", "")
+    judged = board.filter("quality is not null").select("rank", F.concat("converter", F.lit(" "), shown).alias("v"))
+    return judged.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "v"))), lambda t: t["v"]), " > ").alias("line"))
+
+
+def extracted_json(reply: Column) -> Column:
+    """The JSON text of a judge's reply: from its first to its last brace, within a fenced block if there is one; null if there is none."""
+    fenced = r"(?is)```(?:json)?\s*(.*?)```"
+    body = F.when(reply.rlike(fenced), F.regexp_extract(reply, fenced, 1)).otherwise(reply)
+    start, end = F.locate("{", body), F.length(body) - F.locate("}", F.reverse(body)) + 1
+    return F.when((start > 0) & (F.locate("}", body) > 0) & (end >= start), body.substr(start, end - start + 1))
+
+
+def judged(replies: DataFrame, dims: list[str]) -> DataFrame:
+    """The input's columns (of which reply) with json and each dimension, clamped; what is no number counts 0, a reply without JSON is null."""
+    found = replies.withColumn("json", extracted_json(F.col("reply")))
+    value = lambda d: F.expr(f"try_cast(get_json_object(json, '$.{d}') as double)")
+    return found.withColumns({d: F.when(F.col("json").isNotNull(), clamped(value(d))) for d in dims})
+
+
+def completeness(source: Column, candidate: Column) -> Column:
+    """What share of the source's characters a conversion has, in whole percent; 0 for an empty source."""
+    return F.when(F.coalesce(source, F.lit(0)) == 0, F.lit(0).cast("long")).otherwise(half_up(candidate / source * 100).cast("long"))
+
+
+def cached(asked: DataFrame, cache: DataFrame, version: str, model: str) -> DataFrame:
+    """asked (reference, candidate) with its key and the cached result, null where it must be judged."""
+    key = F.sha2(F.concat_ws(" ", F.lit(version), F.lit(model), "reference", "candidate"), 256)
+    return asked.withColumn("key", key).join(cache.select("key", "result"), "key", "left")

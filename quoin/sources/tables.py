@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,3 +27,20 @@ def ragged_rows(text: str) -> list[list[str]]:
     """Rows of a CSV text as they are, cells trimmed; rows of blank cells are left out."""
     rows = [[c.strip() for c in r] for r in csv.reader(io.StringIO(text, newline=""))]
     return [r for r in rows if any(r)]
+
+
+def csv_rows(texts: DataFrame, key: str = "id") -> DataFrame:
+    """key, row_no, cells of CSV texts, whose rows may be of unequal length."""
+    kind = texts.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            keys, numbers, cells = [], [], []
+            for k, text in zip(batch.column(key).to_pylist(), batch.column("text").to_pylist()):
+                for n, row in enumerate(ragged_rows(text or "")):
+                    keys.append(k)
+                    numbers.append(n)
+                    cells.append(row)
+            yield pa.RecordBatch.from_pydict({key: pa.array(keys, batch.column(key).type), "row_no": pa.array(numbers, pa.int32()), "cells": pa.array(cells, pa.list_(pa.string()))})
+
+    return texts.select(key, "text").mapInArrow(run, f"`{key}` {kind}, row_no int, cells array<string>")
