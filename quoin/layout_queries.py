@@ -412,13 +412,16 @@ norm as (select s, trim(regexp_replace(regexp_replace(regexp_replace(lower(s), '
 t as (select r1.id, i, rows, x.z as a, y.z as b from r1 join norm x on x.s = r1.a join norm y on y.s = r1.b),
 f as (select converter, id, tbl, j, x.z as c, y.z as d from found join norm x on x.s = found.c join norm y on y.s = found.d),
 p as (select converter, t.id, rows, tbl, j - (i - 1) as start, a, b, c, d from t join f on f.id = t.id and j >= i - 1),
-need as (select distinct u, v from (select a as u, c as v from p union all select a, d from p union all select b, c from p union all select b, d from p)),
-g as (select distinct s, g, count(*) as k from (select s, s[i : i + 1] as g from (select s, unnest(range(1, length(s))) as i from (select u as s from need union select v from need))) group by s, g),
-cm as (select u, v, sum(least(x.k, y.k)) as common from need join g x on x.s = u join g y on y.s = v and y.g = x.g group by u, v),
-sim as (select need.u, need.v, case when need.u = need.v then 1.0 when need.u = '' or need.v = '' or length(need.u) + length(need.v) <= 2 then 0.0 else 2.0 * coalesce(common, 0) / (length(need.u) + length(need.v) - 2) end::double as s from need left join cm on cm.u = need.u and cm.v = need.v),
+need as materialized (select distinct u, v from (select a as u, c as v from p union all select a, d from p union all select b, c from p union all select b, d from p)),
+g as materialized (select s, g, count(*) as k from (select s, s[i : i + 1] as g from (select s, unnest(range(1, length(s))) as i from (select u as s from need union select v from need))) group by s, g),
+nx as materialized (select u, v, g, k from need join g on s = u),
+cm as (select u, v, sum(least(nx.k, y.k)) as common from nx join g y on y.s = nx.v and y.g = nx.g group by u, v),
+sim as materialized (select need.u, need.v, case when need.u = need.v then 1.0 when need.u = '' or need.v = '' or length(need.u) + length(need.v) <= 2 then 0.0 else 2.0 * coalesce(common, 0) / (length(need.u) + length(need.v) - 2) end::double as s from need left join cm on cm.u = need.u and cm.v = need.v),
 -- of two cells against two, the best alignment is one of three
-w as (select converter, id, rows, tbl, start, 2 * greatest(ac.s + bd.s, ad.s, bc.s) / 4 as s from p
-  join sim ac on ac.u = a and ac.v = c join sim bd on bd.u = b and bd.v = d join sim ad on ad.u = a and ad.v = d join sim bc on bc.u = b and bc.v = c),
+pk as materialized (select *, row_number() over () as rid from p),
+long as (select rid, 0 as kind, a as u, c as v from pk union all select rid, 1, b, d from pk union all select rid, 2, a, d from pk union all select rid, 3, b, c from pk),
+best as (select rid, greatest(max(s) filter (kind = 0) + max(s) filter (kind = 1), max(s) filter (kind = 2), max(s) filter (kind = 3)) as s from long join sim on sim.u = long.u and sim.v = long.v group by rid),
+w as (select converter, id, rows, tbl, start, 2 * best.s / 4 as s from pk join best on best.rid = pk.rid),
 ts0 as (select converter, id, max(x) as score from (select converter, id, sum(s) / any_value(rows) as x from w group by converter, id, tbl, start) group by converter, id),
 ts as (select k.converter, r.id, round(coalesce(score, 0), 6) as score from (select distinct id from r1) r cross join (select unnest(['good', 'fair', 'none']) as converter) k left join ts0 on ts0.converter = k.converter and ts0.id = r.id)"""
 
