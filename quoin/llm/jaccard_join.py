@@ -95,7 +95,6 @@ def layout(edges: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
 def sets_of(text, n: int):
     """(grams, offsets) of a text column: the distinct n-gram hashes of each text, sorted."""
     ids, offsets, words = tokens.encode(text)
-    ids, offsets, words = tokens.encode(text)
     hashed = tokens.hashes(words)[ids] if len(words) else np.zeros(0, np.uint64)
     wide = tokens.grams(hashed, n)
     out, ends = [], [0]
@@ -434,7 +433,7 @@ def _joined(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame]:
     # about one key for each dozen characters; the parts grow in number, not in size
     parts = max(8, int(chars / 12 / PART_KEYS) + 1)
     packed = clean.mapInArrow(signer(n, t, parts, max(4, parts // 8)), PACKED)
-    found = written(packed.groupBy("part").applyInArrow(matcher(t), FOUND), "candidates")
+    found = written(packed.groupBy("part").applyInArrow(tokens.released(matcher(t)), FOUND), "candidates")
     members = found.filter("kind = 1").select(F.col("a").alias("sid"), F.col("b").alias("doc_id")).distinct()
     reps = found.filter("kind = 1").groupBy(F.col("a").alias("sid")).agg(F.min("b").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     candidates = found.filter("kind = 0").select(F.col("a").alias("sa"), F.col("b").alias("sb")).distinct()
@@ -458,7 +457,7 @@ def _joined(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame]:
         needed = F.broadcast(needed)
     texts = clean.join(needed, clean["doc_id"] == needed["d"]).select("k", "sid", "text")
     sets = texts.mapInArrow(gram_maker(n), "k long, sid long, grams binary")
-    verified = keyed.groupBy("k").cogroup(sets.groupBy("k")).applyInArrow(verifier(t), "doc_id long, other_id long, jaccard double")
+    verified = keyed.groupBy("k").cogroup(sets.groupBy("k")).applyInArrow(tokens.released(verifier(t)), "doc_id long, other_id long, jaccard double")
     return verified.groupBy("doc_id", "other_id").agg(F.max("jaccard").alias("jaccard")), members.join(reps.select("sid", "rep"), "sid").select("rep", "doc_id")
 
 

@@ -36,10 +36,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import let, written
+from . import tokens
+from .shared import CLEANUP, let, setting, written
 from .tokens import BATCH_BYTES, bounded, plain
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -400,22 +402,59 @@ def _joined_lists(at: np.ndarray, starts: np.ndarray, flat: np.ndarray):
     return flat[take], ends
 
 
+class Names:
+    """Places of strings in a long array; unlike ``index_in`` its table is made once, not for each batch."""
+
+    def __init__(self, names: pa.Array):
+        self.names = names
+        hashed = tokens.hashes(names)
+        self.order = np.argsort(hashed, kind="stable")
+        self.hashed = hashed[self.order]
+
+    def places(self, wanted: pa.Array) -> np.ndarray:
+        """The place of each, -1 where it isn't there."""
+        if not len(self.names):
+            return np.full(len(wanted), -1)
+        hashed = tokens.hashes(wanted)
+        at = np.minimum(np.searchsorted(self.hashed, hashed), len(self.order) - 1)
+        there = self.hashed[at] == hashed
+        at = self.order[at]
+        same = pc.equal(self.names.take(pa.array(at)), wanted).to_numpy(zero_copy_only=False)
+        out = np.where(there & same, at, -1)
+        if len(odd := np.flatnonzero(there & ~same)):  # another string of the same hash
+            out[odd] = pc.index_in(wanted.take(pa.array(odd)), value_set=self.names).fill_null(-1).to_numpy()
+        return out
+
+
+def squeezed(ids: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
+    """Ids, their bytes transposed, compressed."""
+    return press.compress(ids.view(np.uint8).reshape(-1, ids.itemsize).T.tobytes()) if len(ids) else b""
+
+
+def expanded(b: bytes | None, kind: type, press: zstandard.ZstdDecompressor) -> np.ndarray:
+    if not b:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(press.decompress(b), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def replacer(shared, cuts: str, newline: bool, marked: bool, kind: type, only_rare: bool = False):
     """Documents to packed ids with a hole (the greatest number) for each unit that isn't among the hot ones; or to their keys and those units alone."""
     ready: list = []
 
     def run(batches):
+        press = zstandard.ZstdCompressor(level=1)
         if not ready:
             with pa.ipc.open_stream(pa.py_buffer(shared.value)) as reader:
                 hot = reader.read_all().combine_chunks()
             lists = hot.column("ids").combine_chunks()
-            ready.append((hot.column("unit").combine_chunks().cast(pa.large_string()), lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy()))
+            ready.append((Names(hot.column("unit").combine_chunks().cast(pa.large_string())), lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy()))
         names, starts, flat = ready[0]
         for batch in bounded(batches, limit=BATCH_BYTES // 2):
             text = batch.column("text")
             at, offsets, units = units_of(text, cuts, newline, marked)
             units = units.cast(pa.large_string())
-            where = pc.index_in(units, value_set=names).fill_null(-1).to_numpy().astype(np.int64)
+            where = names.places(units)
             blank = pc.equal(units, "").to_numpy(zero_copy_only=False)
             texts = text.cast(pa.large_binary()).to_pylist()
             key = pa.array([None if t is None else xxhash.xxh3_128_digest(t) for t in texts], pa.binary())
@@ -431,7 +470,7 @@ def replacer(shared, cuts: str, newline: bool, marked: bool, kind: type, only_ra
             all_starts = np.concatenate((starts, [len(flat) + 1, len(flat) + 1]))
             ids, ends = _joined_lists(where[at], all_starts, np.append(flat.astype(kind), kind(np.iinfo(kind).max)))
             bounds = ends[offsets]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": key, "packed": pa.array([None if t is None else ids[a:b].tobytes() for t, a, b in zip(texts, bounds, bounds[1:])], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": key, "packed": pa.array([None if t is None else squeezed(ids[a:b], press) for t, a, b in zip(texts, bounds, bounds[1:])], pa.binary())})
 
     return run
 
@@ -464,11 +503,12 @@ def finisher(pieces: list[bytes], kind: type):
     decode = decoder(pieces)
 
     def run(batches):
-        for batch in bounded(batches, "packed"):
+        press = zstandard.ZstdDecompressor()
+        for batch in bounded(batches, "packed", BATCH_BYTES // 2):
             parts, sizes = [], []
             fills = batch.column("fill").to_pylist() if "fill" in batch.schema.names else [None] * batch.num_rows
             for packed, fill in zip(batch.column("packed").to_pylist(), fills):
-                ids = np.frombuffer(packed or b"", kind)
+                ids = expanded(packed, kind, press)
                 if fill:
                     at, rest, last = np.flatnonzero(ids == np.iinfo(kind).max), [], 0
                     for hole, x in zip(at, sorted(fill, key=lambda f: f["pos"])):
@@ -504,17 +544,13 @@ def encode(docs: DataFrame, model: str = MODEL, hot: int = HOT) -> DataFrame:
     chars = clean.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     units = clean.select("text").mapInArrow(lister(*how), "unit string, n long").repartition(max(8, chars // TASK_CHARS + 1), "unit").groupBy("unit").agg(F.sum("n").alias("n"))
     # lists of edges are kept by unit in memory up to a number of units; beyond, Spark sorts
-    threshold, before = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", None
-    try:
-        before = spark.conf.get(threshold, None)
-        spark.conf.set(threshold, str(UNITS_HELD))
+    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(UNITS_HELD)):
         lattice = written(encoded_units(units, vocab), "units")
-    finally:
-        spark.conf.unset(threshold) if before is None else spark.conf.set(threshold, before)
     total = lattice.count()
     common = lattice.orderBy(F.desc("n"), "unit").limit(hot) if total > hot else lattice
     # at most ``hot`` units, packed, go to the driver and from there to all executors
-    table = common.select("unit", "ids").toArrow()
+    with setting(spark, CLEANUP, "true"):
+        table = common.select("unit", "ids").toArrow()
     sink = pa.BufferOutputStream()
     table = table.set_column(0, "unit", table.column("unit").cast(pa.string())).set_column(1, "ids", table.column("ids").cast(pa.list_(pa.int32())))
     with pa.ipc.new_stream(sink, table.schema) as out:
@@ -528,7 +564,8 @@ def encode(docs: DataFrame, model: str = MODEL, hot: int = HOT) -> DataFrame:
         return clean.mapInArrow(lambda batches: finish(replace(batches)), done)
     rare = clean.select("text").mapInArrow(replacer(shared, *how, kind, True), "key binary, rare array<string>").filter("size(rare) > 0")
     places = rare.dropDuplicates(["key"]).select("key", F.posexplode("rare").alias("pos", "unit"))
-    fills = places.join(lattice.select("unit", "ids"), "unit").groupBy("key").agg(F.collect_list(F.struct("pos", "ids")).alias("fill"))
+    # written, so that the files of its shuffles are gone before those of the texts are made
+    fills = written(places.join(lattice.select("unit", "ids"), "unit").groupBy("key").agg(F.collect_list(F.struct("pos", "ids")).alias("fill")), "fills")
     filled = clean.mapInArrow(replace, "doc_id long, key binary, packed binary").join(fills, "key", "left")
     return filled.select("doc_id", "key", "packed", F.coalesce("fill", F.array().cast("array<struct<pos:int,ids:array<int>>>")).alias("fill")).mapInArrow(finish, done)
 

@@ -1,15 +1,19 @@
 """Small fixtures against brute force: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import json
+import os
+import time
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from oracle import same
-from quoin.llm import chat, decontaminate, html_crf, jaccard_join, line_dedup, lm, passages, pieces, quality, topk
+from quoin.llm import chat, decontaminate, html_crf, jaccard_join, line_dedup, lm, passages, pieces, quality, tokens, topk
 from quoin.llm.queries import ORACLES, QUERIES
+from quoin.llm.shared import written
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, _id string, keep string"
@@ -79,6 +83,29 @@ def test_pieces_are_those_of_the_library(spark):
     assert pieces.encode(docs(spark, [])).count() == 0
 
 
+def test_written_tables_leave_no_files_of_shuffles(spark):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(k).getPath() for k in range(found.size()) if "shuffle" in found.apply(k).getPath()}
+
+    before = files()
+    assert written(spark.range(1000).groupBy(F.col("id") % 7).count(), "counts").count() == 7
+    # the count of the rows read has a shuffle of one number for each file
+    left = files() - before
+    for _ in range(50):  # they go in the background
+        if not any(".data" in x and os.path.exists(x) and os.path.getsize(x) > 200 for x in left):
+            break
+        time.sleep(0.1)
+    else:
+        raise AssertionError(left)
+
+
+def test_places_of_names_of_equal_hashes(monkeypatch):
+    monkeypatch.setattr(tokens, "hashes", lambda words: np.zeros(len(words), np.uint64))
+    names, wanted = (pa.array(x, pa.large_string()) for x in (["a", "b", "c"], ["c", "x", "a", "b", "", "c"]))
+    assert pieces.Names(names).places(wanted).tolist() == [2, -1, 0, 1, -1, 2]
+
+
 def test_viterbi_is_that_of_the_library(spark, tmp_path):
     import sentencepiece
     from sentencepiece import sentencepiece_model_pb2 as pb
