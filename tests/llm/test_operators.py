@@ -481,6 +481,26 @@ def test_recall_of_edited_passages(spark):
     assert min(recall.values()) >= 0.9, recall
 
 
+def test_passages_of_one_seed_and_of_two_hot_ones(spark):
+    rng = np.random.default_rng(12)
+
+    def edited(long):
+        """Two passages of runs of 3 equal tokens, but for the runs numbered ``long``, with a change between."""
+        a, b, runs = [], [], []
+        for k in range(13):
+            run = filler(rng, 4 if k in long else 3)
+            runs.append(run)
+            a += run + filler(rng, 1)
+            b += run + filler(rng, 1)
+        return a[:-1], b[:-1], [runs[k] for k in long]
+
+    (a, b, _), (c, d, hot) = edited([6]), edited([4, 9])  # the latter two 21 tokens apart
+    texts = [(k, " ".join(filler(rng, 30) + x + filler(rng, 30))) for k, x in enumerate((a, b, c, d))]
+    texts += [(10 + k, " ".join(filler(rng, 9) + x + filler(rng, 9))) for k, x in enumerate(hot * (passages.HOT + 5))]
+    got = {(r.doc_id, r.other_id): r.matched for r in passages.repeated_passages(docs(spark, texts)).collect()}
+    assert got == {(1, 0): 40, (3, 2): 41}
+
+
 def test_vocabulary_grows_and_unknown_words_are_spelt(spark):
     texts = [(k, " ".join(["alpha", "beta", "gamma", "delta"] * 5 + [f"ra{'re' * (k % 7)}th{'an' * (k % 5)}"])) for k in range(20)]
     d = docs(spark, texts)
