@@ -48,6 +48,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, HOT, LONG = "▁", 1_000_000, 60
 #: Characters of text for each task of the lattice; so many units of a task have their edges held in memory, some 2 kB each.
 TASK_CHARS, UNITS_HELD = 6_000_000, 80_000
+#: Substrings of fewer characters are all looked up; longer ones if a piece begins with that many of theirs.
+HEAD = 4
 #: Bytes that end a letter of ASCII.
 LETTER = np.array([chr(i).isalpha() and i < 128 for i in range(256)])
 
@@ -107,6 +109,13 @@ class Vocabulary:
     def unknown(self) -> int:
         return next((i for i, k in enumerate(self.kinds) if k == 2), 0)
 
+    def heads(self) -> dict[str, int]:
+        """The length of the longest piece for each ``HEAD`` characters that pieces begin with."""
+        out: dict[str, int] = {}
+        for p in (p.replace(MARK, " ") for p, k in zip(self.pieces, self.kinds) if k in (1, 4) and len(p) >= HEAD):
+            out[p[:HEAD]] = max(out.get(p[:HEAD], 0), len(p))
+        return out
+
     def floor(self) -> float:
         """The score of a character without piece, 10 below the least, as the library has it."""
         return min((s for s, k in zip(self.scores, self.kinds) if k == 1), default=0.0) - 10.0
@@ -146,14 +155,19 @@ def units_of(column, cuts: str, newline: bool, marked: bool):
     return units.indices.to_numpy(zero_copy_only=False), np.searchsorted(marks, offs), units.dictionary
 
 
-def lister(cuts: str, newline: bool, marked: bool):
-    """Documents to the distinct units of each batch with their counts."""
+def lister(vocab: Vocabulary):
+    """Documents to the distinct units of each batch with their counts; long ones with their pieces."""
+    fold = long_folder(vocab)
+    how = (vocab.cuts, vocab.alone_newline, vocab.marked)
 
     def run(batches):
         for batch in bounded(batches):
-            at, _, units = units_of(batch.column("text"), cuts, newline, marked)
+            at, _, units = units_of(batch.column("text"), *how)
             n = np.bincount(at, minlength=len(units)).astype(np.int64)
-            out = pa.table({"unit": units.cast(pa.string()), "n": pa.array(n)})
+            folded = np.full(len(units), None, object)
+            for k in np.flatnonzero(pc.greater(pc.utf8_length(units), LONG).to_numpy(zero_copy_only=False)):
+                folded[k] = fold(units[k].as_py())
+            out = pa.table({"unit": units.cast(pa.string()), "n": pa.array(n), "folded": pa.array(folded, pa.list_(pa.int32()))})
             yield from out.filter(pc.not_equal(out["unit"], "")).to_batches()
 
     return run
@@ -259,7 +273,7 @@ def viterbi(edges: Column, n: Column, floor: float) -> Column:
 
 
 def long_folder(vocab: Vocabulary):
-    """Pieces of long units: the same rules in Python."""
+    """A function from a long unit to its pieces: the same rules in Python."""
     table = {p.replace(MARK, " "): (i, s) for i, (p, s, k) in enumerate(zip(vocab.pieces, vocab.scores, vocab.kinds)) if k in (1, 4)}
     bytes_, unknown, bpe, longest, floor = vocab.byte_ids(), vocab.unknown, vocab.bpe, vocab.longest, vocab.floor()
 
@@ -313,25 +327,27 @@ def long_folder(vocab: Vocabulary):
                 ids.append(unknown)
         return ids
 
-    def run(batches):
-        for batch in batches:
-            units = batch.column("unit")
-            yield pa.RecordBatch.from_pydict({"unit": units, "n": batch.column("n"), "ids": pa.array([fold(u) for u in units.to_pylist()], pa.list_(pa.int32()))})
-
-    return run
+    return fold
 
 
 def encoded_units(units: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """unit, n, ids (array of int) of a table of distinct units, partitioned by unit."""
-    pieces = vocab.table(units.sparkSession)
-    short = units.filter(F.length("unit") <= LONG)
-    n = F.length("unit")
-    # the lattice: substrings of up to the longest piece, joined to the pieces
-    starts = short.select("unit", "n", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    sized = starts.select("unit", "n", "s", F.explode(F.sequence(F.lit(1), F.least(n - F.col("s"), F.lit(vocab.longest)))).alias("k"))
-    substrings = sized.select("unit", "n", "s", (F.col("s") + F.col("k")).alias("e"), F.col("unit").substr(F.col("s") + 1, F.col("k")).alias("piece"))
+    """unit, n, ids (array of int) of a table of distinct units, partitioned by unit.
+
+    ``folded`` has the pieces of long units. They go through the lattice as one character, not
+    as another branch of the plan, for which all documents would be read once more.
+    """
+    spark = units.sparkSession
+    pieces, small = vocab.table(spark), len(vocab.pieces) <= 1_000_000
+    n = F.when(F.col("folded").isNull(), F.length("unit")).otherwise(1)
+    # the lattice: substrings of up to the longest piece that begins as they do, joined to the pieces
+    heads = spark.createDataFrame(list(vocab.heads().items()), "head string, most int")
+    starts = units.select("unit", "n", "folded", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    starts = starts.join(F.broadcast(heads) if small else heads, F.col("unit").substr(F.col("s") + 1, F.lit(HEAD)) == F.col("head"), "left")
+    most = F.least(n - F.col("s"), F.coalesce("most", F.lit(HEAD - 1)), F.lit(vocab.longest))
+    sized = starts.select("unit", "n", "folded", "s", F.explode(F.sequence(F.lit(1), most)).alias("k"))
+    substrings = sized.select("unit", "n", "folded", "s", (F.col("s") + F.col("k")).alias("e"), F.col("unit").substr(F.col("s") + 1, F.col("k")).alias("piece"))
     # the table of pieces is the model's, of bounded size whatever the corpus
-    joined = substrings.join(F.broadcast(pieces) if len(vocab.pieces) <= 1_000_000 else pieces, "piece", "left")
+    joined = substrings.join(F.broadcast(pieces) if small else pieces, "piece", "left")
     # the first character's row stays without a piece too, so that no unit is lost
     joined = joined.filter("id is not null or (s = 0 and e = 1)")
     if len(vocab.pieces) >= 1 << 20:
@@ -342,7 +358,7 @@ def encoded_units(units: DataFrame, vocab: Vocabulary) -> DataFrame:
         edges = [F.array_sort(F.collect_list(F.when(some & (F.col("e") - F.col("s") > 1), edge))).alias("edges"), F.collect_list(F.when(some & (F.col("e") - F.col("s") == 1), edge)).alias("singles")]
     else:
         edges = [F.array_sort(F.collect_list(F.when(some, F.struct((-F.col("score")).alias("loss"), "s", "e", "id")))).alias("edges")]
-    grouped = joined.groupBy("unit", "n").agg(*edges)
+    grouped = joined.groupBy("unit", "n", "folded").agg(*edges)
     bytes_ = vocab.byte_ids()
     if bytes_:
         first = bytes_[0]
@@ -386,9 +402,7 @@ def encoded_units(units: DataFrame, vocab: Vocabulary) -> DataFrame:
     if not bytes_:
         # the library joins neighbouring unknown characters
         whole = let(whole, lambda w: F.filter(F.transform(w, lambda x, i: F.when((x == vocab.unknown) & (i > 0) & (F.get(w, i - 1) == vocab.unknown), -1).otherwise(x)), lambda x: x >= 0))
-    shorts = grouped.select("unit", "n", whole.alias("ids"))
-    longs = units.filter(F.length("unit") > LONG).mapInArrow(long_folder(vocab), "unit string, n long, ids array<int>")
-    return shorts.unionByName(longs)
+    return grouped.select("unit", "n", F.when(F.col("folded").isNull(), whole).otherwise(F.col("folded")).alias("ids"))
 
 
 # --- applying the units to the texts ---------------------------------------------------------
@@ -426,20 +440,39 @@ class Names:
         return out
 
 
-def squeezed(ids: np.ndarray, press: zstandard.ZstdCompressor) -> bytes:
-    """Ids, their bytes transposed, compressed."""
-    return press.compress(ids.view(np.uint8).reshape(-1, ids.itemsize).T.tobytes()) if len(ids) else b""
+class Codes:
+    """Numbers for ids, the smaller the more frequent, from 1 on; 0 is a hole. Packed, a number takes a byte for each 7 of its bits."""
 
+    def __init__(self, counts: np.ndarray):
+        self.ids = np.append(-1, np.argsort(-counts, kind="stable")).astype(np.int32)
+        self.of = np.empty(len(counts), np.int32)
+        self.of[self.ids[1:]] = np.arange(1, len(self.ids))
 
-def expanded(b: bytes | None, kind: type, press: zstandard.ZstdDecompressor) -> np.ndarray:
-    if not b:
-        return np.zeros(0, kind)
-    planes = np.frombuffer(press.decompress(b), np.uint8)
-    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
+    @staticmethod
+    def packed(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes, and where the code of each place begins, with the end."""
+        size = 1 + (codes >= 1 << 7) + (codes >= 1 << 14)
+        out = np.stack((codes & 127, codes >> 7 & 127, codes >> 14), 1).astype(np.uint8)
+        more = np.arange(3) < size[:, None] - 1
+        return (out | more * np.uint8(128))[np.arange(3) < size[:, None]], np.concatenate(([0], np.cumsum(size)))
 
-def replacer(shared, cuts: str, newline: bool, marked: bool, kind: type, only_rare: bool = False):
-    """Documents to packed ids with a hole (the greatest number) for each unit that isn't among the hot ones; or to their keys and those units alone."""
+    @staticmethod
+    def unpacked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The codes, and how many end before each byte, with the end."""
+        last = data < 128
+        ends = np.concatenate(([0], np.cumsum(last)))
+        stop = np.flatnonzero(last)
+        at = np.concatenate(([0], stop[:-1] + 1)) if len(stop) else stop
+        low = data & np.uint8(127)
+        codes = low[at].astype(np.int32)
+        for k in (1, 2):
+            go = np.flatnonzero(stop - at >= k)
+            codes[go] |= low[at[go] + k].astype(np.int32) << 7 * k
+        return codes, ends
+
+
+def replacer(shared, cuts: str, newline: bool, marked: bool, codes: Codes, only_rare: bool = False):
+    """Documents to packed codes of ids with a hole for each unit that isn't among the hot ones; or to their keys and those units alone."""
     ready: list = []
 
     def run(batches):
@@ -448,7 +481,7 @@ def replacer(shared, cuts: str, newline: bool, marked: bool, kind: type, only_ra
             with pa.ipc.open_stream(pa.py_buffer(shared.value)) as reader:
                 hot = reader.read_all().combine_chunks()
             lists = hot.column("ids").combine_chunks()
-            ready.append((Names(hot.column("unit").combine_chunks().cast(pa.large_string())), lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy()))
+            ready.append((Names(hot.column("unit").combine_chunks().cast(pa.large_string())), lists.offsets.to_numpy().astype(np.int64), np.append(codes.of[lists.flatten().to_numpy()], np.int32(0))))
         names, starts, flat = ready[0]
         for batch in bounded(batches, limit=BATCH_BYTES // 2):
             text = batch.column("text")
@@ -467,10 +500,10 @@ def replacer(shared, cuts: str, newline: bool, marked: bool, kind: type, only_ra
                 hole_ends = np.concatenate(([0], np.cumsum(rare)))[offsets]
                 yield pa.RecordBatch.from_pydict({"key": key, "rare": pa.ListArray.from_arrays(pa.array(hole_ends.astype(np.int32)), holes)})
                 continue
-            all_starts = np.concatenate((starts, [len(flat) + 1, len(flat) + 1]))
-            ids, ends = _joined_lists(where[at], all_starts, np.append(flat.astype(kind), kind(np.iinfo(kind).max)))
-            bounds = ends[offsets]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": key, "packed": pa.array([None if t is None else squeezed(ids[a:b], press) for t, a, b in zip(texts, bounds, bounds[1:])], pa.binary())})
+            found, ends = _joined_lists(where[at], np.concatenate((starts, [len(flat), len(flat)])), flat)
+            data, begin = Codes.packed(found)
+            data, bounds = data.tobytes(), begin[ends[offsets]].tolist()
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": key, "packed": pa.array([None if t is None else press.compress(data[a:b]) for t, a, b in zip(texts, bounds, bounds[1:])], pa.binary())})
 
     return run
 
@@ -498,27 +531,31 @@ def surface(vocab: Vocabulary) -> list[bytes]:
     return out
 
 
-def finisher(pieces: list[bytes], kind: type):
+def finisher(pieces: list[bytes], codes: Codes):
     """Fills the holes and decodes the result again."""
     decode = decoder(pieces)
 
     def run(batches):
         press = zstandard.ZstdDecompressor()
-        for batch in bounded(batches, "packed", BATCH_BYTES // 2):
-            parts, sizes = [], []
-            fills = batch.column("fill").to_pylist() if "fill" in batch.schema.names else [None] * batch.num_rows
-            for packed, fill in zip(batch.column("packed").to_pylist(), fills):
-                ids = expanded(packed, kind, press)
-                if fill:
-                    at, rest, last = np.flatnonzero(ids == np.iinfo(kind).max), [], 0
-                    for hole, x in zip(at, sorted(fill, key=lambda f: f["pos"])):
-                        rest += [ids[last:hole], np.asarray(x["ids"], np.int32)]
-                        last = hole + 1
-                    ids = np.concatenate([*rest, ids[last:]])
-                parts.append(ids)
-                sizes.append(len(ids))
-            offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-            flat = np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
+        for batch in bounded(batches, "packed", BATCH_BYTES // 4):
+            parts = [press.decompress(b) if b else b"" for b in batch.column("packed").to_pylist()]
+            found, ends = Codes.unpacked(np.frombuffer(b"".join(parts), np.uint8))
+            offsets = ends[np.concatenate(([0], np.cumsum([len(x) for x in parts])))]
+            flat = codes.ids[found]
+            if "fill" in batch.schema.names:
+                # holes and what fills them are in the same order: by document and place
+                fills = batch.column("fill")
+                each, size = fills.flatten(), pc.fill_null(pc.list_value_length(fills), 0).to_numpy(zero_copy_only=False)
+                order = np.lexsort((each.field("pos").to_numpy(), np.repeat(np.arange(len(size)), size)))
+                lists = each.field("ids").take(pa.array(order))
+                per = np.ones(len(flat), np.int64)
+                holes = np.flatnonzero(found == 0)
+                per[holes] = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                hole = np.repeat(found == 0, per)
+                grown = np.concatenate(([0], np.cumsum(per)))
+                flat, offsets = np.repeat(flat, per), grown[offsets]
+                flat[hole] = lists.flatten().to_numpy(zero_copy_only=False)
+            sizes, offsets = np.diff(offsets).astype(np.int32), offsets.astype(np.int32)
             keys = batch.column("key").to_pylist()
             texts = decode(flat, offsets)
             null = pa.array([k is None for k in keys], pa.bool_())
@@ -542,7 +579,7 @@ def encode(docs: DataFrame, model: str = MODEL, hot: int = HOT) -> DataFrame:
     how = (vocab.cuts, vocab.alone_newline, vocab.marked)
     clean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = clean.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    units = clean.select("text").mapInArrow(lister(*how), "unit string, n long").repartition(max(8, chars // TASK_CHARS + 1), "unit").groupBy("unit").agg(F.sum("n").alias("n"))
+    units = clean.select("text").mapInArrow(lister(vocab), "unit string, n long, folded array<int>").repartition(max(8, chars // TASK_CHARS + 1), "unit").groupBy("unit", "folded").agg(F.sum("n").alias("n"))
     # lists of edges are kept by unit in memory up to a number of units; beyond, Spark sorts
     with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(UNITS_HELD)):
         lattice = written(encoded_units(units, vocab), "units")
@@ -550,19 +587,23 @@ def encode(docs: DataFrame, model: str = MODEL, hot: int = HOT) -> DataFrame:
     common = lattice.orderBy(F.desc("n"), "unit").limit(hot) if total > hot else lattice
     # at most ``hot`` units, packed, go to the driver and from there to all executors
     with setting(spark, CLEANUP, "true"):
-        table = common.select("unit", "ids").toArrow()
+        table = common.select("unit", "ids", "n").toArrow().combine_chunks()
+    lists = table.column("ids").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
+    each = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+    counts = np.bincount(lists.flatten().to_numpy(), np.repeat(table.column("n").to_numpy(), each), len(vocab.pieces))
+    table = table.select(["unit", "ids"])
     sink = pa.BufferOutputStream()
     table = table.set_column(0, "unit", table.column("unit").cast(pa.string())).set_column(1, "ids", table.column("ids").cast(pa.list_(pa.int32())))
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
     shared = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
-    kind = np.uint16 if len(vocab.pieces) < 65_535 else np.int32
-    replace, finish = replacer(shared, *how, kind), finisher(surface(vocab), kind)
+    codes = Codes(counts)
+    replace, finish = replacer(shared, *how, codes), finisher(surface(vocab), codes)
     done = "doc_id long, n_pieces int, pieces array<int>, exact boolean"
     if total <= hot:
         # no holes: both steps in one worker
         return clean.mapInArrow(lambda batches: finish(replace(batches)), done)
-    rare = clean.select("text").mapInArrow(replacer(shared, *how, kind, True), "key binary, rare array<string>").filter("size(rare) > 0")
+    rare = clean.select("text").mapInArrow(replacer(shared, *how, codes, True), "key binary, rare array<string>").filter("size(rare) > 0")
     places = rare.dropDuplicates(["key"]).select("key", F.posexplode("rare").alias("pos", "unit"))
     # written, so that the files of its shuffles are gone before those of the texts are made
     fills = written(places.join(lattice.select("unit", "ids"), "unit").groupBy("key").agg(F.collect_list(F.struct("pos", "ids")).alias("fill")), "fills")

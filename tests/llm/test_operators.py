@@ -100,6 +100,33 @@ def test_written_tables_leave_no_files_of_shuffles(spark):
         raise AssertionError(left)
 
 
+def test_pieces_read_the_documents_few_times_and_pack_them_well(spark):
+    """Long units are no reason to read all documents again; packed codes are short and come back as they were."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    texts = [(k, f"some words of text {k} and {'long' * 30}") for k in range(50)]
+    d = docs(spark, texts).mapInArrow(counted, "doc_id long, text string")
+    for hot, times in ((1_000_000, 3), (2, 4)):  # for the sum of lengths, the units and the pieces; with holes, for the places of rare units too
+        seen.value = 0
+        assert pieces.encode(d, hot=hot).count() == 50
+        assert seen.value <= times * 50
+    counts = np.zeros(30_000)
+    counts[[7, 9]] = 5, 8
+    codes = pieces.Codes(counts)
+    assert codes.of[9] == 1 and codes.of[7] == 2 and (codes.ids[codes.of] == np.arange(30_000)).all()
+    some = np.array([1, 0, 127, 128, 16_383, 16_384, 30_000, 2], np.int32)
+    data, begin = pieces.Codes.packed(some)
+    assert np.diff(begin).tolist() == [1, 1, 1, 2, 2, 3, 3, 1] and len(data) == begin[-1]
+    back, ends = pieces.Codes.unpacked(data)
+    assert back.tolist() == some.tolist() and ends[begin].tolist() == list(range(9))
+    assert [len(x) for x in pieces.Codes.unpacked(data[:0])] == [0, 1]
+
+
 def test_places_of_names_of_equal_hashes(monkeypatch):
     monkeypatch.setattr(tokens, "hashes", lambda words: np.zeros(len(words), np.uint64))
     names, wanted = (pa.array(x, pa.large_string()) for x in (["a", "b", "c"], ["c", "x", "a", "b", "", "c"]))
