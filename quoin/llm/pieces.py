@@ -451,18 +451,24 @@ class Codes:
     @staticmethod
     def packed(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The bytes, and where the code of each place begins, with the end."""
-        size = 1 + (codes >= 1 << 7) + (codes >= 1 << 14)
-        out = np.stack((codes & 127, codes >> 7 & 127, codes >> 14), 1).astype(np.uint8)
-        more = np.arange(3) < size[:, None] - 1
-        return (out | more * np.uint8(128))[np.arange(3) < size[:, None]], np.concatenate(([0], np.cumsum(size)))
+        size = (codes >= 1 << 7).astype(np.uint8) + (codes >= 1 << 14) + np.uint8(1)
+        begin = np.zeros(len(codes) + 1, np.int64)
+        np.cumsum(size, out=begin[1:])
+        data = np.empty(int(begin[-1]), np.uint8)
+        data[begin[:-1]] = codes & 127 | np.where(size > 1, 128, 0)
+        for k in (1, 2):
+            at = np.flatnonzero(size > k)
+            data[begin[at] + k] = codes[at] >> 7 * k & 127 | np.where(size[at] > k + 1, 128, 0)
+        return data, begin
 
     @staticmethod
     def unpacked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The codes, and how many end before each byte, with the end."""
         last = data < 128
-        ends = np.concatenate(([0], np.cumsum(last)))
-        stop = np.flatnonzero(last)
-        at = np.concatenate(([0], stop[:-1] + 1)) if len(stop) else stop
+        ends = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(last, out=ends[1:])
+        stop = np.flatnonzero(last).astype(np.int32)
+        at = np.concatenate((np.zeros(1, np.int32), stop[:-1] + np.int32(1))) if len(stop) else stop
         low = data & np.uint8(127)
         codes = low[at].astype(np.int32)
         for k in (1, 2):
@@ -481,7 +487,8 @@ def replacer(shared, cuts: str, newline: bool, marked: bool, codes: Codes, only_
             with pa.ipc.open_stream(pa.py_buffer(shared.value)) as reader:
                 hot = reader.read_all().combine_chunks()
             lists = hot.column("ids").combine_chunks()
-            ready.append((Names(hot.column("unit").combine_chunks().cast(pa.large_string())), lists.offsets.to_numpy().astype(np.int64), np.append(codes.of[lists.flatten().to_numpy()], np.int32(0))))
+            ready.append((Names(hot.column("unit").combine_chunks().cast(pa.large_string())), lists.offsets.to_numpy().astype(np.int64), np.append(codes.of[lists.flatten().to_numpy()], np.int32(0)).astype(np.uint16 if len(codes.ids) < 1 << 16 else np.int32)))
+            del hot, lists
         names, starts, flat = ready[0]
         for batch in bounded(batches, limit=BATCH_BYTES // 2):
             text = batch.column("text")
@@ -501,9 +508,15 @@ def replacer(shared, cuts: str, newline: bool, marked: bool, codes: Codes, only_
                 yield pa.RecordBatch.from_pydict({"key": key, "rare": pa.ListArray.from_arrays(pa.array(hole_ends.astype(np.int32)), holes)})
                 continue
             found, ends = _joined_lists(where[at], np.concatenate((starts, [len(flat), len(flat)])), flat)
+            bounds = ends[offsets]
+            del at, where, ends, units, blank
             data, begin = Codes.packed(found)
-            data, bounds = data.tobytes(), begin[ends[offsets]].tolist()
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": key, "packed": pa.array([None if t is None else press.compress(data[a:b]) for t, a, b in zip(texts, bounds, bounds[1:])], pa.binary())})
+            data, bounds = data.tobytes(), begin[bounds].tolist()
+            del found, begin
+            out = pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "key": key, "packed": pa.array([None if t is None else press.compress(data[a:b]) for t, a, b in zip(texts, bounds, bounds[1:])], pa.binary())})
+            # nothing of the batch is held while the next step is at work
+            del text, texts, key, data, bounds, offsets
+            yield out
 
     return run
 
@@ -587,16 +600,21 @@ def encode(docs: DataFrame, model: str = MODEL, hot: int = HOT) -> DataFrame:
     common = lattice.orderBy(F.desc("n"), "unit").limit(hot) if total > hot else lattice
     # at most ``hot`` units, packed, go to the driver and from there to all executors
     with setting(spark, CLEANUP, "true"):
-        table = common.select("unit", "ids", "n").toArrow().combine_chunks()
-    lists = table.column("ids").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
-    each = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
-    counts = np.bincount(lists.flatten().to_numpy(), np.repeat(table.column("n").to_numpy(), each), len(vocab.pieces))
-    table = table.select(["unit", "ids"])
+        table = common.select("unit", "ids", "n").toArrow()
+    counts = np.zeros(len(vocab.pieces))
+    for batch in table.to_batches():
+        lists = batch.column("ids")
+        each = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+        counts += np.bincount(lists.flatten().to_numpy(), np.repeat(batch.column("n").to_numpy(), each), len(counts))
+    kept = {"unit": pa.string(), "ids": pa.list_(pa.int32())}
+    table = table.select(list(kept)).cast(pa.schema(kept))
     sink = pa.BufferOutputStream()
-    table = table.set_column(0, "unit", table.column("unit").cast(pa.string())).set_column(1, "ids", table.column("ids").cast(pa.list_(pa.int32())))
     with pa.ipc.new_stream(sink, table.schema) as out:
         out.write_table(table)
+    del table
     shared = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    del sink
+    tokens.release()  # else the driver keeps it for the stages after
     codes = Codes(counts)
     replace, finish = replacer(shared, *how, codes), finisher(surface(vocab), codes)
     done = "doc_id long, n_pieces int, pieces array<int>, exact boolean"

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import free, let
-from .tokens import WORD
+from .tokens import WORD, release
 
 SAMPLE_ROWS, TREES, DEPTH, BINS, THRESHOLD = 10_000, 40, 3, 48, 0.5
 MARKS = r"[#%$&*|!^~<>{}=@_\[\]]"
@@ -321,7 +321,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> C
     frame = spark.createDataFrame(rows[["text"]].reset_index(names="at")[["at", "text"]].assign(at=range(len(rows))))
     stats = frame.select("at", *[c.alias(k) for k, c in statistics(F.col("text"), words_of(F.col("text")), abuse).items()]).toPandas().sort_values("at")
     x = {k: stats[k].fillna(0).to_numpy(float) for k in stats.columns if k != "at"}
-    return Classifier(abuse, fit_ensemble(x, low), fit_ensemble(x, toxic))
+    # the texts aren't needed any more; memory that is free goes before the ensembles take theirs, and after
+    del rows, texts, frame, stats
+    release()
+    found = Classifier(abuse, fit_ensemble(x, low), fit_ensemble(x, toxic))
+    release()
+    return found
 
 
 def op10_quality_classifier(spark, sf_dir: str) -> DataFrame:
