@@ -44,6 +44,8 @@ LEAST = 50
 WORDS, HIDDEN, WINDOW, LANES, ROUNDS = 4000, 16, 20, 256, 3
 #: Tokens that a shard trains on at once; shards grow in number.
 SHARD_TOKENS, LANE_TOKENS, WORD_TOKENS = 1_600_000, 1000, 100
+#: Rows whose outputs by class are worked on at once, so that they stay in the processor's cache.
+CACHED = 1024
 NAMES = ("emb", "wx", "wh", "b", "wc", "bc", "ww", "bw")
 
 
@@ -161,17 +163,33 @@ def softmax(x):
     return x
 
 
+def log_picked(x, at):
+    """The log of the softmax of each row at one place; x is overwritten."""
+    x -= x.max(-1, keepdims=True)
+    own = x[np.arange(len(x)), at]
+    np.exp(x, out=x)
+    return own - np.log(x.sum(-1))
+
+
 def log_probability(p, cuts, of, h, word):
     """ln P(word | state), by the class and by the word within its class."""
     k = of[word]
-    out = np.take_along_axis(softmax_log(h @ p["wc"] + p["bc"]), k[:, None], 1)[:, 0].astype(np.float64)
+    out = np.empty(len(k))
+    for a in range(0, len(k), CACHED):
+        x = h[a : a + CACHED] @ p["wc"]
+        x += p["bc"]
+        out[a : a + CACHED] = log_picked(x, k[a : a + CACHED])
     order = np.argsort(k, kind="stable")
     ends = np.append(np.flatnonzero(np.diff(k[order], prepend=-1)), len(k))
     for a, b in zip(ends[:-1], ends[1:]):
         rows = order[a:b]
         s, e = cuts[k[rows[0]]], cuts[k[rows[0]] + 1]
         if e - s > 1:
-            out[rows] += softmax_log(h[rows] @ p["ww"][s:e].T + p["bw"][s:e])[np.arange(len(rows)), word[rows] - s]
+            for i in range(0, len(rows), CACHED):
+                some = rows[i : i + CACHED]
+                x = h[some] @ p["ww"][s:e].T
+                x += p["bw"][s:e]
+                out[some] += log_picked(x, word[some] - s)
     return out
 
 
@@ -186,11 +204,16 @@ def backward(p, cuts, of, steps, g):
     if len(rows_all):
         hw, w = states[rows_all], np.concatenate([word for _, _, word, _, _ in steps])[rows_all]
         k = of[w]
-        e = softmax(hw @ p["wc"] + p["bc"])
-        e[np.arange(len(w)), k] -= 1
-        g["wc"] += hw.T @ e
-        g["bc"] += e.sum(0)
-        do = e @ p["wc"].T
+        do = np.empty_like(hw)
+        for a in range(0, len(w), CACHED):
+            own = hw[a : a + CACHED]
+            e = own @ p["wc"]
+            e += p["bc"]
+            e = softmax(e)
+            e[np.arange(len(own)), k[a : a + CACHED]] -= 1
+            g["wc"] += own.T @ e
+            g["bc"] += e.sum(0)
+            do[a : a + CACHED] = e @ p["wc"].T
         order = np.argsort(k, kind="stable")
         ends = np.append(np.flatnonzero(np.diff(k[order], prepend=-1)), len(k))
         for i, j in zip(ends[:-1], ends[1:]):
@@ -248,15 +271,25 @@ def fit_stream(p, cuts, of, stream, fresh, window=WINDOW, lanes=LANES, rate=0.2,
             h, before = new, x[:, t]
         backward(p, cuts, of, steps, g)
         # rows of words that the window doesn't touch have no gradient
-        targets = np.unique(of[np.concatenate([w for _, _, w, _, _ in steps])])
-        inside = np.concatenate([np.arange(cuts[c], cuts[c + 1]) for c in targets])
+        targets = np.bincount(of[np.concatenate([w for _, _, w, _, _ in steps])], minlength=len(cuts) - 1) > 0
+        inside = np.flatnonzero(np.repeat(targets, np.diff(cuts)))
         touched = {"emb": np.unique(np.concatenate([x for _, _, _, x, _ in steps])), "ww": inside, "bw": inside}
         for k in p:
-            at = touched.get(k, slice(None))
-            d = np.clip(g[k][at] / lanes, -1, 1)
-            seen[k][at] += d * d
-            p[k][at] -= (rate * d / np.sqrt(seen[k][at])).astype(np.float32)
-            g[k][at] = 0
+            at = touched.get(k)
+            # rows without gradient stay as they are in a whole update too, which copies nothing
+            whole = at is None or 2 * len(at) > len(p[k])
+            d, s = (g[k], seen[k]) if whole else (g[k][at], seen[k][at])
+            d /= lanes
+            np.clip(d, -1, 1, out=d)
+            s += d * d
+            d *= rate
+            d /= np.sqrt(s)
+            if whole:
+                p[k] -= d
+                d[...] = 0
+            else:
+                p[k][at] -= d
+                seen[k][at], g[k][at] = s, 0
     return p
 
 

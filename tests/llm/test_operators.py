@@ -3,6 +3,7 @@
 import json
 import os
 import time
+import tracemalloc
 from itertools import combinations
 
 import numpy as np
@@ -528,6 +529,23 @@ def test_passages_of_one_seed_and_of_two_hot_ones(spark):
     assert got == {(1, 0): 40, (3, 2): 41}
 
 
+def test_outputs_of_many_states_take_little_memory_and_are_right():
+    rng = np.random.default_rng(3)
+    cuts = np.arange(0, 1601, 8)
+    of = np.repeat(np.arange(200), 8)
+    p = lm.start(1600, 200, 4) | {"wc": rng.normal(0, 1, (4, 200)).astype(np.float32), "ww": rng.normal(0, 1, (1600, 4)).astype(np.float32)}
+    h, word = rng.normal(0, 1, (20_000, 4)).astype(np.float32), rng.integers(0, 1600, 20_000)
+    tracemalloc.start()
+    got = lm.log_probability(p, cuts, of, h, word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8e6  # a row of 200 classes for each state alone has 16 MB
+    for i in (0, 1023, 1024, 12_345, 19_999):
+        c = of[word[i]]
+        inside = lm.softmax_log(h[i] @ p["ww"][cuts[c] : cuts[c + 1]].T)[word[i] - cuts[c]]
+        assert abs(got[i] - lm.softmax_log(h[i] @ p["wc"])[c] - inside) < 1e-4
+
+
 def test_vocabulary_grows_and_unknown_words_are_spelt(spark):
     texts = [(k, " ".join(["alpha", "beta", "gamma", "delta"] * 5 + [f"ra{'re' * (k % 7)}th{'an' * (k % 5)}"])) for k in range(20)]
     d = docs(spark, texts)
