@@ -20,6 +20,13 @@ in bits. The rest is verified exactly on the n-gram sets.
 Keys travel packed, as one row for a batch and a part of the key space; they are
 sorted and matched in numpy.
 
+A key with more than ``HEAVY`` probing sets gives its sets and not their pairs, so that
+rows grow with the sets of a large group of near copies and not with their square.
+Each of these sets is compared with the sets of least hash of two of its heavy keys; those of
+similarity ``ALIKE`` or more are connected to families. All pairs of a family are
+counted from its n-grams, tile by tile, and leave a tile as links of each set; pairs
+of a heavy key from different families are candidates as all others are.
+
 Semantics
   * A token is a run of letters and digits, lower-cased. A text of fewer than n
     tokens has one n-gram, all of it; one without tokens takes no part, as do
@@ -40,6 +47,7 @@ Semantics
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +68,8 @@ BROADCAST_ROWS = 1_000_000
 BLOCK_GRAMS = 400_000
 #: The share of the need that a set may leave out, and of the segments with one-deletion neighbourhoods.
 SPARE, DELETIONS = 0.15, 0.05
+#: Probing sets of a key above which its pairs aren't listed; similarity from which sets belong to a family; sets and elements of a tile of a family.
+HEAVY, ALIKE, TILE_SETS, TILE_GRAMS = 64, 0.5, 3000, 1_000_000
 PACKED = "part int, keys binary, ids binary, metas binary, sketches binary"
 FOUND = "kind int, a long, b long, n int, sketch binary"
 
@@ -314,18 +324,35 @@ def signer(n: int, t: float, parts: int, member_parts: int):
     return run
 
 
-def candidate_pairs(keys, ids, metas, t: float, chunk: int = 2_000_000):
-    """Arrays of (a, b), a < b, of sets that a probe joins; each array without repetitions."""
+def merged_keys(keys, ids, metas) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, sets and flags in order; the same set under the same key, from copies in other batches, is one of joined flags."""
     order = np.lexsort((ids, keys))
     keys, ids, metas = keys[order], ids[order], metas[order]
-    # the same set under the same key, from copies in other batches: flags joined
     fresh = np.ones(len(keys), bool)
     fresh[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
     cuts = np.flatnonzero(fresh)
-    if not len(cuts):
+    return keys[cuts], ids[cuts], np.bitwise_or.reduceat(metas, cuts) if len(cuts) else metas
+
+
+def heavy_keys(keys: np.ndarray, metas: np.ndarray, heavy: int) -> np.ndarray:
+    """Which of the sorted rows belong to a key with more than ``heavy`` probing sets."""
+    if not len(keys):
+        return np.zeros(0, bool)
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return np.repeat(np.add.reduceat(metas >> 1 & 1, starts) > heavy, np.diff(np.append(starts, len(keys))))
+
+
+def allowed(ma: np.ndarray, mb: np.ndarray, t: float) -> np.ndarray:
+    """Whether the larger set probes, the other one is indexed and the sizes may go together."""
+    sa, sb = ma >> 2, mb >> 2
+    ok = ((ma & 2) > 0) & ((mb & 1) > 0) & (sb <= sa) | ((mb & 2) > 0) & ((ma & 1) > 0) & (sa <= sb)
+    return ok & (np.minimum(sa, sb) >= np.ceil(t * np.maximum(sa, sb) - 1e-9))
+
+
+def candidate_pairs(keys, ids, metas, t: float, chunk: int = 2_000_000):
+    """Arrays of (a, b), a < b, of sets that a probe joins; each array without repetitions. The rows are those of ``merged_keys``."""
+    if not len(keys):
         return
-    metas = np.bitwise_or.reduceat(metas, cuts)
-    keys, ids = keys[cuts], ids[cuts]
     starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     length = np.diff(np.append(starts, len(keys)))
     left = np.repeat(starts + length, length) - np.arange(len(keys)) - 1  # rows of the run after this one
@@ -333,9 +360,7 @@ def candidate_pairs(keys, ids, metas, t: float, chunk: int = 2_000_000):
     found, held, d = [], 0, 1
     while len(rows):
         a, b = rows, rows + d
-        sa, sb, fa, fb = metas[a] >> 2, metas[b] >> 2, metas[a] & 3, metas[b] & 3
-        ok = ((fa & 2) > 0) & ((fb & 1) > 0) & (sb <= sa) | ((fb & 2) > 0) & ((fa & 1) > 0) & (sa <= sb)
-        ok &= np.minimum(sa, sb) >= np.ceil(t * np.maximum(sa, sb) - 1e-9)
+        ok = allowed(metas[a], metas[b], t)
         if ok.any():
             found.append(np.stack([ids[a[ok]], ids[b[ok]]]))
             held += int(ok.sum())
@@ -350,25 +375,157 @@ def candidate_pairs(keys, ids, metas, t: float, chunk: int = 2_000_000):
             found, held = [], 0
 
 
-def matcher(t: float):
+def matcher(t: float, parts: int, heavy: int):
+    """Rows of kind 0: candidates (a, b); 1: set, document, size and sketch; 2: heavy key, set, size << 2 | flags."""
+
     def run(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         join = lambda c, k: np.frombuffer(b"".join(table.column(c).to_pylist()), k)
         if part < 0:
             keys, ids, metas = join("keys", np.uint64), join("ids", np.int64), join("metas", np.int32)
-            a, b, sizes, kind = [keys.view(np.int64)], [ids], metas, 1
+            a, b, sizes, kind = [keys.view(np.int64)], [ids], metas, np.full(len(keys), 1, np.int32)
             own, ends = b"".join(table.column("sketches").to_pylist()), np.concatenate(([0], np.cumsum(sketch_bits(metas) // 8)))
             first = set(np.unique(keys, return_index=True)[1].tolist())
             sketch = [own[ends[i] : ends[i + 1]] if i in first else None for i in range(len(keys))]
         else:
-            kind, a, b, sizes, sketch = 0, [], [], None, None
-            for x, y in candidate_pairs(*unpack_keys(table), t):
+            keys, ids, metas = merged_keys(*unpack_keys(table))
+            many = heavy_keys(keys, metas, heavy)
+            a, b, sketch = [(keys[many] * np.uint64(parts) + np.uint64(part)).view(np.int64)], [ids[many]], None
+            for x, y in candidate_pairs(keys[~many], ids[~many], metas[~many], t):
                 a.append(x)
                 b.append(y)
-        a = np.concatenate(a) if a else np.zeros(0, np.int64)
-        b = np.concatenate(b) if b else np.zeros(0, np.int64)
-        sizes = np.zeros(len(a), np.int32) if sizes is None else sizes
-        return pa.table({"kind": pa.array(np.full(len(a), kind, np.int32)), "a": a, "b": b, "n": sizes, "sketch": pa.array(sketch or [None] * len(a), pa.binary())})
+            sizes = np.zeros(sum(map(len, a)), np.int32)
+            kind = np.zeros(len(sizes), np.int32)
+            sizes[: len(a[0])], kind[: len(a[0])] = metas[many], 2
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.table({"kind": kind, "a": a, "b": b, "n": sizes, "sketch": pa.array(sketch or [None] * len(a), pa.binary())})
+
+    return run
+
+
+def crosser(t: float, chunk: int = 1_000_000):
+    """Sets of heavy keys with their families to the candidates of different families."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        key, sid, meta, family = (table.column(c).to_numpy() for c in ("key", "sid", "meta", "family"))
+        order = np.lexsort((family, key))
+        key, sid, meta, family = key[order], sid[order], meta[order], family[order]
+        new = np.append(True, key[1:] != key[:-1])
+        ends = lambda first: np.repeat(np.append(np.flatnonzero(first)[1:], len(key)), np.diff(np.append(np.flatnonzero(first), len(key))))
+        begin = ends(new | np.append(True, family[1:] != family[:-1]))
+        count = ends(new) - begin
+        total = np.concatenate(([0], np.cumsum(count)))
+        for i, j in tokens.slices(total, chunk):
+            n = count[i:j]
+            a = np.repeat(np.arange(i, j), n)
+            b = np.repeat(begin[i:j] - total[i:j], n) + np.arange(total[i], total[j])
+            ok = allowed(meta[a], meta[b], t)
+            if ok.any():
+                x, y = sid[a[ok]], sid[b[ok]]
+                yield pa.RecordBatch.from_pydict({"sa": np.minimum(x, y), "sb": np.maximum(x, y)})
+
+    return run
+
+
+def liker(least: float):
+    """Pairs of sets with their n-grams to those of a similarity."""
+
+    def run(batches):
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("grams").to_pylist(), batch.column("others").to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(both >= least * (len(x) + len(y) - both))
+            a, b = (batch.column(c).to_numpy()[np.array(ok, bool)] for c in ("sid", "hub"))
+            yield pa.RecordBatch.from_pydict({"doc_id": np.minimum(a, b), "other_id": np.maximum(a, b)})
+
+    return run
+
+
+def intersections(a: list[np.ndarray], b: list[np.ndarray], columns: int = 512, chunk: int = 2_000_000) -> np.ndarray:
+    """How many elements each set of ``a`` shares with each of ``b``: frequent ones by products of matrices, the others one by one."""
+    ra, rb = (np.repeat(np.arange(len(x)), [len(y) for y in x]) for x in (a, b))
+    found, at = np.unique(np.concatenate(a + b), return_inverse=True)
+    ia, ib = at[: len(ra)], at[len(ra) :]
+    fa, fb = (np.bincount(x, minlength=len(found)) for x in (ia, ib))
+    out = np.zeros((len(a), len(b)), np.float32)
+    dense = (fa > 0) & (fb > 0) & (100 * fa * fb >= len(a) * len(b))
+    wanted = np.flatnonzero(dense)
+    for k in range(0, len(wanted), columns):
+        place = np.full(len(found), -1)
+        place[wanted[k : k + columns]] = np.arange(len(wanted[k : k + columns]))
+        sides = []
+        for rows, i, n in ((ra, ia, len(a)), (rb, ib, len(b))):
+            some = np.flatnonzero(place[i] >= 0)
+            sides.append(np.zeros((n, len(wanted[k : k + columns])), np.float32))
+            sides[-1][rows[some], place[i[some]]] = 1
+        out += sides[0] @ sides[1].T
+    by = np.argsort(ib, kind="stable")
+    first = np.concatenate(([0], np.cumsum(fb)))
+    some = np.flatnonzero(~dense[ia] & (fb[ia] > 0))
+    total = np.concatenate(([0], np.cumsum(fb[ia[some]])))
+    for i, j in tokens.slices(total, chunk):
+        n = fb[ia[some[i:j]]]
+        y = rb[by[np.repeat(first[ia[some[i:j]]] - total[i:j], n) + np.arange(total[i], total[j])]]
+        np.add.at(out.reshape(-1), np.repeat(ra[some[i:j]], n) * len(b) + y, np.float32(1))
+    return out
+
+
+def tile_links(table: pa.Table, t: float, rows: int = 256):
+    """Of the sets of two tiles (rep, size), or of one: both sides, the Jaccard similarity of each pair and which are linked, by blocks of rows."""
+    tile = table.column("tile").to_numpy()
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    grams = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
+    a, b = np.flatnonzero(tile == i), np.flatnonzero(tile == j)
+    if not len(a) or not len(b):
+        return
+    both = intersections([grams[k] for k in a], [grams[k] for k in b])
+    size = np.array([len(g) for g in grams], np.float64)
+    for k in range(0, len(a), rows):
+        shared = both[k : k + rows].astype(np.float64)
+        score = shared / (size[a[k : k + rows], None] + size[b] - shared)
+        yield a[k : k + rows], b, score, (score >= t - 1e-12) & (a[k : k + rows, None] != b)
+
+
+def family_pairs(t: float):
+    """The pairs of a tile."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, out = table.column("rep").to_numpy(), []
+        one = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        for a, b, score, ok in tile_links(table, t):
+            x, y = np.nonzero(ok & (rep[a][:, None] < rep[b]) if one else ok)
+            out.append((rep[a[x]], rep[b[y]], score[x, y]))
+        x, y, score = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"doc_id": np.minimum(x, y), "other_id": np.maximum(x, y), "jaccard": score})
+
+    return run
+
+
+def family_links(t: float):
+    """The links of each set in a tile, copies of the others included, and the least document that it is connected to."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, size = table.column("rep").to_numpy(), table.column("size").to_numpy().astype(np.float64)
+        one = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        far, parts = np.zeros(len(rep)), []
+        for a, b, _, ok in tile_links(table, t):
+            far[a] += ok @ size[b]
+            if not one:
+                far[b] += size[a] @ ok
+            parts.append((a, b, ok))
+        root = rep.copy()
+        while True:
+            was = root.copy()
+            for a, b, ok in parts:
+                root[a] = np.minimum(root[a], np.where(ok, root[b], np.iinfo(np.int64).max).min(1))
+                root[b] = np.minimum(root[b], np.where(ok, root[a][:, None], np.iinfo(np.int64).max).min(0))
+            if (was == root).all():
+                break
+        some = far > 0
+        return pa.table({"rep": rep[some], "far": far[some].astype(np.int64), "root": root[some]})
 
     return run
 
@@ -426,17 +583,51 @@ def verifier(t: float):
     return run
 
 
-def _joined(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame]:
-    """(pairs of representatives with their similarity, members of each representative's set)."""
+def _families(clean: DataFrame, heavy: DataFrame, reps: DataFrame, members: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """(set and family, tiles of families) of the sets of heavy keys."""
+    # an id of several texts may stand for several sets, whose links become one: these stay pairs
+    lone = reps.groupBy("rep").agg(F.min("sid").alias("sid"), F.count("*").alias("sets")).filter("sets = 1").select("rep", "sid")
+    sizes = members.groupBy("sid").agg(F.count("*").alias("size"))
+    wanted = written(heavy.select("sid").distinct().join(lone, "sid").join(sizes, "sid").select("sid", "rep", "size"), "wanted")
+    few = wanted.count() <= BROADCAST_ROWS
+    near = F.broadcast(wanted) if few else wanted
+    texts = clean.join(near, clean["doc_id"] == near["rep"]).select(F.lit(0).cast("long").alias("k"), "sid", "text")
+    grams = written(texts.mapInArrow(gram_maker(n), "k long, sid long, grams binary").dropDuplicates(["sid"]).select("sid", "grams"), "grams")
+    held = heavy.join(near.select("sid"), "sid")
+    hubs = held.groupBy("key").agg(F.min_by("sid", F.xxhash64("sid")).alias("hub"))
+    two = F.slice(F.array_sort(F.collect_set(F.struct(F.xxhash64("hub").alias("h"), "hub"))), 1, 2)
+    stars = held.join(hubs, "key").filter("sid <> hub").groupBy("sid").agg(two.alias("two")).select("sid", F.explode("two").alias("hub")).select("sid", "hub.hub")
+    others = grams.select(F.col("sid").alias("hub"), F.col("grams").alias("others"))
+    like = stars.join(grams, "sid").join(others, "hub").select("sid", "hub", "grams", "others").mapInArrow(liker(ALIKE), "doc_id long, other_id long")
+    families = written(groups(like).select(F.col("doc_id").alias("sid"), F.col("group").alias("family")), "families")
+    rows = families.join(wanted, "sid").join(grams, "sid")
+    tiles = rows.groupBy("family").agg(F.ceil(F.greatest(F.count("*") / TILE_SETS, F.sum(F.length("grams")) / 8 / TILE_GRAMS)).cast("int").alias("tiles"))
+    rows = rows.join(tiles, "family").withColumn("tile", F.pmod(F.xxhash64("sid"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    return families, rows.select("family", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "rep", "size", "grams")
+
+
+def _joined(docs: DataFrame, n: int, t: float, heavy: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(pairs of representatives with their similarity, tiles of families that have more pairs, members of each representative's set)."""
     clean = docs.select(F.col("doc_id").cast("long"), "text").filter("doc_id is not null and text is not null")
     chars = clean.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     # about one key for each dozen characters; the parts grow in number, not in size
     parts = max(8, int(chars / 12 / PART_KEYS) + 1)
     packed = clean.mapInArrow(signer(n, t, parts, max(4, parts // 8)), PACKED)
-    found = written(packed.groupBy("part").applyInArrow(tokens.released(matcher(t)), FOUND), "candidates")
+    found = written(packed.groupBy("part").applyInArrow(tokens.released(matcher(t, parts, heavy)), FOUND), "candidates")
     members = found.filter("kind = 1").select(F.col("a").alias("sid"), F.col("b").alias("doc_id")).distinct()
     reps = found.filter("kind = 1").groupBy(F.col("a").alias("sid")).agg(F.min("b").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     candidates = found.filter("kind = 0").select(F.col("a").alias("sa"), F.col("b").alias("sb")).distinct()
+    crowded = found.filter("kind = 2").select(F.col("a").alias("key"), F.col("b").alias("sid"), F.col("n").alias("meta"))
+    tiles = None
+    if (many := crowded.count()):
+        families, tiles = _families(clean, crowded, reps.select("sid", "rep"), members, n)
+        of = lambda x: families.select(F.col("sid").alias(f"s{x}"), F.col("family").alias(f"f{x}"))
+        spread = F.pmod(F.xxhash64("key"), F.lit(max(8, many // 100_000)))
+        crossed = crowded.join(families, "sid", "left").select("key", "sid", "meta", F.coalesce("family", "sid").alias("family"))
+        crossed = crossed.groupBy(spread).applyInArrow(tokens.released(crosser(t)), "sa long, sb long")
+        apart = candidates.join(of("a"), "sa", "left").join(of("b"), "sb", "left").filter("fa is null or fb is null or fa <> fb")
+        candidates = apart.select("sa", "sb").union(crossed).distinct()
     side = lambda x: reps.select(F.col("sid").alias(f"s{x}"), F.col("rep").alias(f"d{x}"), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"k{x}"))
     sifted = candidates.join(side("a"), "sa").join(side("b"), "sb").filter("da <> db").mapInArrow(sifter(t), "sa long, sb long, da long, db long, na int, nb int")
     pairs = written(sifted, "pairs")
@@ -458,25 +649,33 @@ def _joined(docs: DataFrame, n: int, t: float) -> tuple[DataFrame, DataFrame]:
     texts = clean.join(needed, clean["doc_id"] == needed["d"]).select("k", "sid", "text")
     sets = texts.mapInArrow(gram_maker(n), "k long, sid long, grams binary")
     verified = keyed.groupBy("k").cogroup(sets.groupBy("k")).applyInArrow(tokens.released(verifier(t)), "doc_id long, other_id long, jaccard double")
-    return verified.groupBy("doc_id", "other_id").agg(F.max("jaccard").alias("jaccard")), members.join(reps.select("sid", "rep"), "sid").select("rep", "doc_id")
+    return verified.groupBy("doc_id", "other_id").agg(F.max("jaccard").alias("jaccard")), tiles, members.join(reps.select("sid", "rep"), "sid").select("rep", "doc_id")
 
 
-def similar_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
+def similar_pairs(docs: DataFrame, n: int = N, t: float = THRESHOLD, heavy: int = HEAVY) -> DataFrame:
     """doc_id, other_id, jaccard: see the module's docstring."""
-    verified, members = _joined(docs, n, t)
+    verified, tiles, members = _joined(docs, n, t, heavy)
+    if tiles is not None:
+        verified = verified.unionByName(tiles.groupBy("family", "i", "j").applyInArrow(tokens.released(family_pairs(t)), "doc_id long, other_id long, jaccard double"))
     copies = members.filter("doc_id <> rep").select(F.col("rep").alias("doc_id"), F.col("doc_id").alias("other_id"), F.lit(1.0).alias("jaccard"))
     return verified.unionByName(copies).groupBy("doc_id", "other_id").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
 
 
-def links(docs: DataFrame, n: int = N, t: float = THRESHOLD) -> DataFrame:
+def links(docs: DataFrame, n: int = N, t: float = THRESHOLD, heavy: int = HEAVY) -> DataFrame:
     """doc_id, class_id, n_links: see the module's docstring."""
-    verified, members = _joined(docs, n, t)
+    verified, tiles, members = _joined(docs, n, t, heavy)
     verified, members = written(verified, "verified"), written(members, "members")
     sizes = members.groupBy("rep").agg(F.count("*").alias("size"))
     both = verified.select(F.col("doc_id").alias("a"), F.col("other_id").alias("b")).union(verified.select("other_id", "doc_id"))
-    far = both.join(sizes, F.col("b") == F.col("rep")).groupBy(F.col("a").alias("rep")).agg(F.sum("size").alias("far"))
+    far = both.join(sizes, F.col("b") == F.col("rep")).select(F.col("a").alias("rep"), F.col("size").alias("far"))
+    edges = verified.select("doc_id", "other_id")
+    if tiles is not None:
+        within = written(tiles.groupBy("family", "i", "j").applyInArrow(tokens.released(family_links(t)), "rep long, far long, root long"), "within")
+        far = far.union(within.select("rep", "far"))
+        edges = edges.union(within.filter("root <> rep").select("root", "rep"))
+    far = far.groupBy("rep").agg(F.sum("far").alias("far"))
     linked = sizes.join(far, "rep", "left").select("rep", (F.col("size") - 1 + F.coalesce("far", F.lit(0))).alias("n_links")).filter("n_links > 0")
-    roots = groups(verified).select(F.col("doc_id").alias("rep"), "group")
+    roots = groups(edges).select(F.col("doc_id").alias("rep"), "group")
     classes = linked.join(roots, "rep", "left").select("rep", "n_links", F.coalesce("group", "rep").alias("class_id"))
     return members.join(classes, "rep").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
 

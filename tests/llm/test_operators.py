@@ -421,6 +421,45 @@ def test_jaccard_by_brute_force(spark):
     assert jaccard_join.links(docs(spark, [])).count() == 0 and jaccard_join.links(docs(spark, ODD)).count() == 0
 
 
+def test_jaccard_of_large_groups(spark):
+    rng = np.random.default_rng(6)
+    texts = []
+    # two groups that share half of their words, and a few texts apart
+    common = [f"c{x}" for x in range(60)]
+    for g in range(2):
+        base = common + [f"g{g}w{x}" for x in range(60)]
+        for k in range(70):
+            words = list(base)
+            for x in rng.integers(0, len(words), int(rng.integers(0, 9))):
+                words[x] = f"e{rng.integers(0, 10**6)}"
+            texts.append((len(texts), " ".join(words)))
+    texts += [(len(texts) + k, texts[k][1]) for k in range(10)] + [(500, "some other words"), (501, None), (3, "a text more of an id " + texts[3][1])]
+    sets = [(i, frozenset(zip(t.split(), t.split()[1:]))) for i, t in texts if t]
+    d = docs(spark, texts)
+    few = {(r.doc_id, r.other_id, r.jaccard) for r in jaccard_join.similar_pairs(d, heavy=10**9).collect()}
+    assert {(r.doc_id, r.other_id, r.jaccard) for r in jaccard_join.similar_pairs(d, heavy=3).collect()} == few
+    want = {(min(i, j), max(i, j)) for (i, a), (j, b) in combinations(sets, 2) if i != j and a != b and len(a & b) / len(a | b) >= 0.8}
+    least = {s: min(i for i, x in sets if x == s) for _, s in sets}
+    assert {(a, b) for a, b, _ in few} >= {p for p in want if all(any(least[s] == i for j, s in sets if i == j) for i in p)}
+    links = [sorted((r.doc_id, r.class_id, r.n_links) for r in jaccard_join.links(d, heavy=h).collect()) for h in (3, 10**9)]
+    assert links[0] == links[1]
+    assert {i for i, _, _ in links[0]} == {x for (i, a), (j, b) in combinations(sets, 2) if i != j and len(a & b) / len(a | b) >= 0.8 for x in (i, j)}
+
+
+def test_jaccard_rows_of_a_key_grow_with_its_sets():
+    n = 2000
+    keys, who = np.full(n, 7, np.uint64), np.arange(n)
+    batch = jaccard_join.pack_keys(np.zeros(n, np.int32), keys, who, np.full(n, 3), np.arange(1, n + 1), np.full(n, 100))
+    found = jaccard_join.matcher(0.8, 8, 64)(pa.Table.from_batches([batch]))
+    assert found.num_rows == n and set(found["kind"].to_pylist()) == {2} and sorted(found["b"].to_pylist()) == list(range(1, n + 1))
+    rng = np.random.default_rng(7)
+    a, b = ([np.unique(rng.integers(0, 400, 60)).astype(np.uint64) for _ in range(m)] + [np.array([9], np.uint64)] for m in (30, 40))
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert jaccard_join.intersections(a, b, 16, 100).tolist() == want
+    # rare elements alone
+    assert jaccard_join.intersections([x + np.uint64(1000 * k) for k, x in enumerate(a)], [x + np.uint64(1000 * k) for k, x in enumerate(a)], 16, 100).sum() > 0
+
+
 def filler(rng, n):
     return [f"f{x}" for x in rng.integers(0, 10**9, n)]
 
