@@ -105,6 +105,11 @@ class Vocabulary:
     def byte_ids(self) -> dict[int, int]:
         return {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k == 6}
 
+    def ascii_ids(self) -> list[int]:
+        """The id of the piece of each character of ASCII, a space standing for the marker; -1 where there is none."""
+        found = {p.replace(MARK, " "): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds)) if k in (1, 4)}
+        return [found.get(chr(c), -1) for c in range(128)]
+
     @property
     def unknown(self) -> int:
         return next((i for i, k in enumerate(self.kinds) if k == 2), 0)
@@ -330,6 +335,22 @@ def long_folder(vocab: Vocabulary):
     return fold
 
 
+def substrings_of(units: DataFrame, vocab: Vocabulary, n: Column, small: bool) -> DataFrame:
+    """The lattice: substrings of units of ``n`` characters, of up to the longest piece that begins as they do.
+
+    For BPE, single characters of ASCII but for a unit's first are left out: no merge
+    asks for them, and what isn't merged has its id from ``Vocabulary.ascii_ids``.
+    """
+    heads = units.sparkSession.createDataFrame(list(vocab.heads().items()), "head string, most int")
+    starts = units.select("unit", "n", "folded", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    starts = starts.join(F.broadcast(heads) if small else heads, F.col("unit").substr(F.col("s") + 1, F.lit(HEAD)) == F.col("head"), "left")
+    most = F.least(n - F.col("s"), F.coalesce("most", F.lit(HEAD - 1)), F.lit(vocab.longest))
+    plain = (F.col("s") > 0) & (F.octet_length(F.col("unit").substr(F.col("s") + 1, F.lit(1))) == 1) & F.lit(vocab.bpe)
+    least = F.when(plain, 2).otherwise(1)
+    sized = starts.select("unit", "n", "folded", "s", F.explode(F.when(least <= most, F.sequence(least, most))).alias("k"))
+    return sized.select("unit", "n", "folded", "s", (F.col("s") + F.col("k")).alias("e"), F.col("unit").substr(F.col("s") + 1, F.col("k")).alias("piece"))
+
+
 def encoded_units(units: DataFrame, vocab: Vocabulary) -> DataFrame:
     """unit, n, ids (array of int) of a table of distinct units, partitioned by unit.
 
@@ -339,13 +360,7 @@ def encoded_units(units: DataFrame, vocab: Vocabulary) -> DataFrame:
     spark = units.sparkSession
     pieces, small = vocab.table(spark), len(vocab.pieces) <= 1_000_000
     n = F.when(F.col("folded").isNull(), F.length("unit")).otherwise(1)
-    # the lattice: substrings of up to the longest piece that begins as they do, joined to the pieces
-    heads = spark.createDataFrame(list(vocab.heads().items()), "head string, most int")
-    starts = units.select("unit", "n", "folded", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    starts = starts.join(F.broadcast(heads) if small else heads, F.col("unit").substr(F.col("s") + 1, F.lit(HEAD)) == F.col("head"), "left")
-    most = F.least(n - F.col("s"), F.coalesce("most", F.lit(HEAD - 1)), F.lit(vocab.longest))
-    sized = starts.select("unit", "n", "folded", "s", F.explode(F.sequence(F.lit(1), most)).alias("k"))
-    substrings = sized.select("unit", "n", "folded", "s", (F.col("s") + F.col("k")).alias("e"), F.col("unit").substr(F.col("s") + 1, F.col("k")).alias("piece"))
+    substrings = substrings_of(units, vocab, n, small)
     # the table of pieces is the model's, of bounded size whatever the corpus
     joined = substrings.join(F.broadcast(pieces) if small else pieces, "piece", "left")
     # the first character's row stays without a piece too, so that no unit is lost
@@ -389,7 +404,8 @@ def encoded_units(units: DataFrame, vocab: Vocabulary) -> DataFrame:
 
         def found(s: Column, e: Column) -> Column:
             among = lambda edges: F.transform(F.filter(edges, lambda x: Packed.span(x) == s * 64 + e), Packed.id)
-            return F.when(e - s == 1, among(F.col("singles"))).otherwise(among(F.col("edges")))
+            single = let(F.col("unit").substr(s + 1, F.lit(1)), lambda c: F.when(F.octet_length(c) == 1, F.filter(F.array(F.get(F.lit(vocab.ascii_ids()), F.ascii(c))), lambda x: x >= 0)).otherwise(among(F.col("singles"))))
+            return F.when(e - s == 1, single).otherwise(among(F.col("edges")))
 
         mask = merged_at_once(F.col("edges"), n)
     else:

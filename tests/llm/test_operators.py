@@ -421,6 +421,19 @@ def test_jaccard_by_brute_force(spark):
     assert jaccard_join.links(docs(spark, [])).count() == 0 and jaccard_join.links(docs(spark, ODD)).count() == 0
 
 
+def test_lattice_leaves_out_single_ascii(spark):
+    vocab = pieces.Vocabulary.load(pieces.MODEL)
+    units = spark.createDataFrame([(" zqx\x01é", 1, None), ("q", 1, None)], "unit string, n long, folded array<int>")
+    found = pieces.substrings_of(units, vocab, F.length("unit"), True).filter("length(piece) = 1").collect()
+    assert sorted((r.unit, r.s, r.piece) for r in found) == [(" zqx\x01é", 0, " "), (" zqx\x01é", 5, "é"), ("q", 0, "q")]
+    texts = [(1, "zqx\x01é q \x7f\x00z ~^ jqzé"), (2, "a"), (3, "".join(map(chr, range(128)))), (4, "q\nz\tq  q")]
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    got = {r.doc_id: list(r.pieces) for r in pieces.encode(docs(spark, texts)).collect()}
+    assert got == {i: library.encode(t) for i, t in texts}
+
+
 def test_jaccard_of_large_groups(spark):
     rng = np.random.default_rng(6)
     texts = []
