@@ -2,8 +2,9 @@
 
 The vocabulary is counted over all documents: the ``words`` most frequent tokens
 and all others that occur at least ``least`` times, so that it grows with the corpus,
-in classes of about equal total frequency; the output softmax factors into the
-class and the word within it. All documents are shuffled to shards of token streams;
+in classes of up to ``SIDE`` words of like frequency and groups of classes; the output
+softmax factors into the group, the class within it and the word within that, so that
+the outputs of a token grow with the cube root of the vocabulary. All documents are shuffled to shards of token streams;
 training passes over them once, in ``rounds`` parts by a hash of the text. A shard has
 at least ``WORD_TOKENS`` tokens for each word, so that the weights that shards send stay
 less than the tokens; it is read in bounded pieces. In each round
@@ -46,7 +47,10 @@ WORDS, HIDDEN, WINDOW, LANES, ROUNDS = 4000, 16, 20, 256, 3
 SHARD_TOKENS, LANE_TOKENS, WORD_TOKENS = 1_600_000, 1000, 100
 #: Rows whose outputs by class are worked on at once, so that they stay in the processor's cache.
 CACHED = 1024
-NAMES = ("emb", "wx", "wh", "b", "wc", "bc", "ww", "bw")
+#: Words of a class; a class that more rows ask for is multiplied by itself, others together, so many at once.
+SIDE, MANY, TOGETHER = 32, 32, 256
+#: Numbers of a matrix that are updated at once.
+UPDATED = 50_000
 
 
 def counter():
@@ -121,34 +125,53 @@ class Spelling:
 
 
 def classes_of(counts: np.ndarray) -> np.ndarray:
-    """First word of each class, and the end: words are in order of frequency, classes of equal mass; the last, "unknown", is alone."""
-    known = counts[:-1]
-    k = max(1, round(len(known) ** 0.5))
-    mass = np.cumsum(np.sqrt(known + 1.0))
-    at = np.searchsorted(mass, mass[-1] * np.arange(1, k) / k) if len(known) else []
-    return np.unique(np.concatenate(([0], at, [len(known), len(counts)]))).astype(np.int64)
+    """First word of each class, and the end: words are in order of frequency, classes of ``SIDE`` words, fewer if words are few; the last, "unknown", is alone."""
+    known = len(counts) - 1
+    size = min(SIDE, max(1, round(known**0.5)))
+    return np.unique(np.concatenate((np.arange(0, known, size), [0, known, known + 1]))).astype(np.int64)
 
 
-def start(words: int, classes: int, hidden: int, seed: int = 1) -> dict[str, np.ndarray]:
+def groups_of(mass: np.ndarray) -> np.ndarray | None:
+    """First class of each group of classes, and the end, by the counts of classes; the last is alone. None if classes are few: then they are one group."""
+    known = len(mass) - 1
+    if known <= SIDE:
+        return None
+    k = round((known / 2) ** 0.5)
+    total = np.cumsum(np.sqrt(mass[:-1] + 1.0))
+    return np.unique(np.concatenate(([0], np.searchsorted(total, total[-1] * np.arange(1, k) / k), [known, known + 1]))).astype(np.int64)
+
+
+def start(words: int, classes: int, hidden: int, seed: int = 1, groups: int = 0) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     shapes = {"emb": (words + 1, hidden), "wx": (hidden, 3 * hidden), "wh": (hidden, 3 * hidden), "b": (3 * hidden,), "wc": (hidden, classes), "bc": (classes,), "ww": (words, hidden), "bw": (words,)}
+    shapes |= {"wg": (hidden, groups), "bg": (groups,)} if groups else {}
     return {n: (rng.normal(0, 0.1, s) if len(s) > 1 else np.zeros(s)).astype(np.float32) for n, s in shapes.items()}
 
 
 def sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    out = np.minimum(-x, 60)
+    np.exp(out, out=out)
+    out += 1
+    return np.divide(1, out, out=out)
 
 
-def cell(p, x, h):
-    """One step of the gated unit: (new state, what backpropagation needs)."""
+def cell(p, x, h, i=None):
+    """One step of the gated unit: (new state, what backpropagation needs); ``i`` is what the input gives, if it is known."""
     d = h.shape[1]
-    i = x @ p["wx"] + p["b"]
-    r_h = h @ p["wh"][:, : 2 * d]
-    gates = sigmoid(i[:, : 2 * d] + r_h)
+    if i is None:
+        i = x @ p["wx"] + p["b"]
+    gates = h @ p["wh"][:, : 2 * d]
+    gates += i[:, : 2 * d]
+    gates = sigmoid(gates)
     z, r = gates[:, :d], gates[:, d:]
     rh = r * h
-    c = np.tanh(i[:, 2 * d :] + rh @ p["wh"][:, 2 * d :])
-    return (1 - z) * h + z * c, (x, h, z, r, rh, c)
+    c = rh @ p["wh"][:, 2 * d :]
+    c += i[:, 2 * d :]
+    c = np.tanh(c, out=c)
+    new = c - h
+    new *= z
+    new += h
+    return new, (x, h, z, r, rh, c)
 
 
 def softmax_log(x):
@@ -156,99 +179,203 @@ def softmax_log(x):
     return x - np.log(np.exp(x).sum(-1, keepdims=True))
 
 
-def softmax(x):
-    x -= x.max(-1, keepdims=True)
-    np.exp(x, out=x)
-    x /= x.sum(-1, keepdims=True)
+def shifted(x):
+    """Rows of outputs, moved by their greatest ones if exponentials of some would be too large or small; x may be overwritten."""
+    if not (x.max() < 60 and x.min() > -60):
+        x -= x.max(-1, keepdims=True)
     return x
 
 
+def sums(x):
+    return x.reshape(-1, x.shape[-1]) @ np.ones(x.shape[-1], x.dtype)
+
+
 def log_picked(x, at):
     """The log of the softmax of each row at one place; x is overwritten."""
-    x -= x.max(-1, keepdims=True)
+    x = shifted(x)
     own = x[np.arange(len(x)), at]
     np.exp(x, out=x)
-    return own - np.log(x.sum(-1))
+    return own - np.log(sums(x))
+
+
+def runs_of(k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, firsts and ends of the runs of sorted integers."""
+    at = np.flatnonzero(np.diff(k, prepend=-1))
+    return k[at], at, np.append(at[1:], len(k))
+
+
+def spans(k: np.ndarray) -> list[tuple[int, int, int]]:
+    return list(zip(*(x.tolist() for x in runs_of(k))))
+
+
+def shared_out(k: np.ndarray, n: int):
+    """Runs of sorted classes: (those of few rows of the first n classes, the others)."""
+    runs = runs_of(k)
+    few = (runs[2] - runs[1] <= MANY) & (runs[0] < n)
+    return tuple(x[few] for x in runs), list(zip(*(x[~few].tolist() for x in runs)))
+
 
+def ordered(k: np.ndarray, most: int) -> np.ndarray:
+    """The order of integers below ``most``."""
+    return np.argsort(k.astype(np.uint16) if most < 65_536 else k, kind="stable")
 
-def log_probability(p, cuts, of, h, word):
-    """ln P(word | state), by the class and by the word within its class."""
+
+def even(cuts: np.ndarray) -> tuple[int, int]:
+    """(number, size) of the first classes, which are of one size."""
+    size = np.diff(cuts)
+    return int(np.argmax(np.append(size != size[0], True))), int(size[0])
+
+
+def blocks(x: np.ndarray, n: int, size: int) -> np.ndarray:
+    """The rows of the first classes, class by class."""
+    return x[: n * size].reshape(n, size, *x.shape[1:])
+
+
+def gathered(k: np.ndarray, first: np.ndarray, end: np.ndarray):
+    """Classes with runs of few rows each, those of about as many together: (classes, places for rows in each, rows, class and place of each)."""
+    n = end - first
+    width = np.maximum(2, 2 ** np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero(width == w)
+        for a in range(0, len(own), TOGETHER):
+            c = own[a : a + TOGETHER]
+            at = np.repeat(np.arange(len(c)), n[c])
+            slot = np.arange(len(at)) - np.repeat(np.cumsum(n[c]) - n[c], n[c])
+            yield k[c], w, first[c][at] + slot, at, slot
+
+
+def log_probability(p, cuts, of, h, word, groups=None):
+    """ln P(word | state), by the group of the class, if there are groups, by the class and by the word within its class."""
+    order = ordered(of[word], len(cuts))
+    h, word = h[order], word[order]
     k = of[word]
+    top = k if groups is None else np.repeat(np.arange(len(groups) - 1), np.diff(groups))[k]
+    w, b = ("wc", "bc") if groups is None else ("wg", "bg")
     out = np.empty(len(k))
     for a in range(0, len(k), CACHED):
-        x = h[a : a + CACHED] @ p["wc"]
-        x += p["bc"]
-        out[a : a + CACHED] = log_picked(x, k[a : a + CACHED])
-    order = np.argsort(k, kind="stable")
-    ends = np.append(np.flatnonzero(np.diff(k[order], prepend=-1)), len(k))
-    for a, b in zip(ends[:-1], ends[1:]):
-        rows = order[a:b]
-        s, e = cuts[k[rows[0]]], cuts[k[rows[0]] + 1]
-        if e - s > 1:
-            for i in range(0, len(rows), CACHED):
-                some = rows[i : i + CACHED]
-                x = h[some] @ p["ww"][s:e].T
-                x += p["bw"][s:e]
-                out[some] += log_picked(x, word[some] - s)
+        x = h[a : a + CACHED] @ p[w]
+        x += p[b]
+        out[a : a + CACHED] = log_picked(x, top[a : a + CACHED])
+    for g, i, j in [] if groups is None else spans(top):
+        s, e = groups[g], groups[g + 1]
+        for a in range(i, j, CACHED) if e - s > 1 else ():
+            to = min(j, a + CACHED)
+            x = h[a:to] @ p["wc"][:, s:e]
+            x += p["bc"][s:e]
+            out[a:to] += log_picked(x, k[a:to] - s)
+    n, size = even(cuts)
+    few, many = shared_out(k, n)
+    for c, i, j in many:
+        s, e = cuts[c], cuts[c + 1]
+        for a in range(i, j, CACHED) if e - s > 1 else ():
+            to = min(j, a + CACHED)
+            x = h[a:to] @ p["ww"][s:e].T
+            x += p["bw"][s:e]
+            out[a:to] += log_picked(x, word[a:to] - s)
+    weights, bias = blocks(p["ww"], n, size), blocks(p["bw"], n, size)
+    for classes, width, rows, at, slot in gathered(*few):
+        own = np.zeros((len(classes), width, h.shape[1]), h.dtype)
+        own[at, slot] = h[rows]
+        x = own @ weights[classes].transpose(0, 2, 1)
+        x += bias[classes][:, None]
+        out[rows] += log_picked(x[at, slot], word[rows] - cuts[k[rows]])
+    total = np.empty(len(k))
+    total[order] = out
+    return total
+
+
+def errors(h, weights, bias, at, g_weights, g_bias):
+    """The gradient of states, by softmax outputs of which those of ``at`` are right; adds those of the outputs."""
+    y = h @ weights
+    y += bias
+    y = np.exp(shifted(y), out=y)
+    # the softmax is y / total, so that the rows of few numbers are divided
+    total = sums(y)
+    y[np.arange(len(y)), at] -= total
+    share = 1 / total
+    g_weights += (h * share[:, None]).T @ y
+    g_bias += share @ y
+    out = y @ weights.T
+    out *= share[:, None]
     return out
 
 
-def backward(p, cuts, of, steps, g):
+def backward(p, cuts, of, steps, g, groups=None):
     """Adds the gradients of a window; ``steps`` has (cell's memory, new state, target, previous word, live) of each step."""
     dh = np.zeros_like(steps[0][1])
-    d = dh.shape[1]
+    lanes, d = dh.shape
     # the outputs of all steps at once, class by class
     states = np.concatenate([h for _, h, _, _, _ in steps])
     douts = np.zeros_like(states)
     rows_all = np.flatnonzero(np.concatenate([live for _, _, _, _, live in steps]))
     if len(rows_all):
-        hw, w = states[rows_all], np.concatenate([word for _, _, word, _, _ in steps])[rows_all]
-        k = of[w]
+        w = np.concatenate([word for _, _, word, _, _ in steps])[rows_all]
+        order = ordered(of[w], len(cuts))
+        rows_all, w = rows_all[order], w[order]
+        hw, k = states[rows_all], of[w]
         do = np.empty_like(hw)
+        top = k if groups is None else np.repeat(np.arange(len(groups) - 1), np.diff(groups))[k]
+        m, n = ("wc", "bc") if groups is None else ("wg", "bg")
         for a in range(0, len(w), CACHED):
-            own = hw[a : a + CACHED]
-            e = own @ p["wc"]
-            e += p["bc"]
-            e = softmax(e)
-            e[np.arange(len(own)), k[a : a + CACHED]] -= 1
-            g["wc"] += own.T @ e
-            g["bc"] += e.sum(0)
-            do[a : a + CACHED] = e @ p["wc"].T
-        order = np.argsort(k, kind="stable")
-        ends = np.append(np.flatnonzero(np.diff(k[order], prepend=-1)), len(k))
-        for i, j in zip(ends[:-1], ends[1:]):
-            rows = order[i:j]
-            s, t = cuts[k[rows[0]]], cuts[k[rows[0]] + 1]
-            if t - s > 1:
-                own = hw[rows]
-                y = softmax(own @ p["ww"][s:t].T + p["bw"][s:t])
-                y[np.arange(len(rows)), w[rows] - s] -= 1
-                g["ww"][s:t] += y.T @ own
-                g["bw"][s:t] += y.sum(0)
-                do[rows] += y @ p["ww"][s:t]
+            do[a : a + CACHED] = errors(hw[a : a + CACHED], p[m], p[n], top[a : a + CACHED], g[m], g[n])
+        for c, i, j in [] if groups is None else spans(top):
+            s, e = groups[c], groups[c + 1]
+            if e - s > 1:
+                do[i:j] += errors(hw[i:j], p["wc"][:, s:e], p["bc"][s:e], k[i:j] - s, g["wc"][:, s:e], g["bc"][s:e])
+        n, size = even(cuts)
+        few, many = shared_out(k, n)
+        for c, i, j in many:
+            s, e = cuts[c], cuts[c + 1]
+            if e - s > 1:
+                do[i:j] += errors(hw[i:j], p["ww"][s:e].T, p["bw"][s:e], w[i:j] - s, g["ww"][s:e].T, g["bw"][s:e])
+        all_weights, bias, g_weights, g_bias = (blocks(x[name], n, size) for x in (p, g) for name in ("ww", "bw"))
+        for classes, width, rows, at, slot in gathered(*few):
+            own = np.zeros((len(classes), width, d), hw.dtype)
+            own[at, slot] = hw[rows]
+            weights = all_weights[classes]
+            y = own @ weights.transpose(0, 2, 1)
+            y += bias[classes][:, None]
+            y = np.exp(shifted(y), out=y)
+            total = sums(y).reshape(y.shape[:2])
+            y[at, slot, w[rows] - cuts[k[rows]]] -= total[at, slot]
+            # places without a row give no gradient
+            share = np.zeros_like(total)
+            share[at, slot] = 1 / total[at, slot]
+            own *= share[:, :, None]
+            g_weights[classes] += y.transpose(0, 2, 1) @ own
+            g_bias[classes] += (share[:, None] @ y)[:, 0]
+            y = y @ weights
+            y *= share[:, :, None]
+            do[rows] += y[at, slot]
         douts[rows_all] = do
-    inputs = []
-    for ((x, h0, z, r, rh, c), _, _, _, _), dout in zip(reversed(steps), reversed(np.split(douts, len(steps)))):
-        dh = dh + dout
-        dc = dh * z * (1 - c * c)
-        dz = dh * (c - h0) * z * (1 - z)
-        drh = dc @ p["wh"][:, 2 * d :].T
-        dr = drh * h0 * r * (1 - r)
-        gates = np.concatenate((dz, dr), 1)
-        g["wh"][:, : 2 * d] += h0.T @ gates
-        g["wh"][:, 2 * d :] += rh.T @ dc
-        whole = np.concatenate((gates, dc), 1)
-        g["wx"] += x.T @ whole
-        g["b"] += whole.sum(0)
-        inputs.append(whole @ p["wx"].T)
-        dh = dh * (1 - z) + drh * r + gates @ p["wh"][:, : 2 * d].T
-    prev = np.concatenate([x for _, _, _, x, _ in reversed(steps)])
+    x, h0, z, r, rh, c = (np.stack([m[k] for m, _, _, _, _ in steps]) for k in range(6))
+    keep = 1 - z
+    by_c, by_z, by_r = z * (1 - c * c), (c - h0) * z * keep, h0 * r * (1 - r)
+    whole = np.empty((len(steps), lanes, 3 * d), states.dtype)
+    wh_c, wh_g = p["wh"][:, 2 * d :].T, p["wh"][:, : 2 * d].T
+    for t in range(len(steps) - 1, -1, -1):
+        dh += douts[t * lanes : (t + 1) * lanes]
+        dc = np.multiply(dh, by_c[t], out=whole[t, :, 2 * d :])
+        drh = dc @ wh_c
+        np.multiply(dh, by_z[t], out=whole[t, :, :d])
+        np.multiply(drh, by_r[t], out=whole[t, :, d : 2 * d])
+        dh *= keep[t]
+        drh *= r[t]
+        dh += drh
+        dh += whole[t, :, : 2 * d] @ wh_g
+    whole = whole.reshape(-1, 3 * d)
+    x, h0, rh = (m.reshape(-1, d) for m in (x, h0, rh))
+    g["wh"][:, : 2 * d] += h0.T @ whole[:, : 2 * d]
+    g["wh"][:, 2 * d :] += rh.T @ whole[:, 2 * d :]
+    g["wx"] += x.T @ whole
+    g["b"] += whole.sum(0)
+    prev = np.concatenate([x for _, _, _, x, _ in steps])
     order = np.argsort(prev, kind="stable")
     cut = np.flatnonzero(np.diff(prev[order], prepend=-1))
-    g["emb"][prev[order][cut]] += np.add.reduceat(np.concatenate(inputs)[order], cut)
+    g["emb"][prev[order][cut]] += np.add.reduceat((whole @ p["wx"].T)[order], cut)
 
 
-def fit_stream(p, cuts, of, stream, fresh, window=WINDOW, lanes=LANES, rate=0.2, seen=None):
+def fit_stream(p, cuts, of, stream, fresh, window=WINDOW, lanes=LANES, rate=0.2, seen=None, groups=None):
     """Trains on a token stream, cut into parallel lanes; ``fresh`` marks first tokens, before which the state is 0."""
     # a lane has LANE_TOKENS at least, so that short streams make enough steps
     words, lanes = len(of), max(1, min(lanes, len(stream) // LANE_TOKENS))
@@ -257,43 +384,57 @@ def fit_stream(p, cuts, of, stream, fresh, window=WINDOW, lanes=LANES, rate=0.2,
     x, f, real = np.zeros(lanes * n, np.int64), np.ones(lanes * n, bool), np.arange(lanes * n) < len(stream)
     x[: len(stream)], f[: len(stream)] = stream, fresh
     x, f, real = x.reshape(lanes, n), f.reshape(lanes, n), real.reshape(lanes, n)
-    h = np.zeros((lanes, p["wh"].shape[0]), np.float32)
+    h = np.zeros((lanes, p["wh"].shape[0]), p["wh"].dtype)
     seen = {k: np.full_like(v, 1e-3) for k, v in p.items()} if seen is None else seen
     before = np.full(lanes, words)
     g = {k: np.zeros_like(v) for k, v in p.items()}
+    n_even, size = even(cuts)
+    # the words before, step by step; a step's lanes lie side by side
+    x, f, real = (np.ascontiguousarray(v.T) for v in (x, f, real))
+    previous = np.where(f, words, np.concatenate((before[None], x[:-1])))
     for a in range(0, n, window):
-        steps = []
+        steps, here = [], previous[a : a + window]
+        inputs = p["emb"][here]
+        gates = inputs @ p["wx"]
+        gates += p["b"]
         for t in range(a, min(a + window, n)):
-            h = np.where(f[:, t, None], np.float32(0), h)
-            prev = np.where(f[:, t], words, before)
-            new, memory = cell(p, p["emb"][prev], h)
-            steps.append((memory, new, x[:, t], prev, real[:, t]))
-            h, before = new, x[:, t]
-        backward(p, cuts, of, steps, g)
-        # rows of words that the window doesn't touch have no gradient
-        targets = np.bincount(of[np.concatenate([w for _, _, w, _, _ in steps])], minlength=len(cuts) - 1) > 0
-        inside = np.flatnonzero(np.repeat(targets, np.diff(cuts)))
-        touched = {"emb": np.unique(np.concatenate([x for _, _, _, x, _ in steps])), "ww": inside, "bw": inside}
+            h[f[t]] = 0
+            new, memory = cell(p, inputs[t - a], h, gates[t - a])
+            steps.append((memory, new, x[t], previous[t], real[t]))
+            h = new.copy() if t + 1 < n and f[t + 1].any() else new
+        backward(p, cuts, of, steps, g, groups)
+        # words that the window doesn't touch have no gradient
+        targets = np.flatnonzero(np.bincount(of[x[a : a + window].ravel()], minlength=len(cuts) - 1)[:n_even])
+        emb = np.unique(here)
         for k in p:
-            at = touched.get(k)
-            # rows without gradient stay as they are in a whole update too, which copies nothing
-            whole = at is None or 2 * len(at) > len(p[k])
-            d, s = (g[k], seen[k]) if whole else (g[k][at], seen[k][at])
-            d /= lanes
-            np.clip(d, -1, 1, out=d)
-            s += d * d
-            d *= rate
-            d /= np.sqrt(s)
-            if whole:
-                p[k] -= d
-                d[...] = 0
+            if k in ("ww", "bw"):
+                update(*(blocks(v[k], n_even, size) for v in (p, g, seen)), targets, lanes, rate)
+                update(*(v[k][n_even * size :] for v in (p, g, seen)), None, lanes, rate)
             else:
-                p[k][at] -= d
-                seen[k][at], g[k][at] = s, 0
+                update(p[k], g[k], seen[k], emb if k == "emb" else None, lanes, rate)
     return p
 
 
-def score(p, cuts, of, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def update(p, g, seen, at, lanes, rate):
+    """Takes a step by a matrix's gradient, which is 0 but at ``at``, and sets it to 0; so many numbers at once that they stay in the processor's cache."""
+    # what has no gradient stays as it is in a whole update too, which copies nothing
+    whole = at is None or 2 * len(at) > len(p)
+    some = max(1, UPDATED * len(p) // max(1, p.size))
+    for a in range(0, len(p) if whole else len(at), some):
+        rows = slice(a, a + some) if whole else at[a : a + some]
+        d, s = g[rows], seen[rows]
+        d /= lanes
+        np.clip(d, -1, 1, out=d)
+        s += d * d
+        d *= rate
+        d /= np.sqrt(s)
+        p[rows] -= d
+        g[rows] = 0
+        if not whole:
+            seen[rows] = s
+
+
+def score(p, cuts, of, ids: np.ndarray, offsets: np.ndarray, groups=None) -> np.ndarray:
     """Log-likelihood of each document of a batch: all advance together, the long ones go on alone."""
     words = len(of)
     size = np.diff(offsets)
@@ -305,16 +446,12 @@ def score(p, cuts, of, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     t, first = 0, offsets[:-1][order]
     negative = -size[order]
     emb = p["emb"] @ p["wx"] + p["b"]
-    d = h.shape[1]
     held_h, held_w, held_who, held = [], [], [], 0
     while live:
         now = ids[first[:live] + t]
-        i, s = emb[prev[:live]], h[:live]
-        gates = sigmoid(i[:, : 2 * d] + s @ p["wh"][:, : 2 * d])
-        z, r = gates[:, :d], gates[:, d:]
-        new = (1 - z) * s + z * np.tanh(i[:, 2 * d :] + (r * s) @ p["wh"][:, 2 * d :])
+        new, _ = cell(p, None, h[:live], emb[prev[:live]])
         h[:live] = new
-        held_h.append(new.copy())
+        held_h.append(new)
         held_w.append(now)
         held_who.append(order[:live])
         held += live
@@ -323,7 +460,7 @@ def score(p, cuts, of, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         live = int(np.searchsorted(negative, -t, "left"))
         # states of a window of steps are scored at once
         if held > 100_000 or not live:
-            total += np.bincount(np.concatenate(held_who), log_probability(p, cuts, of, np.concatenate(held_h), np.concatenate(held_w)), len(total))
+            total += np.bincount(np.concatenate(held_who), log_probability(p, cuts, of, np.concatenate(held_h), np.concatenate(held_w), groups), len(total))
             held_h, held_w, held_who, held = [], [], [], 0
     return total
 
@@ -351,7 +488,7 @@ def trainer(shared, piece: int = SHARD_TOKENS):
             stream = np.concatenate(parts)
             fresh = np.zeros(len(stream), bool)
             fresh[np.cumsum([0, *map(len, parts[:-1])])] = True
-            fit_stream(p, model["cuts"], model["of"], stream, fresh, seen=seen)
+            fit_stream(p, model["cuts"], model["of"], stream, fresh, seen=seen, groups=model["groups"])
 
         for batch in batches:
             for b in batch.column("ids").to_pylist():
@@ -372,7 +509,7 @@ def trainer(shared, piece: int = SHARD_TOKENS):
             learn()
             total += held
         if total:
-            for k in NAMES:
+            for k in p:
                 yield pa.RecordBatch.from_pydict({"name": [k], "weight": pa.array([total], pa.int64()), "w": pa.array([p[k].tobytes()], pa.binary())})
 
     return run
@@ -397,12 +534,16 @@ def fit(docs: DataFrame, words: int = WORDS, hidden: int = HIDDEN, rounds: int =
     n = np.array([*(r.n for r in top), max(1, all_tokens - sum(r.n for r in top))], np.float64)
     cuts = classes_of(n)
     of = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-    model = {"known": known, "cuts": cuts, "of": of, "spelling": spelling, "p": start(len(n), len(cuts) - 1, hidden)}
+    mass = np.add.reduceat(n, cuts[:-1])
+    groups = groups_of(mass)
+    model = {"known": known, "cuts": cuts, "of": of, "groups": groups, "spelling": spelling, "p": start(len(n), len(cuts) - 1, hidden, groups=0 if groups is None else len(groups) - 1)}
     if not all_tokens:
         return model
     # words start at their frequencies
     model["p"]["bw"] = np.log(n + 1).astype(np.float32)
-    model["p"]["bc"] = np.log(np.add.reduceat(n, cuts[:-1]) + 1).astype(np.float32)
+    model["p"]["bc"] = np.log(mass + 1).astype(np.float32)
+    if groups is not None:
+        model["p"]["bg"] = np.log(np.add.reduceat(mass, groups[:-1]) + 1).astype(np.float32)
     shared = spark.sparkContext.broadcast(model)
     chosen = docs.filter("text is not null").select(F.xxhash64("text").alias("key"), "text")
     shards = max(1, int(all_tokens / max(shard_tokens, WORD_TOKENS * len(n))))
@@ -429,7 +570,7 @@ def scorer(shared):
             at = pc.fill_null(pc.index_in(words, value_set=known), len(known)).to_numpy(zero_copy_only=False).astype(np.int64)
             spelt, rare = np.zeros(len(words)), np.flatnonzero(at == len(known))
             spelt[rare] = model["spelling"].logs(words.take(pa.array(rare)))
-            total = score(model["p"], model["cuts"], model["of"], at[raw], offsets)
+            total = score(model["p"], model["cuts"], model["of"], at[raw], offsets, model["groups"])
             total += np.bincount(np.repeat(np.arange(len(total)), np.diff(offsets)), spelt[raw], len(total))
             size, null = np.diff(offsets), np.asarray(column.is_null())
             yield pa.RecordBatch.from_pydict(

@@ -643,3 +643,37 @@ def test_edited_copies_of_items_with_absent_words_go(spark):
     d = docs(spark, [(1, " ".join(["lead"] * 9 + edited)), (2, "another text"), (3, "w0 w1 w2")])
     bench = spark.createDataFrame([(1, " ".join(words[:23] + ["nowhere"]))], "item_id long, text string")
     assert {r.doc_id for r in decontaminate.clean_documents(d, bench).collect()} == {2, 3}
+
+
+def test_outputs_of_large_vocabularies_are_few_and_right():
+    n = np.append((1e7 / np.arange(1, 100_001)).astype(int), 1e6)
+    cuts = lm.classes_of(n)
+    mass = np.add.reduceat(n, cuts[:-1])
+    groups = lm.groups_of(mass)
+    # outputs of a word: the groups, the classes of its group, the words of its class
+    per = len(groups) - 1 + np.repeat(np.diff(groups), np.add.reduceat(np.diff(cuts), groups[:-1])) + np.repeat(np.diff(cuts), np.diff(cuts))
+    assert (per * n).sum() / n.sum() < 160  # two levels took more than 300
+    # probabilities over all words are 1, and gradients those by differences
+    rng = np.random.default_rng(5)
+    cuts = lm.classes_of(n[:1200])
+    groups = lm.groups_of(np.add.reduceat(n[:1200], cuts[:-1]))
+    of = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    p = {k: rng.normal(0, 1, v.shape) for k, v in lm.start(1200, len(cuts) - 1, 3, groups=len(groups) - 1).items()}
+    log = lambda h, w: lm.log_probability(p, cuts, of, h, w, groups)
+    h = rng.normal(0, 1, (1, 3))
+    assert abs(np.exp(log(np.repeat(h, 1200, 0), np.arange(1200))).sum() - 1) < 1e-9
+    words = np.concatenate((rng.integers(0, 1200, 100), np.full(60, 40), [1199]))
+    memory, new = lm.cell(p, p["emb"][words], np.zeros((161, 3)))[::-1]
+    g = {k: np.zeros_like(v) for k, v in p.items()}
+    lm.backward(p, cuts, of, [(memory, new, words, words, np.ones(161, bool))], g, groups)
+    for k, at in (("wg", (1, 2)), ("bg", (0,)), ("wc", (1, of[40])), ("bc", (of[words[0]],)), ("ww", (40, 1)), ("ww", (words[3], 0)), ("bw", (words[5],)), ("wx", (1, 4))):
+        ends = []
+        for d in (1e-5, -1e-5):
+            p[k][at] += d
+            ends.append(-log(lm.cell(p, p["emb"][words], np.zeros((161, 3)))[0], words).sum())
+            p[k][at] -= d
+        assert abs((ends[0] - ends[1]) / 2e-5 - g[k][at]) < 1e-4
+    # outputs beyond what exponentials hold
+    p["bw"] += 1000.0
+    p["bg"][0] -= 500.0
+    assert np.isfinite(log(np.repeat(h, 1200, 0), np.arange(1200))).all()
