@@ -677,3 +677,15 @@ def test_outputs_of_large_vocabularies_are_few_and_right():
     p["bw"] += 1000.0
     p["bg"][0] -= 500.0
     assert np.isfinite(log(np.repeat(h, 1200, 0), np.arange(1200))).all()
+
+
+def test_passages_in_slices_are_the_same_and_leave_no_links(spark):
+    rng = np.random.default_rng(7)
+    shared, few = [filler(rng, 60) for _ in range(6)], filler(rng, 5)  # the latter is looked at in short and gives no passage
+    texts = [(k, " ".join(filler(rng, 30) + shared[k % 6] + filler(rng, 30) + few + filler(rng, 30))) for k in range(24)]
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    rows = [sorted(map(tuple, passages.repeated_passages(docs(spark, texts), slices=n).collect())) for n in (1, 3)]
+    assert rows[0] == rows[1] and len({r[:2] for r in rows[0]}) == 36
+    # what later tables were made from doesn't stay on disk
+    assert {name.split("-")[0] for name in set(os.listdir(folder)) - before}.isdisjoint({"links", "chains", "windows"})
