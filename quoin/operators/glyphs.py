@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+GLYPH = ("ch", "raw_size", "l", "r", "b", "t", "ma", "mb", "rot")
 WORDS = "doc_id string, page_no int, tok_no int, s string, x double, y double, w double, size double"
 
 
@@ -59,13 +62,22 @@ def fold(glyphs: list[dict]) -> list[tuple[str, float, float, float, float]]:
 
 
 def words_of(glyphs: DataFrame) -> DataFrame:
-    """The words of a table of glyphs, page by page."""
+    """The words of a table of glyphs, page by page; one task folds many pages, one after the other."""
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = sorted(table.to_pylist(), key=lambda g: g["glyph_no"])
-        words = fold(rows)
-        cols = list(zip(*words)) if words else [()] * 5
-        n = len(words)
-        return pa.table({"doc_id": pa.array([rows[0]["doc_id"]] * n, pa.string()), "page_no": pa.array([rows[0]["page_no"]] * n, pa.int32()), "tok_no": pa.array(range(n), pa.int32()), "s": pa.array(cols[0], pa.string()), **{k: pa.array(c, pa.float64()) for k, c in zip(("x", "y", "w", "size"), cols[1:])}})
+    def run(batches):
+        for batch in batches:
+            held = batch.column("gs")
+            ends = np.cumsum(np.r_[0, held.value_lengths().to_numpy(zero_copy_only=False)]).tolist()
+            items = held.flatten()
+            every = [dict(zip(GLYPH, v)) for v in zip(*(items.field(k).to_pylist() for k in GLYPH))]
+            rows, toks, words = [], [], []
+            for k, (a, b) in enumerate(zip(ends, ends[1:])):
+                found = fold(every[a:b])
+                rows += [k] * len(found)
+                toks += range(len(found))
+                words += found
+            at, cols = pa.array(rows, pa.int64()), list(zip(*words)) if words else [()] * 5
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").take(at), "page_no": batch.column("page_no").take(at), "tok_no": pa.array(toks, pa.int32()), "s": pa.array(cols[0], pa.string()), **{k: pa.array(c, pa.float64()) for k, c in zip(("x", "y", "w", "size"), cols[1:])}})
 
-    return glyphs.groupBy("doc_id", "page_no").applyInArrow(run, WORDS)
+    pages = glyphs.groupBy(F.col("doc_id").cast("string").alias("doc_id"), F.col("page_no").cast("int").alias("page_no")).agg(F.array_sort(F.collect_list(F.struct("glyph_no", *GLYPH))).alias("gs"))
+    return pages.mapInArrow(run, WORDS)
