@@ -1,9 +1,14 @@
 """Tables like those of larger sizes: long keys, many documents, and plans that don't start a Python group for each."""
 
+import random
+
 import duckdb
+import numpy as np
 import pytest
 
 from oracle import same
+from quoin.operators.page import Word, convert, documents
+from quoin.plans.markdown import markdown
 from quoin.registry import ORACLES, QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -23,3 +28,60 @@ def long_keys(tmp_path_factory):
 @pytest.mark.parametrize("name", ["order_documents", "ruled_documents"])
 def test_long_keys_match_sql(spark, long_keys, name):
     same(QUERIES[name](spark, long_keys), ORACLES[name], long_keys)
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["reading_order", "markdown_documents", "glyph_words", "order_documents", "ruled_documents"])
+def test_no_python_group_for_each_document(spark, name):
+    assert "FlatMap" not in plan(QUERIES[name](spark, SMALL))
+
+
+@pytest.mark.parametrize("name", ["raw_lines", "heading_levels", "body_size"])
+def test_words_are_not_shuffled(spark, name):
+    """Words are set to lines where the text is: neither exploded nor sorted by document."""
+    found = plan(QUERIES[name](spark, SMALL))
+    assert "Generate" not in found and found.count("Exchange") == 1
+
+
+def test_rulings_meet_without_a_join(spark):
+    found = plan(QUERIES["ruling_intersections"](spark, SMALL))
+    assert "Join" not in found and found.count("Exchange hash") == 1
+
+
+def random_pages(rng, columns):
+    pages = []
+    for _ in range(rng.randrange(1, 4)):
+        words = []
+        for k in range(rng.randrange(1, 14)):
+            y = 760 - 13.0 * k - rng.choice((0, 0, 2.5))
+            for left in (56, 330) if columns else (56,):
+                x = float(left)
+                for _ in range(rng.randrange(1, 6)):
+                    s = rng.choice(("a", "word", "1.", "•", "Page", "7", "....", "a  b", "tab\tbed", "x-"))
+                    words.append(Word(s, x + rng.choice((0, 1)), y - rng.choice((0, 0, 0, 1.5)), 6.0 * len(s), rng.choice((11.0, 11.0, 15.0, 22.0, 0.0))))
+                    x += 6.0 * len(s) + rng.choice((6, 6, 6, 9, 40))
+        rng.shuffle(words)
+        pages.append(words)
+    return pages
+
+
+def test_many_documents_at_once_are_as_each_by_itself():
+    rng = random.Random(7)
+    docs = [random_pages(rng, k % 2) for k in range(300)]
+    flat = [(d, p, w) for d, pages in enumerate(docs) for p, ws in enumerate(pages) for w in ws]
+    columns = [np.array([getattr(w, c) for _, _, w in flat]) for c in ("x", "y", "w", "size")]
+    got = documents(len(docs), np.array([f[0] for f in flat]), np.array([f[1] for f in flat]), [f[2].s for f in flat], *columns, [len(p) for p in docs])
+    assert got == [convert(p) for p in docs]
+
+
+def test_tables_of_words_and_paths_to_markdown(spark):
+    rows = [(d, 0, k, s, x, y, 6.0 * len(s), 11.0) for d in range(3) for k, (s, x, y) in enumerate([("AO", 54.0, 685.0), ("07", 74.0, 685.0), ("p1", 94.0, 685.0), ("RF", 54.0, 663.0), ("08", 74.0, 663.0), ("p2", 94.0, 663.0)])]
+    words = spark.createDataFrame(rows[::-1], "doc_id long, page_no int, tok_no int, s string, x double, y double, w double, size double")
+    bars = [(50.0, 110.0, 700.0 - 22 * i, 701.0 - 22 * i, False) for i in range(3)] + [(x, x + 1, 656.0, 701.0, False) for x in (50.0, 70.0, 90.0, 110.0)]
+    paths = spark.createDataFrame([(1, 0, *b) for b in bars], "doc_id long, page_no int, l double, r double, b double, t double, stroked boolean")
+    got = {r.doc_id: r.md for r in markdown(words, paths).collect()}
+    assert got[1] == "| AO | 07 | p1 |\n| --- | --- | --- |\n| RF | 08 | p2 |\n" and got[0] == got[2] != got[1]
+    assert {r.doc_id: r.md for r in markdown(words).collect()} == dict.fromkeys(range(3), got[0])
