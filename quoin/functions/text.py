@@ -158,5 +158,10 @@ def py_heading_like(s: str) -> bool:
     return sum(c.isalnum() or c.isspace() or c in ".,:;()'&-" for c in s) >= 0.85 * len(s)
 
 
+def py_table_norm(s: str) -> str:
+    t = re.sub(r"(?:\s*\.){4,}\s*", " ", re.sub("[’‘]", "'", s.lower()), flags=re.ASCII)
+    return re.sub(" +", " ", re.sub(r"[^a-z0-9.()%†+-]+", " ", t)).strip(" ")
+
+
 def py_cell_norm(s: str) -> str:
     return " ".join("".join(c if c.isalnum() else " " for c in s.lower()).split())

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import half_up, letters_only, table_norm
-from ..sources.tables import pipe_tables
+from ..functions.text import half_up, letters_only, py_table_norm
+from ..sources.tables import py_pipe_tables
 
 WEIGHTS = {"text": 0.35, "structure": 0.25, "order": 0.20, "tables": 0.15, "noise": 0.05}
 
@@ -46,19 +47,113 @@ def row_similarity(a: list[str], b: list[str]) -> float:
     return 2 * dp[-1][-1] / (len(a) + len(b))
 
 
-def row_sim(a: Column, b: Column) -> Column:
-    """``row_similarity`` of two arrays of normalised cells, as a column."""
-    zero = lambda n: F.array_repeat(F.lit(0.0), n + 1)
-
-    def row(above: Column, x: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            best = F.greatest(F.get(above, j), F.get(done, j - 1), F.get(above, j - 1) + dice(x, F.get(b, j - 1)))
-            return F.concat(done, F.array(best))
-
-        return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0.0)), cell)
-
-    last = F.aggregate(a, zero(F.size(b)), row, lambda d: F.element_at(d, -1))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.when(F.size(a) == F.size(b), 1.0).otherwise(0.0)).otherwise(2 * last / (F.size(a) + F.size(b)))
+class Cells:
+    """Normalised cells by number, with the bigrams of each as a set of bits: those that it has once, twice and so on."""
+
+    def __init__(self):
+        self.raw: dict[str | None, int] = {None: 0}
+        self.texts, self.by_text = [""], {}
+
+    def number(self, cell: str | None) -> int:
+        """Equal cells have one number; a null one has 0 and is like none."""
+        k = self.raw.get(cell)
+        if k is None:
+            text = py_table_norm(cell)
+            k = self.by_text.get(text)
+            if k is None:
+                k = self.by_text[text] = len(self.texts)
+                self.texts.append(text)
+            self.raw[cell] = k
+        return k
+
+    def close(self) -> None:
+        known: dict[tuple[str, int], int] = {}
+        rows, bits = [], []
+        for k, s in enumerate(self.texts):
+            held: dict[str, int] = {}
+            for i in range(len(s) - 1):
+                g = s[i : i + 2]
+                nth = held[g] = held.get(g, 0) + 1
+                rows.append(k)
+                bits.append(known.setdefault((g, nth), len(known)))
+        has = np.zeros((len(self.texts), 64 * max(1, -(-len(known) // 64))), bool)
+        has[rows, bits] = True
+        self.bits, self.size = np.packbits(has, axis=1).view(np.uint64), np.maximum(np.array([len(s) for s in self.texts]) - 1, 0)
+
+    def dice(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``py_dice`` of cells by number."""
+        both = np.zeros(len(a), np.int64)
+        for word in self.bits.T:
+            both += np.bitwise_count(word[a] & word[b])
+        found = np.where(a == b, 1.0, 2.0 * both / np.maximum(self.size[a] + self.size[b], 1))
+        return np.where((a == 0) | (b == 0), 0.0, found)
+
+
+def _row_similarities(cells: Cells, truth: tuple[np.ndarray, np.ndarray], found: tuple[np.ndarray, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``row_similarity`` of pairs of rows: ``truth`` and ``found`` have the cells' numbers and where each row begins."""
+    (x, x_at), (y, y_at) = truth, found
+    m, n = np.diff(x_at)[a], np.diff(y_at)[b]
+    out = np.zeros(len(a))
+    shape = m * (n.max(initial=0) + 1) + n
+    for kind in np.unique(shape):
+        at = np.flatnonzero(shape == kind)
+        rows, cols, i, j = int(m[at[0]]), int(n[at[0]]), x_at[a[at]], y_at[b[at]]
+        if not rows or not cols:
+            out[at] = float(rows == cols)
+            continue
+        above = [np.zeros(len(at))] * (cols + 1)
+        for r in range(rows):
+            done = [above[0]]
+            for c in range(cols):
+                done.append(np.maximum(np.maximum(above[c + 1], done[c]), above[c] + cells.dice(x[i + r], y[j + c])))
+            above = done
+        out[at] = 2 * above[-1] / (rows + cols)
+    return out
+
+
+def _score(grids: list[list[list[str]]], tables: list[list[list[list[str]]]]) -> np.ndarray:
+    """The score of each grid against the tables beside it: the mean similarity at the best start of any table."""
+    cells = Cells()
+    sides = []
+    for rows in ([r for g in grids for r in g], [r for ts in tables for t in ts for r in t]):
+        sides.append((np.array([cells.number(c) for r in rows for c in r or ()], np.int64), np.cumsum([0, *(len(r or ()) for r in rows)])))
+    cells.close()
+    first = np.cumsum([0, *map(len, grids)])
+    doc = np.array([d for d, ts in enumerate(tables) for _ in ts], np.int64)
+    held = np.array([len(t) for ts in tables for t in ts], np.int64)
+    begin, n = np.cumsum(np.r_[0, held]), np.diff(first)
+    asked, at, slot = [], [], []
+    pairs = held * (n.max(initial=0) + 1) + n[doc] if len(doc) else held
+    for kind in np.unique(pairs):
+        which = np.flatnonzero(pairs == kind)
+        j, i = np.tril_indices(int(held[which[0]]), 0, int(n[doc[which[0]]]))
+        asked.append((first[doc[which]][:, None] + i).ravel())
+        at.append((begin[which][:, None] + j).ravel())
+        slot.append((begin[which][:, None] + j - i).ravel())
+    out = np.zeros(len(grids))
+    if asked:
+        asked, at, slot = (np.concatenate(v) for v in (asked, at, slot))
+        sims = _row_similarities(cells, *sides, asked, at)
+        by_start = np.bincount(slot, sims, minlength=int(begin[-1]))
+        of = np.repeat(doc, held)
+        np.maximum.at(out, of, by_start / np.maximum(n[of], 1))
+    return out
+
+
+def _scores(batches, most: int = 20_000):
+    """Scores of rows of converter, id, md and grid, some thousands of cells at once."""
+    for batch in batches:
+        grids, texts = batch.column("grid").to_pylist(), batch.column("md").to_pylist()
+        out, part, count = [], ([], []), 0
+        for grid, text in zip(grids, texts):
+            part[0].append([r or [] for r in grid or []])
+            part[1].append(py_pipe_tables(text or ""))
+            count += sum(map(len, part[0][-1])) + sum(len(r) for t in part[1][-1] for r in t)
+            if count > most:
+                out.append(_score(*part))
+                part, count = ([], []), 0
+        out.append(_score(*part))
+        yield pa.RecordBatch.from_pydict({"converter": batch.column("converter"), "id": batch.column("id"), "score": np.concatenate(out)})
 
 
 def table_scores(labels: DataFrame, results: DataFrame) -> DataFrame:
@@ -67,15 +162,9 @@ def table_scores(labels: DataFrame, results: DataFrame) -> DataFrame:
     A table's score is that of its best start: the mean over the grid's rows of their
     similarity with the table's row at that distance. Conversions without tables score 0.
     """
-    key = F.struct("converter", "id").alias("key")
-    found = pipe_tables(results.select(key, F.col("md").alias("text")), "key").select("key", "table_no", "row_no", F.transform("cells", table_norm).alias("found"))
-    rows = labels.select("id", F.size("grid").alias("n_rows"), F.posexplode(F.transform("grid", lambda r: F.transform(r, table_norm))).alias("i", "truth"))
-    pairs = found.join(rows, F.col("key.id") == F.col("id")).filter("row_no >= i")
-    sims = pairs.select("key", "table_no", (F.col("row_no") - F.col("i")).alias("start"), "n_rows", row_sim(F.col("truth"), F.col("found")).alias("sim"))
-    by_start = sims.groupBy("key", "table_no", "start").agg((F.sum("sim") / F.first("n_rows")).alias("score"))
-    best = by_start.groupBy("key").agg(F.max("score").alias("score"))
-    asked = results.join(labels.select("id"), "id").select(key)
-    return asked.join(best, "key", "left").select("key.converter", "key.id", F.coalesce("score", F.lit(0.0)).alias("score"))
+    asked = results.join(labels.select("id", "grid"), "id").select("converter", "id", "md", "grid")
+    kinds = {f.name: f.dataType.simpleString() for f in asked.schema}
+    return asked.mapInArrow(_scores, f"converter {kinds['converter']}, id {kinds['id']}, score double")
 
 
 def table_leaderboard(scores: DataFrame) -> DataFrame:

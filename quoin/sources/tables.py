@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import csv
 import io
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,6 +24,32 @@ def pipe_tables(texts: DataFrame, key: str = "doc_id") -> DataFrame:
     return rows.select(key, F.col("table_no").cast("int").alias("table_no"), (F.row_number().over(order) - 1).alias("row_no"), "cells")
 
 
+ENDS = "\r\x85\u2028\u2029"  # line ends other than \n, before which a pattern's end matches in Java
+SEPARATOR = re.compile(rf":?-{{2,}}:?[{ENDS}]?")
+
+
+def py_pipe_tables(text: str) -> list[list[list[str]]]:
+    """The rows of cells of a text's pipe tables, as ``pipe_tables`` has them; tables of separator rows only are empty."""
+    out: list[list[list[str]]] = []
+    before = False
+    for line in text.split("\n"):
+        line = line.strip(" ")
+        piped = line.startswith("|")
+        if piped:
+            if not before:
+                out.append([])
+            body = line[1:]
+            if body.endswith("|"):
+                body = body[:-1]
+            elif body[-2:-1] == "|" and body[-1] in ENDS:
+                body = body[:-2] + body[-1]
+            cells = [c.strip(" ") for c in body.split("|")]
+            if not all(SEPARATOR.fullmatch(c) for c in cells):
+                out[-1].append(cells)
+        before = piped
+    return out
+
+
 def ragged_rows(text: str) -> list[list[str]]:
     """Rows of a CSV text as they are, cells trimmed; rows of blank cells are left out."""
     rows = [[c.strip() for c in r] for r in csv.reader(io.StringIO(text, newline=""))]

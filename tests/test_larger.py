@@ -5,11 +5,15 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from oracle import same
+from quoin.functions.text import py_table_norm, table_norm
 from quoin.operators.page import Word, convert, documents
+from quoin.operators.scoring import _score, row_similarity
 from quoin.plans.markdown import markdown
 from quoin.registry import ORACLES, QUERIES
+from quoin.sources.tables import pipe_tables, py_pipe_tables
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -85,3 +89,38 @@ def test_tables_of_words_and_paths_to_markdown(spark):
     got = {r.doc_id: r.md for r in markdown(words, paths).collect()}
     assert got[1] == "| AO | 07 | p1 |\n| --- | --- | --- |\n| RF | 08 | p2 |\n" and got[0] == got[2] != got[1]
     assert {r.doc_id: r.md for r in markdown(words).collect()} == dict.fromkeys(range(3), got[0])
+
+
+def brute_score(grid, tables):
+    grid, tables = ([[[py_table_norm(c) for c in r] for r in t] for t in x] for x in ([grid], tables))
+    grid, best = grid[0], 0.0
+    for t in tables:
+        for start in range(len(t)):
+            best = max(best, sum(row_similarity(g, t[start + i]) for i, g in enumerate(grid) if start + i < len(t)) / max(len(grid), 1))
+    return best
+
+
+def test_scores_of_many_tables_are_as_each_by_itself():
+    rng = random.Random(5)
+    cell = lambda: rng.choice(("", "a", "A  b", "aaaa aaa", "$ 17 Qty. AO", "19123", "x" * 70, "....", "12. 5 %", "Ünïcode"))
+    table = lambda rows: [[cell() for _ in range(rng.randrange(0, 5))] for _ in range(rng.randrange(rows))]
+    grids, tables = [table(6) for _ in range(200)], [[table(7) for _ in range(rng.randrange(3))] for _ in range(200)]
+    assert np.allclose(_score(grids, tables), [brute_score(g, t) for g, t in zip(grids, tables)])
+
+
+def test_pipe_tables_and_norms_of_python_are_those_of_columns(spark):
+    odd = "| a | b |\n|---|:--:|\n| 1|2\r\n | x |\r\nno\n|\n||\n|--| \n| K….. İ | ’q‘ 1.5 %  † |\n\n| --- |\n|a\x85|\x85"
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").filter("text is not null").select("text").collect()
+    texts = [odd, "", *(r.text.replace("\n", "\n| ") + " | " + odd for r in rows[:60])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.table_no, r.row_no): r.cells for r in pipe_tables(df).collect()}
+    assert got == {(d, t, k): row for d, x in enumerate(texts) for t, table in enumerate(py_pipe_tables(x)) for k, row in enumerate(table)}
+    lines = spark.createDataFrame([(x,) for t in texts for x in t.split("\n")], "s string").select("s", table_norm(F.col("s")).alias("n")).collect()
+    assert all(py_table_norm(r.s) == r.n for r in lines)
+
+
+@pytest.mark.parametrize("name", ["table_scores", "table_leaderboard"])
+def test_rows_of_tables_are_not_joined(spark, name):
+    """A conversion meets its grid once; pairs of rows are not rows of a table."""
+    found = plan(QUERIES[name](spark, SMALL))
+    assert "posexplode" not in found and found.count("Join") == 1
